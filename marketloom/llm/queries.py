@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from marketloom.llm.mixing import OP7_SQL, op7_mixing
+from marketloom.llm.quality_rules import OP4_SQL, op4_quality_rules
 from marketloom.llm.sharding import op10_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_quality_rules": op4_quality_rules,
     "op7_mixing": op7_mixing,
     "op10_sharding": op10_sharding,
 }
 
 SQL: dict[str, str] = {
+    "op4_quality_rules": OP4_SQL,
     "op7_mixing": OP7_SQL,
 }
