@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from marketloom.llm.mixing import OP7_SQL, op7_mixing
 from marketloom.llm.quality_rules import OP4_SQL, op4_quality_rules
 from marketloom.llm.sharding import op10_sharding
+from marketloom.llm.tokens import op5_token_ids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
+    "op5_token_ids": op5_token_ids,
     "op7_mixing": op7_mixing,
     "op10_sharding": op10_sharding,
 }
