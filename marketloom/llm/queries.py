@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marketloom.llm.licenses import op9_license_scan
 from marketloom.llm.mixing import OP7_SQL, op7_mixing
 from marketloom.llm.quality_rules import OP4_SQL, op4_quality_rules
 from marketloom.llm.sharding import op10_sharding
@@ -15,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_token_ids": op5_token_ids,
     "op7_mixing": op7_mixing,
+    "op9_license_scan": op9_license_scan,
     "op10_sharding": op10_sharding,
 }
 
