@@ -11,6 +11,7 @@ from marketloom.llm.mixing import OP7_SQL, op7_mixing
 from marketloom.llm.near_dups import op2_near_dups
 from marketloom.llm.quality_rules import OP4_SQL, op4_quality_rules
 from marketloom.llm.sharding import op10_sharding
+from marketloom.llm.substrings import op8_substring_dedup
 from marketloom.llm.tokens import op5_token_ids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_token_ids": op5_token_ids,
     "op7_mixing": op7_mixing,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_sharding": op10_sharding,
 }
