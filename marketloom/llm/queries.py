@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from marketloom.llm.licenses import op9_license_scan
 from marketloom.llm.mixing import OP7_SQL, op7_mixing
 from marketloom.llm.near_dups import op2_near_dups
+from marketloom.llm.quality_classifier import op6_quality_classifier
 from marketloom.llm.quality_rules import OP4_SQL, op4_quality_rules
 from marketloom.llm.sharding import op10_sharding
 from marketloom.llm.substrings import op8_substring_dedup
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_dups": op2_near_dups,
     "op4_quality_rules": op4_quality_rules,
     "op5_token_ids": op5_token_ids,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_mixing": op7_mixing,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_license_scan": op9_license_scan,
