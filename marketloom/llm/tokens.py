@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +42,25 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+#: A word of Latin letters with ASCII punctuation behind it. The tokenizer's pattern parts the two in the same place, lower-cases
+#: the letters one by one and changes nothing else in them, so such a word's ids are its letters' and its punctuation's.
+STEM_AND_TAIL = r"^(?P<stem>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[!-/:-@\[-`{-~]*)$"
+#: Distinct strings that a Python worker remembers before it starts anew, and documents it encodes at a time.
+REMEMBERED = 500_000
+TOGETHER = 2_000
+
+
+def _gather(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """values[start:end] of all spans in a row, and where each span ends in it."""
+    sizes = ends - starts
+    done = np.cumsum(sizes)
+    steps = np.repeat(starts - (done - sizes), sizes)
+    steps += np.arange(len(steps))
+    return values[steps], done
+
+
 class Encoder:
-    """Encodes a batch of texts, each distinct word once.
+    """Encodes texts, each distinct word once as long as it is remembered.
 
     The tokenizer's rules never join characters across ASCII white space (its pattern leaves white space out and its
     normalizer works on each character or combining sequence), so a text's ids are its words' ids in a row.
@@ -53,37 +71,77 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words in a row, and where each word's ids start (one more at the end)."""
-        parts, sizes = [], np.zeros(len(words) + 1, np.int64)
-        for lo in range(0, len(words), 20_000):
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(words[lo : lo + 20_000], add_special_tokens=False)]
-            sizes[lo + 1 : lo + 1 + len(ids)] = [len(x) for x in ids]
-            parts.append(np.fromiter((y for x in ids for y in x), np.uint32, int(sizes[lo + 1 : lo + 1 + len(ids)].sum())))
-        return np.concatenate(parts) if parts else np.zeros(0, np.uint32), np.cumsum(sizes)
-
-    def encode(self, texts: pa.Array, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, each followed by end_id, and where each text ends. Null is an empty text."""
-        split = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.starts = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
+
+    def _places(self, strings: list[str]) -> np.ndarray:
+        """Where in self.starts each string's ids are noted; new strings are encoded."""
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        known, first = self.known, len(self.known)
+        new = [x for x in strings if x not in known]
+        if new:
+            for i, x in enumerate(new, first):
+                known[x] = i
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            sizes = np.fromiter(map(len, got), np.int64, len(got))
+            used, add = int(self.starts[first]), int(sizes.sum())
+            while used + add > len(self.ids):
+                self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+            while len(known) + 1 > len(self.starts):
+                self.starts = np.concatenate((self.starts, np.zeros_like(self.starts)))
+            self.ids[used : used + add] = np.fromiter(chain.from_iterable(got), np.uint32, add)
+            self.starts[first + 1 : len(known) + 1] = used + np.cumsum(sizes)
+        return np.fromiter(map(known.__getitem__, strings), np.int64, len(strings))
+
+    def _encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        split = pc.ascii_split_whitespace(texts)
         flat = split.flatten().dictionary_encode()
-        flat = flat.combine_chunks() if isinstance(flat, pa.ChunkedArray) else flat
-        ids, starts = self._words(flat.dictionary.to_pylist())
-        which = flat.indices.to_numpy(zero_copy_only=False)
-        sizes = (starts[1:] - starts[:-1])[which]
-        ends_of_word = np.cumsum(sizes)
-        total = int(ends_of_word[-1]) if len(sizes) else 0
-        stream = ids[np.repeat(starts[:-1][which] - (ends_of_word - sizes), sizes) + np.arange(total)]
+        parts = pc.extract_regex(flat.dictionary, STEM_AND_TAIL)
+        plain = pc.is_valid(parts)
+        # Two strings a word: letters and punctuation, or the word itself and nothing.
+        heads = pc.if_else(plain, pc.utf8_lower(pc.struct_field(parts, "stem")), flat.dictionary)
+        tails = pc.if_else(plain, pc.struct_field(parts, "tail"), "")
+        both = pa.concat_arrays([heads, tails]).dictionary_encode()
+        where = self._places(both.dictionary.to_pylist())[both.indices.to_numpy()]
+        pieces = np.stack((where[: len(heads)], where[len(heads) :]), axis=1).ravel()
+        word_ids, _ = _gather(self.ids, self.starts[pieces], self.starts[pieces + 1])
+        word_ends = np.cumsum((self.starts[pieces + 1] - self.starts[pieces]).reshape(-1, 2).sum(axis=1))
+        which = flat.indices.to_numpy()
+        stream, done = _gather(word_ids, np.concatenate(([0], word_ends[:-1]))[which] if len(which) else word_ends, word_ends[which])
+        total = len(stream)
         offsets = split.offsets.to_numpy().astype(np.int64)
-        offsets = offsets - offsets[0]
-        ends = np.concatenate(([0], ends_of_word))[offsets[1:]]
+        ends = np.concatenate(([0], done))[offsets[1:] - offsets[0]] + np.arange(1, len(texts) + 1)
         out = np.full(total + len(texts), end_id, np.uint32)
         keep = np.ones(len(out), bool)
-        ends = ends + np.arange(1, len(texts) + 1)
         keep[ends - 1] = False
         out[keep] = stream
         return out, ends
 
+    def encode(self, texts: pa.Array, end_id: int = END_ID, kind: type = np.uint32) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, each followed by end_id, and where each text ends. Null is an empty text."""
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        ids, ends, before = [np.zeros(0, kind)], [np.zeros(0, np.int64)], 0
+        for lo in range(0, len(texts), TOGETHER):
+            some, at = self._encode(texts.slice(lo, TOGETHER), end_id)
+            ids.append(some.astype(kind))
+            ends.append(at + before)
+            before += len(some)
+        return np.concatenate(ids), np.concatenate(ends)
+
+
+#: One encoder for each file in a Python worker, which Spark keeps for many tasks.
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_for(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
 
 # The wavelet matrix.
 
@@ -91,7 +149,7 @@ class Encoder:
 def build(ids: np.ndarray, width: int) -> tuple[list[bytes], list[bytes], list[int]]:
     """Compressed planes and ranks, and the number of zeros in each plane."""
     planes, ranks, zeros, squeeze = [], [], [], zstandard.ZstdCompressor(level=1)
-    level = ids.astype(np.uint16 if width <= 16 else np.uint32)
+    level = ids
     for bit in range(width - 1, -1, -1):
         ones = ((level >> bit) & 1).astype(bool)
         packed = np.packbits(ones)
@@ -211,14 +269,14 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     total = docs.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 1)).first()[0] or 0
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = encoder_for(tokenizer)
         width = max(1, max(encoder.tokenizer.get_vocab_size() - 1, end_id).bit_length())
         doc_ids: list = []
         ids: list = []
         for batch in batches:
             if batch.num_rows:
                 doc_ids.append(batch.column("doc_id").to_numpy(zero_copy_only=False))
-                ids.append(encoder.encode(batch.column("text"), end_id))
+                ids.append(encoder.encode(batch.column("text"), end_id, np.uint16 if width <= 16 else np.uint32))
         if ids:
             yield pa.RecordBatch.from_pylist([_pack(doc_ids, ids, width)], schema=ARROW)
 
