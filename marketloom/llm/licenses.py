@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import ascii_lower, documents, gram_hashes, hashes, text_of
+from marketloom.llm.common import ascii_lower, documents, gram_hashes, hashes, stored, text_of
 
 K = 3
 #: Diagonals this close are one copy with words put in or left out.
@@ -43,6 +43,8 @@ NOTICES = [
 
 #: Characters that part words: all of ASCII but letters and digits, upper case being lowered first.
 PARTS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same before lower-casing.
+BARE_PARTS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def license_words(text: Column) -> Column:
@@ -95,14 +97,14 @@ def license_report(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices:
     assert all(len(p.split()) >= K for p in [*phrases, *(n for n, _ in notices)]), "a template needs K words"
     spark = docs.sparkSession
     templates = template_grams(spark, [(p, x, True) for p, x in phrases.items()] + [(p, x, False) for p, x in notices])
-    votes = diagonals(docs, templates)
+    votes = stored(diagonals(docs, templates), "votes")  # read by both kinds of templates
     exact = votes.filter(F.col("base") & (F.size("places") == F.col("size")))
     base = exact.groupBy("key").agg(
         F.count(F.lit(1)).alias("n_base"), F.min("diagonal").alias("first_word"), F.max("diagonal").alias("last_word"), F.collect_set("label").alias("base_set")
     )
     own = spans(votes.filter(~F.col("base"))).groupBy("key").agg(F.collect_set("label").alias("own_set"), F.max("cover").alias("cover"))
     found = base.join(own, "key", "full_outer").withColumnRenamed("key", "_key")
-    counted = docs.select("doc_id", key_of().alias("key"), F.regexp_count(text_of("text"), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long").alias("n_words"))
+    counted = docs.select("doc_id", key_of().alias("key"), F.size(F.array_remove(F.split(text_of("text"), BARE_PARTS), "")).cast("long").alias("n_words"))
     none = F.array().cast("array<string>")
     base_set = F.coalesce("base_set", none)
     return counted.join(found, F.col("key").eqNullSafe(F.col("_key")), "left").select(
