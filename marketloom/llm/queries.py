@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marketloom.llm.decontamination import OP1_SQL, op1_decontamination
 from marketloom.llm.licenses import op9_license_scan
 from marketloom.llm.mixing import OP7_SQL, op7_mixing
 from marketloom.llm.near_dups import op2_near_dups
@@ -16,6 +17,7 @@ from marketloom.llm.substrings import op8_substring_dedup
 from marketloom.llm.tokens import op5_token_ids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_near_dups": op2_near_dups,
     "op4_quality_rules": op4_quality_rules,
     "op5_token_ids": op5_token_ids,
@@ -27,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_decontamination": OP1_SQL,
     "op4_quality_rules": OP4_SQL,
     "op7_mixing": OP7_SQL,
 }
