@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from marketloom.llm.decontamination import OP1_SQL, op1_decontamination
+from marketloom.llm.language_model import op3_lm_scoring
 from marketloom.llm.licenses import op9_license_scan
 from marketloom.llm.mixing import OP7_SQL, op7_mixing
 from marketloom.llm.near_dups import op2_near_dups
@@ -19,6 +20,7 @@ from marketloom.llm.tokens import op5_token_ids
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_near_dups": op2_near_dups,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_quality_rules": op4_quality_rules,
     "op5_token_ids": op5_token_ids,
     "op6_quality_classifier": op6_quality_classifier,
