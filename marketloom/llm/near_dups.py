@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import ascii_lower, documents, gram_hashes, hashes, stored, text_of, words
@@ -188,5 +188,19 @@ def near_duplicates(docs: DataFrame, width: int, num: int = 80, den: int = 100,
     )
 
 
+def one_of_each(docs: DataFrame, width: int, num: int = 80, den: int = 100, k: int = SKETCH) -> DataFrame:
+    """The documents that stay, with the columns they came with: of each group the smallest doc_id.
+
+    Rows that repeat the doc_id that stays, with the same text, are copies too: one of them stays.
+    """
+    kept = near_duplicates(docs, width, num, den, k).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    rows = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    repeated = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").limit(1)
+    if repeated.isEmpty():
+        return rows
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
+    return rows.withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r")
+
+
 def op2_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), width=4)
