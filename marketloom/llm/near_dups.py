@@ -5,10 +5,10 @@
 2. Two sets over the threshold share at least r of their sketch values (a binomial bound, exact for sets that fit in
    the sketch). So it is enough to list each class under its s - r + 1 rarest values: two similar classes meet in one
    list at least. Values of one class need no list, and those of a passage that thousands share come last.
-3. Candidates of a list are linked in rounds. In each, every member is compared with one or two leaders of its list; lists that
-   lie in one component by then are done. The last round compares what is left: members outside the list's main
-   component with all that aren't in theirs. So a large group costs about its size, and no link between components
-   is left out.
+3. Every member of a list is compared with the list's leader, the class whose values are the most common; lists that lie in
+   one component by then are done. In the others, the members outside the list's largest component are compared with one
+   another and with that component in blocks of bounded size: a task counts the overlaps of two blocks by a matrix product
+   and returns the few links that join components. No pair of two blocks becomes a row, and none is left out.
 4. The union sketch of a pair estimates its Jaccard similarity; pairs that may reach the threshold are confirmed on full sets.
 """
 
@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,9 +26,9 @@ from marketloom.llm.common import ascii_lower, documents, gram_hashes, hashes, s
 SKETCH = 64
 #: Chance that a pair just at the threshold is missed for want of shared sketch values.
 MISS = 1e-6
-#: Rounds in which members meet the leaders of their lists before the last round compares the rest.
-ROUNDS = 2
-LEADERS = 4
+#: Classes in a block, on average, and set elements that a block's matrix holds at once.
+BLOCK = 512
+COLUMNS = 4_096
 #: Ids of candidate classes are broadcast up to this number (8 bytes each), and joined by shuffle beyond.
 BROADCAST_IDS = 1_000_000
 
@@ -66,7 +68,10 @@ def sketches(docs: DataFrame, width: int, k: int) -> DataFrame:
 
 
 def index_lists(nodes: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """value, node, n: each class under the rarest of its sketch values, as far as another class has them."""
+    """value, node, n, typical: each class under the rarest of its sketch values, as far as another class has them.
+
+    typical is the mean number of classes that have one of its values, in thousandths.
+    """
     postings = nodes.select("node", F.explode("sketch").alias("value"))
     shared = postings.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     per_node = postings.join(shared, "value").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("common"))
@@ -74,7 +79,9 @@ def index_lists(nodes: DataFrame, k: int, num: int, den: int) -> DataFrame:
     # Values of no other class are the rarest and fill the first places.
     places = F.col("s") - needed(F.col("s"), k, num, den) + 1 - (F.col("s") - F.size("common"))
     listed = per_node.join(sized, "node").withColumn("_places", places).filter("_places > 0")
-    return listed.select("node", "n", F.explode(F.slice("common", F.lit(1), F.col("_places"))).alias("c")).select("c.value", "node", "n").distinct()
+    held = F.aggregate("common", F.lit(0).cast("long"), lambda a, x: a + x["df"])
+    typical = F.floor(held * 1000 / F.col("s")).cast("long")
+    return listed.select("node", "n", typical.alias("typical"), F.explode(F.slice("common", F.lit(1), F.col("_places"))).alias("c")).select("c.value", "node", "n", "typical").distinct()
 
 
 def alike_in_size(n: str, m: str, num: int, den: int) -> Column:
@@ -85,27 +92,88 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def leader_pairs(lists: DataFrame, round_no: int, num: int, den: int) -> DataFrame:
-    """Pairs of each member and its list's leader, where they are in different components.
-
-    Lists agree on few orders of classes, so members of one group meet the same few leaders in all their lists.
-    """
-    order = F.xxhash64("node", F.pmod("value", F.lit(LEADERS)), F.lit(round_no))
-    heads = lists.groupBy("value").agg(F.min(F.struct(order.alias("o"), "node", "n", "comp")).alias("head"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-    heads = heads.filter("c0 <> c1").select("value", F.col("head.node").alias("y"), F.col("head.n").alias("m"), F.col("head.comp").alias("d"))
-    met = lists.join(heads, "value").filter(F.col("comp") != F.col("d")).filter(alike_in_size("n", "m", num, den))
+def leader_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of each member and its list's leader. Members of one group meet the same few leaders in all their lists."""
+    heads = lists.groupBy("value").agg(F.max(F.struct("typical", "node", "n")).alias("head"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    heads = heads.select("value", F.col("head.node").alias("y"), F.col("head.n").alias("m"))
+    met = lists.join(heads, "value").filter(F.col("node") != F.col("y")).filter(alike_in_size("n", "m", num, den))
     return _ordered(met.select(F.col("node").alias("x"), "y"))
 
 
-def remaining_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of one list in different components: members outside the list's largest component, with all others."""
+def block_members(lists: DataFrame) -> DataFrame:
+    """g, kind, i, j, left, right, node, comp: the blocks that each class is compared in.
+
+    g is the largest component of a list in which there are others. Its group are the classes of such lists: those outside
+    it, in blocks that meet one another (kind 0), and those inside, in blocks that meet the blocks outside (kind 1).
+    """
     parts = lists.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("c"))
-    main = parts.groupBy("value").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
-    members = lists.join(main, "value")
-    outside = members.filter("comp <> main").select("value", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
-    others = members.select(F.col("value").alias("v"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"), (F.col("comp") == F.col("main")).alias("in_main"))
-    different = (F.col("cx") != F.col("cy")) & (F.col("in_main") | (F.col("x") < F.col("y"))) & alike_in_size("nx", "ny", num, den)
-    return _ordered(outside.join(others, (F.col("value") == F.col("v")) & different))
+    # A list of two has been compared by its leader.
+    main = parts.groupBy("value").agg(F.max(F.struct("c", "comp"))["comp"].alias("g"), F.count(F.lit(1)).alias("k"), F.sum("c").alias("c")).filter("k > 1 AND c > 2")
+    members = lists.join(main.select("value", "g"), "value").select("g", "node", "comp").distinct()
+    inside = F.col("comp") == F.col("g")
+    counts = members.groupBy("g").agg(F.ceil(F.count_if(~inside) / BLOCK).cast("int").alias("no"), F.ceil(F.count_if(inside) / BLOCK).cast("int").alias("ni"))
+    dealt = members.join(counts, "g")
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    cell = lambda kind, i, j, left, right: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), left.alias("left"), right.alias("right"))
+    up_to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    out = dealt.filter(~inside).withColumn("b", block("no"))
+    b = F.col("b")
+    each_other = F.transform(up_to("no"), lambda t: cell(0, F.least(b, t), F.greatest(b, t), b <= t, b >= t))
+    with_inside = F.when(F.col("ni") > 0, F.transform(up_to("ni"), lambda t: cell(1, b, t, F.lit(True), F.lit(False))))
+    out = out.select("g", "node", "comp", F.explode(F.concat(each_other, F.coalesce(with_inside, F.slice(each_other, 1, 0)))).alias("c"))
+    into = dealt.filter(inside).withColumn("b", block("ni"))
+    into = into.select("g", "node", "comp", F.explode(F.transform(up_to("no"), lambda t: cell(1, t, b, F.lit(False), F.lit(True)))).alias("c"))
+    return out.union(into).select("g", "c.*", "node", "comp")
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of one side with all of the other, by products of 0-1 matrices."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    a, b = np.concatenate(left), np.concatenate(right)
+    both = np.intersect1d(a, b)
+    rows_a, rows_b = np.repeat(np.arange(len(left)), list(map(len, left))), np.repeat(np.arange(len(right)), list(map(len, right)))
+
+    def placed(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(both, values), max(len(both) - 1, 0))
+        keep = both[at] == values if len(both) else np.zeros(len(values), bool)
+        order = np.argsort(at[keep], kind="stable")
+        return at[keep][order], rows[keep][order]
+
+    (at_a, rows_a), (at_b, rows_b) = placed(a, rows_a), placed(b, rows_b)
+    for lo in range(0, len(both), COLUMNS):
+        x, y = (np.zeros((n, COLUMNS), np.float32) for n in out.shape)
+        for at, rows, m in ((at_a, rows_a, x), (at_b, rows_b, y)):
+            some = slice(*np.searchsorted(at, (lo, lo + COLUMNS)))
+            m[rows[some], at[some] - lo] = 1
+        out += x @ y.T
+    return out
+
+
+def links_of_blocks(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b: links between different components, as many as join what the two blocks join."""
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        one, two = part[part["left"]], part[part["right"]]
+        found: list[tuple[int, int]] = []
+        if len(one) and len(two):
+            shared = overlaps(list(one["set"]), list(two["set"]))
+            sizes = np.add.outer(one["set"].map(len).to_numpy(), two["set"].map(len).to_numpy())
+            apart = np.not_equal.outer(one["comp"].to_numpy(), two["comp"].to_numpy())
+            root: dict[int, int] = {}
+
+            def find(c: int) -> int:
+                while root.get(c, c) != c:
+                    c = root[c]
+                return c
+
+            for i, j in np.argwhere(apart & (shared.astype(np.int64) * den >= (sizes - shared.astype(np.int64)) * num)):
+                c, d = find(one["comp"].iat[i]), find(two["comp"].iat[j])
+                if c != d:
+                    root[max(c, d)] = min(c, d)
+                    found.append(tuple(sorted((one["node"].iat[i], two["node"].iat[j]))))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return members.join(sets, "node").groupBy("g", "kind", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
 def may_reach(pairs: DataFrame, sketched: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -142,9 +210,7 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _with_components(lists: DataFrame, comps: DataFrame | None) -> DataFrame:
-    if comps is None:
-        return lists.withColumn("comp", F.col("node"))
+def _with_components(lists: DataFrame, comps: DataFrame) -> DataFrame:
     return lists.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
@@ -171,15 +237,10 @@ def near_duplicates(docs: DataFrame, width: int, num: int = 80, den: int = 100,
     listed = stored(lists.join(lists.groupBy("value").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "value", "left_semi").select("node").distinct(), "listed")
     sketched = stored(among(named.select("node", "sketch"), listed, "node"), "listed-sketches")
     sets = stored(with_sets(among(docs, listed, "doc_id"), width).withColumnRenamed("doc_id", "node"), "sets")
-    links, comps = None, None
-    for at in range(ROUNDS + 1):
-        placed = _with_components(lists, comps)
-        pairs = leader_pairs(placed, at, num, den) if at < ROUNDS else remaining_pairs(placed, num, den)
-        found = stored(confirmed(may_reach(pairs, sketched, k, num, den), sets, num, den), "links")
-        links = found if links is None else links.union(found)
-        if at and found.isEmpty():
-            continue
-        comps = components(links)
+    links = stored(confirmed(may_reach(leader_pairs(lists, num, den), sketched, k, num, den), sets, num, den), "links")
+    placed = stored(_with_components(lists, components(links)), "placed")
+    more = stored(links_of_blocks(block_members(placed), sets, num, den), "links")
+    comps = components(links.union(more))
     member = drawn.join(nodes.drop("sketch"), key, "left")
     top = member.join(comps, "node", "left")
     component = F.when(F.col("n") > 0, F.coalesce("comp", "node")).otherwise(F.col("doc_id"))
