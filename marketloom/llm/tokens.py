@@ -71,31 +71,54 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.ids, self.starts = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
 
-    def _places(self, strings: list[str]) -> np.ndarray:
-        """Where in self.starts each string's ids are noted; new strings are encoded."""
+    def _encoded(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all strings in a row, and how many each has."""
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum())), sizes
+
+    def _encoded_pieces(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for strings that the pattern takes whole: many are encoded as one text, and an id that ends a word
+        ends a string. Should the numbers of strings and of ends ever differ, each is encoded alone."""
+        texts = [" ".join(strings[lo : lo + 1_000]) for lo in range(0, len(strings), 1_000)]
+        ids, _ = self._encoded(texts)
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) != len(strings):
+            return self._encoded(strings)
+        return ids, np.diff(ends, prepend=0)
+
+    def _places(self, strings: list[str], whole: np.ndarray) -> np.ndarray:
+        """Where in self.starts each string's ids are noted; new strings are encoded. whole: those the pattern takes whole."""
         if len(self.known) > REMEMBERED:
             self._forget()
         known, first = self.known, len(self.known)
-        new = [x for x in strings if x not in known]
-        if new:
-            for i, x in enumerate(new, first):
-                known[x] = i
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, got), np.int64, len(got))
-            used, add = int(self.starts[first]), int(sizes.sum())
-            while used + add > len(self.ids):
+        places = np.fromiter((known.get(x, -1) for x in strings), np.int64, len(strings))
+        new = np.flatnonzero(places < 0)
+        if len(new):
+            new = np.concatenate((new[whole[new]], new[~whole[new]]))  # pieces first
+            named = [strings[i] for i in new]
+            pieces = int(whole[new].sum())
+            parts = [self._encoded_pieces(named[:pieces]), self._encoded(named[pieces:])]
+            ids, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
+            places[new] = np.arange(first, first + len(new))
+            known.update(zip(named, range(first, first + len(new)), strict=True))
+            used = int(self.starts[first])
+            while used + len(ids) > len(self.ids):
                 self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
             while len(known) + 1 > len(self.starts):
                 self.starts = np.concatenate((self.starts, np.zeros_like(self.starts)))
-            self.ids[used : used + add] = np.fromiter(chain.from_iterable(got), np.uint32, add)
+            self.ids[used : used + len(ids)] = ids
             self.starts[first + 1 : len(known) + 1] = used + np.cumsum(sizes)
-        return np.fromiter(map(known.__getitem__, strings), np.int64, len(strings))
+        return places
 
     def _encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         split = pc.ascii_split_whitespace(texts)
@@ -106,7 +129,15 @@ class Encoder:
         heads = pc.if_else(plain, pc.utf8_lower(pc.struct_field(parts, "stem")), flat.dictionary)
         tails = pc.if_else(plain, pc.struct_field(parts, "tail"), "")
         both = pa.concat_arrays([heads, tails]).dictionary_encode()
-        where = self._places(both.dictionary.to_pylist())[both.indices.to_numpy()]
+        # A piece stands for itself wherever it comes from; the empty tail and words of another make are encoded alone.
+        whole = np.zeros(len(both.dictionary), bool)
+        plain = plain.to_numpy(zero_copy_only=False)
+        at = both.indices.to_numpy()
+        whole[at[: len(heads)][plain]] = True
+        whole[at[len(heads) :][plain]] = True
+        strings = both.dictionary.to_pylist()
+        whole &= np.fromiter(map(bool, strings), bool, len(strings))
+        where = self._places(strings, whole)[at]
         pieces = np.stack((where[: len(heads)], where[len(heads) :]), axis=1).ravel()
         word_ids, _ = _gather(self.ids, self.starts[pieces], self.starts[pieces + 1])
         word_ends = np.cumsum((self.starts[pieces + 1] - self.starts[pieces]).reshape(-1, 2).sum(axis=1))
