@@ -89,7 +89,7 @@ def unit_hash(seed: str, key: Column) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
-def row_numbers(df: DataFrame, order: list[str], row: str = "row", total: str = "total") -> DataFrame:
+def row_numbers(df: DataFrame, order: list[str], row: str = "_row", total: str = "_total") -> DataFrame:
     """Adds the global row number (from 0, in ascending order, nulls last) and the number of rows.
 
     The rows are range-partitioned and stored with their partition's number, so that the ranges can't

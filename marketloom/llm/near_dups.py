@@ -252,15 +252,17 @@ def near_duplicates(docs: DataFrame, width: int, num: int = 80, den: int = 100,
 def one_of_each(docs: DataFrame, width: int, num: int = 80, den: int = 100, k: int = SKETCH) -> DataFrame:
     """The documents that stay, with the columns they came with: of each group the smallest doc_id.
 
-    Rows that repeat the doc_id that stays, with the same text, are copies too: one of them stays.
+    Of rows that repeat the doc_id that stays, one stays. Rows without an id stay: nothing names them.
     """
-    kept = near_duplicates(docs, width, num, den, k).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
-    repeated = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").limit(1)
-    if repeated.isEmpty():
+    verdict = stored(near_duplicates(docs, width, num, den, k), "verdicts")
+    # Fewer go than stay, and their ids are small: the texts are not shuffled unless very many go.
+    gone = verdict.filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    rows = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    if verdict.filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1 AND doc_id IS NOT NULL").isEmpty():
         return rows
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    return rows.withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r")
+    return rows.withColumn("_r", F.when(F.col("doc_id").isNull(), 1).otherwise(F.row_number().over(first))).filter("_r = 1").drop("_r")
 
 
 def op2_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:

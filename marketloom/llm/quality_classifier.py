@@ -91,7 +91,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds score (0 to 1) and predicted. Null text is scored as empty; every row gets a score."""
+    """Adds score (0 to 1) and predicted, in place of columns of those names. Null text is scored as empty; every row gets a score."""
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

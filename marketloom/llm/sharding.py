@@ -55,15 +55,16 @@ def sharded(df: DataFrame, order: list[str], shards: int = SHARDS, seed: int = S
     """Adds shard (0 to shards - 1) and slot (from 0 in each shard) to every row.
 
     Rows are numbered in ascending order, nulls last; counts of shards differ by one at most. Rows equal in every
-    column of `order` may change places with each other. An empty table gives an empty result.
+    column of `order` may change places with each other. Columns of those two names are replaced. An empty table gives an
+    empty result.
     """
 
     @F.pandas_udf("long")
     def place(row: pd.Series, total: pd.Series) -> pd.Series:
         return pd.Series(permuted(row.to_numpy(), int(total.iloc[0]), seed)) if len(row) else row
 
-    numbered = row_numbers(df, order).withColumn("_to", place("row", "total"))
-    return numbered.withColumns({"shard": (F.col("_to") % shards).cast("int"), "slot": F.floor(F.col("_to") / shards).cast("long")}).drop("_to", "row", "total")
+    numbered = row_numbers(df, order).withColumn("_to", place("_row", "_total"))
+    return numbered.withColumns({"shard": (F.col("_to") % shards).cast("int"), "slot": F.floor(F.col("_to") / shards).cast("long")}).drop("_to", "_row", "_total")
 
 
 def locate(row: int, total: int, shards: int = SHARDS, seed: int = SEED) -> tuple[int, int]:

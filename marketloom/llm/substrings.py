@@ -166,13 +166,14 @@ def _inside(i: Column, spans: Column) -> Column:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """The documents with kept (array of the words that stay), n_words, n_removed and spans (the words that go).
+    """doc_id, text, kept (array of the words that stay), n_words, n_removed and spans (the words that go) of each document.
 
     A word goes if a window of 50 words around it also starts in a document with a smaller doc_id, judged on the input.
     Null or blank text: no words. Null doc_id: after all others, and rows without id are not earlier than one another.
     Rows with equal doc_id do not remove each other's words.
     """
-    found = repeats(docs.select("doc_id", "text")).withColumnsRenamed({"ord": "_ord", "f1": "_f1"})
+    docs = docs.select("doc_id", "text")
+    found = repeats(docs).withColumnsRenamed({"ord": "_ord", "f1": "_f1"})
     small = found.count() <= BROADCAST_IDS
     cut = docs.withColumn("_w", words(F.col("text"))).withColumn("_t", hashes(F.col("_w")))
     cut = cut.withColumns({"_key": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "_print": F.xxhash64("_t")}).drop("_t")

@@ -244,7 +244,8 @@ class WaveletMatrix:
 
     def count(self, value: int, lo: int = 0, hi: int | None = None) -> int:
         """How often a value stands in [lo, hi)."""
-        a, b = self._span(value, lo, self.n if hi is None else hi)
+        hi = self.n if hi is None else min(hi, self.n)
+        a, b = self._span(value, min(lo, hi), hi)
         return b - a
 
     def occurrence(self, value: int, k: int) -> int:
