@@ -151,7 +151,8 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     windows = opened.mapInArrow(_window_rows, "ord long, f1 long, starts array<int>, found array<long>")
     windows = windows.select("ord", "f1", F.explode(F.arrays_zip("starts", "found")).alias("w")).select("ord", "f1", F.col("w.starts").alias("start"), F.col("w.found").alias("window"))
     windows = stored(windows, "windows")
-    earliest = windows.groupBy("window").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).filter("lo < hi").select("window", "lo")
+    # Stored, so that both sides of the join are shuffled for it alone and a very common window can be split.
+    earliest = stored(windows.groupBy("window").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).filter("lo < hi").select("window", "lo"), "earliest")
     hits = windows.join(earliest, "window").filter("ord > lo").groupBy("ord", "f1").agg(F.sort_array(F.collect_set("start")).alias("s"))
     s = F.col("s")
     los = F.filter(s, lambda x, i: F.coalesce(x - F.get(s, i - 1) > LENGTH, F.lit(True)))
