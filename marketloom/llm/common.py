@@ -83,6 +83,15 @@ def drop_stored(df: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+#: Rows of a stored table (a few numbers and short names each) up to which it is broadcast.
+SMALL_TABLE = 100_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = SMALL_TABLE) -> DataFrame:
+    """Hints a broadcast if a stored table has at most so many rows, so that what it is joined to need not be shuffled."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def unit_hash(seed: str, key: Column) -> Column:
     """Double in [0, 1) from the first 52 bits of an MD5; the same in any engine that has MD5."""
     digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), F.lit("null"))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import documents, unit_hash, word_count
+from marketloom.llm.common import broadcast_if_small, documents, stored, unit_hash, word_count
 
 SEED = "mix-1"
 WEIGHTS = (1, 2, 3)
@@ -46,7 +46,7 @@ def with_copies(docs: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WE
     A source without words has target 0 and gets no copies. An empty table gives an empty result.
     """
     sized = docs.withColumn("size", word_count(F.col("text")))
-    targets = source_targets(sized.select("source", "size"), weights, cap).withColumnRenamed("source", "_source")
+    targets = broadcast_if_small(stored(source_targets(sized.select("source", "size"), weights, cap).withColumnRenamed("source", "_source"), "targets"))
     joined = sized.join(targets, F.col("source").eqNullSafe(F.col("_source")), "left")
     whole = F.floor("rate")
     extra = (unit_hash(seed, F.col("doc_id")) < F.col("rate") - whole).cast("long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import documents, gram_hashes, hashes, stored, text_of, words
+from marketloom.llm.common import broadcast_if_small, documents, gram_hashes, hashes, stored, text_of, words
 
 WINDOW = 8
 #: Rule: (least spread it allows for, in thousandths). A rate over Q3 + REACH * max(Q3 - Q1, least spread) fails.
@@ -101,7 +101,7 @@ def thresholds(rated: DataFrame, reach: int = REACH, least_group: int = LEAST_GR
 
 def judged(rated: DataFrame) -> DataFrame:
     """Adds kept. `rated` is read twice (sketches, verdicts), so it should be a stored table."""
-    limits = thresholds(rated).withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    limits = broadcast_if_small(stored(thresholds(rated).withColumnsRenamed({"lang": "_lang", "source": "_source"}), "limits"))
     joined = rated.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     passed = F.lit(True)
     for k in RULES:
