@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.functions import buckets
-from marketloom.operators.stats import median_if
+from marketloom.operators.stats import gaussian_weight, median_if, weighted_bootstrap
 
 LEAST_COMPARABLES = 30
 LEAST_MATCHES = 3
@@ -89,28 +87,15 @@ def comparable_tiers(rows: DataFrame, area: float, least: int = LEAST_COMPARABLE
 def valuation(rows: DataFrame, area: float, bandwidth: float = 10.0, resamples: int = 500, seed: int = 42) -> DataFrame:
     """Estimate for an area in each neighborhood: weighted mean of comparables and its bootstrap interval.
 
-    Resampling draws by weight and weighs again, as the published intervals do. Values come in order of id, so results
-    do not depend on how rows arrive.
+    Resampling draws by weight and weighs again, as the published intervals do.
     """
-    low, high = area * 0.8, area * 1.2
-
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("normalized_id")
-        v, a = part["psm"].to_numpy(float), part["area_sqm"].to_numpy(float)
-        w = np.exp(-0.5 * ((a - area) / bandwidth) ** 2)
-        w = w if w.sum() > 0 else np.ones_like(w)
-        mean = float((v * w).sum() / w.sum())
-        rng = np.random.default_rng(seed)
-        at = rng.choice(len(v), size=(resamples, len(v)), p=w / w.sum())
-        boot = (v[at] * w[at]).sum(axis=1) / w[at].sum(axis=1)
-        lo, hi = np.quantile(boot, [0.025, 0.975])
-        asked = float(np.median(v))
-        verdict = "above" if asked > hi else "below" if asked < lo else "within"
-        return pd.DataFrame([{"neighborhood_id": part["neighborhood_id"].iat[0], "n": len(v), "estimate": mean * area, "lo": lo * area, "hi": hi * area, "assessment": verdict}])
-
-    near = rows.filter(F.col("area_sqm").between(low, high)).select("neighborhood_id", "normalized_id", "psm", "area_sqm")
-    out = near.groupBy("neighborhood_id").applyInPandas(one, "neighborhood_id int, n long, estimate double, lo double, hi double, assessment string")
-    return out.withColumn("confidence", F.when(F.col("n") >= LEAST_COMPARABLES, "Medium").otherwise("Low"))
+    near = rows.filter(F.col("area_sqm").between(area * 0.8, area * 1.2)).withColumn("weight", gaussian_weight(F.col("area_sqm"), area, bandwidth))
+    out = weighted_bootstrap(near, ["neighborhood_id"], "psm", "weight", "normalized_id", resamples, seed=seed)
+    asked = near.groupBy("neighborhood_id").agg(F.median("psm").alias("_asked"))
+    verdict = F.when(F.col("_asked") > F.col("hi"), "above").when(F.col("_asked") < F.col("lo"), "below").otherwise("within")
+    label = F.when(F.col("n") >= LEAST_COMPARABLES, "Medium").otherwise("Low")
+    scaled = [(F.col(c) * area).alias(n) for c, n in (("mean", "estimate"), ("lo", "lo"), ("hi", "hi"))]
+    return out.join(asked, "neighborhood_id").select("neighborhood_id", "n", *scaled, verdict.alias("assessment"), label.alias("confidence"))
 
 
 def errors(rows: DataFrame, by: list[str], predicted: Column, actual: Column) -> DataFrame:

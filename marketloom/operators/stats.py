@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from statistics import NormalDist
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -67,23 +70,91 @@ def percent_rank_average(x: str, over: list[str]) -> Column:
     return (F.rank().over(ordered) + (ties - 1) / 2) / F.count(F.lit(1)).over(group)
 
 
-def bootstrap_median(df: DataFrame, by: list[str], x: str, key: str, resamples: int = 1000, ci: float = 0.95, seed: int = 42) -> DataFrame:
-    """Median and percentile interval of a seeded bootstrap, values in order of the key, one task a group.
+#: Rows of a group up to which its values are resampled in one task.
+MOST_RESAMPLED = 20_000
+
 
-    A group is one market's comparables, which the comparable rules keep to thousands of rows.
+def bootstrap_median(df: DataFrame, by: list[str], x: str, key: str, resamples: int = 1000, ci: float = 0.95, seed: int = 42, most: int = MOST_RESAMPLED) -> DataFrame:
+    """n, median, lo, hi: the median and its percentile bootstrap interval by group.
+
+    Groups of up to `most` rows are resampled with a seed, values in order of the key. In larger ones the bootstrap
+    distribution of the median is known: its quantiles are order statistics at ranks n / 2 -+ z * sqrt(n) / 2, which are exact
+    percentiles of the group and need no task of its own.
     """
+    edge = (1 - ci) / 2
+    z = NormalDist().inv_cdf(1 - edge)
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
         values = part.sort_values(key)[x].to_numpy(float)
         rng = np.random.default_rng(seed)
         medians = np.array([np.median(rng.choice(values, len(values))) for _ in range(resamples)])
-        edge = (1 - ci) / 2
         found = {"n": len(values), "median": np.median(values), "lo": np.quantile(medians, edge), "hi": np.quantile(medians, 1 - edge)}
         return pd.DataFrame([{c: part[c].iat[0] for c in by} | found])
 
     kinds = dict(df.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in by) + ", n long, median double, lo double, hi double"
-    return df.filter(F.col(x).isNotNull()).select(*by, key, x).groupBy(*by).applyInPandas(one, schema)
+    rows = df.filter(F.col(x).isNotNull()).select(*by, key, x)
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    small = rows.join(sizes.filter(F.col("_n") <= most).select(*by), by, "left_semi").groupBy(*by).applyInPandas(one, schema)
+    ranked = rows.join(sizes.filter(F.col("_n") > most), by).withColumn("_q", F.percent_rank().over(Window.partitionBy(*by).orderBy(x)))
+    half = z / 2 / F.sqrt("_n")
+    large = ranked.groupBy(*by).agg(
+        F.max("_n").alias("n"), F.median(x).alias("median"),
+        F.max(F.when(F.col("_q") <= 0.5 - half, F.col(x))).cast("double").alias("lo"), F.min(F.when(F.col("_q") >= 0.5 + half, F.col(x))).cast("double").alias("hi"),
+    )
+    return small.unionByName(large)
+
+
+def _uniform(keys: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """n numbers in (0, 1) for each key, by a counter through a 64-bit mixer: the same wherever the row is."""
+    with np.errstate(over="ignore"):
+        z = keys.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + (np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed) * np.uint64(1_000_003)) * np.uint64(0xD1342543DE82EF95)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+    return ((z >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
+
+
+def _poisson(u: np.ndarray, rate: np.ndarray) -> np.ndarray:
+    """Poisson numbers by inversion, a rate a row."""
+    p = np.exp(-rate)[:, None]
+    total, k, out = p.copy(), 0, np.zeros(u.shape)
+    while (left := u > total).any() and k < 1_000:
+        k += 1
+        out += left
+        p = p * rate[:, None] / k
+        total = total + p
+    return out
+
+
+def weighted_bootstrap(df: DataFrame, by: list[str], x: str, weight: str, key: str, resamples: int = 500, ci: float = 0.95, seed: int = 42) -> DataFrame:
+    """n, mean, lo, hi: weighted mean and its bootstrap interval by group, rows drawn by weight and weighed again.
+
+    Each row counts a Poisson number of times in each resample, with the mean that drawing by weight would give, from a hash of
+    its key. So resamples are sums: partial sums a batch, then a shuffle of one row a group and resample. No group meets in
+    one task, and the result does not depend on how rows are dealt. A group whose weights are all zero counts each row alike.
+    """
+    rows = df.filter(F.col(x).isNotNull()).select(*by, F.xxhash64(key).alias("_key"), F.col(x).cast("double").alias("_x"), F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0)).alias("_w"))
+    sums = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("_w").alias("_all"))
+    even = F.when(F.col("_all") > 0, F.col("_w")).otherwise(1.0)
+    rated = rows.join(sums, by).withColumn("_w", even).withColumn("_rate", F.when(F.col("_all") > 0, F.col("n") * F.col("_w") / F.col("_all")).otherwise(1.0))
+    means = rated.groupBy(*by).agg(F.max("n").alias("n"), (F.sum(F.col("_w") * F.col("_x")) / F.sum("_w")).alias("mean"))
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            counts = _poisson(_uniform(part["_key"].to_numpy(np.int64), resamples, seed), part["_rate"].to_numpy(float))
+            weights = counts * part["_w"].to_numpy(float)[:, None]
+            values = weights * part["_x"].to_numpy(float)[:, None]
+            for group, at in part.groupby(by, dropna=False, sort=False).indices.items():
+                group = group if isinstance(group, tuple) else (group,)
+                yield pd.DataFrame({**{c: [v] * resamples for c, v in zip(by, group, strict=True)}, "b": range(resamples), "a": values[at].sum(axis=0), "d": weights[at].sum(axis=0)})
+
+    kinds = dict(df.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in by) + ", b int, a double, d double"
+    drawn = rated.mapInPandas(partial, schema).groupBy(*by, "b").agg((F.sum("a") / F.nullif(F.sum("d"), F.lit(0.0))).alias("m"))
+    edge = (1 - ci) / 2
+    bounds = drawn.groupBy(*by).agg(F.percentile("m", F.lit(edge)).alias("lo"), F.percentile("m", F.lit(1 - edge)).alias("hi"))
+    return means.join(bounds, by)
 
 
 def gaussian_weight(area: Column, target: Column | float, bandwidth: float = 10.0) -> Column:

@@ -99,6 +99,26 @@ def test_bootstrap_agrees_with_numpy(spark):
     assert (got.median, got.lo, got.hi) == pytest.approx((np.median(v), np.quantile(medians, 0.025), np.quantile(medians, 0.975)))
 
 
+def test_large_groups_get_the_same_interval_from_order_statistics(spark):
+    v = np.random.default_rng(3).normal(100, 20, 4001)
+    df = spark.createDataFrame([("g", i, float(x)) for i, x in enumerate(v)], "g string, k long, x double").repartition(4)
+    one, two = stats.bootstrap_median(df, ["g"], "x", "k", 1000).first(), stats.bootstrap_median(df, ["g"], "x", "k", most=10).first()
+    assert (two.n, two.median) == (one.n, one.median) and (two.lo, two.hi) == pytest.approx((one.lo, one.hi), abs=0.3)
+
+
+def test_weighted_bootstrap_is_like_drawing_rows(spark):
+    rng = np.random.default_rng(1)
+    v, w = rng.normal(100, 20, 400), rng.uniform(0.1, 1, 400)
+    df = spark.createDataFrame([("g", i, float(a), float(b)) for i, (a, b) in enumerate(zip(v, w, strict=True))] + [("z", 1000, 5.0, 0.0), ("z", 1001, 7.0, 0.0)], "g string, k long, x double, w double")
+    got = {r.g: r for r in stats.weighted_bootstrap(df.repartition(3), ["g"], "x", "w", "k", 800).collect()}
+    at = rng.choice(400, (4000, 400), p=w / w.sum())
+    means = (v[at] * w[at]).sum(axis=1) / w[at].sum(axis=1)
+    assert got["g"].mean == pytest.approx((v * w).sum() / w.sum()) and (got["g"].lo, got["g"].hi) == pytest.approx(tuple(np.quantile(means, [0.025, 0.975])), abs=0.7)
+    assert got["z"].mean == 6.0
+    again = {r.g: (r.lo, r.hi) for r in stats.weighted_bootstrap(df.repartition(7), ["g"], "x", "w", "k", 800).collect()}
+    assert again["g"] == pytest.approx((got["g"].lo, got["g"].hi))
+
+
 def test_robust_months_keep_low_samples_and_drop_troughs(spark):
     rows = [("2026-01", 1000.0, 50), ("2026-02", 1010.0, 5), ("2026-03", 700.0, 60), ("2026-04", 1005.0, 60)]
     got = {r.month: (r.kept, r.low_sample, r.outlier) for r in stats.robust_months(spark.createDataFrame(rows, "month string, median double, n long")).collect()}
