@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marketloom.sources.tables import kept as stored
+from marketloom.sources.tables import shared_dir, table
+
 #: The six ASCII characters between words, and the pattern that splits on runs of them.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
@@ -16,8 +18,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    return table(spark, sf_dir, name)
 
 
 def text_of(column: str | Column) -> Column:
@@ -53,36 +55,10 @@ def gram_hashes(tokens: Column, k: int) -> Column:
     return F.when(F.size(tokens) >= k, grams).otherwise(F.array().cast("array<bigint>"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="marketloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: lineage ends here, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_stored(df: DataFrame) -> None:
-    """Deletes the files of a table that stored() wrote, once nothing will read them again."""
-    spark = df.sparkSession
-    files = df.inputFiles()
-    if files:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 #: Rows of a stored table (a few numbers and short names each) up to which it is broadcast.
 SMALL_TABLE = 100_000
 

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import ascii_lower, documents, gram_hashes, hashes, stored, text_of, words
+from marketloom.operators import graph
 
 SKETCH = 64
 #: Chance that a pair just at the threshold is missed for want of shared sketch values.
@@ -196,18 +197,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return both.filter(F.col("_i") * den >= (F.size("p") + F.size("q") - F.col("_i")) * num).select("a", "b").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node, comp (the least node reachable) for all nodes of the links: least labels of neighbours, then pointer jumps."""
-    edges = stored(links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a")).distinct(), "edges")
-    labels = stored(edges.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("comp")), "labels")
-    while True:
-        near = edges.join(labels.select(F.col("node").alias("other"), "comp"), "other").groupBy("node").agg(F.min("comp").alias("near"))
-        lower = labels.join(near, "node").select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
-        jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
-        after = stored(lower.join(jump, "comp").select("node", F.least("comp", "next").alias("comp"), "was"), "labels")
-        labels = after.drop("was")
-        if after.filter("comp <> was").isEmpty():
-            return labels
+def _components(links: DataFrame) -> DataFrame:
+    return graph.components(links).withColumnRenamed("component", "comp")
 
 
 def _with_components(lists: DataFrame, comps: DataFrame) -> DataFrame:
@@ -238,9 +229,9 @@ def near_duplicates(docs: DataFrame, width: int, num: int = 80, den: int = 100,
     sketched = stored(among(named.select("node", "sketch"), listed, "node"), "listed-sketches")
     sets = stored(with_sets(among(docs, listed, "doc_id"), width).withColumnRenamed("doc_id", "node"), "sets")
     links = stored(confirmed(may_reach(leader_pairs(lists, num, den), sketched, k, num, den), sets, num, den), "links")
-    placed = stored(_with_components(lists, components(links)), "placed")
+    placed = stored(_with_components(lists, _components(links)), "placed")
     more = stored(links_of_blocks(block_members(placed), sets, num, den), "links")
-    comps = components(links.union(more))
+    comps = _components(links.union(more))
     member = drawn.join(nodes.drop("sketch"), key, "left")
     top = member.join(comps, "node", "left")
     component = F.when(F.col("n") > 0, F.coalesce("comp", "node")).otherwise(F.col("doc_id"))

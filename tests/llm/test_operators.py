@@ -86,7 +86,7 @@ def test_least_shared_is_a_low_quantile():
 
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
-    got = {r.node: r.comp for r in near_dups.components(links).collect()}
+    got = {r.node: r.comp for r in near_dups._components(links).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
