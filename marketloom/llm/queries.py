@@ -10,11 +10,11 @@ from marketloom.llm.decontamination import OP1_SQL, op1_decontamination
 from marketloom.llm.language_model import op3_lm_scoring
 from marketloom.llm.licenses import op9_license_scan
 from marketloom.llm.mixing import OP7_SQL, op7_mixing
-from marketloom.llm.near_dups import op2_near_dups
+from marketloom.llm.near_dups import OP2_SQL, op2_near_dups
 from marketloom.llm.quality_classifier import op6_quality_classifier
 from marketloom.llm.quality_rules import OP4_SQL, op4_quality_rules
 from marketloom.llm.sharding import op10_sharding
-from marketloom.llm.substrings import op8_substring_dedup
+from marketloom.llm.substrings import OP8_SQL, op8_substring_dedup
 from marketloom.llm.tokens import op5_token_ids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -32,6 +32,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op1_decontamination": OP1_SQL,
+    "op2_near_dups": OP2_SQL,
     "op4_quality_rules": OP4_SQL,
     "op7_mixing": OP7_SQL,
+    "op8_substring_dedup": OP8_SQL,
 }

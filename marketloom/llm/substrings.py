@@ -187,3 +187,19 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return without_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.array_join("kept", " ").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP8_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), win AS (
+  SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS g FROM w, unnest(generate_series(1, len(ws) - 49)) AS t(i)
+), earliest AS (
+  SELECT g, min(doc_id) AS lo FROM win GROUP BY g
+), gone AS (
+  SELECT doc_id, list(DISTINCT i + k) AS at FROM win JOIN earliest USING (g), unnest(generate_series(0, 49)) AS t(k) WHERE doc_id > lo GROUP BY doc_id
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(len(gone.at), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(list_filter(ws, lambda x, i: NOT list_contains(coalesce(gone.at, []), i)), ' ')) AS kept_sha256
+FROM w LEFT JOIN gone USING (doc_id)
+"""
