@@ -13,7 +13,7 @@ from marketloom.llm.mixing import OP7_SQL, op7_mixing
 from marketloom.llm.near_dups import OP2_SQL, op2_near_dups
 from marketloom.llm.quality_classifier import op6_quality_classifier
 from marketloom.llm.quality_rules import OP4_SQL, op4_quality_rules
-from marketloom.llm.sharding import op10_sharding
+from marketloom.llm.sharding import OP10_SQL, op10_sharding
 from marketloom.llm.substrings import OP8_SQL, op8_substring_dedup
 from marketloom.llm.tokens import op5_token_ids
 
@@ -36,4 +36,5 @@ SQL: dict[str, str] = {
     "op4_quality_rules": OP4_SQL,
     "op7_mixing": OP7_SQL,
     "op8_substring_dedup": OP8_SQL,
+    "op10_sharding": OP10_SQL,
 }

@@ -80,3 +80,52 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(docs, ["doc_id", "size", "text_crc32"]).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+def _rounds_sql(keys: list[int]) -> str:
+    """The network over the whole domain, a round in three steps (64-bit products by way of 128 bits)."""
+    modulus, out = 1 << 64, []
+    for i, key in enumerate(keys):
+        out.append(f"a{i} AS (SELECT x, l, r, ((((r::UHUGEINT + {key}) % {modulus}) * {0x9E3779B97F4A7C15}) % {modulus})::UBIGINT AS a FROM k{i})")
+        out.append(f"b{i} AS (SELECT x, l, r, ((xor(a, a >> 32)::UHUGEINT * {0xD6E8FEB86659FD93}) % {modulus})::UBIGINT AS a FROM a{i})")
+        out.append(f"k{i + 1} AS (SELECT x, r AS l, xor(l, xor(a, a >> 29) & mask) AS r FROM b{i}, c)")
+    return ", ".join(out)
+
+
+def _crc_table() -> list[int]:
+    """CRC-32 of each byte, by its polynomial."""
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ 0xEDB88320 if c & 1 else c >> 1
+        out.append(c)
+    return out
+
+
+#: For tables in which no two rows have equal doc_id and size. DuckDB has no CRC, so it goes over the bytes.
+OP10_SQL = f"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, coalesce(text, '') AS text FROM documents
+), numbered AS (
+  SELECT doc_id, size, text, row_number() OVER (ORDER BY doc_id NULLS LAST, size) - 1 AS pos, count(*) OVER () AS n FROM docs
+), h AS (
+  SELECT max(n) AS n, greatest(1, (length(ltrim(bin(greatest(max(n) - 1, 1)::BIGINT), '0')) + 1) // 2)::INTEGER AS half FROM numbered
+), c AS (
+  SELECT n, half, ((1::UBIGINT << half) - 1)::UBIGINT AS mask FROM h
+), k0 AS (
+  SELECT range::UBIGINT AS x, range::UBIGINT >> half AS l, range::UBIGINT & mask AS r FROM c, range((1::BIGINT << (2 * half)))
+), {_rounds_sql(round_keys(SEED))}, f AS (
+  SELECT x, (l << half) | r AS y FROM k{ROUNDS}, c
+), walk AS (
+  SELECT x AS start, y FROM f, c WHERE x < n UNION ALL SELECT start, f.y FROM walk JOIN f ON walk.y = f.x, c WHERE walk.y >= n
+), placed AS (
+  SELECT start, y FROM walk, c WHERE y < n
+), crcs AS (
+  SELECT {_crc_table()}::BIGINT[] AS steps
+)
+SELECT doc_id, size::BIGINT AS size,
+  xor(list_reduce(list_transform(regexp_extract_all(hex(text), '..'), lambda b: ('0x' || b)::BIGINT),
+    lambda c, b: xor(steps[(xor(c, b) & 255) + 1], c >> 8), 4294967295::BIGINT), 4294967295) AS text_crc32,
+  (y % {SHARDS})::INTEGER AS shard, (y // {SHARDS})::BIGINT AS slot, 'rows' AS law, NULL::INTEGER AS grown_shard
+FROM numbered JOIN placed ON pos = start, crcs
+"""
