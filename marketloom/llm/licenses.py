@@ -121,3 +121,43 @@ def license_report(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices:
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_report(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def _values(templates: list[tuple[str, str, bool]]) -> str:
+    return ", ".join(f"({i}, '{phrase}', '{label}', {base})" for i, (phrase, label, base) in enumerate(templates))
+
+
+#: For tables in which a doc_id names one row.
+OP9_SQL = rf"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), t AS (
+  SELECT template, string_split(phrase, ' ') AS ps, label, base
+  FROM (VALUES {_values([(p, x, True) for p, x in PHRASES.items()] + [(p, x, False) for p, x in NOTICES])}) AS v(template, phrase, label, base)
+), tg AS (
+  SELECT template, label, base, len(ps) - {K - 1} AS size, j - 1 AS place, array_to_string(ps[j:j + {K - 1}], ' ') AS g FROM t, unnest(generate_series(1, len(ps) - {K - 1})) AS s(j)
+), dg AS (
+  SELECT doc_id, i - 1 AS pos, array_to_string(ws[i:i + {K - 1}], ' ') AS g FROM w, unnest(generate_series(1, len(ws) - {K - 1})) AS s(i)
+), votes AS (
+  SELECT DISTINCT doc_id, template, label, base, size, pos - place AS diagonal, place FROM dg JOIN tg USING (g)
+), exact AS (
+  SELECT doc_id, label, diagonal FROM votes WHERE base GROUP BY doc_id, template, label, size, diagonal HAVING count(*) = size
+), bases AS (
+  SELECT doc_id, count(*) AS n_base, min(diagonal) AS first_word, max(diagonal) AS last_word, list(DISTINCT label) AS base_set FROM exact GROUP BY doc_id
+), diagonals AS (
+  SELECT DISTINCT doc_id, template, diagonal FROM votes WHERE NOT base
+), runs AS (
+  SELECT doc_id, template, diagonal, sum(apart) OVER (PARTITION BY doc_id, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS run FROM (
+    SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > {GAP} THEN 1 ELSE 0 END AS apart FROM diagonals)
+), copies AS (
+  SELECT doc_id, label, count(DISTINCT place) / size AS cover, max(diagonal + place + {K - 1}) - min(diagonal + place) + 1 AS span, size
+  FROM votes JOIN runs USING (doc_id, template, diagonal) WHERE NOT base GROUP BY doc_id, template, label, size, run
+), owns AS (
+  SELECT doc_id, list(DISTINCT label) AS own_set, max(cover) AS cover FROM copies WHERE cover >= {COVER} AND span <= 2 * (size + {K - 1}) GROUP BY doc_id
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(array_to_string(list_sort(base_set), ','), '') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(base_set, []), coalesce(own_set, [])))), ',') AS labels,
+  CASE WHEN base_set IS NOT NULL THEN 1.0 ELSE coalesce(cover, 0.0) END::DOUBLE AS score
+FROM w LEFT JOIN bases USING (doc_id) LEFT JOIN owns USING (doc_id)
+"""

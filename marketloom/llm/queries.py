@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from marketloom.llm.decontamination import OP1_SQL, op1_decontamination
 from marketloom.llm.language_model import op3_lm_scoring
-from marketloom.llm.licenses import op9_license_scan
+from marketloom.llm.licenses import OP9_SQL, op9_license_scan
 from marketloom.llm.mixing import OP7_SQL, op7_mixing
 from marketloom.llm.near_dups import OP2_SQL, op2_near_dups
 from marketloom.llm.quality_classifier import op6_quality_classifier
@@ -36,5 +36,6 @@ SQL: dict[str, str] = {
     "op4_quality_rules": OP4_SQL,
     "op7_mixing": OP7_SQL,
     "op8_substring_dedup": OP8_SQL,
+    "op9_license_scan": OP9_SQL,
     "op10_sharding": OP10_SQL,
 }
