@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import documents, hashes, stored, text_of
 
-#: Words at 1 count, words at 0 may differ. All masks have one span.
-MASKS = ("1101100101", "1011010011")
+#: Least words of an item and its masks, the first that fits; words at 1 count, words at 0 may differ. Each set has a mask for
+#: every pattern of differing words that AGREE allows: 4 in 16 and 3 in 12 to 15, 2 in 8 to 11, 1 in 4 to 7.
+MASKS = (
+    (12, ("110111", "11010011", "101001011", "1101000101")),
+    (8, ("1111", "110011", "1101001")),
+    (4, ("111", "1101", "1011")),
+)
 #: A leak: of WINDOW words in a row of an item (or all, if it has fewer), so many hundredths stand at the same places in the text.
 WINDOW = 16
 AGREE = 75
-#: Items under a mask's span are sought whole; items with fewer words than this aren't sought.
+#: Items with fewer words than this aren't sought.
 LEAST_WORDS = 4
 #: Seeds and hits are broadcast up to so many rows, and joined by shuffle beyond.
 BROADCAST_ROWS = 1_000_000
@@ -23,16 +30,15 @@ def tokens(text: Column) -> Column:
     return hashes(F.array_remove(F.split(F.lower(text_of(text)), r"[^\p{L}\p{N}]+"), ""))
 
 
-def seeds(words: Column, masks: tuple[str, ...] = MASKS) -> Column:
-    """Hashes at every place, one mask after the other; empty for a text under the span."""
-    span = len(masks[0])
-    starts = F.sequence(F.lit(0), F.greatest(F.size(words) - span, F.lit(0)))
+def _seeds(df: DataFrame, names: list[str], masks: list[str]) -> DataFrame:
+    """names, place and seed: a row for each place and mask (but for masks that reach over the end of the text)."""
 
-    def at(no: int, mask: str):
-        return lambda i: F.xxhash64(F.lit(no), *[F.get(words, i + j) for j, bit in enumerate(mask) if bit == "1"])
+    def at(mask: str) -> Column:
+        words = [F.get(F.col("t"), F.col("place") + i) for i, bit in enumerate(mask) if bit == "1"]
+        return F.when(F.col("place") + len(mask) <= F.size("t"), F.xxhash64(F.lit(mask), *words))
 
-    rows = [F.transform(starts, at(no, mask)) for no, mask in enumerate(masks)]
-    return F.when(F.size(words) >= span, F.concat(*rows)).otherwise(F.array().cast("array<bigint>"))
+    placed = df.select(*names, "t", F.posexplode("t").alias("place", "_w"))
+    return placed.select(*names, "place", F.explode(F.array(*[at(m) for m in masks])).alias("seed")).filter("seed IS NOT NULL")
 
 
 def _hint(df: DataFrame, rows: int) -> DataFrame:
@@ -43,17 +49,20 @@ def _key() -> Column:
     return F.struct("doc_id", F.xxhash64(text_of("text")).alias("text_hash"))
 
 
-def _found(keyed: DataFrame, items: DataFrame, masks: tuple[str, ...]) -> DataFrame:
-    """key, item, diagonal: where a seed of a text equals one of an item."""
-    span = len(masks[0])
-    placed = lambda df, names: df.select(*names, (F.size("t") - span + 1).alias("_n"), F.posexplode(seeds(F.col("t"), masks)).alias("_p", "seed"))
-    at = F.col("_p") % F.col("_n")
-    wanted = placed(items, ["item"]).select("item", "seed", at.alias("at")).distinct()
-    pos = placed(keyed, ["key"]).select("key", "seed", at.alias("pos"))
-    return pos.join(_hint(wanted, wanted.count()), "seed").select("key", "item", (F.col("pos") - F.col("at")).alias("diagonal")).distinct()
+def _found(keyed: DataFrame, items: DataFrame, masks: tuple[tuple[int, tuple[str, ...]], ...]) -> DataFrame:
+    """key, item, diagonal: where a seed of a text equals one of an item. `items` is a stored table."""
+    kind = F.coalesce(*[F.when(F.size("t") >= least, least) for least, _ in masks])
+    present = {r[0] for r in items.select(kind).distinct().collect()}
+    used = [(least, list(own)) for least, own in masks if least in present]
+    if not used:
+        return keyed.select("key").limit(0).join(items.select("item"), F.lit(True)).withColumn("diagonal", F.lit(0))
+    wanted = [_seeds(items.filter(kind == least), ["item"], own).withColumnRenamed("place", "at") for least, own in used]
+    wanted = reduce(DataFrame.union, wanted).distinct()
+    placed = _seeds(keyed, ["key"], sorted({m for _, own in used for m in own}))
+    return placed.join(_hint(wanted, wanted.count()), "seed").select("key", "item", (F.col("place") - F.col("at")).alias("diagonal")).distinct()
 
 
-def overlaps(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, window: int = WINDOW, agree: int = AGREE) -> DataFrame:
+def overlaps(docs: DataFrame, items: DataFrame, masks: tuple[tuple[int, tuple[str, ...]], ...] = MASKS, window: int = WINDOW, agree: int = AGREE) -> DataFrame:
     """key, item, matched, first_word, last_word: verified overlaps, one row for each text and item.
 
     docs has key and text, items has item and text. matched counts equal places of the best diagonal; the words are
@@ -61,12 +70,7 @@ def overlaps(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS,
     """
     keyed = docs.select("key", tokens(F.col("text")).alias("t"))
     listed = stored(items.select("item", tokens(F.col("text")).alias("t")).filter(F.size("t") >= LEAST_WORDS), "items")
-    span = len(masks[0])
-    hits = _found(keyed, listed.filter(F.size("t") >= span), masks)
-    # At most span - LEAST_WORDS lengths, each with a mask of ones.
-    for n in sorted(r[0] for r in listed.filter(F.size("t") < span).select(F.size("t")).distinct().collect()):
-        hits = hits.union(_found(keyed, listed.filter(F.size("t") == n), ("1" * n,)))
-    hits = stored(hits, "hits")
+    hits = stored(_found(keyed, listed, masks), "hits")
     # Only texts with a hit are read again, for the words on both sides of it.
     wanted = hits.groupBy("key").agg(F.collect_list(F.struct("item", "diagonal")).alias("hits"))
     texts = docs.join(_hint(wanted, hits.count()), "key").select("key", "hits", tokens(F.col("text")).alias("t"))

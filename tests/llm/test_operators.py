@@ -1,5 +1,6 @@
 """The operators' own interfaces: pieces, odd columns, and properties that the queries don't show."""
 
+import itertools
 import random
 
 import numpy as np
@@ -42,6 +43,39 @@ def test_short_benchmark_items_are_sought_whole(spark):
     assert [(r.doc_id, r.item_id) for r in decontamination.leaks(docs, bench).collect()] == [(1, 5)]
 
 
+@pytest.mark.parametrize("n", range(decontamination.LEAST_WORDS, decontamination.WINDOW + 1))
+def test_masks_cover_every_pattern_of_differing_words(n):
+    own = next(masks for least, masks in decontamination.MASKS if n >= least)
+    places = [{at + i for i, bit in enumerate(m) if bit == "1"} for m in own for at in range(n - len(m) + 1)]
+    differing = n - -(-n * decontamination.AGREE // 100)
+    assert all(any(not p & set(gone) for p in places) for gone in itertools.combinations(range(n), differing))
+
+
+def test_leaks_equal_a_search_without_seeds(spark):
+    """Items of 4 to 20 words, with words changed at random places so that some agree just enough and others just not."""
+    rng = random.Random(8)
+    items = [(n, [f"i{n}x{j}" for j in range(n)]) for n in range(4, 21)]
+    docs = []
+    for n, words in items:
+        for _ in range(25):
+            gone = set(rng.sample(range(n), rng.choice([n // 4, n // 4, n // 4 + 1])))
+            cut = rng.choice([0, 0, 1])
+            docs.append((len(docs), [f"a{rng.random()}"] * (1 - cut) + [f"b{j}" if j in gone else w for j, w in enumerate(words)][cut:]))
+
+    def leaked(t, u):
+        size = min(decontamination.WINDOW, len(u))
+        for offset in range(-len(u), len(t) + 1):
+            equal = [0 <= j + offset < len(t) and t[j + offset] == w for j, w in enumerate(u)]
+            if any(sum(equal[j : j + size]) * 100 >= size * decontamination.AGREE for j in range(len(u) - size + 1)):
+                return True
+        return False
+
+    expected = {(d, i) for d, t in docs for i, u in items if leaked(t, u)}
+    frames = [spark.createDataFrame([(d, " ".join(t).replace(".", "")) for d, t in rows], f"{name} long, text string") for name, rows in (("doc_id", docs), ("item_id", items))]
+    assert {(r.doc_id, r.item_id) for r in decontamination.leaks(*frames).collect()} == expected
+    assert 0 < len(expected) < len(docs)
+
+
 def test_near_duplicates_in_a_large_group_and_small_blocks(spark, monkeypatch):
     """Variants of one text, many not alike the leader: every link between components must be found in blocks of a few."""
     monkeypatch.setattr(near_dups, "BLOCK", 6)
