@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -221,3 +222,18 @@ def test_mix_is_near_its_targets(spark):
     got = mixing.with_copies(docs).groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.max("target").alias("target")).collect()
     for r in got:
         assert r.taken == pytest.approx(r.target, rel=0.08)
+
+
+@pytest.mark.parametrize("shard_bytes", [tokens.SHARD_BYTES, 300])
+def test_shards_hold_rows_without_an_id(spark, tmp_path, shard_bytes):
+    rows = [(3, prose(30, 1)), (None, prose(20, 2)), (1, None), (None, None), (2, prose(40, 3)), (None, prose(25, 4)), (2, prose(10, 5))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    tokens.write_shards(docs, f"{tmp_path}/shards", shard_bytes=shard_bytes)
+    encoder = tokens.encoder_for(tokens.tokenizer_path()).tokenizer
+    expected, start = [], 0
+    for d, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, zlib.crc32((r[1] or "").encode()))):
+        ids = encoder.encode(t or "", add_special_tokens=False).ids + [tokens.END_ID]
+        expected.append((start, d, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    got = [(r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in tokens.document_spans(spark, f"{tmp_path}/shards").collect()]
+    assert sorted(got, key=lambda r: r[0]) == expected
