@@ -5,7 +5,8 @@ A shard is one row of a Parquet table (one file a shard when written by `write_s
 * first_doc, n_docs, n_tokens, width (bits an id), zeros (array: zero bits in each plane)
 * doc_ids, doc_ends: little-endian int64, the documents in order and where each one ends
 * doc_valid: a bit a document in big-endian order, 0 where doc_id is null (its number in doc_ids is 0 then)
-* planes: one zstd frame a bit-plane, most significant first; bits packed in big-endian order
+* planes: the bit-planes, most significant first, bits packed in big-endian order; a plane is cut every FRAME bits, and each
+  piece is a zstd frame of its own, so that one access opens a piece a plane and not the shard
 * ranks: one zstd frame a plane; uint32 number of ones before each block of BLOCK bits
 
 Parquet is only the container, so that any store Spark can write to will do.
@@ -13,7 +14,9 @@ Parquet is only the container, so that any store Spark can write to will do.
 
 from __future__ import annotations
 
+import json
 import os
+import zlib
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -21,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import documents, new_path
@@ -29,6 +32,7 @@ from marketloom.llm.common import documents, new_path
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 BLOCK = 512
+FRAME = 1 << 19
 #: Text bytes that go to one shard on average.
 SHARD_BYTES = 16 << 20
 
@@ -43,6 +47,11 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+# The steps before the merges of a tokenizer that is known to part words at white space.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_END = "</w>"
+
 #: A word of Latin letters with ASCII punctuation behind it. The tokenizer's pattern parts the two in the same place, lower-cases
 #: the letters one by one and changes nothing else in them, so such a word's ids are its letters' and its punctuation's.
 STEM_AND_TAIL = r"^(?P<stem>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[!-/:-@\[-`{-~]*)$"
@@ -60,11 +69,25 @@ def _gather(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
     return values[steps], done
 
 
+def parts_at_blanks(made: dict) -> bool:
+    """Whether a tokenizer's file is of the known make: the fixed steps above, no added token inside ordinary text but special ones."""
+    steps = (made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    return (
+        (made.get("normalizer") or {}).get("normalizers") == NORMALIZER
+        and (steps[0].get("pattern"), steps[0].get("behavior"), steps[0].get("invert")) == ({"Regex": SPLIT}, "Removed", True)
+        and [s.get("type") for s in steps] == ["Split", "ByteLevel"]
+        and not steps[1].get("add_prefix_space", True)
+        and made["model"].get("end_of_word_suffix") == WORD_END
+        and all(t["special"] and not any(c.isspace() for c in t["content"]) for t in made.get("added_tokens") or [])
+    )
+
+
 class Encoder:
     """Encodes texts, each distinct word once as long as it is remembered.
 
-    The tokenizer's rules never join characters across ASCII white space (its pattern leaves white space out and its
-    normalizer works on each character or combining sequence), so a text's ids are its words' ids in a row.
+    A tokenizer of the known make never joins characters across ASCII white space (its pattern leaves white space out and
+    its normalizer works on each character or combining sequence), so a text's ids are its words' ids in a row. With any
+    other make each text is encoded whole.
     """
 
     def __init__(self, path: str):
@@ -72,9 +95,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_word = parts_at_blanks(json.loads(self.tokenizer.to_str()))
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -122,6 +146,9 @@ class Encoder:
         return places
 
     def _encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        if not self.by_word:
+            ids, sizes = self._encoded(texts.to_pylist())
+            return np.insert(ids, np.cumsum(sizes), np.uint32(end_id)), np.cumsum(sizes + 1)
         split = pc.ascii_split_whitespace(texts)
         flat = split.flatten().dictionary_encode()
         parts = pc.extract_regex(flat.dictionary, STEM_AND_TAIL)
@@ -185,7 +212,7 @@ def build(ids: np.ndarray, width: int) -> tuple[list[bytes], list[bytes], list[i
     for bit in range(width - 1, -1, -1):
         ones = ((level >> bit) & 1).astype(bool)
         packed = np.packbits(ones)
-        planes.append(squeeze.compress(packed.tobytes()))
+        planes += [squeeze.compress(packed[at : at + FRAME // 8].tobytes()) for at in range(0, max(len(packed), 1), FRAME // 8)]
         ranks.append(squeeze.compress(block_ranks(packed).tobytes()))
         below = level[~ones]
         zeros.append(len(below))
@@ -202,23 +229,34 @@ def block_ranks(packed: np.ndarray) -> np.ndarray:
 
 
 class WaveletMatrix:
-    """Access, counting and occurrence lookup over one shard."""
+    """Access, counting and occurrence lookup over one shard; pieces of planes are unpacked when they are first read."""
 
     def __init__(self, planes: list[bytes], ranks: list[bytes], zeros: list[int], n: int):
-        unzip = zstandard.ZstdDecompressor()
-        self.n, self.width, self.zeros = n, len(planes), list(zeros)
-        self.packed = [np.frombuffer(unzip.decompress(p), np.uint8) for p in planes]
-        self.ranks = [np.frombuffer(unzip.decompress(r), np.uint32) for r in ranks]
+        self.n, self.width, self.zeros = n, len(zeros), list(zeros)
+        self.pieces = len(planes) // max(self.width, 1)
+        self.planes, self.rank_frames = planes, ranks
+        self.open: dict[int, np.ndarray] = {}
+        self.ranks: dict[int, np.ndarray] = {}
+
+    def _piece(self, plane: int, i: int) -> np.ndarray:
+        at = plane * self.pieces + i // FRAME
+        if at not in self.open:
+            self.open[at] = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.planes[at]), np.uint8)
+        return self.open[at]
 
     def bit(self, plane: int, i: int) -> int:
-        return int(self.packed[plane][i >> 3] >> (7 - (i & 7))) & 1
+        return int(self._piece(plane, i)[i % FRAME >> 3] >> (7 - (i & 7))) & 1
 
     def rank1(self, plane: int, i: int) -> int:
         """Ones among the first i bits of a plane: the block's count, then the bytes and bits after it."""
-        block = i // BLOCK
-        count, at = int(self.ranks[plane][block]), block * BLOCK // 8
-        count += int(np.bitwise_count(self.packed[plane][at : i >> 3]).sum())
-        return count + (int(self.packed[plane][i >> 3]) >> (8 - (i & 7))).bit_count() if i & 7 else count
+        if plane not in self.ranks:
+            self.ranks[plane] = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.rank_frames[plane]), np.uint32)
+        count = int(self.ranks[plane][i // BLOCK])
+        if i % BLOCK == 0:
+            return count
+        piece, end = self._piece(plane, i), i % FRAME >> 3
+        count += int(np.bitwise_count(piece[i % FRAME // BLOCK * BLOCK // 8 : end]).sum())
+        return count + (int(piece[end]) >> (8 - (i & 7))).bit_count() if i & 7 else count
 
     def select(self, plane: int, bit: int, k: int) -> int:
         """Where the k-th (from 0) equal bit of a plane stands, by bisection over ranks."""
@@ -264,7 +302,8 @@ class WaveletMatrix:
         """All values: from the last plane up, each plane deals the sorted halves back to their places."""
         level = np.zeros(self.n, np.uint32 if self.width > 16 else np.uint16)
         for bit, p in enumerate(range(self.width - 1, -1, -1)):
-            ones = np.unpackbits(self.packed[p], count=self.n).view(bool)
+            packed = np.concatenate([self._piece(p, at) for at in range(0, max(self.n, 1), FRAME)])
+            ones = np.unpackbits(packed, count=self.n).view(bool)
             up = np.empty_like(level)
             up[~ones] = level[: self.zeros[p]]
             up[ones] = level[self.zeros[p] :] | level.dtype.type(1 << bit)
@@ -323,25 +362,89 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SHARD_SCHEMA).parquet(path)
 
 
+def _named_shards(spark: SparkSession, path: str) -> DataFrame:
+    return read_shards(spark, path).withColumn("file", F.col("_metadata.file_path"))
+
+
+def heads(spark: SparkSession, path: str) -> DataFrame:
+    """file, base (tokens of all shards before it), n_tokens: one row a shard, from its counts only."""
+    before = Window.orderBy(F.col("first_doc").asc_nulls_last(), "file").rowsBetween(Window.unboundedPreceding, -1)
+    counts = _named_shards(spark, path).select("first_doc", "file", "n_tokens")
+    return counts.select("file", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"), "n_tokens")
+
+
+def _matrix(row: dict) -> WaveletMatrix:
+    return WaveletMatrix(row["planes"], row["ranks"], row["zeros"], row["n_tokens"])
+
+
+MATRIX = ["planes", "ranks", "zeros", "n_tokens"]
+
+
+def token_counts(spark: SparkSession, path: str, ids: list[int]) -> DataFrame:
+    """token_id, n: how often each of the given ids stands in all shards, counted in the files without decoding them."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                matrix = _matrix(row)
+                found = [matrix.count(i) if i >> matrix.width == 0 else 0 for i in ids]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.int64())], ["token_id", "n"])
+
+    return read_shards(spark, path).select(*MATRIX).mapInArrow(run, "token_id long, n long").groupBy("token_id").agg(F.sum("n").alias("n"))
+
+
+def occurrences(spark: SparkSession, path: str, ids: list[int]) -> DataFrame:
+    """token_id, place: every place (over all shards) at which one of the given ids stands."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                matrix = _matrix(row)
+                for i in ids:
+                    places = [matrix.occurrence(i, k) for k in range(matrix.count(i))] if i >> matrix.width == 0 else []
+                    names = ["file", "token_id", "at"]
+                    yield pa.RecordBatch.from_arrays([pa.array([row["file"]] * len(places), pa.string()), pa.array([i] * len(places), pa.int64()), pa.array(places, pa.int64())], names)
+
+    found = _named_shards(spark, path).select("file", *MATRIX).mapInArrow(run, "file string, token_id long, at long")
+    return found.join(heads(spark, path), "file").select("token_id", (F.col("base") + F.col("at")).alias("place"))
+
+
+#: Places share a bucket with the shards that reach into it, by which they are joined.
+PLACES = 1 << 20
+
+
+def tokens_at(spark: SparkSession, path: str, places: DataFrame) -> DataFrame:
+    """place, token_id for a table of places (column place, over all shards): each shard opens the pieces that its places need.
+
+    Null places and places beyond the last token give no row; a repeated place gives one.
+    """
+    up_to = F.floor((F.col("base") + F.col("n_tokens") - 1) / PLACES)
+    reach = heads(spark, path).withColumn("_b", F.explode(F.sequence(F.floor(F.col("base") / PLACES), up_to)))
+    wanted = places.select(F.col("place").cast("long").alias("place")).filter("place >= 0").distinct().withColumn("_b", F.floor(F.col("place") / PLACES))
+    inside = F.col("place").between(F.col("base"), F.col("base") + F.col("n_tokens") - 1)
+    own = wanted.join(reach, "_b").filter(inside).groupBy("file", "base").agg(F.collect_list("place").alias("places"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                matrix = _matrix(row)
+                found = [matrix.access(p - row["base"]) for p in row["places"]]
+                yield pa.RecordBatch.from_arrays([pa.array(row["places"], pa.int64()), pa.array(found, pa.int64())], ["place", "token_id"])
+
+    return _named_shards(spark, path).select("file", *MATRIX).join(own, "file").drop("file").mapInArrow(run, "place long, token_id long")
+
+
 def document_spans(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document, from the files alone.
 
     A shard's first place is the sum of the tokens of the shards before it: one row a shard, with its counts only.
+    No shards (an empty table): an empty result.
     """
-    import zlib
-
-    shards = read_shards(spark, path)
-    heads = shards.select("first_doc", F.col("_metadata.file_path").alias("file"), "n_tokens")
-    from pyspark.sql import Window
-
-    before = Window.orderBy(F.col("first_doc").asc_nulls_last(), "file").rowsBetween(Window.unboundedPreceding, -1)
-    heads = heads.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).select("file", "base")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                matrix = WaveletMatrix(row["planes"], row["ranks"], row["zeros"], row["n_tokens"])
-                ids = matrix.decode().astype("<u4")
+                ids = _matrix(row).decode().astype("<u4")
                 ends = np.frombuffer(row["doc_ends"], "<i8")
                 starts = np.concatenate(([0], ends[:-1]))
                 crcs = [zlib.crc32(ids[a:b]) for a, b in zip(starts, ends, strict=True)]
@@ -350,8 +453,8 @@ def document_spans(spark: SparkSession, path: str) -> DataFrame:
                 names = ["doc_id", "at", "n_tokens", "ids_crc32"]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array([row["file"]] * len(ends))], [*names, "file"])
 
-    spans = shards.withColumn("file", F.col("_metadata.file_path")).mapInArrow(run, "doc_id long, at long, n_tokens long, ids_crc32 long, file string")
-    return spans.join(heads, "file").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    spans = _named_shards(spark, path).mapInArrow(run, "doc_id long, at long, n_tokens long, ids_crc32 long, file string")
+    return spans.join(heads(spark, path).drop("n_tokens"), "file").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def written(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -363,5 +466,4 @@ def written(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
 
 def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shards hold every row; tests hold the result to the rows with an id, which come first, so their places are the same."""
-    return written(documents(spark, sf_dir).select("doc_id", "text")).filter("doc_id IS NOT NULL")
+    return written(documents(spark, sf_dir).select("doc_id", "text"))

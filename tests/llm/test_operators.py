@@ -237,3 +237,37 @@ def test_shards_hold_rows_without_an_id(spark, tmp_path, shard_bytes):
         start += len(ids)
     got = [(r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in tokens.document_spans(spark, f"{tmp_path}/shards").collect()]
     assert sorted(got, key=lambda r: r[0]) == expected
+
+
+def test_files_answer_lookups_without_decoding(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tokens, "PLACES", 64)
+    rows = [(i, prose(10 + 7 * i, i, 30)) for i in range(12)] + [(None, prose(9, 99))]
+    tokens.write_shards(spark.createDataFrame(rows, "doc_id long, text string"), f"{tmp_path}/shards", shard_bytes=600)
+    encoder = tokens.encoder_for(tokens.tokenizer_path()).tokenizer
+    stream = [x for _, t in sorted(rows, key=lambda r: (r[0] is None, r[0])) for x in encoder.encode(t, add_special_tokens=False).ids + [tokens.END_ID]]
+    path = f"{tmp_path}/shards"
+    assert tokens.read_shards(spark, path).count() > 2
+    wanted = [tokens.END_ID, stream[5], 49_000, 1 << 20]
+    assert {r.token_id: r.n for r in tokens.token_counts(spark, path, wanted).collect()} == {i: stream.count(i) for i in wanted}
+    assert {(r.token_id, r.place) for r in tokens.occurrences(spark, path, wanted).collect()} == {(x, i) for i, x in enumerate(stream) if x in wanted}
+    places = spark.createDataFrame([(p,) for p in [0, 1, len(stream) // 2, len(stream) - 1, len(stream), None, 1]], "place long")
+    assert {r.place: r.token_id for r in tokens.tokens_at(spark, path, places).collect()} == {p: stream[p] for p in (0, 1, len(stream) // 2, len(stream) - 1)}
+
+
+def test_planes_are_cut_into_frames(monkeypatch):
+    monkeypatch.setattr(tokens, "FRAME", 1024)
+    ids = np.array([random.Random(4).randrange(300) for _ in range(5_000)], np.uint16)
+    m = tokens.WaveletMatrix(*tokens.build(ids, 9), len(ids))
+    assert m.access(3_000) == ids[3_000] and len(m.open) <= m.width
+    assert m.decode().tolist() == ids.tolist() and m.count(7) == (ids == 7).sum() and [m.access(i) for i in (0, 1023, 1024, 4_999)] == ids[[0, 1023, 1024, 4_999]].tolist()
+
+
+def test_another_tokenizer_encodes_whole_texts():
+    other = tokens.Encoder(tokens.tokenizer_path("byte_bpe_50k.json"))
+    assert not other.by_word and tokens.encoder_for(tokens.tokenizer_path()).by_word
+    texts = ["Two  words\n", None, "", "a b"]
+    ids, ends = other.encode(pa.array(texts))
+    start = 0
+    for t, end in zip(texts, ends, strict=True):
+        assert ids[start:end].tolist() == other.tokenizer.encode(t or "", add_special_tokens=False).ids + [1]
+        start = end
