@@ -68,13 +68,35 @@ def broadcast_if_small(df: DataFrame, rows: int = SMALL_TABLE) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+#: Rows of one key in a share of a salted join, about.
+SALTED_ROWS = 256
+
+
+def frequent_keys(df: DataFrame, key: str, rows: int = SALTED_ROWS) -> DataFrame:
+    """key, _mx_shares: the keys of a stored table with more than `rows` rows, and into how many shares they are dealt."""
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_mx_c")).filter(F.col("_mx_c") > rows)
+    return broadcast_if_small(stored(counts.select(key, F.ceil(F.col("_mx_c") / rows).cast("int").alias("_mx_shares")), "frequent"))
+
+
+def with_salt(df: DataFrame, key: str, frequent: DataFrame, salt: str) -> DataFrame:
+    """Adds the share of each row; 0 for keys that are not frequent."""
+    share = F.pmod(F.xxhash64(*df.columns), F.coalesce("_mx_shares", F.lit(1))).cast("int")
+    return df.join(frequent, key, "left").withColumn(salt, share).drop("_mx_shares")
+
+
+def spread(df: DataFrame, key: str, frequent: DataFrame, salt: str) -> DataFrame:
+    """The rows of frequent keys once for each share, to be joined on key and salt."""
+    shares = F.sequence(F.lit(0), F.coalesce("_mx_shares", F.lit(1)) - 1)
+    return df.join(frequent, key, "left").withColumn(salt, F.explode(shares)).drop("_mx_shares")
+
+
 def unit_hash(seed: str, key: Column) -> Column:
     """Double in [0, 1) from the first 52 bits of an MD5; the same in any engine that has MD5."""
     digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), F.lit("null"))))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
-def row_numbers(df: DataFrame, order: list[str], row: str = "_row", total: str = "_total") -> DataFrame:
+def row_numbers(df: DataFrame, order: list[str], row: str = "_mx_row_no", total: str = "_mx_total") -> DataFrame:
     """Adds the global row number (from 0, in ascending order, nulls last) and the number of rows.
 
     The rows are range-partitioned and stored with their partition's number, so that the ranges can't
@@ -82,18 +104,18 @@ def row_numbers(df: DataFrame, order: list[str], row: str = "_row", total: str =
     The only broadcast table has one row a range. Equal rows get numbers in any order among themselves.
     """
     keys = [F.col(c).asc_nulls_last() for c in order]
-    ranged = stored(df.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()), "ranged")
-    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranged = stored(df.repartitionByRange(*keys).withColumn("_mx_range", F.spark_partition_id()), "ranged")
+    counts = ranged.groupBy("_mx_range").agg(F.count(F.lit(1)).alias("_mx_n"))
+    before = Window.orderBy("_mx_range").rowsBetween(Window.unboundedPreceding, -1)
     shifts = counts.select(
-        "_range",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"),
-        F.sum("_n").over(Window.partitionBy()).alias(total),
+        "_mx_range",
+        F.coalesce(F.sum("_mx_n").over(before), F.lit(0)).alias("_mx_shift"),
+        F.sum("_mx_n").over(Window.partitionBy()).alias(total),
     )
-    local = F.row_number().over(Window.partitionBy("_range").orderBy(*keys)) - 1
+    local = F.row_number().over(Window.partitionBy("_mx_range").orderBy(*keys)) - 1
     return (
-        ranged.withColumn("_local", local)
-        .join(F.broadcast(shifts), "_range")
-        .withColumn(row, (F.col("_shift") + F.col("_local")).cast("long"))
-        .drop("_range", "_shift", "_local")
+        ranged.withColumn("_mx_local", local)
+        .join(F.broadcast(shifts), "_mx_range")
+        .withColumn(row, (F.col("_mx_shift") + F.col("_mx_local")).cast("long"))
+        .drop("_mx_range", "_mx_shift", "_mx_local")
     )

@@ -63,8 +63,8 @@ def sharded(df: DataFrame, order: list[str], shards: int = SHARDS, seed: int = S
     def place(row: pd.Series, total: pd.Series) -> pd.Series:
         return pd.Series(permuted(row.to_numpy(), int(total.iloc[0]), seed)) if len(row) else row
 
-    numbered = row_numbers(df, order).withColumn("_to", place("_row", "_total"))
-    return numbered.withColumns({"shard": (F.col("_to") % shards).cast("int"), "slot": F.floor(F.col("_to") / shards).cast("long")}).drop("_to", "_row", "_total")
+    numbered = row_numbers(df, order).withColumn("_mx_to", place("_mx_row_no", "_mx_total"))
+    return numbered.withColumns({"shard": (F.col("_mx_to") % shards).cast("int"), "slot": F.floor(F.col("_mx_to") / shards).cast("long")}).drop("_mx_to", "_mx_row_no", "_mx_total")
 
 
 def locate(row: int, total: int, shards: int = SHARDS, seed: int = SEED) -> tuple[int, int]:

@@ -271,3 +271,28 @@ def test_another_tokenizer_encodes_whole_texts():
     for t, end in zip(texts, ends, strict=True):
         assert ids[start:end].tolist() == other.tokenizer.encode(t or "", add_special_tokens=False).ids + [1]
         start = end
+
+
+def test_null_ids_are_linked_like_others(spark):
+    base, other = prose(150, 1).split(), prose(150, 2).split()
+    near = lambda w: " ".join([*w[:75], "changed", *w[76:]])
+    rows = [(1, " ".join(base), 0), (None, near(base), 1), (None, " ".join(other), 2), (None, near(other), 3), (None, near(other), 4), (5, prose(150, 3), 5), (None, "", 6), (None, prose(150, 3), 7), (None, prose(90, 9), 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long")
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in near_dups.near_duplicates(docs, 4).collect())
+    assert got == sorted(
+        [("1", 147, "1", True), ("None", 147, "1", False), ("5", 147, "5", True), ("None", 147, "5", False), ("None", 0, "None", True), ("None", 87, "None", True)] + [("None", 147, "None", True)] * 3
+    )
+    kept = {r.n for r in near_dups.one_of_each(docs, 4).collect()}
+    assert {0, 5, 6, 8} <= kept and len(kept) == 5 and len(kept & {2, 3, 4}) == 1
+
+
+def test_union_sketches_estimate_like_sets():
+    rng = np.random.default_rng(3)
+    base = np.unique(rng.integers(0, 2**62, 400))
+    sets = [np.sort(np.concatenate((rng.choice(base, 400 - n, replace=False), rng.integers(0, 2**62, n)))) for n in (0, 10, 40, 90, 200, 390)] + [base[:5], base[:30]]
+    pairs = np.array([(i, j) for i in range(len(sets)) for j in range(len(sets))])
+    got = near_dups.estimated(sets, sets, pairs, 64, 80, 100)
+    for (i, j), yes in zip(pairs, got, strict=True):
+        union = np.union1d(sets[i][:64], sets[j][:64])[:64]
+        hits = len(np.intersect1d(np.intersect1d(sets[i][:64], sets[j][:64]), union))
+        assert yes == (hits * 100 >= len(union) * 80 if len(union) < 64 else hits >= near_dups.enough_hits(64, 80, 100))
