@@ -10,17 +10,22 @@ from pyspark.sql import functions as F
 from marketloom.llm.common import documents, hashes, stored, text_of
 
 #: Least words of an item and its masks, the first that fits; words at 1 count, words at 0 may differ. Each set has a mask for
-#: every pattern of differing words that AGREE allows: 4 in 16 and 3 in 12 to 15, 2 in 8 to 11, 1 in 4 to 7.
+#: every pattern of differing words that AGREE allows: 4 in 16 and 3 in 12 to 15, 2 in 8 to 11, 1 in 4 to 7, none in fewer.
 MASKS = (
     (12, ("110111", "11010011", "101001011", "1101000101")),
     (8, ("1111", "110011", "1101001")),
     (4, ("111", "1101", "1011")),
+    (3, ("111",)),
+    (2, ("11",)),
+    (1, ("1",)),
 )
 #: A leak: of WINDOW words in a row of an item (or all, if it has fewer), so many hundredths stand at the same places in the text.
 WINDOW = 16
 AGREE = 75
-#: Items with fewer words than this aren't sought.
-LEAST_WORDS = 4
+#: Items with fewer words than this aren't sought; the shortest are sought whole.
+LEAST_WORDS = 1
+#: Hits of a text whose diagonals are this close are verified together.
+TOGETHER = 1_024
 #: Seeds and hits are broadcast up to so many rows, and joined by shuffle beyond.
 BROADCAST_ROWS = 1_000_000
 
@@ -50,40 +55,43 @@ def _key() -> Column:
 
 
 def _found(keyed: DataFrame, items: DataFrame, masks: tuple[tuple[int, tuple[str, ...]], ...]) -> DataFrame:
-    """key, item, diagonal: where a seed of a text equals one of an item. `items` is a stored table."""
+    """key, item, n (words of the item), diagonal: where a seed of a text equals one of an item. `items` is a stored table."""
     kind = F.coalesce(*[F.when(F.size("t") >= least, least) for least, _ in masks])
     present = {r[0] for r in items.select(kind).distinct().collect()}
     used = [(least, list(own)) for least, own in masks if least in present]
     if not used:
-        return keyed.select("key").limit(0).join(items.select("item"), F.lit(True)).withColumn("diagonal", F.lit(0))
-    wanted = [_seeds(items.filter(kind == least), ["item"], own).withColumnRenamed("place", "at") for least, own in used]
-    wanted = reduce(DataFrame.union, wanted).distinct()
+        return keyed.select("key").limit(0).join(items.select("item", F.size("t").alias("n")), F.lit(True)).withColumn("diagonal", F.lit(0))
+    sized = items.withColumn("n", F.size("t"))
+    wanted = [_seeds(sized.filter(kind == least), ["item", "n"], own).withColumnRenamed("place", "at") for least, own in used]
+    wanted = stored(reduce(DataFrame.union, wanted).distinct(), "seeds")
     placed = _seeds(keyed, ["key"], sorted({m for _, own in used for m in own}))
-    return placed.join(_hint(wanted, wanted.count()), "seed").select("key", "item", (F.col("place") - F.col("at")).alias("diagonal")).distinct()
+    return placed.join(_hint(wanted, wanted.count()), "seed").select("key", "item", "n", (F.col("place") - F.col("at")).alias("diagonal")).distinct()
 
 
-def overlaps(docs: DataFrame, items: DataFrame, masks: tuple[tuple[int, tuple[str, ...]], ...] = MASKS, window: int = WINDOW, agree: int = AGREE) -> DataFrame:
+def overlaps(
+    docs: DataFrame, items: DataFrame, masks: tuple[tuple[int, tuple[str, ...]], ...] = MASKS, window: int = WINDOW, agree: int = AGREE, least_words: int = LEAST_WORDS
+) -> DataFrame:
     """key, item, matched, first_word, last_word: verified overlaps, one row for each text and item.
 
     docs has key and text, items has item and text. matched counts equal places of the best diagonal; the words are
     those of the text that the diagonal lays the item on.
     """
     keyed = docs.select("key", tokens(F.col("text")).alias("t"))
-    listed = stored(items.select("item", tokens(F.col("text")).alias("t")).filter(F.size("t") >= LEAST_WORDS), "items")
+    listed = stored(items.select("item", tokens(F.col("text")).alias("t")).filter(F.size("t") >= least_words), "items")
     hits = stored(_found(keyed, listed, masks), "hits")
-    # Only texts with a hit are read again, for the words on both sides of it.
-    wanted = hits.groupBy("key").agg(F.collect_list(F.struct("item", "diagonal")).alias("hits"))
+    # Only texts with a hit are read again; of each, the words that the diagonal lays the item on are cut out.
+    wanted = hits.groupBy("key", F.floor(F.col("diagonal") / TOGETHER).alias("_part")).agg(F.collect_list(F.struct("item", "n", "diagonal")).alias("hits"))
     texts = docs.join(_hint(wanted, hits.count()), "key").select("key", "hits", tokens(F.col("text")).alias("t"))
-    pairs = texts.select("key", "t", F.explode("hits").alias("h")).select("key", "t", "h.item", "h.diagonal")
+    cut = F.transform("hits", lambda h: F.struct(h["item"].alias("item"), h["diagonal"].alias("diagonal"), F.slice("t", F.greatest(h["diagonal"], F.lit(0)) + 1, h["n"]).alias("v")))
+    pairs = texts.select("key", F.size("t").alias("m"), F.explode(cut).alias("h")).select("key", "m", "h.*")
     both = pairs.join(listed.withColumnRenamed("t", "u"), "item")
-    equal = F.transform("u", lambda x, i: F.coalesce(F.when(i + F.col("diagonal") >= 0, F.get(F.col("t"), i + F.col("diagonal"))) == x, F.lit(False)).cast("int"))
+    place = lambda i: i + F.least(F.col("diagonal"), F.lit(0))
+    equal = F.transform("u", lambda x, i: F.coalesce(F.when(place(i) >= 0, F.get(F.col("v"), place(i))) == x, F.lit(False)).cast("int"))
     both = both.withColumn("equal", equal).withColumn("w", F.least(F.size("u"), F.lit(window)))
-    # Counts of equal places up to each one; their differences are the windows' counts.
-    running = F.aggregate("equal", F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
-    both = both.withColumn("run", running)
-    best = F.array_max(F.transform(F.sequence(F.lit(0), F.size("u") - F.col("w")), lambda i: F.get(F.col("run"), i + F.col("w")) - F.get(F.col("run"), i)))
+    count = lambda values: F.aggregate(values, F.lit(0), lambda a, x: a + x)
+    best = F.array_max(F.transform(F.sequence(F.lit(0), F.size("u") - F.col("w")), lambda i: count(F.slice("equal", i + 1, F.col("w")))))
     leaks = both.withColumn("best", best).filter(F.col("best") * 100 >= F.col("w") * agree)
-    where = leaks.select("key", "item", F.element_at("run", -1).alias("matched"), "diagonal", F.size("u").alias("n"), F.size("t").alias("m"))
+    where = leaks.select("key", "item", count(F.col("equal")).alias("matched"), "diagonal", F.size("u").alias("n"), "m")
     top = where.groupBy("key", "item").agg(F.max(F.struct("matched", -F.col("diagonal"), "n", "m")).alias("b"))
     start = -F.col("b.col2")
     return top.select("key", "item", F.col("b.matched").alias("matched"), F.greatest(start, F.lit(0)).alias("first_word"), (F.least(start + F.col("b.n"), F.col("b.m")) - 1).alias("last_word"))
@@ -92,8 +100,10 @@ def overlaps(docs: DataFrame, items: DataFrame, masks: tuple[tuple[int, tuple[st
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, matched, item_words... one row for each document and benchmark item it overlaps.
 
-    Null or short texts overlap with nothing. Rows with the same doc_id and text count once; a null doc_id is an id like
-    others. Repeated items give a row each. Without items or documents the result is empty.
+    Null texts and texts without words overlap with nothing; very long ones are searched whole. Rows with the same doc_id and
+    text count once; a null doc_id is an id like others. Repeated items give a row each. Items without words are not sought,
+    and the shortest (one to three words) are found where all their words stand in a row. Without items or documents the
+    result is empty.
     """
     keyed = docs.select(_key().alias("key"), "text")
     items = benchmark.select(F.struct("item_id", F.xxhash64("text").alias("item_hash")).alias("item"), "text")
@@ -117,19 +127,18 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(documents(spark, sf_dir).select("doc_id", "text"), documents(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
+#: The definition without seeds: all diagonals on which enough words agree to fill a window.
 OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM documents
 ), b AS (
   SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS u FROM benchmark
-), d_seeds AS (
-  SELECT doc_id, i, unnest([concat_ws(' ', 1, t[i], t[i+1], t[i+3], t[i+4], t[i+7], t[i+9]), concat_ws(' ', 2, t[i], t[i+2], t[i+3], t[i+5], t[i+8], t[i+9])]) AS seed
-  FROM d, unnest(generate_series(1, len(t) - 9)) AS s(i)
-), b_seeds AS (
-  SELECT item_id, j, unnest([concat_ws(' ', 1, u[j], u[j+1], u[j+3], u[j+4], u[j+7], u[j+9]), concat_ws(' ', 2, u[j], u[j+2], u[j+3], u[j+5], u[j+8], u[j+9])]) AS seed
-  FROM b, unnest(generate_series(1, len(u) - 9)) AS s(j)
+), d_words AS (
+  SELECT doc_id, i, t[i] AS word FROM d, unnest(generate_series(1, len(t))) AS s(i)
+), b_words AS (
+  SELECT item_id, j, u[j] AS word, least(len(u), 16) AS w FROM b, unnest(generate_series(1, len(u))) AS s(j)
 ), hits AS (
-  SELECT DISTINCT doc_id, item_id, i - j AS diagonal FROM d_seeds JOIN b_seeds USING (seed)
+  SELECT doc_id, item_id, i - j AS diagonal FROM d_words JOIN b_words USING (word) GROUP BY doc_id, item_id, i - j, w HAVING count(*) * 100 >= w * 75
 ), compared AS (
   SELECT doc_id, item_id, diagonal, len(t) AS m, len(u) AS n, least(len(u), 16) AS w,
     list_transform(generate_series(1, len(u)), lambda i: CASE WHEN i + diagonal BETWEEN 1 AND len(t) AND t[i + diagonal] = u[i] THEN 1 ELSE 0 END) AS equal
