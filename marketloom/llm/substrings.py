@@ -1,4 +1,12 @@
-"""Substring dedup, seed and extend: winnowed anchors find shared passages, windows around them are matched both ways."""
+"""Substring dedup, seed and extend.
+
+1. Seeds: winnowed anchors (the least 18-gram of every window of 50 words), joined over documents; those of one text are dropped.
+2. Partners: the first text with an anchor need not share the words around it, so each window around a seed is dealt by its
+   hash, and the earliest text with the same window is its partner. Windows of one diagonal with one partner form a run.
+3. Extension: the words of a run are compared with its partner's, to the left and right as far as they agree. What agrees
+   over 50 words or more is a repeat, whatever the hashes said.
+4. Repeats that meet or overlap are merged; these are the maximal repeats.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +14,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import documents, hashes, stored, words
@@ -14,9 +22,10 @@ from marketloom.llm.common import documents, hashes, stored, words
 #: Words of a repeat, words of an anchor. Each window has LENGTH - ANCHOR + 1 anchors to choose its least from.
 LENGTH = 50
 ANCHOR = 18
-#: Ids (with their few numbers) are broadcast up to so many rows, anchors up to so many numbers; beyond, joined by shuffle.
-BROADCAST_IDS = 1_000_000
-BROADCAST_ANCHORS = 3_000_000
+#: Rows and the numbers in their arrays are broadcast up to this sum (8 bytes each), and joined by shuffle beyond.
+BROADCAST_NUMBERS = 2_000_000
+#: Words of a partner that are compared at once; they are fetched once, however many texts repeat them.
+CHUNK = 64
 
 #: An odd multiplier and its inverse modulo 2 ** 64.
 _R = 0x9E3779B97F4A7C15
@@ -128,8 +137,50 @@ def _tokens(docs: DataFrame) -> DataFrame:
     return df.select("ord", F.xxhash64("t").alias("f1"), F.hash("t").alias("f2"), F.size("t").alias("n"), "t")
 
 
-def _hint(df: DataFrame, small: bool) -> DataFrame:
-    return F.broadcast(df) if small else df
+def _hint(df: DataFrame, array: str, width: int = 1) -> DataFrame:
+    """A stored table with an array of `width` numbers a place, hinted if all its numbers are few."""
+    numbers = df.agg(F.sum(3 + width * F.size(array))).first()[0] or 0
+    return F.broadcast(df) if numbers <= BROADCAST_NUMBERS else df
+
+
+def extended(docs: DataFrame, runs: DataFrame) -> DataFrame:
+    """ord, f1, lo, hi: the parts of runs (ord, f1, e_ord, e_f1, diagonal, lo, hi) whose words are those of the partner.
+
+    Word lo of a run stands at lo + diagonal in the partner. Both sides are cut where the partner's chunks end; a chunk of a
+    partner is fetched once, and its key may be frequent, so the join is left to be split where it is skewed.
+    """
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("ord"), words(F.col("text")).alias("w"))
+    texts = texts.withColumn("f1", F.xxhash64(hashes(F.col("w"))))
+    own = stored(runs.groupBy("ord", "f1").agg(F.collect_list(F.struct("e_ord", "e_f1", "diagonal", "lo", "hi")).alias("runs")), "own-runs")
+    chunks = lambda lo, hi: F.sequence(F.floor(lo / CHUNK), F.floor((hi - 1) / CHUNK))
+    at = runs.select("e_ord", "e_f1", F.explode(chunks(F.col("lo") + F.col("diagonal"), F.col("hi") + F.col("diagonal"))).alias("chunk")).distinct()
+    at = stored(at.groupBy(F.col("e_ord").alias("ord"), F.col("e_f1").alias("f1")).agg(F.collect_list("chunk").alias("chunks")), "partners")
+    theirs = texts.join(_hint(at, "chunks"), ["ord", "f1"]).withColumn("chunk", F.explode("chunks"))
+    theirs = theirs.select(F.col("ord").alias("e_ord"), F.col("f1").alias("e_f1"), "chunk", F.slice("w", (F.col("chunk") * CHUNK + 1).cast("int"), CHUNK).alias("theirs"))
+    mine = texts.join(_hint(own, "runs", 5), ["ord", "f1"]).withColumn("r", F.explode("runs")).select("ord", "f1", "w", "r.*")
+    mine = mine.withColumn("chunk", F.explode(chunks(F.col("lo") + F.col("diagonal"), F.col("hi") + F.col("diagonal"))))
+    start = F.greatest(F.col("lo"), F.col("chunk") * CHUNK - F.col("diagonal")).cast("int")
+    end = F.least(F.col("hi"), (F.col("chunk") + 1) * CHUNK - F.col("diagonal")).cast("int")
+    mine = mine.withColumns({"start": start, "end": end}).withColumn("mine", F.slice("w", F.col("start") + 1, F.col("end") - F.col("start"))).drop("w")
+    # A text that stands in two rows is a partner once.
+    both = mine.join(theirs.dropDuplicates(["e_ord", "e_f1", "chunk"]), ["e_ord", "e_f1", "chunk"])
+    shift = (F.col("start") + F.col("diagonal") - F.col("chunk") * CHUNK).cast("int")
+    unlike = F.filter(F.transform("mine", lambda x, i: F.when(~x.eqNullSafe(F.get("theirs", i + shift)), F.col("start") + i)), lambda x: x.isNotNull())
+    found = both.select("ord", "f1", "lo", "hi", "e_ord", "e_f1", "diagonal", unlike.alias("unlike"))
+    ends = found.groupBy("ord", "f1", "lo", "hi", "e_ord", "e_f1", "diagonal").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("unlike")))).alias("cuts"))
+    # From one word that differs to the next.
+    first, last = F.concat(F.array(F.col("lo") - 1), "cuts"), F.concat("cuts", F.array("hi"))
+    parts = ends.select("ord", "f1", F.explode(F.arrays_zip(first.alias("a"), last.alias("b"))).alias("p")).select("ord", "f1", (F.col("p.a") + 1).alias("lo"), F.col("p.b").alias("hi"))
+    return parts.filter(F.col("hi") - F.col("lo") >= LENGTH)
+
+
+def merged(parts: DataFrame) -> DataFrame:
+    """ord, f1, spans: parts (lo, hi) that meet or overlap in one, in order."""
+    text = Window.partitionBy("ord", "f1").orderBy("lo", "hi")
+    before = F.max("hi").over(text.rowsBetween(Window.unboundedPreceding, -1))
+    new = parts.withColumn("new", (F.col("lo") > F.coalesce(before, F.lit(-1))).cast("int"))
+    runs = new.withColumn("run", F.sum("new").over(text.rowsBetween(Window.unboundedPreceding, 0))).groupBy("ord", "f1", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return runs.groupBy("ord", "f1").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
 
 
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -146,40 +197,45 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     seeds = drawn.join(searched, ["ord", "f1"], "left_semi").select("ord", "f1", F.explode("anchors").alias("anchor")).distinct()
     common = seeds.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
     shared = stored(seeds.join(common, "anchor", "left_semi").groupBy("ord", "f1").agg(F.collect_list("anchor").alias("anchors")), "seeds")
-    total = shared.agg(F.sum(F.size("anchors"))).first()[0] or 0
-    opened = _tokens(docs).select("ord", "f1", "t").join(_hint(shared, total <= BROADCAST_ANCHORS), ["ord", "f1"])
+    opened = _tokens(docs).select("ord", "f1", "t").join(_hint(shared, "anchors"), ["ord", "f1"])
     windows = opened.mapInArrow(_window_rows, "ord long, f1 long, starts array<int>, found array<long>")
     windows = windows.select("ord", "f1", F.explode(F.arrays_zip("starts", "found")).alias("w")).select("ord", "f1", F.col("w.starts").alias("start"), F.col("w.found").alias("window"))
     windows = stored(windows, "windows")
     # Stored, so that both sides of the join are shuffled for it alone and a very common window can be split.
-    earliest = stored(windows.groupBy("window").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).filter("lo < hi").select("window", "lo"), "earliest")
-    hits = windows.join(earliest, "window").filter("ord > lo").groupBy("ord", "f1").agg(F.sort_array(F.collect_set("start")).alias("s"))
+    holder = F.min(F.struct("ord", "f1", "start")).alias("e")
+    earliest = stored(windows.groupBy("window").agg(holder, F.max("ord").alias("hi")).filter("e.ord < hi").select("window", "e"), "earliest")
+    hits = windows.join(earliest, "window").filter("ord > e.ord")
+    hits = hits.groupBy("ord", "f1", F.col("e.ord").alias("e_ord"), F.col("e.f1").alias("e_f1"), (F.col("e.start") - F.col("start")).alias("diagonal")).agg(F.sort_array(F.collect_set("start")).alias("s"))
     s = F.col("s")
     los = F.filter(s, lambda x, i: F.coalesce(x - F.get(s, i - 1) > LENGTH, F.lit(True)))
     his = F.transform(F.filter(s, lambda x, i: F.coalesce(F.get(s, i + 1) - x > LENGTH, F.lit(True))), lambda x: x + LENGTH)
-    runs = hits.select("ord", "f1", los.alias("lo"), his.alias("hi")).select("ord", "f1", F.arrays_zip("lo", "hi").alias("spans"))
+    runs = hits.select("ord", "f1", "e_ord", "e_f1", "diagonal", F.explode(F.arrays_zip(los.alias("lo"), his.alias("hi"))).alias("r")).select("ord", "f1", "e_ord", "e_f1", "diagonal", "r.*")
+    spans = merged(extended(docs, stored(runs, "runs")))
     # A copy's first text may have lost words itself; the copy goes whole either way.
-    return stored(runs.union(copies), "repeats")
+    return stored(spans.union(copies), "repeats")
 
 
-def _inside(i: Column, spans: Column) -> Column:
-    return F.exists(spans, lambda p: (i >= p["lo"]) & (i < p["hi"]))
+def _outside(words: Column, spans: Column) -> Column:
+    """The words between the spans, which are in order and do not meet."""
+    start = lambda i: F.coalesce(F.get(spans, i - 1)["hi"], F.lit(0))
+    end = lambda i: F.coalesce(F.get(spans, i)["lo"], F.size(words))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(spans)), lambda i: F.slice(words, start(i) + 1, end(i) - start(i))))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, text, kept (array of the words that stay), n_words, n_removed and spans (the words that go) of each document.
 
     A word goes if a window of 50 words around it also starts in a document with a smaller doc_id, judged on the input.
-    Null or blank text: no words. Null doc_id: after all others, and rows without id are not earlier than one another.
-    Rows with equal doc_id do not remove each other's words.
+    Null or blank text: no words. A very long text is one row throughout. Null doc_id: after all others, and rows without
+    id are not earlier than one another. Rows with equal doc_id do not remove each other's words. An empty table gives an
+    empty result.
     """
     docs = docs.select("doc_id", "text")
     found = repeats(docs).withColumnsRenamed({"ord": "_ord", "f1": "_f1"})
-    small = found.count() <= BROADCAST_IDS
     cut = docs.withColumn("_w", words(F.col("text"))).withColumn("_t", hashes(F.col("_w")))
     cut = cut.withColumns({"_key": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "_print": F.xxhash64("_t")}).drop("_t")
-    joined = cut.join(_hint(found, small), (F.col("_key") == F.col("_ord")) & (F.col("_print") == F.col("_f1")), "left")
-    kept = F.when(F.col("spans").isNull(), F.col("_w")).otherwise(F.filter("_w", lambda w, i: ~_inside(i, F.col("spans"))))
+    joined = cut.join(_hint(found, "spans", 2), (F.col("_key") == F.col("_ord")) & (F.col("_print") == F.col("_f1")), "left")
+    kept = F.when(F.col("spans").isNull(), F.col("_w")).otherwise(_outside(F.col("_w"), F.col("spans")))
     out = joined.withColumn("kept", kept).withColumn("n_words", F.size("_w").cast("long"))
     return out.withColumn("n_removed", (F.col("n_words") - F.size("kept")).cast("long")).drop("_w", "_key", "_print", "_ord", "_f1")
 
