@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from marketloom.llm.common import broadcast_if_small, documents, gram_hashes, hashes, stored, text_of, words
 
 WINDOW = 8
-#: Rule: (least spread it allows for, in thousandths). A rate over Q3 + REACH * max(Q3 - Q1, least spread) fails.
-RULES = {"marks": 30, "upper": 30, "dup_lines": 100, "repeats": 100, "runs": 30}
+#: Rule: least spread it allows for, in the rule's unit. A rate over Q3 + REACH * max(Q3 - Q1, least spread) fails, and for
+#: rules of TWO_SIDED one below Q1 less as much. Rates are thousandths, but `word_size` is tenths of a character a word.
+RULES = {"marks": 30, "upper": 30, "dup_lines": 100, "repeats": 50, "runs": 30, "word_size": 12}
+TWO_SIDED = ("word_size",)
 REACH = 3
-#: A group with fewer documents takes the sketch of its language, and a language with fewer that of all documents.
-LEAST_GROUP = 200
+#: So many documents' weight has a language's sketch in the quartiles of its sources, and that of all documents in a language's.
+PRIOR = 50
 
 
 def _sum(values: Column) -> Column:
@@ -62,6 +64,7 @@ def with_counts(docs: DataFrame) -> DataFrame:
         "repeats": _per_mille(F.col("n_repeat_words"), F.col("n_words")),
         "runs": _per_mille(F.col("_runs"), F.col("n_words")),
     }
+    rates["word_size"] = F.when(F.col("n_words") > 0, F.least(F.floor(F.col("word_chars") * 10 / F.col("n_words")), F.lit(1000))).otherwise(F.lit(0)).cast("int")
     df = df.withColumns({f"r_{k}": v for k, v in rates.items()})
     df = df.withColumn("base_failed", (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30))
     return df.drop("_t", "_bare", "_marks", "_upper", "_lines", "_runs", "_grams", "_sorted", "_at", "_n_lines")
@@ -86,17 +89,25 @@ def _quartiles(bins: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def thresholds(rated: DataFrame, reach: int = REACH, least_group: int = LEAST_GROUP) -> DataFrame:
-    """One row per language and source with the highest rate that passes, by rule (t_<rule>)."""
+def thresholds(rated: DataFrame, reach: int = REACH, prior: int = PRIOR) -> DataFrame:
+    """One row per language and source with the highest and, of two-sided rules, the lowest rate that passes (t_<rule>, b_<rule>).
+
+    A group's quartiles are weighed means of its own and its language's, and those of its language's and all documents': the
+    parent's weigh as much as `prior` documents. So a large group goes by its own sketch, a small one by its parent's, and
+    nothing changes at once when a group grows.
+    """
     bins = sketches(rated)
     own = _quartiles(bins, ["lang", "source"])
     lang = _quartiles(bins, ["lang"]).select(F.col("lang").alias("_l"), "rule", *[F.col(c).alias(f"l_{c}") for c in ("n", "q1", "q3")])
     every = _quartiles(bins, []).select("rule", *[F.col(c).alias(f"e_{c}") for c in ("q1", "q3")])
     wide = own.join(lang, F.col("lang").eqNullSafe(F.col("_l")) & (own["rule"] == lang["rule"])).drop(lang["rule"]).join(every, "rule")
-    pick = lambda c: F.when(F.col("n") >= least_group, F.col(c)).when(F.col("l_n") >= least_group, F.col(f"l_{c}")).otherwise(F.col(f"e_{c}"))
+    mean = lambda n, q, parent: (F.col(n) * F.col(q) + prior * parent).cast("double") / (F.col(n) + prior)
+    q1, q3 = (mean("n", q, mean("l_n", f"l_{q}", F.col(f"e_{q}"))) for q in ("q1", "q3"))
     least = F.element_at(F.create_map(*[F.lit(x) for kv in RULES.items() for x in kv]), F.col("rule"))
-    limit = pick("q3") + reach * F.greatest(pick("q3") - pick("q1"), least)
-    return wide.withColumn("limit", limit).groupBy("lang", "source").agg(*[F.max(F.when(F.col("rule") == k, F.col("limit"))).alias(f"t_{k}") for k in RULES])
+    wide = wide.withColumns({"_q1": q1, "_q3": q3}).withColumn("_reach", reach * F.greatest(F.col("_q3") - F.col("_q1"), least.cast("double")))
+    pick = lambda k, value: F.max(F.when(F.col("rule") == k, value))
+    tops = [pick(k, F.col("_q3") + F.col("_reach")).alias(f"t_{k}") for k in RULES]
+    return wide.groupBy("lang", "source").agg(*tops, *[pick(k, F.col("_q1") - F.col("_reach")).alias(f"b_{k}") for k in TWO_SIDED])
 
 
 def judged(rated: DataFrame) -> DataFrame:
@@ -106,13 +117,16 @@ def judged(rated: DataFrame) -> DataFrame:
     passed = F.lit(True)
     for k in RULES:
         passed = passed & (F.col(f"r_{k}") <= F.col(f"t_{k}"))
+    for k in TWO_SIDED:
+        passed = passed & (F.col(f"r_{k}") >= F.col(f"b_{k}"))
     return joined.withColumn("kept", ~F.col("base_failed") & passed)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass, with the columns they came with.
 
-    Null text: no words, so rejected. Null lang or source: a group of its own. Repeated rows are judged alike.
+    Null text: no words, so rejected. A very long text is judged by its rates like others. Null lang or source: a group of its
+    own. Repeated rows are judged alike. An empty table gives an empty result.
     """
     packed = docs.select("text", "lang", "source", F.struct(*docs.columns).alias("_row"))
     rated = stored(with_counts(packed).drop("text"), "rated")
@@ -154,30 +168,33 @@ WITH w AS (
     CASE WHEN word_chars > 0 THEN least(1000 * upper // word_chars, 1000) ELSE 0 END AS r_upper,
     CASE WHEN n_lines > 0 THEN least(1000 * n_dup_lines // n_lines, 1000) ELSE 0 END AS r_dup_lines,
     CASE WHEN n_words > 0 THEN least(1000 * n_repeat_words // n_words, 1000) ELSE 0 END AS r_repeats,
-    CASE WHEN n_words > 0 THEN least(1000 * runs // n_words, 1000) ELSE 0 END AS r_runs
+    CASE WHEN n_words > 0 THEN least(1000 * runs // n_words, 1000) ELSE 0 END AS r_runs,
+    CASE WHEN n_words > 0 THEN least(10 * word_chars // n_words, 1000) ELSE 0 END AS r_word_size
   FROM counts
 ), cells AS (
   SELECT lang, source, 'marks' AS rule, r_marks AS bin, 30 AS least FROM rated
   UNION ALL SELECT lang, source, 'upper', r_upper, 30 FROM rated
   UNION ALL SELECT lang, source, 'dup_lines', r_dup_lines, 100 FROM rated
-  UNION ALL SELECT lang, source, 'repeats', r_repeats, 100 FROM rated
+  UNION ALL SELECT lang, source, 'repeats', r_repeats, 50 FROM rated
   UNION ALL SELECT lang, source, 'runs', r_runs, 30 FROM rated
+  UNION ALL SELECT lang, source, 'word_size', r_word_size, 12 FROM rated
 ), own AS (
   SELECT lang, source, rule, least, count(*) AS n, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.75) AS q3 FROM cells GROUP BY ALL
 ), langs AS (
   SELECT lang, rule, count(*) AS n, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.75) AS q3 FROM cells GROUP BY ALL
 ), every AS (
   SELECT rule, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.75) AS q3 FROM cells GROUP BY ALL
+), parents AS (
+  SELECT langs.lang, langs.rule, (langs.n * langs.q1 + 50 * every.q1)::DOUBLE / (langs.n + 50)::DOUBLE AS q1, (langs.n * langs.q3 + 50 * every.q3)::DOUBLE / (langs.n + 50)::DOUBLE AS q3
+  FROM langs JOIN every USING (rule)
 ), picked AS (
-  SELECT own.lang, own.source, own.rule, own.least,
-    CASE WHEN own.n >= 200 THEN own.q1 WHEN langs.n >= 200 THEN langs.q1 ELSE every.q1 END AS q1,
-    CASE WHEN own.n >= 200 THEN own.q3 WHEN langs.n >= 200 THEN langs.q3 ELSE every.q3 END AS q3
-  FROM own JOIN langs ON own.lang IS NOT DISTINCT FROM langs.lang AND own.rule = langs.rule JOIN every ON own.rule = every.rule
+  SELECT own.lang, own.source, own.rule, own.least, ((own.n * own.q1)::DOUBLE + 50 * p.q1) / (own.n + 50)::DOUBLE AS q1, ((own.n * own.q3)::DOUBLE + 50 * p.q3) / (own.n + 50)::DOUBLE AS q3
+  FROM own JOIN parents p ON own.lang IS NOT DISTINCT FROM p.lang AND own.rule = p.rule
 ), limits AS (
-  SELECT lang, source, map(list(rule), list(q3 + 3 * greatest(q3 - q1, least))) AS t FROM picked GROUP BY lang, source
+  SELECT lang, source, map(list(rule), list(q3 + 3 * greatest(q3 - q1, least::DOUBLE))) AS t, map(list(rule), list(q1 - 3 * greatest(q3 - q1, least::DOUBLE))) AS b FROM picked GROUP BY lang, source
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND r_marks <= t['marks'] AND r_upper <= t['upper'] AND r_dup_lines <= t['dup_lines']
-    AND r_repeats <= t['repeats'] AND r_runs <= t['runs'] AS kept
+    AND r_repeats <= t['repeats'] AND r_runs <= t['runs'] AND r_word_size BETWEEN b['word_size'] AND t['word_size'] AS kept
 FROM rated JOIN limits ON rated.lang IS NOT DISTINCT FROM limits.lang AND rated.source IS NOT DISTINCT FROM limits.source
 """

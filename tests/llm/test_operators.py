@@ -296,3 +296,25 @@ def test_union_sketches_estimate_like_sets():
         union = np.union1d(sets[i][:64], sets[j][:64])[:64]
         hits = len(np.intersect1d(np.intersect1d(sets[i][:64], sets[j][:64]), union))
         assert yes == (hits * 100 >= len(union) * 80 if len(union) < 64 else hits >= near_dups.enough_hits(64, 80, 100))
+
+
+def test_quality_thresholds_change_smoothly_and_equal_a_plain_count(spark):
+    """Quartiles weighed by size, against plain Python, for groups of 1 to 3,000 documents; texts with many repeats go below 30 %."""
+    rng = random.Random(6)
+    rows, rates = [], []
+    for source, n, typical in (("a", 1, 300), ("b", 40, 90), ("c", 199, 20), ("d", 201, 20), ("e", 3000, 10)):
+        for _ in range(n):
+            rates.append((source, {k: rng.randrange(typical) for k in quality_rules.RULES}))
+    for source, r in rates:
+        rows.append(("x", source, *[r[k] for k in quality_rules.RULES]))
+    frame = spark.createDataFrame(rows, "lang string, source string, " + ", ".join(f"r_{k} int" for k in quality_rules.RULES))
+    quartile = lambda values, q: sorted(values)[-(-len(values) * q // 4) - 1]
+    for got in quality_rules.thresholds(frame).collect():
+        for k, least in quality_rules.RULES.items():
+            own, every = [r[k] for s, r in rates if s == got.source], [r[k] for _, r in rates]
+            q1, q3 = ((len(own) * quartile(own, q) + quality_rules.PRIOR * quartile(every, q)) / (len(own) + quality_rules.PRIOR) for q in (1, 3))
+            assert got[f"t_{k}"] == pytest.approx(q3 + 3 * max(q3 - q1, least))
+    repeated = lambda d: prose(300, d) + " " + " ".join(prose(300, d).split()[:60])
+    docs = [(i, prose(300, i), "en", "s") for i in range(400)] + [(1000 + i, repeated(7000 + i), "en", "s") for i in range(5)]
+    kept = {r.doc_id for r in quality_rules.keep_good(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")).collect()}
+    assert kept == set(range(400))
