@@ -1,4 +1,8 @@
-"""Quality classifier by compression: two zstandard dictionaries, from good and from bad text; the difference of sizes is the score."""
+"""Quality classifier by compression: two zstandard dictionaries, from good and from bad text.
+
+A text's only feature is how much smaller the good dictionary makes it than the bad one, by its length; a logistic curve
+fitted on labelled texts that built no dictionary turns it into a score.
+"""
 
 from __future__ import annotations
 
@@ -13,9 +17,10 @@ from pyspark.sql import functions as F
 
 from marketloom.llm.common import documents, text_of
 
-#: Bound of the fit: so many labelled rows, the first by hash of doc_id, with texts up to SAMPLE_BYTES bytes each.
+#: Bound of the fit: so many labelled rows, the first by hash of doc_id, with their whole texts.
 SAMPLE_ROWS = 8_000
-SAMPLE_BYTES = 32_768
+#: Bytes added to a text's length, so that the difference of a very short text is not blown up.
+OFFSET = 64
 DICTIONARY = 65_536
 LEVEL = 3
 CUT = 0.7
@@ -27,30 +32,31 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 @dataclass(frozen=True)
 class Model:
-    """Both dictionaries and the calibration (logistic, over standardised sizes). Without dictionaries: a constant."""
+    """Both dictionaries and the calibration, a logistic curve of the size difference. Without dictionaries: a constant."""
 
     good: bytes
     bad: bytes
-    mean: tuple[float, ...]
-    spread: tuple[float, ...]
-    weights: tuple[float, ...]
+    intercept: float
+    slope: float = 0.0
 
-    def features(self, texts: list[str | None]) -> np.ndarray:
-        """Per text: size difference by length, plain compressed size by length, size difference by size, length up to a bound."""
+    def differences(self, texts: list[str | None]) -> np.ndarray:
+        """Per text: size with the bad dictionary less size with the good one, by length."""
         squeeze = [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d)) for d in (self.good, self.bad)]
-        plain = zstandard.ZstdCompressor(level=LEVEL)
-        out = np.zeros((len(texts), 4))
+        out = np.zeros(len(texts))
         for i, text in enumerate(texts):
             raw = (text or "").encode("utf-8", "surrogatepass")
-            good, bad, own = len(squeeze[0].compress(raw)), len(squeeze[1].compress(raw)), len(plain.compress(raw))
-            out[i] = (bad - good) / (len(raw) + 64), own / (len(raw) + 64), (bad - good) / (min(bad, good) + 16), min(len(raw), 2000) / 2000
+            good, bad = (len(s.compress(raw)) for s in squeeze)
+            out[i] = (bad - good) / (len(raw) + OFFSET)
         return out
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         if not self.good:
-            return np.full(len(texts), self.weights[0])
-        z = (self.features(texts) - self.mean) / self.spread
-        return 1 / (1 + np.exp(-np.clip(self.weights[0] + z @ np.array(self.weights[1:]), -40, 40)))
+            return np.full(len(texts), self.intercept)
+        return _logistic(self.intercept + self.slope * self.differences(texts))
+
+
+def _logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
 def _dictionary(texts: list[str]) -> bytes:
@@ -68,30 +74,37 @@ def train(rows: list[tuple[str, int]]) -> Model:
     parts = [[t for t, q in build if q == kind] for kind in (1, 0)]
     y = np.array([q for _, q in rest], float)
     if not all(any(p) for p in parts) or not 0 < y.sum() < len(y):
-        return Model(b"", b"", (), (), (share,))
-    bare = Model(_dictionary(parts[0]), _dictionary(parts[1]), (), (), ())
-    x = bare.features([t for t, _ in rest])
-    mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
-    z = np.c_[np.ones(len(x)), (x - mean) / spread]
-    w = np.zeros(z.shape[1])
+        return Model(b"", b"", share)
+    bare = Model(_dictionary(parts[0]), _dictionary(parts[1]), 0.0)
+    x = bare.differences([t for t, _ in rest])
+    mean, spread = x.mean(), x.std() + 1e-9
+    z = np.stack((np.ones(len(x)), (x - mean) / spread), axis=1)
+    w = np.zeros(2)
     for _ in range(50):  # Newton steps of a lightly penalised logistic regression
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -40, 40)))
-        w -= np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + 0.01 * np.eye(len(w)), z.T @ (p - y) + 0.01 * w)
-    return Model(bare.good, bare.bad, tuple(mean), tuple(spread), tuple(w))
+        p = _logistic(z @ w)
+        w -= np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + 0.01 * np.eye(2), z.T @ (p - y) + 0.01 * w)
+    return Model(bare.good, bare.bad, float(w[0] - w[1] * mean / spread), float(w[1] / spread))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE_ROWS) -> Model:
-    """A model from labelled documents: at most `rows` of them, chosen by hash of doc_id. A repeated label counts as the highest."""
+    """A model from labelled documents: at most `rows` of them, chosen by hash of doc_id, with texts of any length.
+
+    A repeated label counts as the highest. Labels without a doc_id, or neither 0 nor 1, and documents without a label are left out; without labelled
+    documents of both kinds every score is the share of good ones (one half if there are none).
+    """
     order = F.xxhash64("doc_id")
     marked = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("label"))
-    short = docs.select("doc_id", "text").filter(F.octet_length(text_of("text")) <= SAMPLE_BYTES)
     chosen = marked.orderBy(order, "doc_id").limit(rows)
-    found = short.join(F.broadcast(chosen), "doc_id").orderBy(order, "doc_id", F.xxhash64("text")).limit(rows)
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(order, "doc_id", F.xxhash64("text")).limit(rows)
     return train([(r.text or "", int(r.label)) for r in found.select("text", "label").collect()])
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds score (0 to 1) and predicted, in place of columns of those names. Null text is scored as empty; every row gets a score."""
+    """Adds score (0 to 1) and predicted, in place of columns of those names.
+
+    Null text is scored as empty, a very long one whole; every row gets a score, repeated rows the same. An empty table gives an
+    empty result.
+    """
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -3,6 +3,7 @@
 import itertools
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -318,3 +319,24 @@ def test_quality_thresholds_change_smoothly_and_equal_a_plain_count(spark):
     docs = [(i, prose(300, i), "en", "s") for i in range(400)] + [(1000 + i, repeated(7000 + i), "en", "s") for i in range(5)]
     kept = {r.doc_id for r in quality_rules.keep_good(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")).collect()}
     assert kept == set(range(400))
+
+
+def test_classifier_fits_on_long_texts_too(spark):
+    junk = lambda s, n: " ".join(w + "***" for w in prose(n, s).split())
+    rows = [(i, prose(9_000, i) if i % 2 else junk(i, 9_000)) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, quality int")
+    assert min(len(t) for _, t in rows) > 32_768
+    good, bad = quality_classifier.fit(docs, labels).score([prose(9_000, 900), junk(901, 9_000)])
+    assert good > 0.7 > bad
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="the driver's tables are not here")
+def test_classifier_is_right_and_calibrated_on_held_out_labels(spark):
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "quality")
+    got = quality_classifier.op6_quality_classifier(spark, folder).filter("held_out").join(labels, "doc_id").toPandas()
+    y, p = got["quality"].to_numpy(float), got["score"].to_numpy(float)
+    assert len(got) > 500 and (got["predicted"] == y).mean() > 0.95
+    assert ((p - y) ** 2).mean() < 0.04 < y.mean() * (1 - y.mean())
+    assert abs(p.mean() - y.mean()) < 0.03
