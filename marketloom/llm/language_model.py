@@ -1,11 +1,14 @@
 """LM scoring: a hashed maximum-entropy model with n-gram and skip features and a class-factored softmax.
 
-P(word | history) = P(class | history) * P(word | class). Classes come from the corpus: frequent words are clustered by the
-company they keep and cut by frequency; the end of a text is a class, and so are all rarer words together. The class is a
-softmax over hashed features of the three words before (w1, w1 w2, w2 alone, w3 alone); within a class, counts plus one.
-
-Counts cover all training words. Those of the TOP most frequent words (a fixed number) go to every task; the rest are
-joined by shuffle, so each word gets its exact count however large the vocabulary.
+P(word | history) = P(class | history) * P(word | class, history). Classes come from the corpus: frequent words are clustered by
+the company they keep and cut by frequency; the end of a text is a class, and so are all rarer words together. Within a class,
+words are factored once more, by count, into groups of at most WIDE, until a group is one word. Every choice is a softmax over
+hashed features of the words before (w1, w1 w2, and w2 alone, the skip), so the probabilities of all words sum to 1.
+Rare words end in one of HASHED groups by hash; within a group they share by count plus one, with one more share for unseen words.
+
+What is gathered grows with the corpus: counts of all words, and rows of weights with the cube root of the number of tokens, so
+that they still fit a task at any size. Counts of the TOP most frequent words (a fixed number) go to every task; the rest are
+joined by shuffle, so each word gets its exact count however large the vocabulary. As history each word counts by its own hash.
 """
 
 from __future__ import annotations
@@ -30,12 +33,16 @@ RARE, START = 65_534, 65_535
 #: Frequent words whose company tells clusters apart, and how far before a word they count.
 MARKERS, REACH = 24, 3
 CLUSTERS = 6
-BUCKETS = 1 << 15
+#: Choices of a softmax, at most: a row of weights is a cache line. Groups of rare words.
+WIDE = 16
+HASHED = 256
+#: Rows of weights, and tokens of a trainer, for each cube root of the number of tokens; so what trainers send grows as the corpus.
+ROWS_PER_ROOT, TOKENS_PER_ROOT = 256, 8_192
 BATCH = 16_384
 RATE = 0.25
 ROUNDS = 2
-#: Tasks that train at once, at most, and parts in which their weights are averaged.
-TRAINERS, SLICES = 2_048, 64
+#: Tasks that count company at once, at most, and parts in which weights are averaged.
+COUNTERS, SLICES = 2_048, 64
 
 
 @dataclass
@@ -56,10 +63,10 @@ class Vocabulary:
 
 
 def tokenized(docs: DataFrame, folds: int, held: int) -> DataFrame:
-    """doc_id, held_out, t: hashes of the words and of the end."""
+    """doc_id, held_out, t: hashes of the words and of the end, h: a hash of the row."""
     held_out = F.coalesce(fold(F.col("doc_id"), folds) == held, F.lit(False))
     tokens = hashes(words(ascii_lower(text_of("text"))))
-    return docs.select("doc_id", held_out.alias("held_out"), F.concat(tokens, F.array(F.lit(END).cast("long"))).alias("t"))
+    return docs.select("doc_id", held_out.alias("held_out"), F.concat(tokens, F.array(F.lit(END).cast("long"))).alias("t")).withColumn("h", F.xxhash64("doc_id", "t"))
 
 
 def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +99,7 @@ def vocabulary(counts: DataFrame, top: int = TOP) -> Vocabulary:
 
 
 def encoded(tokens: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """row, doc_id, held_out, ids (16-bit, packed) and the hashes of the rare words."""
+    """row, doc_id, held_out, h, ids (16-bit, packed) and the hashes of the rare words."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -107,9 +114,9 @@ def encoded(tokens: DataFrame, vocab: Vocabulary) -> DataFrame:
             rest = pa.ListArray.from_arrays(pa.array(before, pa.int32()), pa.array(flat[rare]))
             rows = pa.array(np.arange(row, row + batch.num_rows))
             row += batch.num_rows
-            yield pa.RecordBatch.from_arrays([rows, batch.column("doc_id"), batch.column("held_out"), packed, rest], ["row", "doc_id", "held_out", "ids", "rare"])
+            yield pa.RecordBatch.from_arrays([rows, *(batch.column(c) for c in ("doc_id", "held_out", "h")), packed, rest], ["row", "doc_id", "held_out", "h", "ids", "rare"])
 
-    return tokens.mapInArrow(run, "row long, doc_id long, held_out boolean, ids binary, rare array<long>")
+    return tokens.mapInArrow(run, "row long, doc_id long, held_out boolean, h long, ids binary, rare array<long>")
 
 
 def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -120,8 +127,8 @@ def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _before(ids: np.ndarray, starts: np.ndarray, back: int) -> np.ndarray:
-    """The id so many places before each one in its text, START beyond the first."""
-    out = np.full(len(ids), START, np.uint16)
+    """The id (or key) so many places before each one in its text, START beyond the first."""
+    out = np.full(len(ids), START, ids.dtype)
     out[back:] = ids[: max(len(ids) - back, 0)]
     for i in range(back):
         at = starts[:-1] + i
@@ -146,7 +153,7 @@ def company(texts: DataFrame, vocab: Vocabulary, markers: np.ndarray) -> np.ndar
         at = np.flatnonzero(cells)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(cells[at])], ["cell", "c"])
 
-    rows = texts.filter("NOT held_out").select("ids").coalesce(TRAINERS).mapInArrow(run, "cell long, c long").groupBy("cell").agg(F.sum("c").alias("c")).toPandas()
+    rows = texts.filter("NOT held_out").select("ids").coalesce(COUNTERS).mapInArrow(run, "cell long, c long").groupBy("cell").agg(F.sum("c").alias("c")).toPandas()
     out = np.zeros(n * MARKERS)
     out[rows["cell"].to_numpy(np.int64)] = rows["c"].to_numpy(float)
     return out.reshape(n, MARKERS)
@@ -177,144 +184,237 @@ def clusters(table: np.ndarray, weights: np.ndarray, k: int = CLUSTERS) -> np.nd
 
 @dataclass
 class Model:
-    """class_of by id, log10 of P(word | class) by id (but for rare words), log priors of classes, weights by bucket and class."""
+    """The tree of choices and the weights.
+
+    A leaf is a frequent word (by id) or, after those, a group of rare words. Leaf i makes the choices first[i] to first[i + 1] of
+    nodes and children. prior holds the logarithm of each child's share of its node's count (none for missing children).
+    """
 
-    class_of: np.ndarray
-    inside: np.ndarray
-    rare_slots: float
+    keys: np.ndarray
+    nodes: np.ndarray
+    children: np.ndarray
+    first: np.ndarray
     prior: np.ndarray
+    group_sums: np.ndarray
     weights: np.ndarray
 
-    def logits(self, features: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
-        w = self.weights if weights is None else weights
-        out = w[features[0]]
-        for f in features[1:]:
-            out += w[f]
-        out += self.prior
+    def leaves(self, ids: np.ndarray, rare: np.ndarray) -> np.ndarray:
+        out = ids.astype(np.int64)
+        out[ids == RARE] = len(self.keys) + (rare % HASHED)
         return out
 
+    def history(self, ids: np.ndarray, rare: np.ndarray) -> np.ndarray:
+        """A 32-bit key of each word, from its hash."""
+        out = np.zeros(len(ids), np.uint32)
+        known = ids != RARE
+        out[known] = self.keys[ids[known]]
+        out[~known] = _key(rare)
+        return out
 
-def features(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Buckets of w1, w1 w2, w2 and w3 for every place, one row a feature."""
-    w1, w2, w3 = (_before(ids, starts, back).astype(np.uint32) for back in (1, 2, 3))
-    mix = lambda x, salt: (((x ^ np.uint32(salt)) * np.uint32(0x9E3779B1)) ^ (x >> np.uint32(3))) * np.uint32(0x85EBCA77) >> np.uint32(17)
-    return np.stack((mix(w1, 0x1B873593), mix(w1 * np.uint32(0x01000193) + w2 * np.uint32(0x27D4EB2F), 0x165667B1), mix(w2, 0x5BD1E995), mix(w3, 0x2545F491))).astype(np.uint16)
+    def choices(self, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of all choices that lead to the leaves: place of the leaf, node, child."""
+        sizes = self.first[leaves + 1] - self.first[leaves]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.first[leaves] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+        return np.repeat(np.arange(len(leaves)), sizes), self.nodes[at], self.children[at]
 
+    def rows(self, features: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """The row of weights of each feature at a node, one line a feature."""
+        mixed = (features ^ (node * np.uint32(0x9E3779B1))) * np.uint32(0x85EBCA77)
+        return (mixed ^ (mixed >> np.uint32(15))) & np.uint32(len(self.weights) - 1)
 
-def _softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(axis=1, keepdims=True)
-    np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
-    return logits
+    def shares(self, rows: np.ndarray, node: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+        """Probability of each child, a line a choice."""
+        w = self.weights if weights is None else weights
+        out = self.prior[node]
+        for r in rows:
+            out += w[r]
+        out -= out.max(axis=1, keepdims=True)
+        np.exp(out, out=out)
+        out /= out.sum(axis=1, keepdims=True)
+        return out
+
+    def log10(self, leaves: np.ndarray, features: np.ndarray) -> np.ndarray:
+        """Logarithm of the probability of each leaf after its history."""
+        out = np.zeros(len(leaves))
+        for lo in range(0, len(leaves), BATCH):
+            place, node, child = self.choices(leaves[lo : lo + BATCH])
+            share = self.shares(self.rows(features[:, lo + place], node), node)[np.arange(len(child)), child]
+            out[lo : lo + BATCH] = np.bincount(place, np.log10(np.maximum(share, 1e-30)), minlength=min(BATCH, len(leaves) - lo))
+        return out
 
 
-def untrained(vocab: Vocabulary, of: np.ndarray) -> Model:
-    """Classes (each cluster cut where half of its occurrences are passed), and counts within them."""
+def _key(hashes: np.ndarray) -> np.ndarray:
+    return ((hashes ^ (hashes >> 29)) & 0xFFFFFFFF).astype(np.uint32)
+
+
+def features(keys: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """w1, w1 w2 and w2 as 32-bit numbers for every place, one line a feature."""
+    w1, w2 = (_before(keys, starts, back) for back in (1, 2))
+    return np.stack((w1 * np.uint32(0x1B873593), (w1 * np.uint32(0x01000193) ^ (w2 >> np.uint32(7))) + w2 * np.uint32(0x27D4EB2F), w2 * np.uint32(0x5BD1E995) + np.uint32(0x165667B1)))
+
+
+def _groups(mass: np.ndarray) -> np.ndarray:
+    """Group of each item, at most WIDE, items in descending order of mass: each its own if they are few, else of like mass."""
+    if len(mass) <= WIDE:
+        return np.arange(len(mass))
+    middle = (np.cumsum(mass) - mass / 2) / mass.sum()
+    return np.unique(np.minimum((middle * WIDE).astype(np.int64), WIDE - 1), return_inverse=True)[1]
+
+
+def tree(mass: np.ndarray, class_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """nodes, children, first and prior of Model, from the count of each leaf and its class (fewer than WIDE of them)."""
+    paths: list[list[tuple[int, int]]] = [[] for _ in mass]
+    prior: list[np.ndarray] = []
+    todo = [(np.arange(len(mass)), class_of)]
+    while todo:
+        items, group = todo.pop()
+        node = len(prior)
+        sums = np.bincount(group, mass[items], minlength=WIDE)
+        with np.errstate(divide="ignore"):
+            prior.append(np.maximum(np.log(sums / sums.sum()), -1e4))
+        for item, child in zip(items, group, strict=True):
+            paths[item].append((node, int(child)))
+        for child in np.flatnonzero(np.bincount(group, minlength=WIDE) > 1):
+            own = items[group == child]
+            own = own[np.argsort(-mass[own], kind="stable")]
+            todo.append((own, _groups(mass[own])))
+    first = np.concatenate(([0], np.cumsum([len(p) for p in paths]))).astype(np.int64)
+    flat = np.array([x for p in paths for x in p], np.uint32).reshape(-1, 2)
+    return flat[:, 0].copy(), flat[:, 1].astype(np.int64), first, np.array(prior, np.float32).reshape(-1, WIDE)
+
+
+def untrained(vocab: Vocabulary, of: np.ndarray, rare_sums: np.ndarray) -> Model:
+    """Classes (each cluster cut where half of its occurrences are passed), groups within them, and weights of zero."""
     n = len(vocab.hashes)
-    end = np.flatnonzero(vocab.hashes == END)
-    class_of = np.zeros(1 << 16, np.uint8)
-    kinds = 2 * CLUSTERS
+    class_of = np.zeros(n + HASHED, np.int64)
     for c in range(CLUSTERS):
         own = np.flatnonzero(of == c)
         own = own[np.argsort(-vocab.counts[own], kind="stable")]
         share = np.cumsum(vocab.counts[own])
         class_of[own] = 2 * c + (share > share[-1] / 2 if len(own) else 0)
-    class_of[end] = kinds
-    class_of[RARE] = kinds + 1
-    sums = np.zeros(kinds + 2)
-    np.add.at(sums, class_of[:n], vocab.counts + 1.0)
-    rare = vocab.total - vocab.counts.sum() + vocab.distinct - n + 1.0
-    sums[kinds + 1] = rare
-    inside = np.zeros(1 << 16)
-    inside[:n] = np.log10((vocab.counts + 1.0) / sums[class_of[:n]])
-    return Model(class_of, inside, rare, np.log(np.maximum(sums, 1e-3) / sums.sum()).astype(np.float32), np.zeros((BUCKETS, kinds + 2), np.float32))
-
-
-def trained(texts: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
-    """Every training text is seen once. In each round, tasks start from the common weights, make gradient steps over their
-    texts, and the weights are averaged by number of words."""
-    kinds = model.prior.shape[0]
-    share = F.pmod(F.xxhash64("row"), F.lit(rounds))
+    class_of[:n][vocab.hashes == END] = 2 * CLUSTERS
+    class_of[n:] = 2 * CLUSTERS + 1
+    rows = 1 << max(12, int(np.ceil(np.log2(ROWS_PER_ROOT * max(vocab.total, 1) ** (1 / 3)))))
+    return Model(_key(vocab.hashes), *tree(np.concatenate((vocab.counts + 1.0, rare_sums)), class_of), rare_sums, np.zeros((rows, WIDE), np.float32))
+
+
+def rare_group_sums(counts: DataFrame, vocab: Vocabulary) -> np.ndarray:
+    """Counts plus one of the rare words by group, and a share for an unseen word: a row a group."""
+    rare = counts.filter((F.col("c") < vocab.least) & (F.col("w") != END))
+    out = np.ones(HASHED)
+    for r in rare.groupBy(F.pmod("w", F.lit(HASHED)).alias("g")).agg(F.sum(F.col("c") + 1).alias("s")).collect():
+        out[r.g] += r.s
+    return out
+
+
+def _rare(batch: pa.RecordBatch) -> np.ndarray:
+    return _flat(batch.column("rare"))[0]
+
+
+def step(w: np.ndarray, seen: np.ndarray, model: Model, leaves: np.ndarray, every: np.ndarray) -> None:
+    """One gradient step over a batch of places, each row of weights at its own rate."""
+    place, node, child = model.choices(leaves)
+    rows = model.rows(every[:, place], node)
+    slope = -model.shares(rows, node, w)
+    slope[np.arange(len(child)), child] += 1
+    flat = rows.ravel()
+    order = np.argsort((flat & np.uint32(0xFFFF)).astype(np.uint16), kind="stable")
+    if len(w) > 1 << 16:
+        order = order[np.argsort((flat[order] >> np.uint32(16)).astype(np.uint16), kind="stable")]
+    ranked = flat[order]
+    at = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+    row = ranked[at]
+    sums = np.add.reduceat(slope[order % len(node)], at, axis=0)
+    seen[row] += (sums * sums).mean(axis=1)
+    w[row] += RATE * sums / np.sqrt(seen[row])[:, None]
+
+
+def trained(texts: DataFrame, model: Model, total: int, rounds: int = ROUNDS) -> Model:
+    """Every training text is seen once. In each round, trainers start from the common weights, make gradient steps over their
+    texts in order of hash, and the weights are averaged by number of words. Which trainer has a text depends on the text alone."""
+    size = len(model.weights)
+    share = F.pmod(F.xxhash64("h", F.lit(1)), F.lit(rounds))
+    trainers = max(1, -(-total // int(rounds * TOKENS_PER_ROOT * max(total, 1) ** (1 / 3))))
+    trainer = F.pmod(F.xxhash64("h", F.lit(2)), F.lit(trainers)).cast("int")
 
     def steps(start: np.ndarray):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            w, seen, count = start.copy(), np.full(BUCKETS, 1e-2, np.float32), 0
+            w, seen, count = start.astype(np.float32), np.full(size, 1e-2, np.float32), 0
             for batch in batches:
                 ids, starts = _ids(batch)
+                rare = _rare(batch)
+                leaves, every = model.leaves(ids, rare), features(model.history(ids, rare), starts)
                 count += len(ids)
-                every, classes = features(ids, starts), model.class_of[ids]
                 for lo in range(0, len(ids), BATCH):
-                    some, y = every[:, lo : lo + BATCH], classes[lo : lo + BATCH]
-                    slope = -_softmax(model.logits(some, w))
-                    slope[np.arange(len(y)), y] += 1
-                    for f in some:
-                        order = np.argsort(f, kind="stable")
-                        ranked = f[order]
-                        first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
-                        bucket = ranked[first]
-                        sums = np.add.reduceat(slope[order], first, axis=0)
-                        seen[bucket] += (sums * sums).mean(axis=1)
-                        w[bucket] += RATE * sums / np.sqrt(seen[bucket])[:, None]
+                    step(w, seen, model, leaves[lo : lo + BATCH], every[:, lo : lo + BATCH])
             if count:
-                parts = [p.tobytes() for p in np.split(w, SLICES)]
+                parts = [p.astype(np.float16).tobytes() for p in np.split(w, SLICES)]
                 yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([float(count)] * SLICES), pa.array(parts, pa.binary())], ["slice", "n", "w"])
 
         return run
 
     def mean(part: pd.DataFrame) -> pd.DataFrame:
-        total, n = np.zeros(BUCKETS // SLICES * kinds), 0.0
-        for row in part.sort_values("n").itertuples():
-            total += np.frombuffer(row.w, np.float32) * row.n
+        sums, n = np.zeros(size // SLICES * WIDE), 0.0
+        for row in part.sort_values(["n", "w"]).itertuples():
+            sums += np.frombuffer(row.w, np.float16).astype(float) * row.n
             n += row.n
-        return pd.DataFrame({"slice": part["slice"][:1], "w": [(total / n).astype(np.float32).tobytes()]})
+        return pd.DataFrame({"slice": part["slice"][:1], "w": [(sums / n).astype(np.float16).tobytes()]})
 
     for at in range(rounds):
-        own = texts.filter(~F.col("held_out") & (share == at)).select("ids").coalesce(TRAINERS)
-        parts = own.mapInArrow(steps(model.weights), "slice int, n double, w binary").groupBy("slice").applyInPandas(mean, "slice int, w binary").collect()
+        own = texts.filter(~F.col("held_out") & (share == at)).select("h", "ids", "rare", trainer.alias("trainer"))
+        own = own.repartitionById(trainers, "trainer").sortWithinPartitions("h").select("ids", "rare")
+        parts = own.mapInArrow(steps(model.weights.astype(np.float16)), "slice int, n double, w binary").groupBy("slice").applyInPandas(mean, "slice int, w binary").collect()
         if parts:
-            model.weights = np.concatenate([np.frombuffer(r.w, np.float32).reshape(-1, kinds) for r in sorted(parts, key=lambda r: r.slice)])
+            model.weights = np.concatenate([np.frombuffer(r.w, np.float16).reshape(-1, WIDE) for r in sorted(parts, key=lambda r: r.slice)]).astype(np.float32)
     return model
 
 
 def frequent_scores(texts: DataFrame, model: Model, vocab: Vocabulary) -> DataFrame:
-    """row, n_tokens, n_known, n_rare, base and score of each text, without what rare words' own counts add."""
+    """row, n_tokens, n_known, base and score of each text, without what rare words' own counts add."""
     slots = np.log10(vocab.total + vocab.distinct + 1.0)
     alone = np.zeros(1 << 16)
     alone[: len(vocab.counts)] = np.log10(vocab.counts + 1.0)
+    group = np.log10(model.group_sums)
+    weights, model.weights = model.weights.astype(np.float16), model.weights[:0]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model.weights = weights.astype(np.float32)
         for batch in batches:
             ids, starts = _ids(batch)
-            every, classes, chosen = features(ids, starts), model.class_of[ids], np.empty(len(ids))
-            for lo in range(0, len(ids), BATCH):
-                y = classes[lo : lo + BATCH]
-                chosen[lo : lo + BATCH] = _softmax(model.logits(every[:, lo : lo + BATCH]))[np.arange(len(y)), y]
+            words = _rare(batch)
+            chosen = model.log10(model.leaves(ids, words), features(model.history(ids, words), starts))
+            chosen[ids == RARE] -= group[words % HASHED]
             per_text = lambda x: np.add.reduceat(x, starts[:-1]) if len(x) else np.zeros(0)
             rare = per_text((ids == RARE).astype(np.int64)).astype(np.int64)
             n = np.diff(starts)
-            base = per_text(alone[ids]) - n * slots
-            score = per_text(np.log10(np.maximum(chosen, 1e-30)) + model.inside[ids]) - rare * np.log10(model.rare_slots)
-            columns = [batch.column("row"), batch.column("doc_id"), batch.column("held_out"), pa.array(n), pa.array(n - rare), pa.array(base), pa.array(score)]
+            columns = [batch.column("row"), batch.column("doc_id"), batch.column("held_out"), pa.array(n), pa.array(n - rare), pa.array(per_text(alone[ids]) - n * slots), pa.array(per_text(chosen))]
             yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"])
 
-    return texts.select("row", "doc_id", "held_out", "ids").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
-
+    return texts.select("row", "doc_id", "held_out", "ids", "rare").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
 
-def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document.
 
-    Null or blank text: one token, the end. Null doc_id: never held out. Repeated rows are scored, and counted, each.
-    Without training texts all words are unknown.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    tokens = tokenized(docs, folds, held)
+def fitted(docs: DataFrame, folds: int, held: int) -> tuple[DataFrame, DataFrame, Vocabulary, Model]:
+    """The encoded texts, the counts, the vocabulary and the trained model."""
+    tokens = tokenized(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), folds, held)
     counts = stored(word_counts(tokens), "counts")
     vocab = vocabulary(counts)
     texts = stored(encoded(tokens, vocab), "encoded")
-    markers = np.argsort(-vocab.counts, kind="stable")
+    # Hashes break ties, so the model does not depend on the order of rows.
+    markers = np.lexsort((vocab.hashes, -vocab.counts))
     markers = markers[vocab.hashes[markers] != END][:MARKERS]
     of = clusters(company(texts, vocab, markers), vocab.counts) if len(markers) == MARKERS else np.zeros(len(vocab.hashes), np.int64)
-    model = trained(texts, untrained(vocab, of))
+    return texts, counts, vocab, trained(texts, untrained(vocab, of, rare_group_sums(counts, vocab)), vocab.total)
+
+
+def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document.
+
+    Null or blank text: one token, the end. A very long text is scored whole, in batches. Null doc_id: never held out.
+    Repeated rows are scored, and counted, each. Without training texts all words are unknown. An empty table gives an empty
+    result.
+    """
+    texts, counts, vocab, model = fitted(docs, folds, held)
     rest = counts.filter((F.col("c") < vocab.least) & (F.col("w") != END))
     rare = texts.select("row", F.explode("rare").alias("w")).join(rest, "w")  # words without a count add nothing
     rare = rare.groupBy("row").agg(F.sum(F.log10(F.col("c") + 1.0)).alias("extra"), F.count(F.lit(1)).alias("known"))
