@@ -2,9 +2,10 @@
 
 P(word | history) = P(class | history) * P(word | class, history). Classes come from the corpus: frequent words are clustered by
 the company they keep and cut by frequency; the end of a text is a class, and so are all rarer words together. Within a class,
-words are factored once more, by count, into groups of at most WIDE, until a group is one word. Every choice is a softmax over
-hashed features of the words before (w1, w1 w2, and w2 alone, the skip), so the probabilities of all words sum to 1.
-Rare words end in one of HASHED groups by hash; within a group they share by count plus one, with one more share for unseen words.
+words are factored once more, by count, into at most WIDE groups: frequent words are alone in theirs, and the words of the other
+groups share by count plus one. Both choices are a softmax over hashed features of the words before (w1, w1 w2, and w2 alone,
+the skip), so the probabilities of all words sum to 1. Rare words are in HASHED groups by hash, dealt like words, and each
+keeps one share for unseen words.
 
 What is gathered grows with the corpus: counts of all words, and rows of weights with the cube root of the number of tokens, so
 that they still fit a task at any size. Counts of the TOP most frequent words (a fixed number) go to every task; the rest are
@@ -37,9 +38,10 @@ CLUSTERS = 6
 WIDE = 16
 HASHED = 256
 #: Rows of weights, and tokens of a trainer, for each cube root of the number of tokens; so what trainers send grows as the corpus.
-ROWS_PER_ROOT, TOKENS_PER_ROOT = 256, 8_192
-BATCH = 16_384
-RATE = 0.25
+ROWS_PER_ROOT, TOKENS_PER_ROOT = 192, 8_192
+#: Places of a gradient step, and of the part of one that is worked on at once.
+BATCH, PART = 16_384, 2_048
+RATE = 0.12
 ROUNDS = 2
 #: Tasks that count company at once, at most, and parts in which weights are averaged.
 COUNTERS, SLICES = 2_048, 64
@@ -187,13 +189,15 @@ class Model:
     """The tree of choices and the weights.
 
     A leaf is a frequent word (by id) or, after those, a group of rare words. Leaf i makes the choices first[i] to first[i + 1] of
-    nodes and children. prior holds the logarithm of each child's share of its node's count (none for missing children).
+    nodes and children, and has the share 10 ** inside[i] of the last. prior holds the logarithm of each child's share of its
+    node's count (none for missing children).
     """
 
     keys: np.ndarray
     nodes: np.ndarray
     children: np.ndarray
     first: np.ndarray
+    inside: np.ndarray
     prior: np.ndarray
     group_sums: np.ndarray
     weights: np.ndarray
@@ -226,9 +230,9 @@ class Model:
     def shares(self, rows: np.ndarray, node: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
         """Probability of each child, a line a choice."""
         w = self.weights if weights is None else weights
-        out = self.prior[node]
+        out = self.prior.take(node, axis=0, mode="clip")
         for r in rows:
-            out += w[r]
+            out += w.take(r, axis=0, mode="clip")
         out -= out.max(axis=1, keepdims=True)
         np.exp(out, out=out)
         out /= out.sum(axis=1, keepdims=True)
@@ -237,10 +241,11 @@ class Model:
     def log10(self, leaves: np.ndarray, features: np.ndarray) -> np.ndarray:
         """Logarithm of the probability of each leaf after its history."""
         out = np.zeros(len(leaves))
-        for lo in range(0, len(leaves), BATCH):
-            place, node, child = self.choices(leaves[lo : lo + BATCH])
+        for lo in range(0, len(leaves), PART):
+            some = leaves[lo : lo + PART]
+            place, node, child = self.choices(some)
             share = self.shares(self.rows(features[:, lo + place], node), node)[np.arange(len(child)), child]
-            out[lo : lo + BATCH] = np.bincount(place, np.log10(np.maximum(share, 1e-30)), minlength=min(BATCH, len(leaves) - lo))
+            out[lo : lo + PART] = self.inside[some] + np.bincount(place, np.log10(np.maximum(share, 1e-30)), minlength=len(some))
         return out
 
 
@@ -262,26 +267,30 @@ def _groups(mass: np.ndarray) -> np.ndarray:
     return np.unique(np.minimum((middle * WIDE).astype(np.int64), WIDE - 1), return_inverse=True)[1]
 
 
-def tree(mass: np.ndarray, class_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """nodes, children, first and prior of Model, from the count of each leaf and its class (fewer than WIDE of them)."""
-    paths: list[list[tuple[int, int]]] = [[] for _ in mass]
-    prior: list[np.ndarray] = []
-    todo = [(np.arange(len(mass)), class_of)]
-    while todo:
-        items, group = todo.pop()
-        node = len(prior)
-        sums = np.bincount(group, mass[items], minlength=WIDE)
+def tree(mass: np.ndarray, class_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """nodes, children, first, inside and prior of Model, from the count of each leaf and its class (fewer than WIDE of them)."""
+
+    def shares(group: np.ndarray, own: np.ndarray) -> np.ndarray:
+        sums = np.bincount(group, own, minlength=WIDE)
         with np.errstate(divide="ignore"):
-            prior.append(np.maximum(np.log(sums / sums.sum()), -1e4))
-        for item, child in zip(items, group, strict=True):
-            paths[item].append((node, int(child)))
-        for child in np.flatnonzero(np.bincount(group, minlength=WIDE) > 1):
-            own = items[group == child]
-            own = own[np.argsort(-mass[own], kind="stable")]
-            todo.append((own, _groups(mass[own])))
-    first = np.concatenate(([0], np.cumsum([len(p) for p in paths]))).astype(np.int64)
-    flat = np.array([x for p in paths for x in p], np.uint32).reshape(-1, 2)
-    return flat[:, 0].copy(), flat[:, 1].astype(np.int64), first, np.array(prior, np.float32).reshape(-1, WIDE)
+            return np.maximum(np.log(sums / sums.sum()), -1e4)
+
+    # Node 0 chooses the class; a class with several leaves has a node that chooses the group.
+    prior, node_of, group_of = [shares(class_of, mass)], np.zeros(len(mass), np.int64), np.zeros(len(mass), np.int64)
+    inside = np.zeros(len(mass))
+    for c in np.flatnonzero(np.bincount(class_of, minlength=WIDE) > 1):
+        own = np.flatnonzero(class_of == c)
+        own = own[np.argsort(-mass[own], kind="stable")]
+        group_of[own] = _groups(mass[own])
+        node_of[own] = len(prior)
+        prior.append(shares(group_of[own], mass[own]))
+        inside[own] = np.log10(mass[own] / np.bincount(group_of[own], mass[own])[group_of[own]])
+    second = node_of > 0
+    first = np.concatenate(([0], np.cumsum(1 + second))).astype(np.int64)
+    nodes, children = np.zeros(first[-1], np.uint32), np.zeros(first[-1], np.int64)
+    children[first[:-1]] = class_of
+    nodes[first[:-1][second] + 1], children[first[:-1][second] + 1] = node_of[second], group_of[second]
+    return nodes, children, first, inside, np.array(prior, np.float32)
 
 
 def untrained(vocab: Vocabulary, of: np.ndarray, rare_sums: np.ndarray) -> Model:
@@ -314,20 +323,17 @@ def _rare(batch: pa.RecordBatch) -> np.ndarray:
 
 def step(w: np.ndarray, seen: np.ndarray, model: Model, leaves: np.ndarray, every: np.ndarray) -> None:
     """One gradient step over a batch of places, each row of weights at its own rate."""
-    place, node, child = model.choices(leaves)
-    rows = model.rows(every[:, place], node)
-    slope = -model.shares(rows, node, w)
-    slope[np.arange(len(child)), child] += 1
-    flat = rows.ravel()
-    order = np.argsort((flat & np.uint32(0xFFFF)).astype(np.uint16), kind="stable")
-    if len(w) > 1 << 16:
-        order = order[np.argsort((flat[order] >> np.uint32(16)).astype(np.uint16), kind="stable")]
-    ranked = flat[order]
-    at = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
-    row = ranked[at]
-    sums = np.add.reduceat(slope[order % len(node)], at, axis=0)
-    seen[row] += (sums * sums).mean(axis=1)
-    w[row] += RATE * sums / np.sqrt(seen[row])[:, None]
+    slopes, column = np.zeros(w.size, np.float32), np.arange(WIDE)
+    for lo in range(0, len(leaves), PART):
+        place, node, child = model.choices(leaves[lo : lo + PART])
+        rows = model.rows(every[:, lo + place], node)
+        slope = -model.shares(rows, node, w)
+        slope[np.arange(len(child)), child] += 1
+        for r in rows:
+            np.add.at(slopes, (r[:, None].astype(np.int64) * WIDE + column).ravel(), slope.ravel())
+    slopes = slopes.reshape(w.shape)
+    seen += np.einsum("ij,ij->i", slopes, slopes) / WIDE
+    w += slopes * (RATE / np.sqrt(seen))[:, None]
 
 
 def trained(texts: DataFrame, model: Model, total: int, rounds: int = ROUNDS) -> Model:

@@ -340,3 +340,29 @@ def test_classifier_is_right_and_calibrated_on_held_out_labels(spark):
     assert len(got) > 500 and (got["predicted"] == y).mean() > 0.95
     assert ((p - y) ** 2).mean() < 0.04 < y.mean() * (1 - y.mean())
     assert abs(p.mean() - y.mean()) < 0.03
+
+
+def test_language_model_probabilities_sum_to_one(spark, monkeypatch):
+    rows = [(d, " ".join(f"w{int(random.Random(d * 977 + i).paretovariate(0.7)) % 3000}" for i in range(120))) for d in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(language_model.vocabulary, "__defaults__", (300,))
+    _, counts, vocab, model = language_model.fitted(docs, 7, 2)
+    assert np.abs(model.weights).max() > 0.05 and 100 < len(vocab.hashes) <= 301
+    n = len(vocab.hashes) + language_model.HASHED
+    rng = np.random.default_rng(1)
+    for _ in range(5):
+        ids = rng.integers(0, len(vocab.hashes), 3).astype(np.uint16)
+        f = language_model.features(model.history(ids, np.zeros(0, np.int64)), np.array([0, 3]))[:, 2:3].repeat(n, axis=1)
+        assert (10 ** model.log10(np.arange(n), f)).sum() == pytest.approx(1, abs=1e-4)
+    # Within a group of rare words: counts plus one, and one share for the unseen.
+    shares = np.ones(language_model.HASHED)
+    for r in counts.filter((F.col("c") < vocab.least) & (F.col("w") != language_model.END)).collect():
+        shares[r.w % language_model.HASHED] += r.c + 1
+    assert shares.tolist() == model.group_sums.tolist()
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    rows = [(d, prose(80, d % 60, 200)) for d in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two = ({r.doc_id: r.score for r in language_model.lm_scores(docs.repartition(n)).collect()} for n in (2, 7))
+    assert one == pytest.approx(two, rel=1e-6)
