@@ -22,21 +22,11 @@ HEATING = (
 )
 MOST_BEDROOMS = 10
 
-_COUNT = r"(\d{1,2}|" + "|".join(NUMERALS) + ")"
-_ROOM = r"dhom\w*"
-_LIVING = r"(?!\s+e\s+(?:ndej|nde|dit))"
-#: Where a count of bedrooms stands, surest first: layout N+M, field, sleeping rooms before or after the count, rooms, beds.
-_COUNTED = (
-    r"(?:^|[^\d])(\d{1,2})\s*\+\s*\d{1,2}(?:\b|[^\d])",
-    rf"\b{_ROOM}\s*:\s*(\d{{1,2}})",
-    rf"\b{_COUNT}\s*{_ROOM}(?:\s+(?:te|e))?\s*(?:gjum|fjetj)",
-    rf"\b{_ROOM}\s*gjum\w*\s*[-:]?\s*(\d{{1,2}})",
-    rf"\b{_COUNT}\s*{_ROOM}she\b",
-    rf"\b{_COUNT}\s+{_ROOM}\b{_LIVING}",
-    rf"\b{_COUNT}\s*(?:bed(?:room)?s?|br)\b",
-)
-_ONE = rf"\b{_ROOM}(?:\s+(?:te|e))?\s*gjum"
-_NONE = r"\b(?:gars|gas)on\w*|\bstudio\b"
+# Beginnings of the words for a room, for sleeping and for sitting, words for bedrooms and studios, and the end of
+# a room's word that is joined to its count.
+ROOM, SLEEP, SIT = "dhom", ("gjum", "fjet"), ("ndej", "nde", "dit")
+BEDS, STUDIO = ("bed", "beds", "bedroom", "bedrooms", "br"), ("garson", "gason", "studio")
+JOINED = "she"
 
 
 def folded(text: Column) -> Column:
@@ -50,17 +40,59 @@ def count(token: Column) -> Column:
     return F.when(n.between(0, MOST_BEDROOMS), n)
 
 
+def _starts(word: Column, beginnings: tuple[str, ...] | str) -> Column:
+    marks = (beginnings,) if isinstance(beginnings, str) else beginnings
+    out = F.lit(False)
+    for m in marks:
+        out = out | F.coalesce(F.startswith(word, F.lit(m)), F.lit(False))
+    return out
+
+
 def bedrooms(*texts: Column) -> Column:
-    """The first text with a hit, titles before descriptions: a count, one sleeping room without a count, none in a studio."""
+    """The first text that tells the number of bedrooms, titles before descriptions.
+
+    A text becomes a list of words, numbers and the signs + and :. Around each place a few words decide, and the kinds of
+    evidence come in this order: a layout (2+1), a field (rooms: 2), sleeping rooms with a count before or after, a count
+    joined to its rooms, rooms that are not for sitting, beds; then one sleeping room without a count, and none in a studio.
+    """
 
     def of(text: Column) -> Column:
-        t = folded(F.coalesce(text, F.lit("")))
-        counted = [count(F.regexp_extract(t, p, 1)) for p in _COUNTED]
-        return F.coalesce(*counted, F.when(t.rlike(_ONE), 1), F.when(t.rlike(_NONE), 0))
+        t = F.regexp_extract_all(folded(F.coalesce(text, F.lit(""))), F.lit("([a-z]+|[0-9]+|[+:])"), F.lit(1))
+
+        def first(evidence) -> Column:
+            """evidence: the value at a place, given what stands so many places on."""
+            found = F.transform(t, lambda _, i: evidence(lambda k: F.get(t, i + k)))
+            return F.get(F.filter(found, lambda x: x.isNotNull()), 0)
+
+        digits = lambda w: F.when(w.rlike("^[0-9]{1,2}$"), count(w))
+        room = lambda w: _starts(w, ROOM)
+        link = lambda w: F.coalesce(w.isin("te", "e"), F.lit(False))
+        sleeping = lambda at, k: _starts(at(k), SLEEP) | (link(at(k)) & _starts(at(k + 1), SLEEP))
+        sitting = lambda at, k: (at(k) == "e") & _starts(at(k + 1), SIT)
+        after = lambda at, k: digits(F.when(at(k) == ":", at(k + 1)).otherwise(at(k)))
+        whole = lambda w: F.coalesce(*[F.when(F.startswith(w, F.lit(name + ROOM)) & F.endswith(w, F.lit(JOINED)), n) for name, n in NUMERALS.items()])
+        kinds = [
+            lambda at: F.when((at(1) == "+") & at(2).rlike("^[0-9]"), digits(at(0))),
+            lambda at: F.when(room(at(0)) & (at(1) == ":"), digits(at(2))),
+            lambda at: F.when(room(at(1)) & sleeping(at, 2), count(at(0))),
+            lambda at: F.when(room(at(0)) & _starts(at(1), SLEEP), after(at, 2)),
+            lambda at: F.coalesce(whole(at(0)), F.when(room(at(1)) & F.endswith(at(1), F.lit(JOINED)), count(at(0)))),
+            lambda at: F.when(room(at(1)) & ~F.coalesce(sitting(at, 2), F.lit(False)), count(at(0))),
+            lambda at: F.when(at(1).isin(*BEDS), count(at(0))),
+            lambda at: F.when(room(at(0)) & sleeping(at, 1), F.lit(1)),
+            lambda at: F.when(_starts(at(0), STUDIO[:2]) | (at(0) == STUDIO[2]), F.lit(0)),
+        ]
+        return F.coalesce(*[first(k) for k in kinds])
 
     return F.coalesce(*[of(t) for t in texts])
 
 
+def sane_bedrooms(n: Column, area: Column, price: Column) -> Column:
+    """Null where the number cannot be one of bedrooms: over the most, or the area or the price in its place."""
+    leaked = F.coalesce((n >= 5) & (n == area.cast("int")), F.lit(False)) | F.coalesce((n >= 5) & (n == price.cast("long")), F.lit(False))
+    return F.when((n < 0) | (n > MOST_BEDROOMS) | leaked, F.lit(None)).otherwise(n)
+
+
 def equipment(text: Column) -> Column:
     """Struct of floor, is_furnished, has_elevator, has_parking; null where the text is silent."""
     t = folded(F.coalesce(text, F.lit("")))
@@ -74,17 +106,17 @@ def equipment(text: Column) -> Column:
 
 
 def heating(field: Column, description: Column) -> Column:
-    """From the field anywhere in it, else whole words of the description; UNKNOWN if both are silent, null if both are missing."""
-
-    def of(text: Column, whole: bool) -> Column:
-        out = F.lit(None).cast("string")
-        for kind, marks in reversed(HEATING):
-            pattern = "|".join(marks)
-            out = F.when(folded(text).rlike(rf"\b(?:{pattern})\b" if whole else pattern), kind).otherwise(out)
-        return out
-
-    some = (F.coalesce(field, F.lit("")) != "") | (F.coalesce(description, F.lit("")) != "")
-    return F.coalesce(of(field, False), of(description, True), F.when(some, "UNKNOWN"))
+    """From the field anywhere in it, else whole words of the description; UNKNOWN if both are silent, null if both are missing.
+
+    One table of (kind, mark); the first mark of the table that stands in the text decides.
+    """
+    table = [(kind, mark) for kind, marks in HEATING for mark in marks]
+    marks = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(m).alias("mark")) for k, m in table])
+    plain = lambda x: F.coalesce(folded(x), F.lit(""))
+    spaced = F.concat(F.lit(" "), F.regexp_replace(plain(description), "[^a-z0-9]+", " "), F.lit(" "))
+    in_field = F.get(F.filter(marks, lambda m: F.contains(plain(field), m["mark"])), 0)["kind"]
+    in_text = F.get(F.filter(marks, lambda m: F.contains(spaced, F.concat(F.lit(" "), m["mark"], F.lit(" ")))), 0)["kind"]
+    return F.coalesce(in_field, in_text, F.when((plain(field) != "") | (plain(description) != ""), "UNKNOWN"))
 
 
 def currency(field: Column, description: Column) -> Column:

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.text import key
+from marketloom.sources.tables import kept
 
 FUZZY = 85.0
-#: Places (with aliases) that may go to every task; a gazetteer over this bound must be matched exactly only.
-MOST_NAMES = 50_000
 
 
 def lcs_length(a: str, b: str) -> int:
@@ -47,36 +44,62 @@ def text_similarity(a: Column, b: Column) -> Column:
     return ratio(a, b)
 
 
+def _letters(k: Column) -> Column:
+    """letter#i for the i-th occurrence of each letter of the words put together: sets whose overlap bounds a common subsequence."""
+    letters = F.array_sort(F.filter(F.split(F.replace(k, F.lit(" "), F.lit("")), ""), lambda c: c != ""))
+    return F.transform(letters, lambda c, i: F.concat(c, F.lit("#"), (i - F.array_position(letters, c) + 1).cast("string")))
+
+
+def alike_keys(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """k, other, score: keys of two tables of distinct keys that are alike enough.
+
+    The score is twice a common subsequence over both lengths, so the lengths differ by a bounded factor and the letters in common
+    reach the threshold too. Keys of like length and like letters share one of their rarest letters-with-places (as in a
+    prefix filter), so candidates come from a join on those; only candidates whose letters suffice are compared.
+    """
+    t = threshold / 100
+    n = F.length(F.replace("k", F.lit(" "), F.lit("")))
+    sized = lambda df: df.select("k", n.alias("n"), _letters(F.col("k")).alias("letters"))
+    one, two = kept(sized(left), "left-keys"), kept(sized(right), "right-keys")
+    seen = one.select(F.explode("letters").alias("l")).unionAll(two.select(F.explode("letters").alias("l"))).groupBy("l").agg(F.count(F.lit(1)).alias("df"))
+
+    def prefix(df: DataFrame) -> DataFrame:
+        """The rarest letters, so many that a key alike enough must share one: of n letters at least t / (2 - t) * n are common.
+        Blanks count in the score and not here, so a key's blanks may stand for letters that differ."""
+        ranked = df.select("k", "n", F.explode("letters").alias("l")).join(seen, "l")
+        order = F.row_number().over(Window.partitionBy("k").orderBy("df", "l"))
+        blanks = F.length("k") - F.col("n")
+        least = F.greatest(F.ceil(F.col("n") * F.lit(t / (2 - t)) - blanks), F.lit(1))
+        return ranked.withColumn("_r", order).filter(F.col("_r") <= F.col("n") - least + 1).select("k", "n", "l")
+
+    a, b = prefix(one).withColumnsRenamed({"k": "a", "n": "na"}), prefix(two).withColumnsRenamed({"k": "b", "n": "nb"})
+    la, lb = F.length("a"), F.length("b")
+    near = a.join(b, "l").filter((2 * F.least(la, lb) >= t * (la + lb))).select("a", "b").distinct()
+    both = near.join(one.select(F.col("k").alias("a"), F.col("letters").alias("x")), "a").join(two.select(F.col("k").alias("b"), F.col("letters").alias("y")), "b")
+    # Blanks may all be in common.
+    common = F.size(F.array_intersect("x", "y")) + F.least(F.length("a") - F.size("x"), F.length("b") - F.size("y"))
+    may = both.filter(2 * common >= t * (la + lb)).select("a", "b")
+    scored = may.withColumn("score", text_similarity(F.col("a"), F.col("b"))).filter(F.col("score") >= threshold)
+    return scored.select(F.col("a").alias("k"), F.col("b").alias("other"), "score")
+
+
 def matched(names: DataFrame, places: DataFrame, threshold: float = FUZZY) -> DataFrame:
     """name, slug, match_type, score for every distinct name.
 
     places: slug, name, aliases. Names are compared by key: equal to a place's name (exact), to an alias (alias), else the
-    most alike of all names and aliases at the threshold or over (fuzzy), else missing.
+    most alike of all names and aliases at the threshold or over (fuzzy), else missing. Any number of names and places.
     """
     aliases = places.select("slug", F.explode("aliases").alias("a"))
     entries = places.select("slug", F.lit("exact").alias("match_type"), key(F.col("name")).alias("k"))
     entries = entries.union(aliases.select("slug", F.lit("alias").alias("match_type"), key(F.col("a")).alias("k"))).filter("k <> ''")
     best = Window.partitionBy("k").orderBy(F.col("match_type").desc(), "slug")
-    entries = entries.withColumn("_r", F.row_number().over(best)).filter("_r = 1").drop("_r")
-    wanted = names.select("name").distinct().withColumn("k", key(F.coalesce("name", F.lit(""))))
+    entries = kept(entries.withColumn("_r", F.row_number().over(best)).filter("_r = 1").drop("_r"), "entries")
+    wanted = kept(names.select("name").distinct().withColumn("k", key(F.coalesce("name", F.lit("")))), "names")
     sure = wanted.join(entries, "k", "left")
-    rest = sure.filter("slug IS NULL AND k <> ''")
-    table = entries.orderBy("k").limit(MOST_NAMES + 1).collect()
-    if len(table) > MOST_NAMES:
-        raise ValueError(f"more than {MOST_NAMES} names: fuzzy matching would not fit a task")
-    known = [(r.k, r.slug) for r in table]
-
-    @F.pandas_udf("struct<slug:string, score:double>")
-    def alike(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for keys in batches:
-            out = []
-            for k in keys:
-                score, slug = max(((token_sort_ratio(k, x), s) for x, s in known), default=(0.0, None), key=lambda t: t[0])
-                out.append((slug, score) if score >= threshold else (None, None))
-            yield pd.DataFrame(out, columns=["slug", "score"])
-
-    fuzzy = rest.select("name", alike("k").alias("m")).select("name", F.col("m.slug").alias("_slug"), F.col("m.score").alias("_score"))
-    joined = sure.join(fuzzy.filter("_slug IS NOT NULL"), "name", "left")
+    rest = wanted.filter("k <> ''").join(entries, "k", "left_anti").select("k").distinct()
+    found = alike_keys(rest, entries.select("k"), threshold).join(entries.select(F.col("k").alias("other"), F.col("slug").alias("_slug")), "other")
+    top = found.groupBy("k").agg(F.min(F.struct((-F.col("score")).alias("s"), "_slug")).alias("b")).select("k", F.col("b._slug").alias("_slug"), (-F.col("b.s")).alias("_score"))
+    joined = sure.join(top, "k", "left")
     kind = F.coalesce("match_type", F.when(F.col("_slug").isNotNull(), "fuzzy"), F.lit("missing"))
     score = F.when(F.col("match_type").isNotNull(), 100.0).otherwise(F.coalesce("_score", F.lit(0.0)))
     return joined.select("name", F.coalesce("slug", "_slug").alias("slug"), kind.alias("match_type"), score.alias("score"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketloom.operators import stats
+
 KEY = ["source_website", "source_listing_id"]
 
 
@@ -43,15 +45,15 @@ def price_changes(observations: DataFrame, increases: bool = True) -> DataFrame:
     return moved.select(*KEY, "normalized_id", event.alias("event"), ((F.col("listing_price") - F.col("old")) / F.col("old") * 100).alias("change_pct"))
 
 
-def periods(observations: DataFrame, least: int = 5) -> DataFrame:
-    """Inventory and median sale price a square metre by Monday, from each listing's last observation in the week."""
+def periods(observations: DataFrame, by: list[str], least: int = 5) -> DataFrame:
+    """Inventory and median sale price a square metre by entity and Monday, from each listing's last observation in the week."""
     week = observations.withColumn("period_start", F.date_trunc("week", "listing_date").cast("date"))
-    last = Window.partitionBy("period_start", *KEY).orderBy(F.col("listing_date").desc(), F.col("normalized_id").desc())
+    last = Window.partitionBy(*by, "period_start", *KEY).orderBy(F.col("listing_date").desc(), F.col("normalized_id").desc())
     rows = week.withColumn("_k", F.row_number().over(last)).filter("_k = 1")
     sale = F.col("listing_type") == "sale"
     psm = F.col("listing_price") / F.nullif(F.col("area_sqm"), F.lit(0.0))
-    out = rows.groupBy("period_start").agg(F.count(F.lit(1)).alias("inventory"), F.count_if(sale).alias("sales"), F.median(F.when(sale, psm)).alias("m"))
-    return out.select("period_start", F.date_add("period_start", 13).alias("period_end"), "inventory", "sales", F.when(F.col("sales") >= least, F.col("m")).alias("median_sale_psm"))
+    out = stats.medians(rows, [*by, "period_start"], [F.count(F.lit(1)).alias("inventory"), F.count_if(sale).alias("sales")], m=F.when(sale, psm))
+    return out.select(*by, "period_start", F.date_add("period_start", 13).alias("period_end"), "inventory", "sales", F.when(F.col("sales") >= least, F.col("m")).alias("median_sale_psm"))
 
 
 def status_after(misses: Column, allowed: Column) -> Column:

@@ -43,20 +43,21 @@ def recent_pool(rows: DataFrame, by: str = "source_website", most: int = 40) ->
     return rows.withColumn("_k", F.row_number().over(newest)).filter(F.col("_k") <= most).drop("_k")
 
 
-def diverse(rows: DataFrame, limit: int = 10, by: str = "source_website", within: tuple[str, ...] = ("listing_type", "property_type")) -> DataFrame:
-    """At most `limit` rows: an equal share a source (the first sources take what is over), kinds in turn within, sources in turn.
+def diverse(rows: DataFrame, entity: str, limit: int = 10, by: str = "source_website", within: tuple[str, ...] = ("listing_type", "property_type")) -> DataFrame:
+    """At most `limit` rows of each entity: an equal share a source (the first sources take what is over), kinds in turn within, sources in turn.
 
-    All by ranks: a row's place among its kind, then among its source, then among all.
+    All by ranks: a row's place among its kind, then among its source, then among its entity's. Only the newest `limit` of
+    each kind can be taken, so the later windows see few rows.
     """
     newest = [F.col("listing_date").desc_nulls_last(), F.col("normalized_id").desc()]
-    kind = F.row_number().over(Window.partitionBy(by, *within).orderBy(*newest))
-    turn = Window.partitionBy(by).orderBy("_kind", *[F.col(c).asc_nulls_last() for c in within], *newest)
-    ranked = rows.withColumn("_kind", kind).withColumn("_turn", F.row_number().over(turn))
-    sources = rows.select(by).distinct()
-    placed = sources.withColumn("_place", F.row_number().over(Window.orderBy(by))).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy()))
+    kind = F.row_number().over(Window.partitionBy(entity, by, *within).orderBy(*newest))
+    turn = Window.partitionBy(entity, by).orderBy("_kind", *[F.col(c).asc_nulls_last() for c in within], *newest)
+    ranked = rows.withColumn("_kind", kind).filter(F.col("_kind") <= limit).withColumn("_turn", F.row_number().over(turn))
+    sources = Window.partitionBy(entity)
+    placed = ranked.withColumn("_place", F.dense_rank().over(sources.orderBy(by))).withColumn("_n", F.max("_place").over(sources))
     quota = F.floor(F.lit(limit) / F.col("_n")) + (F.col("_place") <= F.lit(limit) % F.col("_n")).cast("int")
-    joined = ranked.join(F.broadcast(placed), by).filter(F.col("_turn") <= quota)
-    return joined.orderBy("_turn", "_place").limit(limit).drop("_kind", "_turn", "_place", "_n")
+    dealt = placed.filter(F.col("_turn") <= quota).withColumn("_at", F.row_number().over(sources.orderBy("_turn", "_place")))
+    return dealt.filter(F.col("_at") <= limit).orderBy(entity, "_at").drop("_kind", "_turn", "_place", "_n", "_at")
 
 
 def options(places: DataFrame, counts: DataFrame, least: int = 30) -> DataFrame:

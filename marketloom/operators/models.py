@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.functions import buckets
-from marketloom.operators.stats import gaussian_weight, median_if, weighted_bootstrap
+from marketloom.operators.stats import aggregated, gaussian_weight, medians, only, weighted_bootstrap
 
 LEAST_COMPARABLES = 30
 LEAST_MATCHES = 3
@@ -18,9 +18,8 @@ TIER_POINTS = {"high": 100.0, "medium": 78.0, "low": 48.0, "insufficient": 12.0}
 def rent_yield(rows: DataFrame, least: int = LEAST_COMPARABLES) -> DataFrame:
     """Gross yield by neighborhood where both samples are large enough."""
     rent, sale = F.col("listing_type") == "rent", F.col("listing_type") == "sale"
-    g = rows.groupBy("neighborhood_id").agg(
-        F.count_if(rent).alias("rents"), F.count_if(sale).alias("sales"), median_if("listing_price", rent).alias("_r"), median_if("listing_price", sale).alias("_s")
-    )
+    plain = [F.count_if(rent).alias("rents"), F.count_if(sale).alias("sales")]
+    g = medians(rows, ["neighborhood_id"], plain, _r=only("listing_price", rent), _s=only("listing_price", sale))
     good = g.filter((F.col("rents") >= least) & (F.col("sales") >= least))
     return good.select("neighborhood_id", "rents", "sales", (F.col("_r") * 12 / F.col("_s") * 100).alias("gross_yield_pct"))
 
@@ -34,10 +33,9 @@ def budget_match(rows: DataFrame, kind: str, budget: float) -> DataFrame:
     rent, sale = F.col("listing_type") == "rent", F.col("listing_type") == "sale"
     usable = (F.col("listing_type") == kind) & (F.col("listing_price") > 0) & F.col("area_sqm").isNotNull()
     enough = (F.count_if(rent) >= LEAST_MATCHES) & (F.count_if(sale) >= LEAST_MATCHES)
-    g = rows.groupBy("neighborhood_id").agg(
-        F.count_if(usable).alias("samples"), F.count_if(usable & (F.col("listing_price") <= budget)).alias("matches"), median_if("listing_price", usable).alias("price"),
-        F.when(enough, F.round(median_if("listing_price", rent) * 12 / median_if("listing_price", sale) * 100, 2)).alias("yield_pct"),
-    )
+    plain = [F.count_if(usable).alias("samples"), F.count_if(usable & (F.col("listing_price") <= budget)).alias("matches"), enough.alias("_enough")]
+    g = medians(rows, ["neighborhood_id"], plain, price=only("listing_price", usable), _r=only("listing_price", rent), _s=only("listing_price", sale))
+    g = g.withColumn("yield_pct", F.when(F.col("_enough"), F.round(F.col("_r") * 12 / F.col("_s") * 100, 2)))
     g = g.filter((F.col("samples") > 0) & (F.col("price") <= budget * BUDGET_TOLERANCE))
     g = g.withColumns({"afford_pct": F.round(100.0 * F.col("matches") / F.col("samples"), 1), "confidence": buckets.confidence(F.col("samples"))})
     g = g.withColumn("headroom_pct", F.round(F.greatest(F.lit(0.0), budget - F.col("price")) / budget * 100, 1))
@@ -84,14 +82,14 @@ def comparable_tiers(rows: DataFrame, area: float, least: int = LEAST_COMPARABLE
     return g.select("neighborhood_id", tier.alias("tier"), n.alias("comparables"))
 
 
-def valuation(rows: DataFrame, area: float, bandwidth: float = 10.0, resamples: int = 500, seed: int = 42) -> DataFrame:
+def valuation(rows: DataFrame, area: float, bandwidth: float = 10.0, resamples: int = 1000, seed: int = 42) -> DataFrame:
     """Estimate for an area in each neighborhood: weighted mean of comparables and its bootstrap interval.
 
     Resampling draws by weight and weighs again, as the published intervals do.
     """
     near = rows.filter(F.col("area_sqm").between(area * 0.8, area * 1.2)).withColumn("weight", gaussian_weight(F.col("area_sqm"), area, bandwidth))
     out = weighted_bootstrap(near, ["neighborhood_id"], "psm", "weight", "normalized_id", resamples, seed=seed)
-    asked = near.groupBy("neighborhood_id").agg(F.median("psm").alias("_asked"))
+    asked = medians(near, ["neighborhood_id"], [F.count(F.lit(1)).alias("_rows")], _asked=F.col("psm"))
     verdict = F.when(F.col("_asked") > F.col("hi"), "above").when(F.col("_asked") < F.col("lo"), "below").otherwise("within")
     label = F.when(F.col("n") >= LEAST_COMPARABLES, "Medium").otherwise("Low")
     scaled = [(F.col(c) * area).alias(n) for c, n in (("mean", "estimate"), ("lo", "lo"), ("hi", "hi"))]
@@ -102,17 +100,17 @@ def errors(rows: DataFrame, by: list[str], predicted: Column, actual: Column) ->
     """Errors of predictions by group, to six decimals."""
     off, pct = F.abs(predicted - actual), F.abs(predicted - actual) / actual * 100
     r = lambda x: F.round(x, 6)
-    return rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), r(F.avg(off)).alias("mae"), r(F.sqrt(F.avg(F.pow(predicted - actual, F.lit(2.0))))).alias("rmse"), r(F.median(off)).alias("median_ae"),
-        r(F.avg(pct)).alias("mape"), r(F.median(pct)).alias("mdape"), F.count_if(pct < 10).alias("under_10"), F.count_if(pct >= 50).alias("over_50"),
-    )
+    bins = [F.count_if(inside).alias(name) for name, inside in (("under_10", pct < 10), ("from_10", (pct >= 10) & (pct < 20)), ("from_20", (pct >= 20) & (pct < 30)), ("from_30", (pct >= 30) & (pct < 50)), ("over_50", pct >= 50))]
+    plain = [F.count(F.lit(1)).alias("n"), r(F.avg(off)).alias("mae"), r(F.sqrt(F.avg(F.pow(predicted - actual, F.lit(2.0))))).alias("rmse"), r(F.avg(pct)).alias("mape")]
+    out = aggregated(rows, by, plain + bins, {"median_ae": (off, 0.5), "mdape": (pct, 0.5), "p90_ape": (pct, 0.9)})
+    return out.withColumns({c: r(F.col(c)) for c in ("median_ae", "mdape", "p90_ape")})
 
 
 def sample_reliability(n: Column) -> Column:
     return F.least(F.lit(1.0), F.sqrt(n / 100))
 
 
-def dataset_confidence(n: Column, sources: Column, missing: Column, parser: float = 0.97) -> tuple[Column, Column]:
+def dataset_confidence(n: Column, sources: Column, missing: Column, parser: float = 0.92) -> tuple[Column, Column]:
     """Score and its tier: parser accuracy, source diversity, completeness and sample reliability multiplied."""
     score = parser * F.least(F.lit(1.0), sources / 2) * F.greatest(F.lit(0.0), 1 - missing) * sample_reliability(n)
     return score, F.when(score < 0.25, "insufficient").when(score < 0.45, "exploratory").when(score < 0.65, "moderate").otherwise("high")

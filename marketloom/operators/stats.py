@@ -2,18 +2,90 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from statistics import NormalDist
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketloom.sources.tables import kept
 
-def median_if(x: str | Column, condition: Column) -> Column:
-    x = F.col(x) if isinstance(x, str) else x
-    return F.median(F.when(condition, x))
+
+def _bin(x: Column) -> Column:
+    """Number of the bin of a value, in the order of values: 256 to a doubling, so a bin is a quarter of a per cent wide."""
+    size = F.floor(F.log2(F.abs(x)) * 256) + 300_000
+    return F.when(x == 0, F.lit(0)).when(x > 0, size).otherwise(-size).cast("long")
+
+
+def _last_before(starts: DataFrame, ranks: DataFrame, by: list[str], what: str) -> DataFrame:
+    """ranks with the column `what` of the last start at or before each rank, within by."""
+    both = starts.select(*by, "start", what, F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("rank")).unionByName(
+        ranks.select(*by, F.col("rank").alias("start"), F.lit(1).alias("_kind"), "rank"), allowMissingColumns=True
+    )
+    order = Window.partitionBy(*by).orderBy("start", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn(what, F.last(what, ignorenulls=True).over(order)).filter("_kind = 1").select(*by, "rank", what)
+
+
+def order_statistics(counts: DataFrame, ranks: DataFrame) -> DataFrame:
+    """g, rank, x: the value at each rank (from 0, ascending) of each group, exactly.
+
+    counts (a stored table): g (a struct), x (double, no nulls), c (how often). First the counts of bins say in which bin each
+    rank lies, then only the values of those bins are put in order. A group of any size is spread over its bins.
+    """
+    binned = counts.withColumn("bin", _bin(F.col("x")))
+    up_to = Window.partitionBy("g").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    bins = binned.groupBy("g", "bin").agg(F.sum("c").alias("c")).withColumn("start", F.sum("c").over(up_to) - F.col("c"))
+    placed = kept(_last_before(bins, ranks.select("g", "rank").distinct(), ["g"], "bin"), "ranks")
+    needed = placed.select("g", "bin").distinct().join(bins.select("g", "bin", "start"), ["g", "bin"])
+    inside = Window.partitionBy("g", "bin").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    values = binned.join(needed, ["g", "bin"]).withColumn("start", F.col("start") + F.sum("c").over(inside) - F.col("c"))
+    return _last_before(values.select("g", "bin", "start", "x"), placed, ["g", "bin"], "x").select("g", "rank", "x")
+
+
+def value_counts(rows: DataFrame, by: list[str], values: dict[str, Column]) -> DataFrame:
+    """g (struct of by and the value's name), x, c: a stored table of distinct values, counted before they are shuffled."""
+    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), x.cast("double").alias("x")) for k, x in values.items()]))
+    long = rows.select(*by, cells.alias("_c")).filter("_c.x IS NOT NULL").select(F.struct(*by, F.col("_c.name").alias("name")).alias("g"), F.col("_c.x").alias("x"))
+    return kept(long.groupBy("g", "x").agg(F.count(F.lit(1)).alias("c")), "values")
+
+
+def quantiles(rows: DataFrame, by: list[str], wanted: dict[str, tuple[Column, float]]) -> DataFrame:
+    """One row a group with a value: by and, for each name, the exact interpolated quantile of the column's values that are not null."""
+    columns = {str(x): x for x, _ in wanted.values()}
+    counts = value_counts(rows, by, columns)
+    sizes = counts.groupBy("g").agg(F.sum("c").alias("n"))
+    ask = F.explode(F.array(*[F.struct(F.lit(k).alias("out"), F.lit(str(x)).alias("name"), F.lit(float(q)).alias("q")) for k, (x, q) in wanted.items()]))
+    asked = sizes.select("g", "n", ask.alias("a")).filter("a.name = g.name").select("g", F.col("a.out").alias("out"), ((F.col("n") - 1) * F.col("a.q")).alias("at"))
+    asked = kept(asked.withColumns({"lo": F.floor("at"), "hi": F.ceil("at")}), "asked")
+    found = order_statistics(counts, asked.select("g", F.explode(F.array("lo", "hi")).alias("rank")))
+    by_rank = found.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("rank", "x"))).alias("x"))
+    value = F.when(F.col("lo") == F.col("hi"), F.col("x")[F.col("lo")]).otherwise((F.col("hi") - F.col("at")) * F.col("x")[F.col("lo")] + (F.col("at") - F.col("lo")) * F.col("x")[F.col("hi")])
+    long = asked.join(by_rank, "g").select(*[F.col(f"g.{c}").alias(c) for c in by], "out", value.alias("v"))
+    return long.groupBy(*by).agg(*[F.max(F.when(F.col("out") == k, F.col("v"))).alias(k) for k in wanted])
+
+
+def aggregated(rows: DataFrame, by: list[str], aggregates: list[Column], wanted: dict[str, tuple[Column, float]]) -> DataFrame:
+    """Aggregates and exact quantiles by group, a row for each group of rows."""
+    plain = rows.groupBy(*by).agg(*aggregates)
+    found = quantiles(rows, by, wanted)
+    if not by:
+        return plain.join(F.broadcast(found), F.lit(True), "left")
+    names = {c: f"_q_{c}" for c in by}
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()])
+    return plain.join(found.withColumnsRenamed(names), same, "left").drop(*names.values())
+
+
+def medians(rows: DataFrame, by: list[str], aggregates: list[Column], **wanted: Column) -> DataFrame:
+    """aggregated() for medians alone."""
+    return aggregated(rows, by, aggregates, {k: (x, 0.5) for k, x in wanted.items()})
+
+
+def only(x: str | Column, condition: Column) -> Column:
+    """The value where the condition holds, else null."""
+    return F.when(condition, F.col(x) if isinstance(x, str) else x)
 
 
 def summary(df: DataFrame, by: list[str], x: str) -> DataFrame:
@@ -22,11 +94,11 @@ def summary(df: DataFrame, by: list[str], x: str) -> DataFrame:
     The MAD needs the median first: the second pass joins the groups' medians, which are few, to the rows.
     """
     df = df.filter(F.col(x).isNotNull())
-    first = df.groupBy(*by).agg(
-        F.count(x).alias("n"), F.median(x).alias("median"), F.avg(x).alias("mean"), F.coalesce(F.nanvl(F.stddev_samp(x), F.lit(0.0)), F.lit(0.0)).alias("std"),
-        F.percentile(x, F.lit(0.25)).alias("q25"), F.percentile(x, F.lit(0.75)).alias("q75"), F.min(x).alias("least"), F.max(x).alias("largest"),
-    )
-    spread = df.join(first.select(*by, "median"), by).groupBy(*by).agg(F.median(F.abs(F.col(x) - F.col("median"))).alias("mad"))
+    plain = [
+        F.count(x).alias("n"), F.avg(x).alias("mean"), F.coalesce(F.nanvl(F.stddev_samp(x), F.lit(0.0)), F.lit(0.0)).alias("std"), F.min(x).alias("least"), F.max(x).alias("largest"),
+    ]
+    first = kept(aggregated(df, by, plain, {"median": (F.col(x), 0.5), "q25": (F.col(x), 0.25), "q75": (F.col(x), 0.75)}), "summary")
+    spread = quantiles(df.join(first.select(*by, "median"), by), by, {"mad": (F.abs(F.col(x) - F.col("median")), 0.5)})
     return first.join(spread, by).withColumn("iqr", F.col("q75") - F.col("q25"))
 
 
@@ -55,14 +127,36 @@ def robust_months(monthly: DataFrame, month: str = "month", value: str = "median
 
     A month with a low count stays in the series but is listed; only troughs and spikes are dropped.
     """
-    others = monthly.select(F.col(month).alias("_m"), F.col(value).alias("_v"))
-    baseline = monthly.join(others, F.col(month) != F.col("_m"), "left").groupBy(month, value, n).agg(F.median("_v").alias("baseline"))
+    baseline = leave_one_out_median(monthly, [], value, "baseline", month)
     outlier = F.when(F.col("baseline") <= 0, F.lit(None)).when(F.col(value) <= F.col("baseline") * TROUGH, "thin_sample_trough").when(
         F.col(value) >= F.col("baseline") * SPIKE, "thin_sample_spike"
     )
     return baseline.withColumn("outlier", outlier).withColumn("low_sample", F.col(n) < LEAST_MONTH).withColumn("kept", F.col("outlier").isNull())
 
 
+def leave_one_out_median(rows: DataFrame, by: list[str], x: str, out: str, key: str) -> DataFrame:
+    """Adds the median of the other rows of the group, null in a group of one; rows without a value get the group's median.
+
+    In order, the row at rank i of n leaves the others at their ranks but for those above it, which move down by one. So the
+    median without it is one of the (at most three) middle values of the group, or the mean of two: no row meets the others.
+    """
+    rows = kept(rows, "rows")
+    counts = value_counts(rows, by, {x: F.col(x)})
+    sizes = kept(counts.groupBy("g").agg(F.sum("c").alias("n")), "sizes")
+    middle = sizes.withColumn("m", F.floor((F.col("n") - 2) / 2)).select("g", "n", F.explode(F.array("m", F.col("m") + 1, F.col("m") + 2)).alias("rank"))
+    found = order_statistics(counts, middle.filter("rank >= 0 AND rank < n").select("g", "rank"))
+    at = found.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("rank", "x"))).alias("_at")).join(sizes, "g").select(*[F.col(f"g.{c}").alias(f"_g_{c}") for c in by], "_at", F.col("n").alias("_n"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in by], F.lit(True))
+    joined = rows.join(F.broadcast(at) if not by else at, same, "left").drop(*[f"_g_{c}" for c in by])
+    m = F.floor((F.col("_n") - 2) / 2)
+    own = F.col(x).cast("double")
+    # The k-th of the others: the k-th of all below the row, the next one from the row on.
+    other = lambda k: F.when(own <= F.col("_at")[k], F.col("_at")[k + 1]).otherwise(F.col("_at")[k])
+    without = F.when(F.col("_n") < 2, F.lit(None)).when(F.col("_n") % 2 == 0, other(m)).otherwise((other(m) + other(m + 1)) / 2)
+    whole = F.when(F.col("_n") == 1, F.col("_at")[F.lit(0).cast("long")]).when(F.col("_n") % 2 == 1, F.col("_at")[m + 1]).otherwise((F.col("_at")[m] + F.col("_at")[m + 1]) / 2)
+    return joined.withColumn(out, F.when(own.isNotNull(), without).otherwise(whole)).drop("_at", "_n")
+
+
 def percent_rank_average(x: str, over: list[str]) -> Column:
     """Share of rows at or below, ties at their average rank."""
     group, ordered = Window.partitionBy(*over), Window.partitionBy(*over).orderBy(x)
@@ -70,39 +164,44 @@ def percent_rank_average(x: str, over: list[str]) -> Column:
     return (F.rank().over(ordered) + (ties - 1) / 2) / F.count(F.lit(1)).over(group)
 
 
-#: Rows of a group up to which its values are resampled in one task.
-MOST_RESAMPLED = 20_000
+def median_ranks(n: int, resamples: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks (in the order of n values) of the two middle draws of each resample of n draws; one rank twice if n is odd.
 
+    The k-th of n uniform numbers has a beta distribution, and the next one is the least of those above it. So a resample's
+    median is drawn without drawing the resample.
+    """
+    k = (n + 1) // 2
+    low = rng.beta(k, n - k + 1, resamples)
+    high = low + (1 - low) * rng.beta(1, n - k, resamples) if n % 2 == 0 else low
+    return tuple(np.minimum((u * n).astype(np.int64), n - 1) for u in (low, high))
 
-def bootstrap_median(df: DataFrame, by: list[str], x: str, key: str, resamples: int = 1000, ci: float = 0.95, seed: int = 42, most: int = MOST_RESAMPLED) -> DataFrame:
-    """n, median, lo, hi: the median and its percentile bootstrap interval by group.
 
-    Groups of up to `most` rows are resampled with a seed, values in order of the key. In larger ones the bootstrap
-    distribution of the median is known: its quantiles are order statistics at ranks n / 2 -+ z * sqrt(n) / 2, which are exact
-    percentiles of the group and need no task of its own.
+def bootstrap_median(df: DataFrame, by: list[str], x: str, resamples: int = 5000, ci: float = 0.95, seed: int = 42) -> DataFrame:
+    """n, median, lo, hi: the median and its percentile bootstrap interval by group, the same way at every size.
+
+    The ranks of the resamples' medians are drawn from the group's size and the seed; the values at those ranks are then
+    order statistics of the group. No group meets in one task.
     """
     edge = (1 - ci) / 2
-    z = NormalDist().inv_cdf(1 - edge)
+    rows = df.filter(F.col(x).isNotNull())
+    counts = value_counts(rows, by, {x: F.col(x)})
+    sizes = counts.groupBy("g").agg(F.sum("c").alias("n"))
 
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        values = part.sort_values(key)[x].to_numpy(float)
-        rng = np.random.default_rng(seed)
-        medians = np.array([np.median(rng.choice(values, len(values))) for _ in range(resamples)])
-        found = {"n": len(values), "median": np.median(values), "lo": np.quantile(medians, edge), "hi": np.quantile(medians, 1 - edge)}
-        return pd.DataFrame([{c: part[c].iat[0] for c in by} | found])
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            for g, n in zip(part["id"], part["n"], strict=True):
+                low, high = median_ranks(int(n), resamples, np.random.default_rng((seed, int(n))))
+                yield pd.DataFrame({"id": g, "b": range(resamples), "lo": low, "hi": high})
 
-    kinds = dict(df.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in by) + ", n long, median double, lo double, hi double"
-    rows = df.filter(F.col(x).isNotNull()).select(*by, key, x)
-    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    small = rows.join(sizes.filter(F.col("_n") <= most).select(*by), by, "left_semi").groupBy(*by).applyInPandas(one, schema)
-    ranked = rows.join(sizes.filter(F.col("_n") > most), by).withColumn("_q", F.percent_rank().over(Window.partitionBy(*by).orderBy(x)))
-    half = z / 2 / F.sqrt("_n")
-    large = ranked.groupBy(*by).agg(
-        F.max("_n").alias("n"), F.median(x).alias("median"),
-        F.max(F.when(F.col("_q") <= 0.5 - half, F.col(x))).cast("double").alias("lo"), F.min(F.when(F.col("_q") >= 0.5 + half, F.col(x))).cast("double").alias("hi"),
-    )
-    return small.unionByName(large)
+    # Groups go to Python as text, so that keys of any type come back as they were.
+    named = kept(sizes.select("g", F.to_json("g").alias("id"), "n"), "groups")
+    drawn = kept(named.select("id", "n").mapInPandas(draw, "id string, b int, lo long, hi long").join(named.select("id", "g"), "id").drop("id"), "drawn")
+    found = kept(order_statistics(counts, drawn.select("g", F.explode(F.array("lo", "hi")).alias("rank"))), "found")
+    at = lambda c: found.select("g", F.col("rank").alias(c), F.col("x").alias(f"x_{c}"))
+    middle = drawn.join(at("lo"), ["g", "lo"]).join(at("hi"), ["g", "hi"]).select("g", ((F.col("x_lo") + F.col("x_hi")) / 2).alias("m"))
+    bounds = middle.groupBy("g").agg(F.percentile("m", F.lit(edge)).alias("lo"), F.percentile("m", F.lit(1 - edge)).alias("hi"))
+    bounds = bounds.select(*[F.col(f"g.{c}").alias(c) for c in by], "lo", "hi")
+    return medians(rows, by, [F.count(F.lit(1)).alias("n")], median=F.col(x)).join(bounds, by)
 
 
 def _uniform(keys: np.ndarray, n: int, seed: int) -> np.ndarray:
@@ -115,19 +214,43 @@ def _uniform(keys: np.ndarray, n: int, seed: int) -> np.ndarray:
     return ((z >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
 
 
+#: Rate from which a Poisson number is drawn by its normal form (a cube root): the inversion would sum many terms.
+LARGE_RATE = 50.0
+
+
 def _poisson(u: np.ndarray, rate: np.ndarray) -> np.ndarray:
-    """Poisson numbers by inversion, a rate a row."""
-    p = np.exp(-rate)[:, None]
-    total, k, out = p.copy(), 0, np.zeros(u.shape)
-    while (left := u > total).any() and k < 1_000:
-        k += 1
-        out += left
-        p = p * rate[:, None] / k
-        total = total + p
+    """Poisson numbers by inversion, a rate a row; for large rates by the Wilson-Hilferty form of the gamma quantile."""
+    out = np.zeros(u.shape)
+    small = rate < LARGE_RATE
+    if small.any():
+        v, r = u[small], rate[small][:, None]
+        p = np.exp(-r)
+        total, k, found = p.copy(), 0, np.zeros(v.shape)
+        while (left := v > total).any() and k < 20 * LARGE_RATE:
+            k += 1
+            found += left
+            p = p * r / k
+            total = total + p
+        out[small] = found
+    if not small.all():
+        # N <= k if a gamma variable of k + 1 is over the rate; its cube root is close to normal, which is solved for k.
+        z = ndtri(u[~small])
+        r = rate[~small][:, None]
+        out[~small] = np.maximum(np.floor(r + z * np.sqrt(r) + (z * z + 2) / 6 - z * (z * z + 2) / (72 * np.sqrt(r))), 0)
     return out
 
 
-def weighted_bootstrap(df: DataFrame, by: list[str], x: str, weight: str, key: str, resamples: int = 500, ci: float = 0.95, seed: int = 42) -> DataFrame:
+def ndtri(p: np.ndarray) -> np.ndarray:
+    """Quantile of the normal distribution: steps of Newton's method from the logistic curve, with the error function's series."""
+    z = np.clip(np.log(p / (1 - p)) / 1.702, -8, 8)
+    erf = np.frompyfunc(math.erf, 1, 1)
+    for _ in range(6):
+        below = 0.5 * (1 + erf(z / math.sqrt(2)).astype(float))
+        z = np.clip(z - np.clip((below - p) / np.maximum(np.exp(-z * z / 2) / math.sqrt(2 * math.pi), 1e-12), -1, 1), -8.2, 8.2)
+    return z
+
+
+def weighted_bootstrap(df: DataFrame, by: list[str], x: str, weight: str, key: str, resamples: int = 1000, ci: float = 0.95, seed: int = 42) -> DataFrame:
     """n, mean, lo, hi: weighted mean and its bootstrap interval by group, rows drawn by weight and weighed again.
 
     Each row counts a Poisson number of times in each resample, with the mean that drawing by weight would give, from a hash of

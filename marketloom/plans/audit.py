@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marketloom.functions import text
-from marketloom.operators import quality
+from marketloom.operators import audits, quality, stats
 from marketloom.plans.market import corpus_of, r
 from marketloom.sources.listings import LISTINGS, listings
 from marketloom.sources.tables import table
@@ -159,7 +159,7 @@ SELECT source_website, round(100.0 * avg(CASE WHEN listing_type = 'rent' THEN 1.
 """)
 def source_bias(spark, sf_dir):
     rows = corpus_of(spark, sf_dir)
-    top = rows.filter("listing_type = 'rent'").agg(F.percentile("listing_price", F.lit(0.9)).alias("p90"))
+    top = stats.quantiles(rows.filter("listing_type = 'rent'"), [], {"p90": (F.col("listing_price"), 0.9)})
     share = lambda c, v: F.round(100.0 * F.avg(F.when(F.col(c) == v, 1.0).otherwise(0.0)), 4)
     return rows.join(F.broadcast(top)).groupBy("source_website").agg(
         share("listing_type", "rent").alias("rent_pct"), share("property_type", "BUILDING").alias("building_pct"),
@@ -184,7 +184,7 @@ SELECT neighborhood_id, round(delta, 6) AS delta_pct, CASE WHEN abs(delta) >= 30
 """)
 def statistical_sanity(spark, sf_dir):
     rows = corpus_of(spark, sf_dir)
-    part = lambda c: rows.filter(c).groupBy("neighborhood_id").agg(F.median("psm").alias("m"), F.count("psm").alias("n"))
+    part = lambda c: stats.medians(rows.filter(c), ["neighborhood_id"], [F.count("psm").alias("n")], m=F.col("psm"))
     out = quality.moved(part("listing_date >= '1998-01-01'"), part("listing_date < '1998-01-01'"), "neighborhood_id", "m", 15, 30)
     return out.withColumn("delta_pct", F.round("delta_pct", 6))
 
@@ -203,14 +203,12 @@ def cross_surface(spark, sf_dir):
 
 
 @query("dataset_fingerprint", """
-SELECT sha256(string_agg(source_website || '|' || source_listing_id || '|' || normalized_id, chr(10) ORDER BY source_website, source_listing_id)) AS fingerprint, count(*) AS n FROM corpus
+, l AS (SELECT md5(source_website || '|' || source_listing_id) AS k, sha256(source_website || '|' || source_listing_id || '|' || normalized_id) AS d FROM corpus),
+c AS (SELECT k[1:3] AS chunk, sha256(string_agg(d, chr(10) ORDER BY k, d)) AS digest, count(*) AS n FROM l GROUP BY 1)
+SELECT sha256(string_agg(chunk || ':' || digest, chr(10) ORDER BY chunk)) AS fingerprint, CAST(sum(n) AS BIGINT) AS n FROM c
 """)
 def dataset_fingerprint(spark, sf_dir):
-    """The published digest of the ordered rows. It is sequential by definition: one row of text a listing meets in one task;
-    `row_digest` is the order-free one for large corpora."""
-    line = F.concat_ws("|", "source_website", F.col("source_listing_id").cast("string"), F.col("normalized_id").cast("string"))
-    lines = F.sort_array(F.collect_list(F.struct("source_website", "source_listing_id", line.alias("line"))))
-    return corpus_of(spark, sf_dir).agg(F.sha2(F.array_join(F.transform(lines, lambda x: x["line"]), "\n"), 256).alias("fingerprint"), F.count(F.lit(1)).alias("n"))
+    return audits.fingerprint(corpus_of(spark, sf_dir), ["source_website", "source_listing_id"], ["normalized_id"])
 
 
 @query("row_digest", """
@@ -273,20 +271,26 @@ def text_key(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.key(F.col("text"))).alias("digest"))
 
 
-@query("redact_text", r"""
-WITH a AS (SELECT conv_id, turn, regexp_replace(coalesce(text, ''), '(?i)https?://(?:www\.)?(?:wa\.me|api\.whatsapp\.com|t\.me|m\.me)/[^ \t\n]+', '[redacted]', 'g') AS t FROM conversations),
-b AS (SELECT conv_id, turn, regexp_replace(t, '(?i)\b(?:whatsapp|viber|telegram|signal|messenger)[ ]*[:@][ ]*[0-9A-Za-z_./+-]+', '[redacted]', 'g') AS t FROM a),
-c AS (SELECT conv_id, turn, regexp_replace(t, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}', '[redacted]', 'g') AS t FROM b),
-d AS (SELECT conv_id, turn, regexp_replace(t, '(?:\+|00)?[0-9]{2,3}[ .-][0-9]{3}[ .-][0-9]{3,4}', '[redacted]', 'g') AS t FROM c)
-SELECT conv_id, turn, md5(trim(regexp_replace(t, '[ \t\n]{2,}', ' ', 'g'))) AS digest FROM d
-""", False)
+_NAMED = "regexp_replace({w}, '[:@].*$', '') <> {w} AND regexp_replace({w}, '[:@].*$', '') IN (" + ", ".join(f"'{m}'" for m in text.MESSENGERS) + ")"
+_CONTACT = "(" + " OR ".join(f"contains(l[i], '{h}')" for h in text.HOSTS) + f" OR regexp_matches(l[i], '{text.MAIL}'))"
+_REDACT = f"""
+WITH w AS (SELECT conv_id, turn, string_split(trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\r]+', ' ', 'g')), ' ') AS ws FROM conversations),
+x AS (SELECT conv_id, turn, ws, list_transform(ws, lambda v: lower(v)) AS l FROM w),
+m AS (SELECT conv_id, turn, list_transform(ws, lambda v, i: CASE
+  WHEN {_CONTACT} OR ({_NAMED.format(w="l[i]")} AND NOT regexp_matches(l[i], '[:@]$'))
+    OR (i > 1 AND {_NAMED.format(w="l[i - 1]")} AND regexp_matches(l[i - 1], '[:@]$')) THEN '[redacted]' || regexp_extract(v, '[,;!?)]*$')
+  WHEN {_NAMED.format(w="l[i]")} THEN '' ELSE v END) AS ws FROM x)
+SELECT conv_id, turn, md5(regexp_replace(array_to_string(list_filter(ws, lambda v: v <> ''), ' '), '{text.PHONE}', '[redacted]', 'g')) AS digest FROM m
+"""
+
+
+@query("redact_text", _REDACT, False)
 def redact_text(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(text.redacted(F.col("text"))).alias("digest"))
 
 
-@query("redaction_counts", r"""
-SELECT lang, count(*) FILTER (regexp_matches(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}')) AS with_mail,
-  count(*) FILTER (regexp_matches(text, '(?:\+|00)?[0-9]{2,3}[ .-][0-9]{3}[ .-][0-9]{3,4}')) AS with_phone, count(*) AS n FROM documents GROUP BY 1
+@query("redaction_counts", f"""
+SELECT lang, count(*) FILTER (regexp_matches(text, '{text.MAIL}')) AS with_mail, count(*) FILTER (regexp_matches(text, '{text.PHONE}')) AS with_phone, count(*) AS n FROM documents GROUP BY 1
 """, False)
 def redaction_counts(spark, sf_dir):
     has = lambda p: F.count_if(F.col("text").rlike(p))

@@ -45,12 +45,12 @@ FROM corpus WHERE psm BETWEEN 500 AND 15000 AND listing_type IS NOT NULL GROUP B
 def minimum_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median price a square metre, spread and confidence by neighborhood and type: the flagship."""
     rows = ops.in_band(corpus_of(spark, sf_dir), *ops.SALE_PSM).filter("listing_type IS NOT NULL")
-    grouped = rows.groupBy("neighborhood_id", "listing_type").agg(
-        F.count(F.lit(1)).alias("n"), F.median("psm").alias("m"), r(F.percentile("psm", F.lit(0.25))).alias("q25"),
-        r(F.percentile("psm", F.lit(0.75))).alias("q75"), r(F.stddev_samp("psm")).alias("std"),
-    )
+    psm = F.col("psm")
+    grouped = stats.aggregated(
+        rows, ["neighborhood_id", "listing_type"], [F.count(F.lit(1)).alias("n"), r(F.stddev_samp("psm")).alias("std")], {"m": (psm, 0.5), "q25": (psm, 0.25), "q75": (psm, 0.75)}
+    )
     return grouped.select(
-        "neighborhood_id", "listing_type", "n", r(F.col("m")).alias("median_psm"), "q25", "q75", "std",
+        "neighborhood_id", "listing_type", "n", r(F.col("m")).alias("median_psm"), r(F.col("q25")).alias("q25"), r(F.col("q75")).alias("q75"), "std",
         buckets.confidence(F.col("n")).alias("confidence"), rounding.shown(F.col("m"), "sale_psm").alias("shown_psm"),
     ).orderBy(F.col("median_psm").desc(), "neighborhood_id", "listing_type")
 
@@ -114,10 +114,9 @@ FROM corpus WHERE listing_type = 'sale' AND psm IS NOT NULL GROUP BY 1
 """)
 def price_stats(spark, sf_dir):
     rows = corpus_of(spark, sf_dir).filter("listing_type = 'sale' AND psm IS NOT NULL")
-    return rows.groupBy("neighborhood_id").agg(
-        F.count("psm").alias("n"), r(F.avg("psm")).alias("mean"), r(F.median("psm")).alias("median"), r(F.stddev_samp("psm")).alias("std"),
-        r(F.percentile("psm", F.lit(0.25))).alias("q1"), r(F.percentile("psm", F.lit(0.75))).alias("q3"),
-    )
+    psm, plain = F.col("psm"), [F.count("psm").alias("n"), r(F.avg("psm")).alias("mean"), r(F.stddev_samp("psm")).alias("std")]
+    out = stats.aggregated(rows, ["neighborhood_id"], plain, {"median": (psm, 0.5), "q1": (psm, 0.25), "q3": (psm, 0.75)})
+    return out.withColumns({c: r(F.col(c)) for c in ("median", "q1", "q3")})
 
 
 @query("rent_stats", """
@@ -126,7 +125,8 @@ FROM corpus WHERE listing_type = 'rent' AND listing_price > 0 GROUP BY 1
 """)
 def rent_stats(spark, sf_dir):
     rows = corpus_of(spark, sf_dir).filter("listing_type = 'rent' AND listing_price > 0")
-    return rows.groupBy("neighborhood_id").agg(F.count(F.lit(1)).alias("n"), r(F.median("listing_price")).alias("median"), r(F.avg("listing_price")).alias("mean"))
+    plain = [F.count(F.lit(1)).alias("n"), r(F.avg("listing_price")).alias("mean")]
+    return stats.medians(rows, ["neighborhood_id"], plain, median=F.col("listing_price")).withColumn("median", r(F.col("median")))
 
 
 @query("market_table", """
@@ -143,15 +143,15 @@ def market_table(spark, sf_dir):
 
 
 def _market_table(rows: DataFrame) -> DataFrame:
-    """One wide pass: filtered aggregates instead of a join for each figure."""
+    """Filtered aggregates in one pass, all medians from one table of value counts."""
     sale, rent = F.col("listing_type") == "sale", F.col("listing_type") == "rent"
     luxury = F.when(sale & F.col("psm").isNotNull(), F.when(F.col("psm") >= 2000, 1.0).otherwise(0.0))
-    sales, rents = stats.median_if("listing_price", sale), stats.median_if("listing_price", rent)
-    return rows.groupBy("neighborhood_id").agg(
-        F.count(F.lit(1)).alias("total_inventory"), F.count_if(sale).alias("sale_inventory"), F.count_if(rent).alias("rent_inventory"),
-        r(stats.median_if("psm", sale)).alias("median_sale_psm"), r(sales).alias("median_sale"), r(rents).alias("median_rent"),
-        r(F.median("area_sqm")).alias("median_area"), r(100 * F.avg(luxury)).alias("luxury_pct"), r(rents * 12 / sales * 100).alias("gross_yield_pct"),
-    )
+    plain = [F.count(F.lit(1)).alias("total_inventory"), F.count_if(sale).alias("sale_inventory"), F.count_if(rent).alias("rent_inventory"), r(100 * F.avg(luxury)).alias("luxury_pct")]
+    out = stats.medians(
+        rows, ["neighborhood_id"], plain, median_sale_psm=stats.only("psm", sale), median_sale=stats.only("listing_price", sale), median_rent=stats.only("listing_price", rent), median_area=F.col("area_sqm")
+    )
+    gross = F.col("median_rent") * 12 / F.col("median_sale") * 100
+    return out.withColumn("gross_yield_pct", r(gross)).withColumns({c: r(F.col(c)) for c in ("median_sale_psm", "median_sale", "median_rent", "median_area")})
 
 
 @query("complex_premium", """
@@ -161,8 +161,8 @@ SELECT property_type, unit.neighborhood_id, n, round((u - m) / m * 100, 7) AS pr
 """)
 def complex_premium(spark, sf_dir):
     rows = corpus_of(spark, sf_dir).filter("listing_type = 'sale' AND psm IS NOT NULL")
-    whole = rows.groupBy("neighborhood_id").agg(F.median("psm").alias("m"))
-    part = rows.groupBy("property_type", "neighborhood_id").agg(F.median("psm").alias("u"), F.count(F.lit(1)).alias("n"))
+    whole = stats.medians(rows, ["neighborhood_id"], [F.count(F.lit(1)).alias("_n")], m=F.col("psm"))
+    part = stats.medians(rows, ["property_type", "neighborhood_id"], [F.count(F.lit(1)).alias("n")], u=F.col("psm"))
     return part.join(whole, "neighborhood_id").select("property_type", "neighborhood_id", "n", r((F.col("u") - F.col("m")) / F.col("m") * 100).alias("premium_pct"))
 
 
@@ -174,8 +174,8 @@ def neighborhood_premium(spark, sf_dir):
     """Against the rest of the market, the target left out."""
     own = F.col("neighborhood_id") == 7
     rows = corpus_of(spark, sf_dir).filter("listing_type = 'sale'")
-    inside, rest = stats.median_if("psm", own), stats.median_if("psm", ~own)
-    return rows.agg(r((inside - rest) / rest * 100).alias("premium_pct"))
+    out = stats.medians(rows, [], [F.count(F.lit(1)).alias("n")], inside=stats.only("psm", own), rest=stats.only("psm", ~own))
+    return out.select(r((F.col("inside") - F.col("rest")) / F.col("rest") * 100).alias("premium_pct"))
 
 
 @query("summarize_mad_iqr", """
@@ -222,10 +222,9 @@ SELECT source_website, count(psm) AS n, round(min(psm), 2) AS least, round(quant
   round(quantile_cont(psm, 0.75), 2) AS p75, round(max(psm), 2) AS largest FROM corpus GROUP BY 1
 """)
 def distribution(spark, sf_dir):
-    return corpus_of(spark, sf_dir).groupBy("source_website").agg(
-        F.count("psm").alias("n"), r(F.min("psm"), 2).alias("least"), r(F.percentile("psm", F.lit(0.25)), 2).alias("p25"),
-        r(F.median("psm"), 2).alias("median"), r(F.percentile("psm", F.lit(0.75)), 2).alias("p75"), r(F.max("psm"), 2).alias("largest"),
-    )
+    psm, plain = F.col("psm"), [F.count("psm").alias("n"), r(F.min("psm"), 2).alias("least"), r(F.max("psm"), 2).alias("largest")]
+    out = stats.aggregated(corpus_of(spark, sf_dir), ["source_website"], plain, {"p25": (psm, 0.25), "median": (psm, 0.5), "p75": (psm, 0.75)})
+    return out.withColumns({c: r(F.col(c), 2) for c in ("p25", "median", "p75")})
 
 
 _BREAKDOWN = """count(*) AS n, count(*) FILTER (listing_type = 'sale') AS sales, count(*) FILTER (listing_type = 'rent') AS rents,
@@ -233,18 +232,16 @@ _BREAKDOWN = """count(*) AS n, count(*) FILTER (listing_type = 'sale') AS sales,
   CASE WHEN count(*) >= 100 THEN 'high' WHEN count(*) >= 30 THEN 'medium' WHEN count(*) >= 10 THEN 'low' ELSE 'insufficient' END AS confidence"""
 
 
-def _breakdown(rows: DataFrame, *by) -> DataFrame:
+def _breakdown(rows: DataFrame, by: list[str]) -> DataFrame:
     sale, rent = F.col("listing_type") == "sale", F.col("listing_type") == "rent"
-    grouped = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(sale).alias("sales"), F.count_if(rent).alias("rents"),
-        r(stats.median_if("psm", sale)).alias("median_sale_psm"), r(stats.median_if("listing_price", rent)).alias("median_rent"),
-    )
-    return grouped.withColumn("confidence", buckets.confidence(F.col("n")))
+    plain = [F.count(F.lit(1)).alias("n"), F.count_if(sale).alias("sales"), F.count_if(rent).alias("rents")]
+    grouped = stats.medians(rows, by, plain, median_sale_psm=stats.only("psm", sale), median_rent=stats.only("listing_price", rent))
+    return grouped.withColumns({"median_sale_psm": r(F.col("median_sale_psm")), "median_rent": r(F.col("median_rent")), "confidence": buckets.confidence(F.col("n"))})
 
 
 @query("bedroom_breakdown", f"SELECT neighborhood_id, least(bedrooms, 4) AS beds, {_BREAKDOWN} FROM corpus GROUP BY 1, 2")
 def bedroom_breakdown(spark, sf_dir):
-    return _breakdown(corpus_of(spark, sf_dir), "neighborhood_id", buckets.bedroom_bucket(F.col("bedrooms")).alias("beds"))
+    return _breakdown(corpus_of(spark, sf_dir).withColumn("beds", buckets.bedroom_bucket(F.col("bedrooms"))), ["neighborhood_id", "beds"])
 
 
 @query("size_breakdown", f"""
@@ -253,14 +250,14 @@ SELECT CASE WHEN area_sqm < 50 THEN '<50' WHEN area_sqm < 70 THEN '50-70' WHEN a
 """)
 def size_breakdown(spark, sf_dir):
     rows = corpus_of(spark, sf_dir).withColumn("band", buckets.band(F.col("area_sqm"))).filter("band IS NOT NULL")
-    return _breakdown(rows, "band")
+    return _breakdown(rows, ["band"])
 
 
 @query("type_breakdown", f"SELECT CASE WHEN property_type IN ('BUILDING', 'HOUSEHOLD') THEN property_type ELSE 'OTHER' END AS kind, {_BREAKDOWN} FROM corpus GROUP BY 1")
 def type_breakdown(spark, sf_dir):
     """Named groups, and the rest together."""
     kind = F.when(F.col("property_type").isin("BUILDING", "HOUSEHOLD"), F.col("property_type")).otherwise("OTHER")
-    return _breakdown(corpus_of(spark, sf_dir), kind.alias("kind"))
+    return _breakdown(corpus_of(spark, sf_dir).withColumn("kind", kind), ["kind"])
 
 
 @query("city_comparison", """
@@ -272,8 +269,8 @@ FROM own, city
 def city_comparison(spark, sf_dir):
     """The city is one row; a join with it is a broadcast of one row."""
     rows = corpus_of(spark, sf_dir).filter("listing_type = 'sale' AND psm IS NOT NULL")
-    city = rows.agg(F.median("psm").alias("m"), F.percentile("psm", F.lit(0.25)).alias("q1"), F.percentile("psm", F.lit(0.75)).alias("q3"))
-    own = rows.groupBy("neighborhood_id").agg(F.median("psm").alias("u")).join(F.broadcast(city))
+    city = stats.quantiles(rows, [], {"m": (F.col("psm"), 0.5), "q1": (F.col("psm"), 0.25), "q3": (F.col("psm"), 0.75)})
+    own = stats.quantiles(rows, ["neighborhood_id"], {"u": (F.col("psm"), 0.5)}).join(F.broadcast(city))
     u = F.col("u")
     price_tier = F.when(u < F.col("q1"), "$").when(u < F.col("m"), "$$").when(u < F.col("q3"), "$$$").otherwise("$$$$")
     return own.select("neighborhood_id", r((u - F.col("m")) / F.col("m") * 100, 2).alias("premium_pct"), price_tier.alias("price_tier"))
@@ -285,8 +282,8 @@ SELECT neighborhood_id, CAST(round_even(quantile_cont(psm, 0.1), 0) AS BIGINT) A
 """)
 def price_percentiles(spark, sf_dir):
     rows = corpus_of(spark, sf_dir).filter("listing_type = 'sale' AND psm IS NOT NULL")
-    p = rows.groupBy("neighborhood_id").agg(F.percentile("psm", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("p"))
-    return p.select("neighborhood_id", *[rounding.percent(F.col("p")[i]).cast("long").alias(n) for i, n in enumerate(("p10", "p50", "p90"))])
+    p = stats.quantiles(rows, ["neighborhood_id"], {f"p{q}": (F.col("psm"), q / 100) for q in (10, 50, 90)})
+    return p.select("neighborhood_id", *[rounding.percent(F.col(c)).cast("long").alias(c) for c in ("p10", "p50", "p90")])
 
 
 @query("sale_histogram", """
@@ -361,7 +358,7 @@ def top_affordable(spark, sf_dir):
 
 
 def _ranked(rows: DataFrame, order) -> DataFrame:
-    grouped = rows.filter("listing_type = 'sale' AND psm IS NOT NULL").groupBy("neighborhood").agg(F.count(F.lit(1)).alias("n"), r(F.median("psm")).alias("median_psm"))
+    grouped = stats.medians(rows.filter("listing_type = 'sale' AND psm IS NOT NULL"), ["neighborhood"], [F.count(F.lit(1)).alias("n")], median_psm=F.col("psm")).withColumn("median_psm", r(F.col("median_psm")))
     return grouped.filter("n >= 15").orderBy(order, "neighborhood").limit(5)
 
 
@@ -385,17 +382,18 @@ def type_composition(spark, sf_dir):
 
 @query("segment_recommendation", """
 , s AS (SELECT least(bedrooms, 4) AS beds, count(*) FILTER (listing_type = 'sale' AND psm IS NOT NULL) AS sales, median(psm) FILTER (listing_type = 'sale') AS psm,
+  median(listing_price) FILTER (listing_type = 'rent') AS rent,
   median(listing_price) FILTER (listing_type = 'rent') * 12 / median(listing_price) FILTER (listing_type = 'sale') * 100 AS yield_pct FROM corpus GROUP BY 1)
-SELECT min_by(beds, psm) AS best_buy, max_by(beds, yield_pct) AS best_yield, round(min(psm), 7) AS buy_psm, round(max(yield_pct), 7) AS yield_pct FROM s WHERE sales >= 8
+SELECT max_by(beds, rent) AS best_rent, min_by(beds, psm) AS best_buy, max_by(beds, yield_pct) AS best_yield, round(min(psm), 7) AS buy_psm, round(max(yield_pct), 7) AS yield_pct FROM s WHERE sales >= 8
 """)
 def segment_recommendation(spark, sf_dir):
     sale, rent = F.col("listing_type") == "sale", F.col("listing_type") == "rent"
-    s = corpus_of(spark, sf_dir).groupBy(buckets.bedroom_bucket(F.col("bedrooms")).alias("beds")).agg(
-        F.count_if(sale & F.col("psm").isNotNull()).alias("sales"), stats.median_if("psm", sale).alias("psm"),
-        (stats.median_if("listing_price", rent) * 12 / stats.median_if("listing_price", sale) * 100).alias("yield_pct"),
-    )
-    return s.filter("sales >= 8").agg(
-        F.min_by("beds", "psm").alias("best_buy"), F.max_by("beds", "yield_pct").alias("best_yield"), r(F.min("psm")).alias("buy_psm"), r(F.max("yield_pct")).alias("yield_pct")
+    rows = corpus_of(spark, sf_dir).withColumn("beds", buckets.bedroom_bucket(F.col("bedrooms")))
+    plain = [F.count_if(sale & F.col("psm").isNotNull()).alias("sales")]
+    s = stats.medians(rows, ["beds"], plain, m=stats.only("psm", sale), rent=stats.only("listing_price", rent), sale=stats.only("listing_price", sale))
+    s = s.filter("sales >= 8").withColumn("y", F.col("rent") * 12 / F.col("sale") * 100)
+    return s.agg(
+        F.min_by("beds", "m").alias("best_buy"), F.max_by("beds", "y").alias("best_yield"), F.max_by("beds", "rent").alias("best_rent"), r(F.min("m")).alias("buy_psm"), r(F.max("y")).alias("yield_pct")
     )
 
 
@@ -411,14 +409,16 @@ def child_entities(spark, sf_dir):
 
 
 @query("recent_diverse", """
-, ranked AS (SELECT *, row_number() OVER (PARTITION BY source_website ORDER BY listing_date DESC, normalized_id DESC) AS place FROM corpus WHERE neighborhood_id = 7)
-SELECT normalized_id, source_website, place FROM ranked WHERE place <= 2 ORDER BY place, source_website LIMIT 10
+, ranked AS (SELECT *, row_number() OVER (PARTITION BY neighborhood_id, source_website ORDER BY listing_date DESC, normalized_id DESC) AS place FROM corpus),
+dealt AS (SELECT *, row_number() OVER (PARTITION BY neighborhood_id ORDER BY place, source_website) AS turn FROM ranked WHERE place <= 2)
+SELECT neighborhood_id, normalized_id, source_website, place FROM dealt WHERE turn <= 10
 """)
 def recent_diverse(spark, sf_dir):
-    """Newest of each source, two a source, dealt in turn; ten at most."""
-    newest = Window.partitionBy("source_website").orderBy(F.col("listing_date").desc(), F.col("normalized_id").desc())
-    ranked = corpus_of(spark, sf_dir).filter("neighborhood_id = 7").withColumn("place", F.row_number().over(newest).cast("long"))
-    return ranked.filter("place <= 2").select("normalized_id", "source_website", "place").orderBy("place", "source_website").limit(10)
+    """Of each neighborhood, the newest of each source, two a source, dealt in turn; ten at most."""
+    newest = Window.partitionBy("neighborhood_id", "source_website").orderBy(F.col("listing_date").desc(), F.col("normalized_id").desc())
+    ranked = corpus_of(spark, sf_dir).withColumn("place", F.row_number().over(newest).cast("long")).filter("place <= 2")
+    turn = F.row_number().over(Window.partitionBy("neighborhood_id").orderBy("place", "source_website"))
+    return ranked.withColumn("turn", turn).filter("turn <= 10").select("neighborhood_id", "normalized_id", "source_website", "place")
 
 
 @query("rank_pct", """
@@ -426,8 +426,8 @@ def recent_diverse(spark, sf_dir):
 SELECT neighborhood_id, m, round((rank() OVER (ORDER BY m) + (count(*) OVER (PARTITION BY m) - 1) / 2.0) / count(*) OVER (), 6) AS pct FROM m
 """)
 def rank_pct(spark, sf_dir):
-    rows = corpus_of(spark, sf_dir).filter("listing_type = 'sale' AND psm IS NOT NULL").groupBy("neighborhood_id").agg(r(F.median("psm")).alias("m"))
-    return rows.withColumn("pct", r(stats.percent_rank_average("m", []), 6))
+    rows = stats.quantiles(corpus_of(spark, sf_dir).filter("listing_type = 'sale' AND psm IS NOT NULL"), ["neighborhood_id"], {"m": (F.col("psm"), 0.5)})
+    return rows.withColumn("m", r(F.col("m"))).withColumn("pct", r(stats.percent_rank_average("m", []), 6))
 
 
 @query("market_health", """
@@ -442,10 +442,9 @@ def market_health(spark, sf_dir):
     """Mean of the components there are, each capped at 100; dense rank."""
     sale, rent = F.col("listing_type") == "sale", F.col("listing_type") == "rent"
     luxury = F.when(sale & F.col("psm").isNotNull(), F.when(F.col("psm") >= 2000, 1.0).otherwise(0.0))
-    t = corpus_of(spark, sf_dir).groupBy("neighborhood_id").agg(
-        F.count(F.lit(1)).alias("inventory"), (100 * F.avg(luxury)).alias("luxury"),
-        (stats.median_if("listing_price", rent) * 12 / stats.median_if("listing_price", sale) * 100).alias("y"),
-    )
+    plain = [F.count(F.lit(1)).alias("inventory"), (100 * F.avg(luxury)).alias("luxury")]
+    t = stats.medians(corpus_of(spark, sf_dir), ["neighborhood_id"], plain, rent=stats.only("listing_price", rent), sale=stats.only("listing_price", sale))
+    t = t.withColumn("y", F.col("rent") * 12 / F.col("sale") * 100)
     cap = lambda x: F.when(x.isNotNull(), F.least(x, F.lit(100.0)))
     parts = F.array_compact(F.array(cap(F.col("y") * 10), cap(F.col("inventory") / 50 * 100), cap(F.col("luxury") * 2)))
     score = F.round(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) / F.size(parts), 2)
@@ -461,10 +460,10 @@ FROM p ORDER BY value_score DESC, neighborhood_id LIMIT 5
 """)
 def buyer_score(spark, sf_dir):
     sale, rent = F.col("listing_type") == "sale", F.col("listing_type") == "rent"
-    t = corpus_of(spark, sf_dir).groupBy("neighborhood_id").agg(
-        F.count(F.lit(1)).alias("inventory"), stats.median_if("psm", sale).alias("m"),
-        (stats.median_if("listing_price", rent) * 12 / stats.median_if("listing_price", sale) * 100).alias("y"),
-    ).filter("m IS NOT NULL").withColumn("pct", stats.percent_rank_average("m", []))
+    t = stats.medians(
+        corpus_of(spark, sf_dir), ["neighborhood_id"], [F.count(F.lit(1)).alias("inventory")], m=stats.only("psm", sale), rent=stats.only("listing_price", rent), sale=stats.only("listing_price", sale)
+    )
+    t = t.withColumn("y", F.col("rent") * 12 / F.col("sale") * 100).filter("m IS NOT NULL").withColumn("pct", stats.percent_rank_average("m", []))
     score = F.lit(80000) / F.col("m") * 0.35 + F.col("inventory") * 0.25 + F.coalesce("y", F.lit(0.0)) * 0.25 + (100 - F.col("pct") * 100) * 0.15
     return t.select("neighborhood_id", r(score).alias("value_score")).orderBy(F.col("value_score").desc(), "neighborhood_id").limit(5)
 
@@ -487,7 +486,6 @@ def lookup_documents(spark, sf_dir):
     """All entities' pulses in one grouped job; nested sections are structs that a sink writes as JSON."""
     sale, rent = F.col("listing_type") == "sale", F.col("listing_type") == "rent"
     sale_psm = F.when(sale, F.col("psm"))
-    return corpus_of(spark, sf_dir).groupBy("neighborhood").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(sale).alias("sales"), r(F.median(sale_psm)).alias("sale_psm"), r(stats.median_if("listing_price", rent)).alias("rent"),
-        r(F.percentile(sale_psm, F.lit(0.1))).alias("p10"), r(F.percentile(sale_psm, F.lit(0.9))).alias("p90"), F.count_distinct("source_website").alias("sources"),
-    )
+    plain = [F.count(F.lit(1)).alias("n"), F.count_if(sale).alias("sales"), F.count_distinct("source_website").alias("sources")]
+    wanted = {"sale_psm": (sale_psm, 0.5), "rent": (stats.only("listing_price", rent), 0.5), "p10": (sale_psm, 0.1), "p90": (sale_psm, 0.9)}
+    return stats.aggregated(corpus_of(spark, sf_dir), ["neighborhood"], plain, wanted).withColumns({c: r(F.col(c)) for c in wanted})

@@ -186,7 +186,7 @@ def comparable_weights(spark, sf_dir):
 def bootstrap_ci(spark, sf_dir):
     """Seeded percentile intervals; SQL has no bootstrap, so a test holds them against numpy."""
     rows = in_band(corpus_of(spark, sf_dir).filter("listing_type = 'sale'"), 500.0, 15000.0)
-    return stats.bootstrap_median(rows, ["neighborhood_id"], "psm", "normalized_id")
+    return stats.bootstrap_median(rows, ["neighborhood_id"], "psm")
 
 
 @query("valuation", "", False)
@@ -195,16 +195,36 @@ def valuation(spark, sf_dir):
     return models.valuation(in_band(corpus_of(spark, sf_dir).filter("listing_type = 'sale'"), 500.0, 15000.0), 100.0)
 
 
-@query("holdout_errors", """
-, b AS (SELECT a.normalized_id, a.neighborhood_id, a.psm, a.m, abs(a.m - a.psm) / a.psm * 100 AS pct FROM (
-  SELECT normalized_id, neighborhood_id, psm, median(psm) OVER (PARTITION BY neighborhood_id) AS m FROM corpus WHERE listing_type = 'sale' AND psm BETWEEN 500 AND 15000) a)
-SELECT neighborhood_id, count(*) AS n, round(avg(abs(m - psm)), 6) AS mae, round(sqrt(avg((m - psm) ** 2)), 6) AS rmse, round(median(abs(m - psm)), 6) AS median_ae,
-  round(avg(pct), 6) AS mape, round(median(pct), 6) AS mdape, count(*) FILTER (pct < 10) AS under_10, count(*) FILTER (pct >= 50) AS over_50 FROM b GROUP BY 1
-""")
-def holdout_errors(spark, sf_dir):
+_HOLDOUT = """
+, s AS (SELECT normalized_id, neighborhood_id, psm FROM corpus WHERE listing_type = 'sale' AND psm BETWEEN 500 AND 15000),
+k AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY neighborhood_id) AS n FROM s WINDOW w AS (PARTITION BY neighborhood_id ORDER BY psm, normalized_id)),
+v AS (SELECT neighborhood_id, list(psm ORDER BY psm, normalized_id) AS xs FROM s GROUP BY 1),
+b AS (SELECT k.*, median_of.m, abs(median_of.m - psm) AS off, abs(median_of.m - psm) / psm * 100 AS pct FROM k JOIN v USING (neighborhood_id),
+  LATERAL (SELECT list_median(list_concat(xs[:i], xs[i + 2:])) AS m) AS median_of WHERE n > 1)
+"""
+_ERRORS = """count(*) AS n, round(avg(off), 6) AS mae, round(sqrt(avg((m - psm) ** 2)), 6) AS rmse, round(median(off), 6) AS median_ae, round(avg(pct), 6) AS mape, round(median(pct), 6) AS mdape,
+  round(quantile_cont(pct, 0.9), 6) AS p90_ape, count(*) FILTER (pct < 10) AS under_10, count(*) FILTER (pct >= 10 AND pct < 20) AS from_10, count(*) FILTER (pct >= 20 AND pct < 30) AS from_20,
+  count(*) FILTER (pct >= 30 AND pct < 50) AS from_30, count(*) FILTER (pct >= 50) AS over_50"""
+
+
+def _left_out(spark, sf_dir):
+    """Each sale predicted by the median of its neighborhood's other sales; a sale alone in its neighborhood has no prediction."""
     rows = in_band(corpus_of(spark, sf_dir).filter("listing_type = 'sale'"), 500.0, 15000.0)
-    medians = rows.groupBy("neighborhood_id").agg(F.median("psm").alias("m"))
-    return models.errors(rows.join(medians, "neighborhood_id"), ["neighborhood_id"], F.col("m"), F.col("psm"))
+    return stats.leave_one_out_median(rows, ["neighborhood_id"], "psm", "m", "normalized_id").filter("m IS NOT NULL")
+
+
+@query("holdout_errors", _HOLDOUT + f"SELECT neighborhood_id, {_ERRORS} FROM b GROUP BY 1")
+def holdout_errors(spark, sf_dir):
+    return models.errors(_left_out(spark, sf_dir), ["neighborhood_id"], F.col("m"), F.col("psm"))
+
+
+@query("holdout_by_size", _HOLDOUT + f"SELECT CASE WHEN n > 100 THEN 'high' WHEN n > 30 THEN 'medium' WHEN n > 10 THEN 'low' ELSE 'insufficient' END AS confidence, {_ERRORS} FROM b GROUP BY 1")
+def holdout_by_confidence(spark, sf_dir):
+    """Errors by the confidence of the sample that predicts, which is one less than the group."""
+    rows = _left_out(spark, sf_dir)
+    sizes = in_band(corpus_of(spark, sf_dir).filter("listing_type = 'sale'"), 500.0, 15000.0).groupBy("neighborhood_id").agg((F.count(F.lit(1)) - 1).alias("others"))
+    rows = rows.join(F.broadcast(sizes), "neighborhood_id").withColumn("confidence", buckets.confidence(F.col("others")))
+    return models.errors(rows, ["confidence"], F.col("m"), F.col("psm"))
 
 
 @query("stability", """
@@ -227,7 +247,7 @@ def stability(spark, sf_dir):
 
 @query("dataset_confidence", """
 , s AS (SELECT neighborhood_id, count(*) AS n, count(DISTINCT source_website) AS k, avg(CASE WHEN psm IS NULL THEN 1.0 ELSE 0.0 END) AS missing FROM corpus GROUP BY 1),
-c AS (SELECT *, 0.97 * least(1.0, k / 2.0) * greatest(0.0, 1 - missing) * least(1.0, sqrt(n / 100.0)) AS score FROM s)
+c AS (SELECT *, 0.92 * least(1.0, k / 2.0) * greatest(0.0, 1 - missing) * least(1.0, sqrt(n / 100.0)) AS score FROM s)
 SELECT neighborhood_id, round(score, 7) AS score, CASE WHEN score < 0.25 THEN 'insufficient' WHEN score < 0.45 THEN 'exploratory' WHEN score < 0.65 THEN 'moderate' ELSE 'high' END AS tier FROM c
 """)
 def dataset_confidence(spark, sf_dir):
@@ -263,9 +283,8 @@ SELECT neighborhood_id, count(*) AS n, round(median(km), 6) AS median_km, round(
 def geo_haversine(spark, sf_dir):
     lat, lng = 42 + (F.col("normalized_id") % 100) / 1000.0, 21 + (F.col("source_listing_id") % 100) / 1000.0
     rows = corpus_of(spark, sf_dir).withColumn("km", geo.haversine_km(F.lit(42.05), F.lit(21.05), lat, lng))
-    return rows.groupBy("neighborhood_id").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.median("km"), 6).alias("median_km"), F.round(F.max("km"), 6).alias("max_km"), F.count_if(F.col("km") > 3).alias("far")
-    )
+    plain = [F.count(F.lit(1)).alias("n"), F.round(F.max("km"), 6).alias("max_km"), F.count_if(F.col("km") > 3).alias("far")]
+    return stats.medians(rows, ["neighborhood_id"], plain, median_km=F.col("km")).withColumn("median_km", F.round("median_km", 6))
 
 
 @query("display_rounding", """
@@ -273,10 +292,9 @@ SELECT neighborhood_id, CAST(floor(median(listing_price) FILTER (listing_type =
   CAST(floor(median(listing_price) FILTER (listing_type = 'sale') / 1000 + 0.5) * 1000 AS BIGINT) AS sale_eur, CAST(floor(median(area_sqm) + 0.5) AS BIGINT) AS area FROM corpus GROUP BY 1
 """)
 def display_rounding(spark, sf_dir):
-    rent, sale = stats.median_if("listing_price", F.col("listing_type") == "rent"), stats.median_if("listing_price", F.col("listing_type") == "sale")
-    return corpus_of(spark, sf_dir).groupBy("neighborhood_id").agg(
-        rounding.shown(rent, "rent_eur").alias("rent_eur"), rounding.shown(sale, "sale_eur").alias("sale_eur"), rounding.shown(F.median("area_sqm"), "area").alias("area")
-    )
+    rent, sale = stats.only("listing_price", F.col("listing_type") == "rent"), stats.only("listing_price", F.col("listing_type") == "sale")
+    out = stats.medians(corpus_of(spark, sf_dir), ["neighborhood_id"], [F.count(F.lit(1)).alias("_n")], rent_eur=rent, sale_eur=sale, area=F.col("area_sqm")).drop("_n")
+    return out.withColumns({c: rounding.shown(F.col(c), c) for c in ("rent_eur", "sale_eur", "area")})
 
 
 @query("nation_reach", """

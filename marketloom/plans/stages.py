@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marketloom.functions import extract
@@ -146,13 +147,28 @@ def search(spark, sf_dir):
 
 
 @query("recent_diverse_by_kind", """
-, n AS (SELECT *, row_number() OVER (PARTITION BY source_website, listing_type, property_type ORDER BY listing_date DESC NULLS LAST, normalized_id DESC) AS kind FROM corpus WHERE neighborhood_id = 3),
-t AS (SELECT *, row_number() OVER (PARTITION BY source_website ORDER BY kind, listing_type NULLS LAST, property_type NULLS LAST, listing_date DESC NULLS LAST, normalized_id DESC) AS turn FROM n),
-s AS (SELECT source_website, row_number() OVER (ORDER BY source_website) AS place, count(*) OVER () AS k FROM (SELECT DISTINCT source_website FROM n))
-SELECT normalized_id, source_website FROM t JOIN s USING (source_website) WHERE turn <= 12 // k + CASE WHEN place <= 12 % k THEN 1 ELSE 0 END ORDER BY turn, place LIMIT 12
+, n AS (SELECT *, row_number() OVER (PARTITION BY neighborhood_id, source_website, listing_type, property_type ORDER BY listing_date DESC NULLS LAST, normalized_id DESC) AS kind FROM corpus),
+t AS (SELECT *, row_number() OVER (PARTITION BY neighborhood_id, source_website ORDER BY kind, listing_type NULLS LAST, property_type NULLS LAST, listing_date DESC NULLS LAST, normalized_id DESC) AS turn FROM n),
+s AS (SELECT neighborhood_id, source_website, row_number() OVER (PARTITION BY neighborhood_id ORDER BY source_website) AS place, count(*) OVER (PARTITION BY neighborhood_id) AS k FROM (SELECT DISTINCT neighborhood_id, source_website FROM n)),
+d AS (SELECT *, row_number() OVER (PARTITION BY neighborhood_id ORDER BY turn, place) AS at_row FROM t JOIN s USING (neighborhood_id, source_website) WHERE turn <= 12 // k + CASE WHEN place <= 12 % k THEN 1 ELSE 0 END)
+SELECT neighborhood_id, normalized_id, source_website FROM d WHERE at_row <= 12
 """)
 def recent_diverse(spark, sf_dir):
-    return lookup.diverse(corpus_of(spark, sf_dir).filter("neighborhood_id = 3"), 12).select("normalized_id", "source_website")
+    return lookup.diverse(corpus_of(spark, sf_dir), "neighborhood_id", 12).select("neighborhood_id", "normalized_id", "source_website")
+
+
+@query("gazetteer_fuzzy", "", False)
+def gazetteer_fuzzy(spark, sf_dir):
+    """Names with a letter put in or left out, or words in another order, against all nations' names; SQL has no such ratio, so a test holds it."""
+    nations = table(spark, sf_dir, "nation")
+    places = nations.select(F.lower("n_name").alias("slug"), F.concat(F.lit("Great "), F.col("n_name")).alias("name"), F.array(F.concat("n_name", F.lit(" land"))).alias("aliases"))
+    rows = table(spark, sf_dir, "customer").join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey"))
+    kind = F.col("c_custkey") % 4
+    name = (
+        F.when(kind == 0, F.concat(F.lit("great "), F.col("n_name"), F.lit("x"))).when(kind == 1, F.concat("n_name", F.lit(" great"))).when(kind == 2, F.concat(F.lit("grea "), F.col("n_name")))
+        .otherwise(F.concat(F.col("n_name"), F.lit(" nothing alike at all")))
+    )
+    return gazetteer.matched(rows.select(name.alias("name")), places).select("name", "slug", "match_type", F.round("score", 4).alias("score"))
 
 
 @query("gazetteer_exact_alias", """
@@ -162,7 +178,7 @@ m AS (SELECT name, slug FROM w LEFT JOIN e ON trim(regexp_replace(lower(name), '
 SELECT name, slug, CASE WHEN slug IS NULL THEN 'missing' ELSE 'exact' END AS match_type FROM m
 """, False)
 def gazetteer_match(spark, sf_dir):
-    """Exact and alias matches by join; the fuzzy residue runs too, with nothing alike enough in it."""
+    """Exact and alias matches by join; the fuzzy residue runs too, with nothing alike enough in it (gazetteer_fuzzy has some)."""
     nations = table(spark, sf_dir, "nation")
     places = nations.select(F.lower("n_name").alias("slug"), F.col("n_name").alias("name"), F.array().cast("array<string>").alias("aliases"))
     rows = table(spark, sf_dir, "customer").join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey"))
@@ -222,7 +238,8 @@ def published_days(spark, sf_dir):
 
 @query("near_dup_token_ratio", "", False)
 def near_dup_token_ratio(spark, sf_dir):
-    """Likeness of each first turn to the next turn of its conversation; SQL has no such ratio, so a test holds it."""
+    """Likeness of each turn to the one before it in its conversation; SQL has no such ratio, so a test holds it."""
     turns = table(spark, sf_dir, "conversations")
-    first, second = turns.filter("turn = 0").select("conv_id", F.col("text").alias("a")), turns.filter("turn = 1").select("conv_id", F.col("text").alias("b"))
-    return first.join(second, "conv_id").select("conv_id", F.round(gazetteer.text_similarity(F.col("a"), F.col("b")), 4).alias("ratio"))
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    pairs = turns.withColumn("before", before).filter("before IS NOT NULL AND text IS NOT NULL")
+    return pairs.select("conv_id", "turn", F.round(gazetteer.text_similarity(F.col("before"), F.col("text")), 4).alias("ratio"))

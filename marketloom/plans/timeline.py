@@ -36,7 +36,8 @@ def monthly_volume(spark, sf_dir):
 
 def _monthly(spark, sf_dir):
     rows = corpus_of(spark, sf_dir).filter("listing_type = 'sale' AND psm IS NOT NULL")
-    return rows.groupBy(F.date_format("listing_date", "yyyy-MM").alias("month")).agg(F.median("psm").alias("median"), F.count(F.lit(1)).alias("n"))
+    rows = rows.withColumn("month", F.date_format("listing_date", "yyyy-MM"))
+    return stats.medians(rows, ["month"], [F.count(F.lit(1)).alias("n")], median=F.col("psm"))
 
 
 _MONTHLY = """
@@ -82,7 +83,7 @@ SELECT round(last3, 7) AS last3, round(prev3, 7) AS prev3, CASE WHEN last3 >= pr
 """)
 def price_trend(spark, sf_dir):
     k = _monthly(spark, sf_dir).withColumn("at", F.row_number().over(Window.orderBy(F.col("month").desc())))
-    t = k.agg(stats.median_if("median", F.col("at") <= 3).alias("a"), stats.median_if("median", F.col("at").between(4, 6)).alias("b"))
+    t = k.agg(F.median(stats.only("median", F.col("at") <= 3)).alias("a"), F.median(stats.only("median", F.col("at").between(4, 6))).alias("b"))  # six rows
     trend = F.when(F.col("a") >= F.col("b") * 1.05, "up").when(F.col("a") <= F.col("b") * 0.95, "down").otherwise("flat")
     return t.select(r(F.col("a")).alias("last3"), r(F.col("b")).alias("prev3"), trend.alias("trend"))
 
@@ -113,7 +114,8 @@ SELECT source_website, CAST(trunc(quantile_cont(d, 0.5)) AS BIGINT) AS median_da
 def days_on_market(spark, sf_dir):
     """Exact interpolated median, cut to whole days."""
     spans = history.lifecycle(listings(spark, sf_dir))
-    return spans.groupBy("source_website").agg(F.median("days_on_market").cast("long").alias("median_days"), F.count(F.lit(1)).alias("tracked"))
+    out = stats.medians(spans, ["source_website"], [F.count(F.lit(1)).alias("tracked")], median_days=F.col("days_on_market"))
+    return out.withColumn("median_days", F.col("median_days").cast("long"))
 
 
 @query("segment_health", """
@@ -122,12 +124,13 @@ k AS (SELECT *, row_number() OVER (PARTITION BY source_website ORDER BY d) - 1 A
 SELECT source_website, CAST(max(d) FILTER (place = n // 2) AS INTEGER) AS upper_median, count(*) FILTER (d >= 60) AS stale, count(*) FILTER (changed) AS changed FROM k GROUP BY 1
 """)
 def segment_health(spark, sf_dir):
-    """The median here is the upper middle element, as published; ranked in the source's rows, not collected."""
+    """The median here is the upper middle element, as published: one order statistic of each source."""
     spans = history.lifecycle(listings(spark, sf_dir))
-    group = Window.partitionBy("source_website")
-    k = spans.withColumn("at", F.row_number().over(group.orderBy("days_on_market")) - 1).withColumn("k", F.count(F.lit(1)).over(group))
-    middle = F.max(F.when(F.col("at") == F.floor(F.col("k") / 2), F.col("days_on_market")))
-    return k.groupBy("source_website").agg(middle.alias("upper_median"), F.count_if(F.col("days_on_market") >= 60).alias("stale"), F.count_if("price_changed").alias("changed"))
+    counts = stats.value_counts(spans, ["source_website"], {"d": F.col("days_on_market")})
+    middle = counts.groupBy("g").agg(F.floor(F.sum("c") / 2).alias("rank"))
+    upper = stats.order_statistics(counts, middle).select(F.col("g.source_website").alias("source_website"), F.col("x").cast("int").alias("upper_median"))
+    plain = spans.groupBy("source_website").agg(F.count_if(F.col("days_on_market") >= 60).alias("stale"), F.count_if("price_changed").alias("changed"))
+    return plain.join(upper, "source_website")
 
 
 @query("listing_signals", """
@@ -158,15 +161,15 @@ def price_change_events(spark, sf_dir):
 
 
 @query("biweekly_points", """
-, o AS (SELECT *, CAST(date_trunc('week', listing_date) AS DATE) AS period_start FROM listings WHERE neighborhood_id = 7),
-l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY period_start, source_website, source_listing_id ORDER BY listing_date DESC, normalized_id DESC) AS k FROM o) WHERE k = 1)
-SELECT period_start, period_start + 13 AS period_end, count(*) AS inventory, count(*) FILTER (listing_type = 'sale') AS sales,
+, o AS (SELECT *, CAST(date_trunc('week', listing_date) AS DATE) AS period_start FROM listings),
+l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY neighborhood_id, period_start, source_website, source_listing_id ORDER BY listing_date DESC, normalized_id DESC) AS k FROM o) WHERE k = 1)
+SELECT neighborhood_id, period_start, period_start + 13 AS period_end, count(*) AS inventory, count(*) FILTER (listing_type = 'sale') AS sales,
   CASE WHEN count(*) FILTER (listing_type = 'sale') >= 5 THEN round(median(listing_price / nullif(area_sqm, 0)) FILTER (listing_type = 'sale'), 7) END AS median_sale_psm
-FROM l GROUP BY 1
+FROM l GROUP BY 1, 2
 """, days=('period_start', 'period_end'))
 def biweekly_points(spark, sf_dir):
     """Periods start every Monday and are labelled with their end 13 days later, so labels overlap."""
-    return history.periods(listings(spark, sf_dir).filter("neighborhood_id = 7")).withColumn("median_sale_psm", r(F.col("median_sale_psm")))
+    return history.periods(listings(spark, sf_dir), ["neighborhood_id"]).withColumn("median_sale_psm", r(F.col("median_sale_psm")))
 
 
 @query("lifecycle_transition", """
@@ -269,7 +272,7 @@ def source_health(spark, sf_dir):
     """The last run against the median of the eight before."""
     runs = listings(spark, sf_dir).groupBy("source_website", F.trunc("listing_date", "month").alias("run")).agg(F.count(F.lit(1)).alias("n"))
     k = runs.withColumn("at", F.row_number().over(Window.partitionBy("source_website").orderBy(F.col("run").desc())))
-    b = k.groupBy("source_website").agg(F.max(F.when(F.col("at") == 1, F.col("n"))).alias("observed"), stats.median_if("n", F.col("at").between(2, 9)).alias("baseline"))
+    b = k.groupBy("source_website").agg(F.max(F.when(F.col("at") == 1, F.col("n"))).alias("observed"), F.median(stats.only("n", F.col("at").between(2, 9))).alias("baseline"))  # eight rows
     ratio = F.col("observed") / F.col("baseline")
     return b.withColumn("level", F.when(ratio <= 0.2, "RED").when(ratio <= 0.5, "YELLOW").otherwise("GREEN"))
 

@@ -90,20 +90,53 @@ def test_lifecycle_advances_only_on_healthy_runs(spark):
     assert state(history.advance(four, seen("a", "b"), True, 5, at))["b"] == ("ACTIVE", 0, True)
 
 
-def test_bootstrap_agrees_with_numpy(spark):
-    rows = [("g", i, float(v)) for i, v in enumerate(np.random.default_rng(0).normal(100, 20, 41))]
-    df = spark.createDataFrame(rows, "g string, k long, x double").repartition(4)
-    got = stats.bootstrap_median(df, ["g"], "x", "k", 200).first()
-    rng, v = np.random.default_rng(42), np.array([r[2] for r in rows])
-    medians = [np.median(rng.choice(v, len(v))) for _ in range(200)]
-    assert (got.median, got.lo, got.hi) == pytest.approx((np.median(v), np.quantile(medians, 0.025), np.quantile(medians, 0.975)))
-
-
-def test_large_groups_get_the_same_interval_from_order_statistics(spark):
-    v = np.random.default_rng(3).normal(100, 20, 4001)
-    df = spark.createDataFrame([("g", i, float(x)) for i, x in enumerate(v)], "g string, k long, x double").repartition(4)
-    one, two = stats.bootstrap_median(df, ["g"], "x", "k", 1000).first(), stats.bootstrap_median(df, ["g"], "x", "k", most=10).first()
-    assert (two.n, two.median) == (one.n, one.median) and (two.lo, two.hi) == pytest.approx((one.lo, one.hi), abs=0.3)
+@pytest.mark.parametrize("n", [1, 2, 41, 4000])
+def test_bootstrap_is_like_resampling(spark, n):
+    """The interval of drawn ranks against plain resampling, for odd and even, small and large groups."""
+    v = np.random.default_rng(n).normal(100, 20, n)
+    df = spark.createDataFrame([("g", float(x)) for x in v], "g string, x double").repartition(4)
+    got = stats.bootstrap_median(df, ["g"], "x").first()
+    rng = np.random.default_rng(1)
+    medians = [np.median(rng.choice(v, n)) for _ in range(5000)]
+    assert (got.n, got.median) == (n, pytest.approx(np.median(v)))
+    assert (got.lo, got.hi) == pytest.approx((np.quantile(medians, 0.025), np.quantile(medians, 0.975)), abs=20 / np.sqrt(n))
+    assert stats.bootstrap_median(df.repartition(2), ["g"], "x").first() == got
+
+
+def test_poisson_numbers_have_their_rate():
+    u = np.random.default_rng(2).uniform(size=(7, 20_000))
+    rates = np.array([0.1, 3.0, 49.0, 51.0, 740.0, 5_000.0, 2e6])
+    got = stats._poisson(u, rates)
+    assert got.mean(axis=1) == pytest.approx(rates, rel=0.03) and got.var(axis=1) == pytest.approx(rates, rel=0.05) and (got == np.floor(got)).all()
+
+
+def test_quantiles_of_all_kinds_of_groups(spark):
+    rng = np.random.default_rng(4)
+    groups = {"one": [3.0], "two": [1.0, 2.0], "ties": [5.0] * 400 + [7.0] * 3, "signs": list(rng.normal(0, 1e6, 501)), "tiny": list(rng.normal(0, 1e-9, 100)) + [0.0], None: [1.0, 4.0, 9.0]}
+    rows = [(g, float(x)) for g, xs in groups.items() for x in xs] + [("one", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    got = {r.g: r for r in stats.aggregated(df, ["g"], [F.count(F.lit(1)).alias("n")], {"a": (F.col("x"), 0.1), "b": (F.col("x"), 0.5), "c": (F.col("x"), 1.0), "d": (-F.col("x"), 0.25)}).collect()}
+    for g, xs in groups.items():
+        assert (got[g].a, got[g].b, got[g].c, got[g].d) == pytest.approx((np.quantile(xs, 0.1), np.median(xs), max(xs), np.quantile(-np.array(xs), 0.25)), rel=1e-12, abs=1e-15)
+    assert got["none"].n == 1 and got["none"].b is None
+
+
+def test_one_large_group_is_spread_over_tasks(spark):
+    df = spark.range(5_000_000).select(((F.col("id") * 7919) % 5_000_000).cast("double").alias("x"))
+    got = stats.quantiles(df, [], {"m": (F.col("x"), 0.5), "q": (F.col("x"), 0.99)}).first()
+    assert (got.m, got.q) == (2_499_999.5, pytest.approx(0.99 * 4_999_999))
+
+
+def test_leave_one_out_medians(spark):
+    rng = np.random.default_rng(5)
+    groups = {"a": [1.0], "b": [1.0, 2.0], "c": [1.0, 2.0, 2.0], "d": list(rng.integers(0, 9, 30).astype(float)), "e": list(rng.normal(0, 1, 31)), None: [4.0, 4.0]}
+    rows = [(g, i, float(x)) for g, xs in groups.items() for i, x in enumerate(xs)] + [("e", 99, None)]
+    got = {(r.g, r.i): r.m for r in stats.leave_one_out_median(spark.createDataFrame(rows, "g string, i int, x double"), ["g"], "x", "m", "i").collect()}
+    for g, xs in groups.items():
+        for i in range(len(xs)):
+            rest = xs[:i] + xs[i + 1 :]
+            assert got[g, i] == (pytest.approx(np.median(rest)) if rest else None)
+    assert got["e", 99] == pytest.approx(np.median(groups["e"]))
 
 
 def test_weighted_bootstrap_is_like_drawing_rows(spark):

@@ -91,7 +91,9 @@ def test_search_and_compare(spark):
 def test_diverse_recent(spark):
     day = lambda i: datetime.date(2026, 1, 1 + i)
     rows = [(i, "a", "sale", "X", day(i)) for i in range(8)] + [(20 + i, "a", "rent", "X", day(i)) for i in range(2)] + [(30, "b", "sale", "X", day(1)), (31, "c", None, None, None)]
-    df = spark.createDataFrame(rows, "normalized_id long, source_website string, listing_type string, property_type string, listing_date date")
-    got = [(r.source_website, r.normalized_id) for r in lookup.diverse(df, 7).collect()]
-    assert got == [("a", 21), ("b", 30), ("c", 31), ("a", 7), ("a", 20)]
+    rows = [(*r, e) for r in rows for e in (1, 2)]
+    df = spark.createDataFrame(rows, "normalized_id long, source_website string, listing_type string, property_type string, listing_date date, entity int")
+    got = [(r.entity, r.source_website, r.normalized_id) for r in lookup.diverse(df, "entity", 7).collect()]
+    assert got == [(e, *r) for e in (1, 2) for r in [("a", 21), ("b", 30), ("c", 31), ("a", 7), ("a", 20)]]
+    df = df.filter("entity = 1")
     assert lookup.recent_pool(df, most=2).count() == 4

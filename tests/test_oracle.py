@@ -44,4 +44,4 @@ def test_query_matches_its_sql(spark, duck, name):
 
 
 def test_every_query_without_sql_is_known():
-    assert set(QUERIES) - set(SQL) == {"bootstrap_ci", "valuation", "near_dup_token_ratio"}
+    assert set(QUERIES) - set(SQL) == {"bootstrap_ci", "valuation", "near_dup_token_ratio", "gazetteer_fuzzy"}
