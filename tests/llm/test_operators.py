@@ -184,12 +184,32 @@ def test_encoder_agrees_with_the_library(monkeypatch):
 
 
 def test_license_templates_bridge_small_changes(spark):
-    grant = dict(licenses.NOTICES[:2])
-    words = next(p for p in grant if p.startswith("permission is hereby")).split()
+    words = next(p for p, _ in licenses.NOTICES if p.startswith("permission is hereby granted free of charge to any person obtaining")).split()
     changed = [*words[:8], "very", "freely", *words[8:]]
     rows = [(1, "x y " + " ".join(words)), (2, " ".join(changed)), (3, " ".join(words[:6])), (4, "GNU General Public License, version 3!"), (5, None)]
     got = {r.doc_id: (r.labels, r.n_base, round(r.score, 2)) for r in licenses.license_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[1] == ("mit", 0, 1.0) and got[2][0] == "mit" and got[3][0] == "" and got[4] == ("gpl-3", 0, 1.0) and got[5] == ("", 0, 0.0)
+    assert got[1] == ("MIT", 0, 1.0) and got[2][0] == "MIT" and got[3][0] == "" and got[4] == ("GPL-3.0-only", 0, 1.0) and got[5] == ("", 0, 0.0)
+
+
+def test_license_labels_against_a_plain_search(spark):
+    """Notices with words changed, at random places; a label holds if the best offset lays enough of its words, and in no longer notice."""
+    rng = random.Random(9)
+    rows, expected = [], {}
+    for d, (phrase, label) in enumerate(licenses.NOTICES):
+        for copy, share in enumerate((0.0, 0.02, 0.6)):
+            words = phrase.split()
+            for at in rng.sample(range(len(words)), int(share * len(words))):
+                words[at] = f"other{at}"
+            rows.append((d * 10 + copy, prose(30, d) + " " + " ".join(words) + " " + prose(30, 99 + d)))
+            if share < 0.1:
+                expected[d * 10 + copy] = label
+    got = {r.doc_id: (r.labels.split(","), r.score) for r in licenses.license_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for d, _ in rows:
+        own = [x for x in got[d][0] if x and not x.islower()]
+        if d in expected:
+            assert own == [expected[d]] and got[d][1] > 0.9, (d, got[d])
+        else:
+            assert expected.get(d - 2) not in own
 
 
 def test_classifier_tells_junk_and_survives_one_class():
