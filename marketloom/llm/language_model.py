@@ -42,6 +42,7 @@ ROWS_PER_ROOT, TOKENS_PER_ROOT = 192, 8_192
 #: Places of a gradient step, and of the part of one that is worked on at once.
 BATCH, PART = 16_384, 2_048
 RATE = 0.12
+LEAST_LOG = np.float32(-25.0)
 ROUNDS = 2
 #: Tasks that count company at once, at most, and parts in which weights are averaged.
 COUNTERS, SLICES = 2_048, 64
@@ -234,7 +235,8 @@ class Model:
         for r in rows:
             out += w.take(r, axis=0, mode="clip")
         out -= out.max(axis=1, keepdims=True)
-        np.exp(out, out=out)
+        # No share is so small that its square would leave the normal numbers, which are much faster.
+        np.exp(np.maximum(out, LEAST_LOG, out=out), out=out)
         out /= out.sum(axis=1, keepdims=True)
         return out
 
@@ -327,7 +329,8 @@ def step(w: np.ndarray, seen: np.ndarray, model: Model, leaves: np.ndarray, ever
     for lo in range(0, len(leaves), PART):
         place, node, child = model.choices(leaves[lo : lo + PART])
         rows = model.rows(every[:, lo + place], node)
-        slope = -model.shares(rows, node, w)
+        # Arrays that came with the task carry a dtype of their own, with which add.at takes its slow way.
+        slope = (-model.shares(rows, node, w)).astype(np.float32)
         slope[np.arange(len(child)), child] += 1
         for r in rows:
             np.add.at(slopes, (r[:, None].astype(np.int64) * WIDE + column).ravel(), slope.ravel())
