@@ -83,3 +83,23 @@ def advance(states: DataFrame, run: DataFrame, healthy: bool, run_id: int, at: C
         F.when(found, F.lit(None)).when(gone, at).otherwise(F.col("inactive_at")).alias("inactive_at"),
         F.when(back, at).otherwise(F.col("reactivated_at")).alias("reactivated_at"),
     )
+
+
+def listed(observations: DataFrame) -> DataFrame:
+    """An event for the first observation of each listing."""
+    first = F.row_number().over(Window.partitionBy(*KEY).orderBy("listing_date", "normalized_id"))
+    return observations.withColumn("_r", first).filter("_r = 1").select(*KEY, "normalized_id", F.col("listing_date").alias("at"), F.lit("LISTED").alias("event"))
+
+
+def removed(before: DataFrame, after: DataFrame) -> DataFrame:
+    """An event for each listing whose state became INACTIVE between two tables of states."""
+    was = before.select(*KEY, F.col("status").alias("_was"))
+    gone = after.filter("status = 'INACTIVE'").join(was, KEY, "left").filter("_was IS NULL OR _was <> 'INACTIVE'")
+    return gone.select(*KEY, "last_seen_run_id", F.lit("REMOVED").alias("event"))
+
+
+def discovered(pages: DataFrame, bucket: int = 10) -> DataFrame:
+    """bucket, pages, hits, new_ids: what index pages (page, listing_id) add, by ten pages; an id is new on its first page only."""
+    first = pages.groupBy("listing_id").agg(F.min("page").alias("page")).groupBy("page").agg(F.count(F.lit(1)).alias("new_ids"))
+    per = pages.groupBy("page").agg(F.count(F.lit(1)).alias("hits")).join(first, "page", "left").withColumn("bucket", F.floor((F.col("page") - 1) / bucket).cast("long"))
+    return per.groupBy("bucket").agg(F.count(F.lit(1)).alias("pages"), F.sum("hits").alias("hits"), F.coalesce(F.sum("new_ids"), F.lit(0)).alias("new_ids"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions import buckets
@@ -114,3 +114,82 @@ def dataset_confidence(n: Column, sources: Column, missing: Column, parser: floa
     """Score and its tier: parser accuracy, source diversity, completeness and sample reliability multiplied."""
     score = parser * F.least(F.lit(1.0), sources / 2) * F.greatest(F.lit(0.0), 1 - missing) * sample_reliability(n)
     return score, F.when(score < 0.25, "insufficient").when(score < 0.45, "exploratory").when(score < 0.65, "moderate").otherwise("high")
+
+
+# Bounds of comparables by kind (price, area).
+COMPARABLE = {"rent": ((80.0, 2_500.0), (20.0, 200.0)), "sale": ((10_000.0, 500_000.0), (20.0, 200.0))}
+
+
+def comparables(rows: DataFrame, kind: str, price: tuple[float, float] | None = None, area: tuple[float, float] | None = None) -> DataFrame:
+    """Listings of a kind with a place, within the bounds of price and area."""
+    prices, areas = COMPARABLE[kind]
+    inside = F.col("listing_price").between(*(price or prices)) & F.col("area_sqm").between(*(area or areas))
+    return rows.filter((F.col("listing_type") == kind) & F.col("neighborhood_id").isNotNull() & inside)
+
+
+def selected_comparables(rows: DataFrame, area: float, bedrooms: int | None, least: int = LEAST_COMPARABLES, share: float = 0.2) -> DataFrame:
+    """The rows that an estimate for this area would use in each neighborhood, with tier and stratified.
+
+    Tiers widen from five square metres around the centre to ten, to a share of the area and to the whole neighborhood, until
+    there are enough rows. Within the tier, those with as many bedrooms are used alone if they are enough. One pass counts
+    all tiers; a second one keeps the rows.
+    """
+    centre = round(area / 5) * 5
+    x = F.col("area_sqm")
+    tiers = [("bucket", x.between(centre - 5, centre + 5)), ("wide", x.between(centre - 10, centre + 10)), ("percent", x.between(area * (1 - share), area * (1 + share))), ("neighborhood", F.lit(True))]
+    same = F.col("bedrooms") == bedrooms if bedrooms is not None else F.lit(False)
+    counts = rows.groupBy("neighborhood_id").agg(*[F.count_if(c).alias(f"_n_{t}") for t, c in tiers], *[F.count_if(c & same).alias(f"_s_{t}") for t, c in tiers])
+    first = lambda value: F.coalesce(*[F.when(F.col(f"_n_{t}") >= least, value(t)) for t, _ in tiers])
+    chosen = counts.select("neighborhood_id", F.coalesce(first(F.lit), F.lit("fallback")).alias("tier"), F.coalesce(first(lambda t: F.col(f"_s_{t}") >= least), F.lit(False)).alias("stratified"))
+    joined = rows.join(F.broadcast(chosen), "neighborhood_id")
+    inside = F.coalesce(*[F.when(F.col("tier") == t, c) for t, c in tiers], F.lit(True))
+    return joined.filter(inside & (~F.col("stratified") | same))
+
+
+def nearest(rows: DataFrame, by: str, area: float, most: int = 12, bandwidth: float = 10.0) -> DataFrame:
+    """The comparables of each group with the largest weights: weight, then area, then id."""
+    weighed = rows.withColumn("weight", gaussian_weight(F.col("area_sqm"), area, bandwidth))
+    order = Window.partitionBy(by).orderBy(F.col("weight").desc(), "area_sqm", "normalized_id")
+    return weighed.withColumn("place", F.row_number().over(order).cast("long")).filter(F.col("place") <= most)
+
+
+def metric_confidence(n: Column, sources: Column, largest_share_pct: Column, age_days: Column) -> Column:
+    """Tier of the sample, capped by few sources, one dominant source and old data."""
+    rank = F.when(n >= 100, 3).when(n >= 30, 2).when(n >= 10, 1).otherwise(0)
+    cap = F.least(F.when(sources <= 1, 1).when(sources <= 2, 2).otherwise(3), F.when(F.coalesce(largest_share_pct >= 80, F.lit(False)), 1).otherwise(3), F.when(age_days > 365, 0).when(age_days > 180, 1).otherwise(3))
+    return F.element_at(F.array(*map(F.lit, ("insufficient", "low", "medium", "high"))), F.least(rank, cap) + 1)
+
+
+def monotonic(report: DataFrame, metric: str = "mape", tiers: tuple[str, ...] = ("high", "medium", "low", "insufficient")) -> DataFrame:
+    """monotonic: whether the metric never falls from the surest tier to the least sure one; null for fewer than two tiers."""
+    place = F.array_position(F.array(*map(F.lit, tiers)), F.col("confidence"))
+    steps = report.filter(place > 0).withColumn("_p", place).withColumn("_before", F.lag(metric).over(Window.orderBy("_p")))  # one row a tier
+    return steps.agg(F.when(F.count(F.lit(1)) > 1, ~F.coalesce(F.bool_or(F.col(metric) < F.col("_before")), F.lit(False))).alias("monotonic"))
+
+
+def compared_reports(baseline: DataFrame, candidate: DataFrame, by: list[str], tolerance: dict[str, float]) -> DataFrame:
+    """by, metric, before, after, change_pct, verdict: improved, worse (beyond the metric's tolerance in per cent) or same."""
+    long = lambda df, v: df.unpivot(by, list(tolerance), "metric", v)
+    both = long(baseline, "before").join(long(candidate, "after"), [*by, "metric"], "full_outer")
+    limit = F.create_map(*[F.lit(x) for kv in tolerance.items() for x in kv])[F.col("metric")]
+    change = F.try_divide((F.col("after") - F.col("before")) * 100, F.abs("before"))
+    verdict = F.when(F.col("after").isNull() | F.col("before").isNull(), "missing").when(change > limit, "worse").when(change < 0, "improved").otherwise("same")
+    return both.withColumns({"change_pct": F.round(change, 6), "verdict": verdict})
+
+
+def stability(now: DataFrame, before: DataFrame, by: list[str]) -> DataFrame:
+    """relative_change, overlap, class, score of a metric (value, lo, hi) between two periods.
+
+    Intervals that overlap by half of the shorter one, or more, are stable; with some overlap moderately stable; without, the
+    relative change decides as for metrics that have no interval.
+    """
+    b = before.select(*by, *[F.col(c).alias(f"_{c}") for c in ("value", "lo", "hi")])
+    j = now.join(b, by)
+    change = F.abs(F.col("value") - F.col("_value")) / F.greatest(F.abs("_value"), F.lit(1e-9))
+    shared = F.greatest(F.least("hi", "_hi") - F.greatest("lo", "_lo"), F.lit(0.0))
+    shorter = F.greatest(F.least(F.col("hi") - F.col("lo"), F.col("_hi") - F.col("_lo")), F.lit(1e-9))
+    j = j.withColumns({"relative_change": change, "overlap": F.least(shared / shorter, F.lit(1.0))})
+    by_change = F.when(F.col("relative_change") < 0.05, "stable").when(F.col("relative_change") < 0.10, "moderately_stable").otherwise("volatile")
+    kind = F.when(F.col("overlap") >= 0.5, "stable").when(F.col("overlap") > 0, "moderately_stable").otherwise(by_change)
+    score = F.greatest(F.lit(0.0), 1 - F.col("relative_change")) * (0.5 + 0.5 * F.coalesce("overlap", F.lit(0.0)))
+    return j.withColumns({"class": kind, "score": F.round(score, 4)}).drop("_value", "_lo", "_hi")

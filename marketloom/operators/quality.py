@@ -77,3 +77,25 @@ def moved(now: DataFrame, before: DataFrame, key: str, value: str, warning: floa
     ease = F.when(F.col("n") < least, 1.5).otherwise(1.0)
     level = F.when(F.abs(delta) >= red * ease, "RED").when(F.abs(delta) >= warning * ease, "YELLOW").otherwise("GREEN")
     return joined.select(F.coalesce(key, "_k").alias(key), delta.alias("delta_pct"), level.alias("level"))
+
+
+def worst_level(steps: list[str], warning: float = 0.8, red: float = 0.5, least: int = 20) -> Column:
+    """The worst level over a chain of counts: each step's share of the one before it, green where the one before is a small sample."""
+    levels = [F.when(F.col(a) < least, 0).when(F.col(b) / F.col(a) < red, 2).when(F.col(b) / F.col(a) < warning, 1).otherwise(0) for a, b in zip(steps, steps[1:], strict=False)]
+    return F.element_at(F.array(*map(F.lit, ("GREEN", "YELLOW", "RED"))), F.greatest(*levels) + 1)
+
+
+def document_issues(least: int = 30) -> Column:
+    """Codes of what keeps an entity's document from being shown whole (see plans.records.entity_documents)."""
+    pulse = F.col("pulse")
+    return F.array_compact(
+        F.array(
+            F.when(F.coalesce(pulse["n"], F.lit(0)) == 0, "empty"),
+            F.when(pulse["sales"] < least, "few_sales"),
+            F.when(pulse["rents"] < least, "few_rents"),
+            F.when(F.coalesce(F.size("comparables"), F.lit(0)) <= 0, "no_comparables"),
+            F.when(F.col("name").isNull(), "no_name"),
+            F.when(pulse["sale_psm"] <= 0, "price_not_positive"),
+            F.when(F.coalesce(F.col("observations"), F.lit(0)) < pulse["n"], "fewer_observations_than_listings"),
+        )
+    )

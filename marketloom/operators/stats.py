@@ -176,14 +176,8 @@ def median_ranks(n: int, resamples: int, rng: np.random.Generator) -> tuple[np.n
     return tuple(np.minimum((u * n).astype(np.int64), n - 1) for u in (low, high))
 
 
-def bootstrap_median(df: DataFrame, by: list[str], x: str, resamples: int = 5000, ci: float = 0.95, seed: int = 42) -> DataFrame:
-    """n, median, lo, hi: the median and its percentile bootstrap interval by group, the same way at every size.
-
-    The ranks of the resamples' medians are drawn from the group's size and the seed; the values at those ranks are then
-    order statistics of the group. No group meets in one task.
-    """
-    edge = (1 - ci) / 2
-    rows = df.filter(F.col(x).isNotNull())
+def _median_draws(rows: DataFrame, by: list[str], x: str, resamples: int, seed: int) -> DataFrame:
+    """g, b, m: the median of each resample of each group."""
     counts = value_counts(rows, by, {x: F.col(x)})
     sizes = counts.groupBy("g").agg(F.sum("c").alias("n"))
 
@@ -198,12 +192,40 @@ def bootstrap_median(df: DataFrame, by: list[str], x: str, resamples: int = 5000
     drawn = kept(named.select("id", "n").mapInPandas(draw, "id string, b int, lo long, hi long").join(named.select("id", "g"), "id").drop("id"), "drawn")
     found = kept(order_statistics(counts, drawn.select("g", F.explode(F.array("lo", "hi")).alias("rank"))), "found")
     at = lambda c: found.select("g", F.col("rank").alias(c), F.col("x").alias(f"x_{c}"))
-    middle = drawn.join(at("lo"), ["g", "lo"]).join(at("hi"), ["g", "hi"]).select("g", ((F.col("x_lo") + F.col("x_hi")) / 2).alias("m"))
+    return drawn.join(at("lo"), ["g", "lo"]).join(at("hi"), ["g", "hi"]).select("g", "b", ((F.col("x_lo") + F.col("x_hi")) / 2).alias("m"))
+
+
+def bootstrap_median(df: DataFrame, by: list[str], x: str, resamples: int = 5000, ci: float = 0.95, seed: int = 42) -> DataFrame:
+    """n, median, lo, hi: the median and its percentile bootstrap interval by group, the same way at every size.
+
+    The ranks of the resamples' medians are drawn from the group's size and the seed; the values at those ranks are then
+    order statistics of the group. No group meets in one task.
+    """
+    edge = (1 - ci) / 2
+    rows = df.filter(F.col(x).isNotNull())
+    middle = _median_draws(rows, by, x, resamples, seed)
     bounds = middle.groupBy("g").agg(F.percentile("m", F.lit(edge)).alias("lo"), F.percentile("m", F.lit(1 - edge)).alias("hi"))
     bounds = bounds.select(*[F.col(f"g.{c}").alias(c) for c in by], "lo", "hi")
     return medians(rows, by, [F.count(F.lit(1)).alias("n")], median=F.col(x)).join(bounds, by)
 
 
+def compared_medians(df: DataFrame, by: list[str], x: str, resamples: int = 5000, ci: float = 0.95, seed: int = 42) -> DataFrame:
+    """by, median_a, median_b, difference, lo, hi, significant: medians of the two sides (column side, a or b) of each group.
+
+    Both sides' medians are resampled as in bootstrap_median, each with draws of its own, and subtracted draw by draw.
+    A group without one of the sides has no row.
+    """
+    edge = (1 - ci) / 2
+    sides = {s: _median_draws(df.filter((F.col("side") == s) & F.col(x).isNotNull()), by, x, resamples, seed + i) for i, s in enumerate("ab")}
+    renamed = lambda s: sides[s].select(F.to_json("g").alias("_g"), "b", F.col("m").alias(f"m_{s}"))
+    drawn = renamed("a").join(renamed("b"), ["_g", "b"]).withColumn("d", F.col("m_a") - F.col("m_b"))
+    bounds = drawn.groupBy("_g").agg(F.percentile("d", F.lit(edge)).alias("lo"), F.percentile("d", F.lit(1 - edge)).alias("hi"))
+    side = F.col("side")
+    both = medians(df, by, [F.count_if(side == "a").alias("n_a"), F.count_if(side == "b").alias("n_b")], median_a=only(x, side == "a"), median_b=only(x, side == "b"))
+    both = both.withColumn("_g", F.to_json(F.struct(*by, F.lit(x).alias("name")))).join(bounds, "_g").drop("_g")
+    return both.withColumns({"difference": F.col("median_a") - F.col("median_b"), "significant": (F.col("lo") > 0) | (F.col("hi") < 0)})
+
+
 def _uniform(keys: np.ndarray, n: int, seed: int) -> np.ndarray:
     """n numbers in (0, 1) for each key, by a counter through a 64-bit mixer: the same wherever the row is."""
     with np.errstate(over="ignore"):

@@ -7,11 +7,11 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from marketloom.plans import audit, market, resolution, stages, timeline
+from marketloom.plans import audit, market, records, resolution, stages, timeline
 
 FOLDER = Path("/root/testdata/sf0.001")
-QUERIES = market.QUERIES | timeline.QUERIES | resolution.QUERIES | audit.QUERIES | stages.QUERIES
-SQL = market.SQL | timeline.SQL | resolution.SQL | audit.SQL | stages.SQL
+QUERIES = market.QUERIES | timeline.QUERIES | resolution.QUERIES | audit.QUERIES | stages.QUERIES | records.QUERIES
+SQL = market.SQL | timeline.SQL | resolution.SQL | audit.SQL | stages.SQL | records.SQL
 
 
 @pytest.fixture(scope="module")
@@ -44,4 +44,4 @@ def test_query_matches_its_sql(spark, duck, name):
 
 
 def test_every_query_without_sql_is_known():
-    assert set(QUERIES) - set(SQL) == {"bootstrap_ci", "valuation", "near_dup_token_ratio", "gazetteer_fuzzy"}
+    assert set(QUERIES) - set(SQL) == {"bootstrap_ci", "valuation", "near_dup_token_ratio", "gazetteer_fuzzy", "period_comparison"}
