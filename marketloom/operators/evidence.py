@@ -60,8 +60,9 @@ def with_quality(claims: DataFrame, replicated: DataFrame, impact: dict[str, flo
 def superseded(claims: DataFrame, old_id: str, new: DataFrame) -> DataFrame:
     """The registry with the old claim marked and the new one appended; nothing else changes."""
     mark = F.col("claim_id") == old_id
-    new_id = F.lit(new.first()["claim_id"])
-    marked = claims.withColumns({"status": F.when(mark, "superseded").otherwise(F.col("status")), "superseded_by": F.when(mark, new_id).otherwise(F.col("superseded_by"))})
+    successor = new.agg(F.min("claim_id").alias("_new"))  # one row
+    marked = claims.join(F.broadcast(successor), F.lit(True), "left")
+    marked = marked.withColumns({"status": F.when(mark, "superseded").otherwise(F.col("status")), "superseded_by": F.when(mark, F.col("_new")).otherwise(F.col("superseded_by"))}).drop("_new")
     return marked.unionByName(new, allowMissingColumns=True)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +17,8 @@ def write_new(df: DataFrame, path: str, key: list[str]) -> None:
     spark = df.sparkSession
     try:
         old = spark.read.parquet(path).select(*key)
-    except Exception as e:  # Spark names a missing table in the message only
-        if "PATH_NOT_FOUND" not in str(e):
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
         old = None
     rows = df.dropDuplicates(key)

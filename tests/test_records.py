@@ -151,3 +151,14 @@ def test_events_and_discovery(spark):
     assert [(r.source_listing_id, r.event) for r in history.removed(before, after).collect()] == [("1", "REMOVED")]
     pages = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (11, "b"), (12, "c")], "page long, listing_id string")
     assert sorted(tuple(r) for r in history.discovered(pages).collect()) == [(0, 2, 3, 2), (1, 2, 2, 1)]
+
+
+def test_stored_tables_can_be_discarded(spark):
+    import os
+
+    from marketloom.sources import tables
+
+    tables.discard(spark)
+    out = tables.kept(spark.range(5), "five")
+    path = out.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert out.count() == 5 and os.path.isdir(path) and tables.discard(spark) == 1 and not os.path.exists(path)
