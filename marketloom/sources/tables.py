@@ -17,7 +17,7 @@ def shared_dir(spark: SparkSession) -> str:
     executors would write where neither the driver nor one another can read."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="marketloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
