@@ -131,10 +131,10 @@ def _window_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["ord", "f1", "starts", "found"])
 
 
-def _tokens(docs: DataFrame) -> DataFrame:
-    """ord (doc_id, null last), t (word hashes) and fingerprints of the row of words."""
-    df = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("ord"), hashes(words(F.col("text"))).alias("t"))
-    return df.select("ord", F.xxhash64("t").alias("f1"), F.hash("t").alias("f2"), F.size("t").alias("n"), "t")
+def _tokens(docs: DataFrame, *more: str) -> DataFrame:
+    """ord (doc_id, null last), t (word hashes) and fingerprints of the row of words, with columns of docs."""
+    df = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("ord"), hashes(words(F.col("text"))).alias("t"), *more)
+    return df.select("ord", F.xxhash64("t").alias("f1"), F.hash("t").alias("f2"), F.size("t").alias("n"), "t", *more)
 
 
 def _hint(df: DataFrame, array: str, width: int = 1) -> DataFrame:
@@ -149,15 +149,20 @@ def extended(docs: DataFrame, runs: DataFrame) -> DataFrame:
     Word lo of a run stands at lo + diagonal in the partner. Both sides are cut where the partner's chunks end; a chunk of a
     partner is fetched once, and its key may be frequent, so the join is left to be split where it is skewed.
     """
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("ord"), words(F.col("text")).alias("w"))
-    texts = texts.withColumn("f1", F.xxhash64(hashes(F.col("w"))))
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("ord"), "text")
+
+    def opened(wanted: DataFrame, array: str, width: int) -> DataFrame:
+        """The wanted texts with their words: found by id, so that other texts are not parted into words, then by fingerprint."""
+        found = texts.join(_hint(wanted, array, width), "ord").withColumn("w", words(F.col("text"))).drop("text")
+        return found.filter(F.xxhash64(hashes(F.col("w"))) == F.col("f1"))
+
     own = stored(runs.groupBy("ord", "f1").agg(F.collect_list(F.struct("e_ord", "e_f1", "diagonal", "lo", "hi")).alias("runs")), "own-runs")
     chunks = lambda lo, hi: F.sequence(F.floor(lo / CHUNK), F.floor((hi - 1) / CHUNK))
     at = runs.select("e_ord", "e_f1", F.explode(chunks(F.col("lo") + F.col("diagonal"), F.col("hi") + F.col("diagonal"))).alias("chunk")).distinct()
     at = stored(at.groupBy(F.col("e_ord").alias("ord"), F.col("e_f1").alias("f1")).agg(F.collect_list("chunk").alias("chunks")), "partners")
-    theirs = texts.join(_hint(at, "chunks"), ["ord", "f1"]).withColumn("chunk", F.explode("chunks"))
+    theirs = opened(at, "chunks", 1).withColumn("chunk", F.explode("chunks"))
     theirs = theirs.select(F.col("ord").alias("e_ord"), F.col("f1").alias("e_f1"), "chunk", F.slice("w", (F.col("chunk") * CHUNK + 1).cast("int"), CHUNK).alias("theirs"))
-    mine = texts.join(_hint(own, "runs", 5), ["ord", "f1"]).withColumn("r", F.explode("runs")).select("ord", "f1", "w", "r.*")
+    mine = opened(own, "runs", 5).withColumn("r", F.explode("runs")).select("ord", "f1", "w", "r.*")
     mine = mine.withColumn("chunk", F.explode(chunks(F.col("lo") + F.col("diagonal"), F.col("hi") + F.col("diagonal"))))
     start = F.greatest(F.col("lo"), F.col("chunk") * CHUNK - F.col("diagonal")).cast("int")
     end = F.least(F.col("hi"), (F.col("chunk") + 1) * CHUNK - F.col("diagonal")).cast("int")
@@ -197,7 +202,8 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     seeds = drawn.join(searched, ["ord", "f1"], "left_semi").select("ord", "f1", F.explode("anchors").alias("anchor")).distinct()
     common = seeds.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
     shared = stored(seeds.join(common, "anchor", "left_semi").groupBy("ord", "f1").agg(F.collect_list("anchor").alias("anchors")), "seeds")
-    opened = _tokens(docs).select("ord", "f1", "t").join(_hint(shared, "anchors"), ["ord", "f1"])
+    by_id = docs.select("doc_id", "text").join(_hint(shared.withColumnsRenamed({"ord": "_ord", "f1": "_f1"}), "anchors"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)) == F.col("_ord"))
+    opened = _tokens(by_id, "anchors", "_f1").filter(F.col("f1") == F.col("_f1")).select("ord", "f1", "t", "anchors")
     windows = opened.mapInArrow(_window_rows, "ord long, f1 long, starts array<int>, found array<long>")
     windows = windows.select("ord", "f1", F.explode(F.arrays_zip("starts", "found")).alias("w")).select("ord", "f1", F.col("w.starts").alias("start"), F.col("w.found").alias("window"))
     windows = stored(windows, "windows")
