@@ -58,12 +58,8 @@ def bedrooms(*texts: Column) -> Column:
 
     def of(text: Column) -> Column:
         t = F.regexp_extract_all(folded(F.coalesce(text, F.lit(""))), F.lit("([a-z]+|[0-9]+|[+:])"), F.lit(1))
-
-        def first(evidence) -> Column:
-            """evidence: the value at a place, given what stands so many places on."""
-            found = F.transform(t, lambda _, i: evidence(lambda k: F.get(t, i + k)))
-            return F.get(F.filter(found, lambda x: x.isNotNull()), 0)
-
+        # Each place with the three behind it; one pass keeps the first value of each kind of evidence.
+        places = F.arrays_zip(t.alias("w0"), *[F.slice(t, k + 1, F.size(t)).alias(f"w{k}") for k in (1, 2, 3)])
         digits = lambda w: F.when(w.rlike("^[0-9]{1,2}$"), count(w))
         room = lambda w: _starts(w, ROOM)
         link = lambda w: F.coalesce(w.isin("te", "e"), F.lit(False))
@@ -82,7 +78,12 @@ def bedrooms(*texts: Column) -> Column:
             lambda at: F.when(room(at(0)) & sleeping(at, 1), F.lit(1)),
             lambda at: F.when(_starts(at(0), STUDIO[:2]) | (at(0) == STUDIO[2]), F.lit(0)),
         ]
-        return F.coalesce(*[first(k) for k in kinds])
+        nothing = F.struct(*[F.lit(None).cast("int").alias(f"k{j}") for j in range(len(kinds))])
+
+        def step(found: Column, place: Column) -> Column:
+            return F.struct(*[F.coalesce(found[f"k{j}"], kind(lambda k: place[f"w{k}"])).cast("int").alias(f"k{j}") for j, kind in enumerate(kinds)])
+
+        return F.aggregate(places, nothing, step, lambda found: F.coalesce(*[found[f"k{j}"] for j in range(len(kinds))]))
 
     return F.coalesce(*[of(t) for t in texts])
 

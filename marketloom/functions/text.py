@@ -35,16 +35,16 @@ def redacted(text: Column, longest: int | None = None) -> Column:
     empty text.
     """
     words = F.split(collapsed(F.coalesce(text, F.lit(""))), " ")
-    low = F.transform(words, F.lower)
-    tail = lambda w: F.regexp_extract(w, r"[,;!?)]*$", 0)
-    mask = lambda w: F.concat(F.lit(REDACTED), tail(w))
+    # Each word with the one before it, so that the words are parted twice and not once a word.
+    pairs = F.arrays_zip(words.alias("w"), F.concat(F.array(F.lit("")), words).alias("b"))
     told = lambda w: w.rlike(r"[:@]$")
 
-    def of(w: Column, i: Column) -> Column:
-        now, before = F.get(low, i), F.coalesce(F.get(low, i - 1), F.lit(""))
-        return F.when(_contact(now) | (_names(now) & ~told(now)) | (_names(before) & told(before)), mask(w)).when(_names(now), F.lit("")).otherwise(w)
+    def of(p: Column) -> Column:
+        now, before = F.lower(p["w"]), F.lower(p["b"])
+        mask = F.concat(F.lit(REDACTED), F.regexp_extract(p["w"], r"[,;!?)]*$", 0))
+        return F.when(_contact(now) | (_names(now) & ~told(now)) | (_names(before) & told(before)), mask).when(_names(now), F.lit("")).otherwise(p["w"])
 
-    kept = F.filter(F.transform(words, of), lambda w: w != "")
+    kept = F.filter(F.transform(pairs, of), lambda w: w.isNotNull() & (w != ""))
     out = F.regexp_replace(F.array_join(kept, " "), PHONE, REDACTED)
     return out if longest is None else F.when(F.length(out) > longest, F.concat(F.substring(out, 1, longest), F.lit("…"))).otherwise(out)
 
