@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import documents, hashes, stored, words
+from marketloom.llm.common import SALTED_ROWS, broadcast_if_small, documents, hashes, stored, words
 
 #: Words of a repeat, words of an anchor. Each window has LENGTH - ANCHOR + 1 anchors to choose its least from.
 LENGTH = 50
@@ -146,9 +146,11 @@ def _hint(df: DataFrame, array: str, width: int = 1) -> DataFrame:
 def extended(docs: DataFrame, runs: DataFrame) -> DataFrame:
     """ord, f1, lo, hi: the parts of runs (ord, f1, e_ord, e_f1, diagonal, lo, hi) whose words are those of the partner.
 
-    Word lo of a run stands at lo + diagonal in the partner. Both sides are cut where the partner's chunks end; a chunk of a
-    partner is fetched once, and its key may be frequent, so the join is left to be split where it is skewed.
+    Word lo of a run stands at lo + diagonal in the partner. Both sides are cut where the partner's chunks end, and each piece is a
+    text of its words. A chunk of a partner is fetched once; one that very many runs need is repeated in shares, so that no
+    task meets all runs of a chunk.
     """
+    key, run = ["e_ord", "e_f1", "chunk"], ["ord", "f1", "lo", "hi", "e_ord", "e_f1", "diagonal"]
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("ord"), "text")
 
     def opened(wanted: DataFrame, array: str, width: int) -> DataFrame:
@@ -156,23 +158,27 @@ def extended(docs: DataFrame, runs: DataFrame) -> DataFrame:
         found = texts.join(_hint(wanted, array, width), "ord").withColumn("w", words(F.col("text"))).drop("text")
         return found.filter(F.xxhash64(hashes(F.col("w"))) == F.col("f1"))
 
+    chunks = F.sequence(F.floor((F.col("lo") + F.col("diagonal")) / CHUNK), F.floor((F.col("hi") + F.col("diagonal") - 1) / CHUNK))
+    needed = runs.select("e_ord", "e_f1", F.explode(chunks).alias("chunk")).groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / SALTED_ROWS).cast("int").alias("shares"))
+    needed = stored(needed, "chunks")
+    frequent = broadcast_if_small(stored(needed.filter("shares > 1"), "frequent"))
+    at = stored(needed.groupBy(F.col("e_ord").alias("ord"), F.col("e_f1").alias("f1")).agg(F.collect_list(F.struct("chunk", "shares")).alias("chunks")), "partners")
     own = stored(runs.groupBy("ord", "f1").agg(F.collect_list(F.struct("e_ord", "e_f1", "diagonal", "lo", "hi")).alias("runs")), "own-runs")
-    chunks = lambda lo, hi: F.sequence(F.floor(lo / CHUNK), F.floor((hi - 1) / CHUNK))
-    at = runs.select("e_ord", "e_f1", F.explode(chunks(F.col("lo") + F.col("diagonal"), F.col("hi") + F.col("diagonal"))).alias("chunk")).distinct()
-    at = stored(at.groupBy(F.col("e_ord").alias("ord"), F.col("e_f1").alias("f1")).agg(F.collect_list("chunk").alias("chunks")), "partners")
-    theirs = opened(at, "chunks", 1).withColumn("chunk", F.explode("chunks"))
-    theirs = theirs.select(F.col("ord").alias("e_ord"), F.col("f1").alias("e_f1"), "chunk", F.slice("w", (F.col("chunk") * CHUNK + 1).cast("int"), CHUNK).alias("theirs"))
-    mine = opened(own, "runs", 5).withColumn("r", F.explode("runs")).select("ord", "f1", "w", "r.*")
-    mine = mine.withColumn("chunk", F.explode(chunks(F.col("lo") + F.col("diagonal"), F.col("hi") + F.col("diagonal"))))
+    piece = lambda start, n: F.array_join(F.slice("w", start.cast("int"), n), " ")
+    theirs = opened(at, "chunks", 2).withColumn("c", F.explode("chunks")).select(F.col("ord").alias("e_ord"), F.col("f1").alias("e_f1"), "c.*", piece(F.col("c.chunk") * CHUNK + 1, CHUNK).alias("theirs"))
+    theirs = theirs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+    mine = opened(own, "runs", 5).withColumn("r", F.explode("runs")).select("ord", "f1", "w", "r.*").withColumn("chunk", F.explode(chunks))
     start = F.greatest(F.col("lo"), F.col("chunk") * CHUNK - F.col("diagonal")).cast("int")
     end = F.least(F.col("hi"), (F.col("chunk") + 1) * CHUNK - F.col("diagonal")).cast("int")
-    mine = mine.withColumns({"start": start, "end": end}).withColumn("mine", F.slice("w", F.col("start") + 1, F.col("end") - F.col("start"))).drop("w")
+    mine = mine.withColumns({"start": start, "end": end}).withColumn("mine", piece(F.col("start") + 1, F.col("end") - F.col("start"))).drop("w", "end")
+    mine = mine.join(frequent, key, "left").withColumn("salt", F.pmod(F.xxhash64("ord", "lo"), F.coalesce("shares", F.lit(1))).cast("int")).drop("shares")
     # A text that stands in two rows is a partner once.
-    both = mine.join(theirs.dropDuplicates(["e_ord", "e_f1", "chunk"]), ["e_ord", "e_f1", "chunk"])
+    both = mine.join(theirs.dropDuplicates([*key, "salt"]), [*key, "salt"])
     shift = (F.col("start") + F.col("diagonal") - F.col("chunk") * CHUNK).cast("int")
-    unlike = F.filter(F.transform("mine", lambda x, i: F.when(~x.eqNullSafe(F.get("theirs", i + shift)), F.col("start") + i)), lambda x: x.isNotNull())
-    found = both.select("ord", "f1", "lo", "hi", "e_ord", "e_f1", "diagonal", unlike.alias("unlike"))
-    ends = found.groupBy("ord", "f1", "lo", "hi", "e_ord", "e_f1", "diagonal").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("unlike")))).alias("cuts"))
+    both = both.withColumns({"a": F.split("mine", " "), "b": F.split("theirs", " ")}).withColumn("b", F.slice("b", shift + 1, F.size("a")))
+    unlike = F.filter(F.transform("a", lambda x, i: F.when(~x.eqNullSafe(F.get("b", i)), F.col("start") + i)), lambda x: x.isNotNull())
+    found = both.select(*run, F.when(F.col("a") == F.col("b"), F.array().cast("array<int>")).otherwise(unlike).alias("unlike"))
+    ends = found.groupBy(*run).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("unlike")))).alias("cuts"))
     # From one word that differs to the next.
     first, last = F.concat(F.array(F.col("lo") - 1), "cuts"), F.concat("cuts", F.array("hi"))
     parts = ends.select("ord", "f1", F.explode(F.arrays_zip(first.alias("a"), last.alias("b"))).alias("p")).select("ord", "f1", (F.col("p.a") + 1).alias("lo"), F.col("p.b").alias("hi"))

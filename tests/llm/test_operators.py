@@ -386,3 +386,43 @@ def test_scores_do_not_depend_on_partitions(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     one, two = ({r.doc_id: r.score for r in language_model.lm_scores(docs.repartition(n)).collect()} for n in (2, 7))
     assert one == pytest.approx(two, rel=1e-6)
+
+
+def test_extension_compares_words_and_cuts_where_they_differ(spark, monkeypatch):
+    """Runs that hashes might claim: only stretches of 50 words or more that are word for word the partner's remain."""
+    monkeypatch.setattr(substrings, "SALTED_ROWS", 2)
+    base = prose(200, 1, 5_000).split()
+    texts = {1: base}
+    for d in range(2, 12):
+        texts[d] = ["x"] * (d % 3) + [w if j not in (60 + d, 130) else "other" for j, w in enumerate(base)]
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in texts.items()], "doc_id long, text string")
+    prints = {r.ord: r.f1 for r in substrings._tokens(docs).select("ord", "f1").collect()}
+    runs = [(d, prints[d], 1, prints[1], -(d % 3), d % 3, d % 3 + 200) for d in range(2, 12)]
+    frame = spark.createDataFrame(runs, "ord long, f1 long, e_ord long, e_f1 long, diagonal int, lo int, hi int")
+    got = {(r.ord, r.lo, r.hi) for r in substrings.extended(docs, substrings.stored(frame, "runs")).collect()}
+    expected = set()
+    for d in range(2, 12):
+        cuts = [-1, 60 + d, 130, 200]
+        expected |= {(d, a + 1 + d % 3, b + d % 3) for a, b in itertools.pairwise(cuts) if b - a - 1 >= 50}
+    assert got == expected
+
+
+def test_near_copies_with_a_common_passage_equal_plain_windows(spark):
+    """Many documents that share one passage, with words changed at random: every word that goes, against all windows."""
+    rng = random.Random(12)
+    passage = prose(130, 5, 5_000).split()
+    texts = {}
+    for d in range(120):
+        w = list(passage)
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            w[rng.randrange(len(w))] = f"y{rng.randrange(40)}"
+        texts[d] = prose(rng.randrange(60), 100 + d).split() + w[rng.randrange(40) :] + prose(rng.randrange(60), 300 + d).split()
+    first = {}
+    for d, w in texts.items():
+        for i in range(len(w) - 49):
+            first.setdefault(tuple(w[i : i + 50]), d)
+    expected = {d: sorted({j for i in range(len(w) - 49) if first[tuple(w[i : i + 50])] < d for j in range(i, i + 50)}) for d, w in texts.items()}
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()], "doc_id long, text string").repartition(4)
+    for r in substrings.without_repeats(docs).collect():
+        gone = set(expected[r.doc_id])
+        assert r.n_removed == len(gone) and r.kept == [w for j, w in enumerate(texts[r.doc_id]) if j not in gone]
