@@ -153,9 +153,12 @@ def extended(docs: DataFrame, runs: DataFrame) -> DataFrame:
     key, run = ["e_ord", "e_f1", "chunk"], ["ord", "f1", "lo", "hi", "e_ord", "e_f1", "diagonal"]
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("ord"), "text")
 
-    def opened(wanted: DataFrame, array: str, width: int) -> DataFrame:
-        """The wanted texts with their words: found by id, so that other texts are not parted into words, then by fingerprint."""
-        found = texts.join(_hint(wanted, array, width), "ord").withColumn("w", words(F.col("text"))).drop("text")
+    def opened(wanted: DataFrame) -> DataFrame:
+        """The wanted texts with their words: found by id, so that other texts are not parted into words, then by fingerprint.
+
+        Both sides join the same shuffle of the texts, at every size: what is wanted has arrays of any length.
+        """
+        found = texts.join(wanted, "ord").withColumn("w", words(F.col("text"))).drop("text")
         return found.filter(F.xxhash64(hashes(F.col("w"))) == F.col("f1"))
 
     chunks = F.sequence(F.floor((F.col("lo") + F.col("diagonal")) / CHUNK), F.floor((F.col("hi") + F.col("diagonal") - 1) / CHUNK))
@@ -165,9 +168,9 @@ def extended(docs: DataFrame, runs: DataFrame) -> DataFrame:
     at = stored(needed.groupBy(F.col("e_ord").alias("ord"), F.col("e_f1").alias("f1")).agg(F.collect_list(F.struct("chunk", "shares")).alias("chunks")), "partners")
     own = stored(runs.groupBy("ord", "f1").agg(F.collect_list(F.struct("e_ord", "e_f1", "diagonal", "lo", "hi")).alias("runs")), "own-runs")
     piece = lambda start, n: F.array_join(F.slice("w", start.cast("int"), n), " ")
-    theirs = opened(at, "chunks", 2).withColumn("c", F.explode("chunks")).select(F.col("ord").alias("e_ord"), F.col("f1").alias("e_f1"), "c.*", piece(F.col("c.chunk") * CHUNK + 1, CHUNK).alias("theirs"))
+    theirs = opened(at).withColumn("c", F.explode("chunks")).select(F.col("ord").alias("e_ord"), F.col("f1").alias("e_f1"), "c.*", piece(F.col("c.chunk") * CHUNK + 1, CHUNK).alias("theirs"))
     theirs = theirs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
-    mine = opened(own, "runs", 5).withColumn("r", F.explode("runs")).select("ord", "f1", "w", "r.*").withColumn("chunk", F.explode(chunks))
+    mine = opened(own).withColumn("r", F.explode("runs")).select("ord", "f1", "w", "r.*").withColumn("chunk", F.explode(chunks))
     start = F.greatest(F.col("lo"), F.col("chunk") * CHUNK - F.col("diagonal")).cast("int")
     end = F.least(F.col("hi"), (F.col("chunk") + 1) * CHUNK - F.col("diagonal")).cast("int")
     mine = mine.withColumns({"start": start, "end": end}).withColumn("mine", piece(F.col("start") + 1, F.col("end") - F.col("start"))).drop("w", "end")
