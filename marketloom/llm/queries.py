@@ -13,6 +13,7 @@ from marketloom.llm.mixing import OP7_SQL, op7_mixing
 from marketloom.llm.near_dups import OP2_SQL, op2_near_dups
 from marketloom.llm.quality_classifier import op6_quality_classifier
 from marketloom.llm.quality_rules import OP4_SQL, op4_quality_rules
+from marketloom.llm.ranked_search import OP13_SQL, op13_ranked_search
 from marketloom.llm.sharding import OP10_SQL, op10_sharding
 from marketloom.llm.substrings import OP8_SQL, op8_substring_dedup
 from marketloom.llm.tokens import op5_token_ids
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_sharding": op10_sharding,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 SQL: dict[str, str] = {
@@ -38,4 +40,5 @@ SQL: dict[str, str] = {
     "op8_substring_dedup": OP8_SQL,
     "op9_license_scan": OP9_SQL,
     "op10_sharding": OP10_SQL,
+    "op13_ranked_search": OP13_SQL,
 }
