@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marketloom.sources import tables
 from marketloom.sources.tables import kept as stored
 from marketloom.sources.tables import shared_dir, table
 
@@ -56,7 +57,33 @@ def gram_hashes(tokens: Column, k: int) -> Column:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what is written there goes with tables.discard()."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    tables._STORED.append(path)
+    return path
+
+
+def written_once(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Like stored, with the table's path, so that it can be deleted as soon as nothing reads it."""
+    path = new_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def numbered(df: DataFrame, name: str, number: str = "id") -> DataFrame:
+    """A stored table with a dense number from 0 a row, in any order: a row's place in its partition, shifted by the rows of the
+    partitions before it (one row each)."""
+    rows = stored(df.withColumn("_mx_place", F.monotonically_increasing_id()), name)
+    part, place = F.shiftright("_mx_place", 33), F.col("_mx_place").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = rows.groupBy(part.alias("_mx_part")).agg(F.count(F.lit(1)).alias("_mx_n"))
+    before = F.sum("_mx_n").over(Window.orderBy("_mx_part").rowsBetween(Window.unboundedPreceding, -1))
+    shifts = counts.select("_mx_part", F.coalesce(before, F.lit(0)).alias("_mx_shift"))
+    return rows.join(F.broadcast(shifts), part == F.col("_mx_part")).withColumn(number, (F.col("_mx_shift") + place).cast("long")).drop("_mx_part", "_mx_shift", "_mx_place")
 
 
 #: Rows of a stored table (a few numbers and short names each) up to which it is broadcast.

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marketloom.llm.collocations import OP11_SQL, op11_collocations
 from marketloom.llm.decontamination import OP1_SQL, op1_decontamination
 from marketloom.llm.language_model import op3_lm_scoring
 from marketloom.llm.licenses import OP9_SQL, op9_license_scan
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_sharding": op10_sharding,
+    "op11_collocations": op11_collocations,
     "op13_ranked_search": op13_ranked_search,
 }
 
@@ -40,5 +42,6 @@ SQL: dict[str, str] = {
     "op8_substring_dedup": OP8_SQL,
     "op9_license_scan": OP9_SQL,
     "op10_sharding": OP10_SQL,
+    "op11_collocations": OP11_SQL,
     "op13_ranked_search": OP13_SQL,
 }
