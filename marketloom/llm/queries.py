@@ -12,6 +12,7 @@ from marketloom.llm.language_model import op3_lm_scoring
 from marketloom.llm.licenses import OP9_SQL, op9_license_scan
 from marketloom.llm.mixing import OP7_SQL, op7_mixing
 from marketloom.llm.near_dups import OP2_SQL, op2_near_dups
+from marketloom.llm.packing import op12_packing
 from marketloom.llm.quality_classifier import op6_quality_classifier
 from marketloom.llm.quality_rules import OP4_SQL, op4_quality_rules
 from marketloom.llm.ranked_search import OP13_SQL, op13_ranked_search
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": op9_license_scan,
     "op10_sharding": op10_sharding,
     "op11_collocations": op11_collocations,
+    "op12_packing": op12_packing,
     "op13_ranked_search": op13_ranked_search,
 }
 
