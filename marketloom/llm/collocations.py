@@ -35,7 +35,9 @@ FIRST = 2_000
 COVERED_PERCENT = 80
 SCALE = 2_000_000
 #: Words of a block, about (a longer text is in one block).
-BLOCK_WORDS = 3_000_000
+BLOCK_WORDS = 1_000_000
+#: Rows that a task hands over at a time.
+BATCH_ROWS = 200_000
 #: Rows of a table of two numbers that may be broadcast (24 MB).
 BROADCAST_ROWS = 1_000_000
 
@@ -154,6 +156,7 @@ def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(batch.num_rows):
             yield {name: batch.column(name)[i] for name in batch.schema.names}
+            pa.default_memory_pool().release_unused()
 
 
 def _joined(row: dict, length: int, n_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -168,7 +171,10 @@ def extended(lists: DataFrame, length: int, n_words: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             keys, n = np.unique(_joined(row, length, n_words)[1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), row["block"].as_py(), np.int64)), pa.array(keys), pa.array(n)], ["block", "key", "n"])
+            block = np.full(len(keys), row["block"].as_py(), np.int64)
+            for lo in range(0, len(keys), BATCH_ROWS):
+                part = slice(lo, lo + BATCH_ROWS)
+                yield pa.RecordBatch.from_arrays([pa.array(block[part]), pa.array(keys[part]), pa.array(n[part])], ["block", "key", "n"])
 
     return lists.mapInArrow(run, "block long, key long, n long")
 
