@@ -5,7 +5,7 @@ which the word stands (the list's length is its frequency there); positions skip
 nothing adjoins across them. Level by level, the lists of frequent phrases are merge-joined with the postings of the words one
 position further on: the pairs that meet are the phrases that are one word longer, and where they meet is their list. List
 lengths are added up over blocks by Spark; phrases that reach `least` get a number, and only their lists go on (no phrase is
-frequent whose parts are not). All counts are exact: phrases are pairs of numbers, not hashes.
+frequent whose parts are not). All counts are exact: phrases are told apart by numbers (where they stand first), not by hashes.
 
 Tables of phrases have a row a frequent phrase, blocks a row each; nothing is gathered by word or language but sums, so a
 frequent word or a large language is no large task.
@@ -46,6 +46,9 @@ BREAKS = b".,;:!?\n\x0b\x0c\r"
 AS_PIECES = bytes(10 if c in BREAKS else 32 if c in b" \t" else ASCII_LOWER[c] for c in range(256))
 INSIDE = byte_table(b" \n", inverted=True)
 
+#: Bits of a block's number in its task, and the low bits of a packed pair.
+SEQUENCE, LOW = 12, (1 << 31) - 1
+
 LISTS = "block long, ids array<bigint>, sizes array<int>, places binary"
 
 
@@ -66,7 +69,7 @@ def unpacked(places: bytes) -> np.ndarray:
 def vertical(values: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct values, the length of each one's list, and the lists one after the other. Values and places below 2 ** 31."""
     both = np.sort(values.astype(np.int64) << 31 | places)
-    ordered, places = both >> 31, both & ((1 << 31) - 1)
+    ordered, places = both >> 31, both & LOW
     first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(both) else np.zeros(0, np.int64)
     return ordered[first], np.diff(first, append=len(both)), places
 
@@ -120,7 +123,8 @@ def word_lists(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """A row a block: its words (langs, words) with their lists, and the words of each of its languages (names, counts)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, block = TaskContext.get().partitionId() << 32, Block()
+        task, block = TaskContext.get().partitionId(), Block()
+        number = task << SEQUENCE
         for batch in batches:
             for part in slices(batch):
                 langs = pc.fill_null(part.column("lang"), "und")
@@ -129,27 +133,29 @@ def word_lists(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
                 if block.words >= block_words:
                     yield block.row(number)
                     number, block = number + 1, Block()
+                    if number >> SEQUENCE != task or task >> 20:
+                        raise OverflowError("too many tasks, or too many blocks in one: their numbers have 32 bits")
         if block.words:
             yield block.row(number)
 
     return docs.select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(run, WORD_BLOCKS)
 
 
-def _by_place(row: dict, ids: str = "ids", sizes: str = "sizes", places: str = "places") -> tuple[np.ndarray, np.ndarray]:
-    """Positions in ascending order, and whose list each is of."""
+def _by_place(row: dict, sizes: str = "sizes", places: str = "places") -> tuple[np.ndarray, np.ndarray]:
+    """Positions in ascending order, and the number of the list that each is in."""
     at = unpacked(row[places].as_py())
     own = np.repeat(np.arange(len(row[sizes].values)), row[sizes].values.to_numpy())
     both = np.sort(at << 31 | own)
-    return both >> 31, row[ids].values.to_numpy()[both & ((1 << 31) - 1)]
+    return both >> 31, both & LOW
 
 
-def met(starts: np.ndarray, heads: np.ndarray, word_places: np.ndarray, words: np.ndarray, length: int, n_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Merge join of phrases of `length` words with the words right behind them: starts and keys (head * n_words + word)."""
+def met(starts: np.ndarray, heads: np.ndarray, word_places: np.ndarray, words: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Merge join of phrases of `length` words with the words right behind them: starts and keys (head << 31 | word)."""
     if not len(word_places):
         return starts[:0], heads[:0]
     at = np.minimum(np.searchsorted(word_places, starts + length), len(word_places) - 1)
     hit = word_places[at] == starts + length
-    return starts[hit], heads[hit] * n_words + words[at[hit]]
+    return starts[hit], heads[hit] << 31 | words[at[hit]]
 
 
 def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
@@ -159,24 +165,43 @@ def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
             pa.default_memory_pool().release_unused()
 
 
-def _joined(row: dict, length: int, n_words: int) -> tuple[np.ndarray, np.ndarray]:
-    starts, heads = _by_place(row)
-    words = (starts, heads) if length == 1 else _by_place(row, "word_ids", "word_sizes", "word_places")
-    return met(starts, heads, *words, length, n_words)
+def _words(row: dict, length: int) -> tuple[np.ndarray, np.ndarray]:
+    return _by_place(row) if length == 1 else _by_place(row, "word_sizes", "word_places")
+
+
+def _joined(row: dict, length: int) -> tuple[np.ndarray, np.ndarray]:
+    return met(*_by_place(row), *_words(row, length), length)
+
+
+def _numbers(row: dict, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the phrases and of the words that the block has lists of."""
+    return row["ids"].values.to_numpy(), row["ids" if length == 1 else "word_ids"].values.to_numpy()
+
 
+FOUND = ["block", "head", "last", "n", "first"]
 
-def extended(lists: DataFrame, length: int, n_words: int) -> DataFrame:
-    """block, key, n: of each block, the phrases of length + 1 words and the lengths of their lists."""
+
+def extended(lists: DataFrame, length: int) -> DataFrame:
+    """block, head, last, n, first: of each block, the phrases of length + 1 words (the number of all words but the last, and of
+    the last), the lengths of their lists and the first position in them."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            keys, n = np.unique(_joined(row, length, n_words)[1], return_counts=True)
-            block = np.full(len(keys), row["block"].as_py(), np.int64)
-            for lo in range(0, len(keys), BATCH_ROWS):
-                part = slice(lo, lo + BATCH_ROWS)
-                yield pa.RecordBatch.from_arrays([pa.array(block[part]), pa.array(keys[part]), pa.array(n[part])], ["block", "key", "n"])
+            starts, keys = _joined(row, length)
+            order = np.argsort(keys, kind="stable")
+            keys, starts = keys[order], starts[order]
+            at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+            n, (ids, words) = np.diff(at, append=len(keys)), _numbers(row, length)
+            columns = [np.full(len(at), row["block"].as_py(), np.int64), ids[keys[at] >> 31], words[keys[at] & LOW], n.astype(np.int32), starts[at].astype(np.int32)]
+            for lo in range(0, len(at), BATCH_ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + BATCH_ROWS]) for c in columns], FOUND)
+
+    return lists.mapInArrow(run, "block long, head long, last long, n int, first int")
+
 
-    return lists.mapInArrow(run, "block long, key long, n long")
+def _number() -> Column:
+    """A phrase's number: the block and the position where it stands first."""
+    return F.shiftleft("block", 31).bitwiseOR(F.col("first").cast("long"))
 
 
 def _replied(pairs: DataFrame, key: str) -> DataFrame:
@@ -184,6 +209,14 @@ def _replied(pairs: DataFrame, key: str) -> DataFrame:
     return pairs.groupBy("block").agg(F.collect_list(F.struct(F.col(key).alias("key"), "id")).alias("_r")).select("block", F.col("_r.key").alias("keys"), F.col("_r.id").alias("numbers"))
 
 
+def frequent_phrases(found: DataFrame, least: int) -> DataFrame:
+    """block, r: of each block, the phrases that are frequent in all blocks together (head, last, id, a; own: it is the block that
+    gives the phrase its number). A phrase has a row a block, and lengths of lists are added up over those."""
+    same = Window.partitionBy("head", "last")
+    often = found.withColumn("own", _number()).withColumns({"a": F.sum("n").over(same), "id": F.min("own").over(same)}).filter(F.col("a") >= least)
+    return often.groupBy("block").agg(F.collect_list(F.struct("head", "last", "id", "a", (F.col("own") == F.col("id")).alias("own"))).alias("r"))
+
+
 def frequent_word_lists(blocks: DataFrame, reply: DataFrame) -> DataFrame:
     """The lists of frequent words; keys of the reply are places in the block's list of words."""
 
@@ -199,29 +232,33 @@ def frequent_word_lists(blocks: DataFrame, reply: DataFrame) -> DataFrame:
     return blocks.select("block", "sizes", "places").join(reply, "block").mapInArrow(run, LISTS)
 
 
-def frequent_lists(lists: DataFrame, reply: DataFrame, length: int, n_words: int) -> DataFrame:
+def frequent_lists(lists: DataFrame, reply: DataFrame, length: int) -> DataFrame:
     """The lists of frequent phrases of length + 1 words, and of the words right behind them, in each block."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            starts, keys = _joined(row, length, n_words)
-            frequent, numbers = row["keys"].values.to_numpy(), row["numbers"].values.to_numpy()
-            order = np.argsort(frequent)
-            frequent, numbers = frequent[order], numbers[order]
-            at = np.minimum(np.searchsorted(frequent, keys), len(frequent) - 1)
-            hit = frequent[at] == keys
+            starts, keys = _joined(row, length)
+            heads, lasts, numbers = (row[c].values.to_numpy() for c in ("heads", "lasts", "numbers"))
+            ids, words = _numbers(row, length)
+            by_id, by_word = np.argsort(ids), np.argsort(words)
+            wanted = by_id[np.searchsorted(ids, heads, sorter=by_id)] << 31 | by_word[np.searchsorted(words, lasts, sorter=by_word)]
+            order = np.argsort(wanted)
+            wanted, numbers = wanted[order], numbers[order]
+            at = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
+            hit = wanted[at] == keys
             local, sizes, places = vertical(at[hit], starts[hit])
-            word_places, words = _by_place(row) if length == 1 else _by_place(row, "word_ids", "word_sizes", "word_places")
+            word_places, of_word = _words(row, length)
             behind = np.isin(word_places, starts[hit] + length + 1, assume_unique=True)
-            word_ids, word_local = np.unique(words[behind], return_inverse=True)
+            used, word_local = np.unique(of_word[behind], return_inverse=True)
             _, word_sizes, word_at = vertical(word_local, word_places[behind])
             columns = [
                 pa.array([row["block"].as_py()]), _listed(numbers[local]), _listed(sizes.astype(np.int32)), pa.array([packed(places)], pa.binary()),
-                _listed(word_ids), _listed(word_sizes.astype(np.int32)), pa.array([packed(word_at)], pa.binary()),
+                _listed(words[used]), _listed(word_sizes.astype(np.int32)), pa.array([packed(word_at)], pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["block", "ids", "sizes", "places", "word_ids", "word_sizes", "word_places"])
 
-    return lists.join(reply, "block").mapInArrow(run, LISTS + ", word_ids array<bigint>, word_sizes array<int>, word_places binary")
+    told = reply.select("block", *[F.col(f"r.{c}").alias(to) for c, to in (("head", "heads"), ("last", "lasts"), ("id", "numbers"))])
+    return lists.join(told, "block").mapInArrow(run, LISTS + ", word_ids array<bigint>, word_sizes array<int>, word_places binary")
 
 
 def _score(a: Column, left: Column, right: Column) -> Column:
@@ -244,7 +281,6 @@ def frequencies(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, blo
     listed = blocks.select("block", F.posexplode(F.arrays_zip("langs", "words", "sizes")).alias("i", "x")).select("block", "i", F.col("x.langs").alias("lang"), F.col("x.words").alias("word"), F.col("x.sizes").alias("n"))
     words = numbered(listed.groupBy("lang", "word").agg(F.sum("n").cast("long").alias("a")).filter(F.col("a") >= least), "words").select("id", "lang", "word", "a")
     rows, size = words.agg(F.count(F.lit(1)), F.sum(F.octet_length("word") + F.octet_length("lang"))).first()
-    n_words = max(rows, 1)
     small = rows <= BROADCAST_ROWS and (size or 0) <= 16 * BROADCAST_ROWS
     named = words.select("lang", "word", "id")
     reply = _replied(listed.select("block", "i", "lang", "word").join(F.broadcast(named) if small else named, ["lang", "word"]), "i")
@@ -252,16 +288,16 @@ def frequencies(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, blo
     delete(spark, blocks_path)
     levels: list[DataFrame] = []
     for length in range(1, longest):
-        heads = rows if length == 1 else levels[-1].count()
-        if heads * n_words >= 1 << 63:
-            raise OverflowError(f"{heads} phrases and {n_words} words have no 64-bit pairs")
-        found = extended(lists, length, n_words)
-        phrases = numbered(found.groupBy("key").agg(F.sum("n").alias("a")).filter(F.col("a") >= least), "phrases")
-        levels.append(phrases.select("id", F.expr(f"key div {n_words}").alias("head"), (F.col("key") % n_words).alias("last"), "a"))
-        if length + 1 < longest:
-            reply = _replied(found.select("block", "key").join(broadcast_if_small(phrases.select("key", "id"), BROADCAST_ROWS), "key"), "key")
-            old, (lists, path) = path, written_once(frequent_lists(lists, reply, length, n_words), "lists")
+        found = extended(lists, length)
+        if length + 1 == longest:
+            last = found.groupBy("head", "last").agg(F.sum("n").alias("a"), F.min(_number()).alias("id")).filter(F.col("a") >= least)
+            levels.append(stored(last.select("id", "head", "last", "a"), "phrases"))
+        else:
+            reply, reply_path = written_once(frequent_phrases(found, least), "reply")
+            levels.append(stored(reply.select(F.explode(F.filter("r", lambda x: x["own"])).alias("x")).select("x.id", "x.head", "x.last", "x.a"), "phrases"))
+            old, (lists, path) = path, written_once(frequent_lists(lists, reply, length), "lists")
             delete(spark, old)
+            delete(spark, reply_path)
     delete(spark, path)
     return totals, words, levels
 
