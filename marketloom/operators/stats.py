@@ -45,25 +45,40 @@ def order_statistics(counts: DataFrame, ranks: DataFrame) -> DataFrame:
     return _last_before(values.select("g", "bin", "start", "x"), placed, ["g", "bin"], "x").select("g", "rank", "x")
 
 
+def _long(rows: DataFrame, by: list[str], values: dict[str, Column]) -> DataFrame:
+    """g (struct of by and the value's name), x: a row for each value that is not null."""
+    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), x.cast("double").alias("x")) for k, x in values.items()]))
+    return rows.select(*by, cells.alias("_c")).filter("_c.x IS NOT NULL").select(F.struct(*by, F.col("_c.name").alias("name")).alias("g"), F.col("_c.x").alias("x"))
+
+
 def value_counts(rows: DataFrame, by: list[str], values: dict[str, Column]) -> DataFrame:
     """g (struct of by and the value's name), x, c: a stored table of distinct values, counted before they are shuffled."""
-    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), x.cast("double").alias("x")) for k, x in values.items()]))
-    long = rows.select(*by, cells.alias("_c")).filter("_c.x IS NOT NULL").select(F.struct(*by, F.col("_c.name").alias("name")).alias("g"), F.col("_c.x").alias("x"))
-    return kept(long.groupBy("g", "x").agg(F.count(F.lit(1)).alias("c")), "values")
+    return kept(_long(rows, by, values).groupBy("g", "x").agg(F.count(F.lit(1)).alias("c")), "values")
 
 
 def quantiles(rows: DataFrame, by: list[str], wanted: dict[str, tuple[Column, float]]) -> DataFrame:
-    """One row a group with a value: by and, for each name, the exact interpolated quantile of the column's values that are not null."""
+    """One row a group with a value: by and, for each name, the exact interpolated quantile of the column's values that are not null.
+
+    Values are written once where they are, without a shuffle. The counts of their bins (added up before the shuffle, a few
+    hundred a group) say in which bins the wanted ranks lie; only those bins' values are shuffled and put in order.
+    """
     columns = {str(x): x for x, _ in wanted.values()}
-    counts = value_counts(rows, by, columns)
-    sizes = counts.groupBy("g").agg(F.sum("c").alias("n"))
+    values = kept(_long(rows, by, columns), "values").withColumn("bin", _bin(F.col("x")))
+    whole = Window.partitionBy("g")
+    up_to = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    bins = values.groupBy("g", "bin").agg(F.count(F.lit(1)).alias("c")).withColumns({"end": F.sum("c").over(up_to), "n": F.sum("c").over(whole)})
     ask = F.explode(F.array(*[F.struct(F.lit(k).alias("out"), F.lit(str(x)).alias("name"), F.lit(float(q)).alias("q")) for k, (x, q) in wanted.items()]))
-    asked = sizes.select("g", "n", ask.alias("a")).filter("a.name = g.name").select("g", F.col("a.out").alias("out"), ((F.col("n") - 1) * F.col("a.q")).alias("at"))
-    asked = kept(asked.withColumns({"lo": F.floor("at"), "hi": F.ceil("at")}), "asked")
-    found = order_statistics(counts, asked.select("g", F.explode(F.array("lo", "hi")).alias("rank")))
-    by_rank = found.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("rank", "x"))).alias("x"))
-    value = F.when(F.col("lo") == F.col("hi"), F.col("x")[F.col("lo")]).otherwise((F.col("hi") - F.col("at")) * F.col("x")[F.col("lo")] + (F.col("at") - F.col("lo")) * F.col("x")[F.col("hi")])
-    long = asked.join(by_rank, "g").select(*[F.col(f"g.{c}").alias(c) for c in by], "out", value.alias("v"))
+    asked = bins.select("g", "bin", "n", (F.col("end") - F.col("c")).alias("start"), "end", ask.alias("a")).filter("a.name = g.name").withColumn("at", (F.col("n") - 1) * F.col("a.q"))
+    ranks = F.filter(F.array(F.floor("at"), F.ceil("at")), lambda r: (r >= F.col("start")) & (r < F.col("end")))
+    placed = asked.select("g", "bin", "start", F.col("a.out").alias("out"), "at", F.explode(F.array_distinct(ranks)).alias("rank"))
+    needed = placed.groupBy("g", "bin").agg(F.min("start").alias("start"), F.array_sort(F.collect_set("rank")).alias("ranks"))
+    inside = Window.partitionBy("g", "bin").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    counted = values.join(needed, ["g", "bin"]).groupBy("g", "bin", "start", "ranks", "x").agg(F.count(F.lit(1)).alias("c")).withColumn("end", F.col("start") + F.sum("c").over(inside))
+    held = F.filter("ranks", lambda r: (r >= F.col("end") - F.col("c")) & (r < F.col("end")))
+    by_rank = counted.select("g", F.explode(held).alias("rank"), "x").groupBy("g").agg(F.map_from_entries(F.collect_set(F.struct("rank", "x"))).alias("x"))
+    at, lo, hi = F.col("at"), F.floor("at"), F.ceil("at")
+    value = F.when(lo == hi, F.col("x")[lo]).otherwise((hi - at) * F.col("x")[lo] + (at - lo) * F.col("x")[hi])
+    long = placed.select("g", "out", "at").distinct().join(by_rank, "g").select(*[F.col(f"g.{c}").alias(c) for c in by], "out", value.alias("v"))
     return long.groupBy(*by).agg(*[F.max(F.when(F.col("out") == k, F.col("v"))).alias(k) for k in wanted])
 
 
