@@ -17,9 +17,11 @@ whole. Repeated rows are documents of their own. An empty table gives an empty r
 
 from __future__ import annotations
 
+import base64
 import json
 import math
 import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -35,10 +37,12 @@ from marketloom.llm.bytewords import ASCII_LOWER, byte_table, flat, slices, stri
 from marketloom.llm.common import documents, stored
 from marketloom.llm.tokens import tokenizer_path
 
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 END_ID = 0
 WINDOW = 1024
 SHARD_BYTES = 2 << 20
+#: Bytes of text that are encoded together, for several shards.
+ENCODED_BYTES = 8 << 20
 #: Words whose document frequency tasks know, at most.
 FREQUENT = 100_000
 #: Share of all documents beyond which a word is not looked up.
@@ -46,17 +50,24 @@ STOP = 0.25
 K1, B = 1.2, 0.75
 #: Distinct strings that a Python worker remembers before it starts anew.
 REMEMBERED = 400_000
+#: New strings that are encoded as one text.
+TOGETHER = 500
 
 BLANK = byte_table(b"\t\n\x0b\x0c\r ")
 MARK = byte_table(bytes([*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]))
 LETTER = byte_table(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 #: Second bytes of the letters of U+00C0 to U+00FF, whose first byte is C3.
 LATIN = byte_table(bytes(x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7)))
+# Fixed value: the usual pattern of byte-level tokenizers.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space beyond ASCII; a text that holds any is not cut.
 OTHER_BLANKS = "[\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
+#: A part of a text without white space but one space in front.
+PLAIN = re.compile(r" ?\S+")
+
 SHARDS = (
-    "names array<bigint>, ends array<bigint>, ids binary, lengths array<int>, words array<string>, dfs array<int>, counts array<int>, docs array<int>, tfs array<int>"
+    "names array<bigint>, ends array<bigint>, ids binary, lengths array<int>, words array<string>, dfs array<int>, listed array<string>, counts array<int>, docs array<int>, tfs array<int>"
 )
 
 
@@ -93,17 +104,31 @@ def cut_into_units(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return strings_of(data, at[1:]), np.searchsorted(at, bounds)
 
 
+def ranked(path: str):
+    """tiktoken's encoding of a file of ranks, with the pattern that the tokenizer's file implies."""
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class UnitEncoder:
     """Ids and words of texts; each distinct part is encoded once as long as it is remembered."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranks: str | None = None):
+        """path: the tokenizer's file; ranks: the same vocabulary as a file of ranks, whose library takes a third of the time for
+        strings that are new (a test holds the two against each other)."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.ranked = ranked(ranks) if ranks else None
         made = json.loads(self.tokenizer.to_str())
         self.by_unit = cuts_everywhere(made)
         self.added = [t["content"] for t in made.get("added_tokens") or []]
+        line = self.tokenizer.encode("a\nb", add_special_tokens=False).ids
+        self.line = line[1] if len(line) == 3 else -1
         self.forget()
 
     def forget(self) -> None:
@@ -115,6 +140,27 @@ class UnitEncoder:
         sizes = np.fromiter(map(len, got), np.int64, len(got))
         return np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum())), sizes
 
+    def encoded_parts(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for parts of texts. Those without white space (but a space in front) are put together, each with a line feed
+        behind it: the pattern takes those line feeds alone. Should their number differ, each part is encoded on its own."""
+        plain = np.fromiter((PLAIN.fullmatch(x) is not None for x in strings), bool, len(strings))
+        joined = [strings[i] for i in np.flatnonzero(plain)]
+        texts = ["".join(x + "\n" for x in joined[lo : lo + TOGETHER]) for lo in range(0, len(joined), TOGETHER)]
+        if self.ranked:
+            ids = np.concatenate([self.ranked.encode_to_numpy(x, disallowed_special=()) for x in texts]).astype(np.uint32) if texts else np.zeros(0, np.uint32)
+        else:
+            ids, _ = self.encoded(texts)
+        line = ids == self.line
+        ends = np.flatnonzero(line)
+        if len(ends) != len(joined):
+            return self.encoded(strings)
+        own, own_sizes = self.encoded([strings[i] for i in np.flatnonzero(~plain)])
+        sizes = np.zeros(len(strings), np.int64)
+        sizes[plain], sizes[~plain] = np.diff(ends, prepend=-1) - 1, own_sizes
+        out, of_plain = np.zeros(int(sizes.sum()), np.uint32), np.repeat(plain, sizes)
+        out[of_plain], out[~of_plain] = ids[~line], own
+        return out, sizes
+
     def places(self, strings: list[str]) -> np.ndarray:
         """Where in self.starts the ids of each string are noted."""
         if len(self.known) > REMEMBERED:
@@ -124,7 +170,7 @@ class UnitEncoder:
         new = np.flatnonzero(at < 0)
         if len(new):
             named = [strings[i] for i in new]
-            ids, sizes = self.encoded(named)
+            ids, sizes = self.encoded_parts(named) if self.line >= 0 else self.encoded(named)
             at[new] = np.arange(first, first + len(new))
             known.update(zip(named, range(first, first + len(new)), strict=True))
             used, total = int(self.starts[first]), first + len(new)
@@ -143,12 +189,14 @@ class UnitEncoder:
             for token in self.added:  # an added token with marks and letters inside must not be cut
                 whole = whole | pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         whole = whole.astype(bool)
-        parts, before = cut_into_units(pc.if_else(pa.array(whole), "", texts))
+        parts, before = cut_into_units(pc.if_else(pa.array(whole), "", texts) if whole.any() else texts)
         distinct = parts.dictionary_encode()
-        noted = self.places(distinct.dictionary.to_pylist())[distinct.indices.to_numpy()] if len(parts) else np.zeros(0, np.int64)
+        noted = self.places(distinct.dictionary.to_pylist())
         starts, sizes = self.starts[noted], self.starts[noted + 1] - self.starts[noted]
-        done = np.concatenate(([0], np.cumsum(sizes)))
-        ids = self.ids[np.arange(done[-1]) + np.repeat(starts - done[:-1], sizes)]
+        which = distinct.indices.to_numpy()
+        done = np.zeros(len(which) + 1, np.int64)
+        np.cumsum(sizes[which], out=done[1:])
+        ids = self.ids[np.arange(done[-1]) + np.repeat(starts[which] - done[:-1], sizes[which])]
         lengths = np.diff(done[before])
         if whole.any():
             own, own_sizes = self.encoded(texts.filter(pa.array(whole)).to_pylist())
@@ -158,13 +206,13 @@ class UnitEncoder:
         return ids, lengths
 
 
-_ENCODERS: dict[str, UnitEncoder] = {}
+_ENCODERS: dict[tuple, UnitEncoder] = {}
 
 
-def encoder_for(path: str) -> UnitEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = UnitEncoder(path)
-    return _ENCODERS[path]
+def encoder_for(*paths: str | None) -> UnitEncoder:
+    if paths not in _ENCODERS:
+        _ENCODERS[paths] = UnitEncoder(*paths)
+    return _ENCODERS[paths]
 
 
 WORD_BYTES = byte_table(bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]), inverted=True)
@@ -174,9 +222,16 @@ def _list(column: np.ndarray | pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column if isinstance(column, pa.Array) else pa.array(column))
 
 
-def shard_row(names: pa.Array, texts: pa.Array, encoder: UnitEncoder, end_id: int) -> pa.RecordBatch:
-    ids, lengths = encoder.encode(texts)
-    ids = np.insert(ids, np.cumsum(lengths), np.uint32(end_id))
+def with_ends(ids: np.ndarray, lengths: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids with end_id behind each text, and where each text ends."""
+    ends = np.cumsum(lengths + 1)
+    out, keep = np.full(len(ids) + len(lengths), end_id, np.uint32), np.ones(len(ids) + len(lengths), bool)
+    keep[ends - 1] = False
+    out[keep] = ids
+    return out, ends
+
+
+def shard_row(names: pa.Array, texts: pa.Array, ids: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
     found = words_of(flat(texts, ASCII_LOWER), WORD_BYTES)
     distinct, per_doc = found.strings.dictionary_encode(), np.diff(found.before)
     n = len(names)
@@ -192,24 +247,31 @@ def shard_row(names: pa.Array, texts: pa.Array, encoder: UnitEncoder, end_id: in
     keep = np.flatnonzero(rank[words] < listed) if len(words) else np.zeros(0, np.int64)
     by_word = keep[np.argsort(rank[words[keep]], kind="stable")]
     columns = [
-        _list(names.cast(pa.int64())), _list(np.cumsum(lengths + 1)), pa.array([ids.astype("<u4" if len(ids) and ids.max() >> 16 else "<u2").tobytes()], pa.binary()), _list(per_doc.astype(np.int32)),
+        _list(names.cast(pa.int64())), _list(ends), pa.array([ids.astype("<u4" if len(ids) and ids.max() >> 16 else "<u2").tobytes()], pa.binary()), _list(per_doc.astype(np.int32)),
         _list(distinct.dictionary.take(pa.array(order)).cast(pa.string())), _list(dfs[order].astype(np.int32)),
-        _list(dfs[order[:listed]].astype(np.int32)), _list(docs[by_word].astype(np.int32)), _list(tfs[by_word].astype(np.int32)),
+        _list(distinct.dictionary.take(pa.array(order[:listed])).cast(pa.string())), _list(dfs[order[:listed]].astype(np.int32)), _list(docs[by_word].astype(np.int32)), _list(tfs[by_word].astype(np.int32)),
     ]
-    return pa.RecordBatch.from_arrays(columns, ["names", "ends", "ids", "lengths", "words", "dfs", "counts", "docs", "tfs"])
+    return pa.RecordBatch.from_arrays(columns, ["names", "ends", "ids", "lengths", "words", "dfs", "listed", "counts", "docs", "tfs"])
 
 
-def index_shards(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def index_shards(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = None, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Rows of SHARDS. names: the doc_ids; ends: where each document's ids end; lengths: its words; words and dfs: the shard's
-    distinct words, most frequent first, and how many of its documents hold each; counts, docs and tfs: the postings of the
-    first of them, one list after the other."""
-    tokenizer = tokenizer or tokenizer_path(TOKENIZER)
+    distinct words, most frequent first, and how many of its documents hold each; listed, counts, docs and tfs: those of two
+    documents or more, and their postings, one list after the other."""
+    if not tokenizer:
+        tokenizer, ranks = tokenizer_path(TOKENIZER), tokenizer_path(RANKS)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_for(tokenizer)
+        encoder = encoder_for(tokenizer, ranks)
         for batch in batches:
-            for part in slices(batch, size=shard_bytes):
-                yield shard_row(part.column("doc_id"), part.column("text"), encoder, end_id)
+            for part in slices(batch, size=max(ENCODED_BYTES, shard_bytes)):
+                ids, ends = with_ends(*encoder.encode(part.column("text")), end_id)
+                doc = 0
+                for shard in slices(part, size=shard_bytes):
+                    first, last = (ends[doc - 1] if doc else 0), ends[doc + shard.num_rows - 1]
+                    yield shard_row(shard.column("doc_id"), shard.column("text"), ids[first:last], ends[doc : doc + shard.num_rows] - first)
+                    doc += shard.num_rows
+                pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SHARDS)
 
@@ -301,9 +363,9 @@ def frequent_words(shards: DataFrame, most: int = FREQUENT) -> tuple[dict[str, i
     return {r.word: r.df for r in counts.filter(F.col("df") >= bound).collect()}, bound
 
 
-def packed(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = None, window: int = WINDOW, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Rows of PIECES. sequence_id tells tasks apart by its upper half."""
-    shards = stored(index_shards(docs, tokenizer, end_id, shard_bytes), "packing-index")
+    shards = stored(index_shards(docs, tokenizer, ranks, end_id, shard_bytes), "packing-index")
     frequencies, bound = frequent_words(shards)
     n, words = shards.agg(F.sum(F.size("names")), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()
     n, mean = n or 0, max((words or 0) / max(n or 1, 1), 1.0)
@@ -320,7 +382,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW,
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {name: batch.column(name)[i] for name in batch.schema.names}
-                listed = row["words"].values.slice(0, len(row["counts"].values))
+                listed = row["listed"].values
                 index = Index(row, weights[pc.fill_null(pc.index_in(listed, value_set=known), len(known)).to_numpy(zero_copy_only=False)], mean)
                 names, ends, raw = row["names"].values.to_pylist(), row["ends"].values.to_numpy(), row["ids"].as_py()
                 ids = np.frombuffer(raw, "<u2" if len(raw) == 2 * ends[-1] else "<u4")
@@ -329,7 +391,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW,
         out.finish()
         yield out.taken()
 
-    return shards.select("names", "ends", "ids", "lengths", "words", "counts", "docs", "tfs").mapInArrow(run, PIECES)
+    return shards.select("names", "ends", "ids", "lengths", "listed", "counts", "docs", "tfs").mapInArrow(run, PIECES)
 
 
 def fill(out: Window, index: Index, names: list, ids: np.ndarray, ends: np.ndarray) -> None:
