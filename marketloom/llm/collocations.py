@@ -5,7 +5,7 @@ which the word stands (the list's length is its frequency there); positions skip
 nothing adjoins across them. Level by level, the lists of frequent phrases are merge-joined with the postings of the words one
 position further on: the pairs that meet are the phrases that are one word longer, and where they meet is their list. List
 lengths are added up over blocks by Spark; phrases that reach `least` get a number, and only their lists go on (no phrase is
-frequent whose parts are not). All counts are exact: phrases are told apart by numbers (where they stand first), not by hashes.
+frequent whose parts are not). All counts are exact: phrases are told apart by numbers (of two words, or where they stand first), not by hashes.
 
 Tables of phrases have a row a frequent phrase, blocks a row each; nothing is gathered by word or language but sums, so a
 frequent word or a large language is no large task.
@@ -183,7 +183,7 @@ FOUND = ["block", "head", "last", "n", "first"]
 
 def extended(lists: DataFrame, length: int) -> DataFrame:
     """block, head, last, n, first: of each block, the phrases of length + 1 words (the number of all words but the last, and of
-    the last), the lengths of their lists and the first position in them."""
+    the last), the lengths of their lists and (of three words or more) the first position in them."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
@@ -192,15 +192,20 @@ def extended(lists: DataFrame, length: int) -> DataFrame:
             keys, starts = keys[order], starts[order]
             at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
             n, (ids, words) = np.diff(at, append=len(keys)), _numbers(row, length)
-            columns = [np.full(len(at), row["block"].as_py(), np.int64), ids[keys[at] >> 31], words[keys[at] & LOW], n.astype(np.int32), starts[at].astype(np.int32)]
+            columns = [np.full(len(at), row["block"].as_py(), np.int64), ids[keys[at] >> 31], words[keys[at] & LOW], n.astype(np.int32), starts[at].astype(np.int32) if length > 1 else np.zeros(len(at), np.int32)]
             for lo in range(0, len(at), BATCH_ROWS):
                 yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + BATCH_ROWS]) for c in columns], FOUND)
 
     return lists.mapInArrow(run, "block long, head long, last long, n int, first int")
 
 
-def _number() -> Column:
-    """A phrase's number: the block and the position where it stands first."""
+def _pair() -> Column:
+    """The number of a phrase of two words: the words' numbers, below 2 ** 31 each, side by side."""
+    return F.shiftleft("head", 31).bitwiseOR(F.col("last"))
+
+
+def _first() -> Column:
+    """The number of a longer phrase: the block and the position where it stands first."""
     return F.shiftleft("block", 31).bitwiseOR(F.col("first").cast("long"))
 
 
@@ -209,12 +214,15 @@ def _replied(pairs: DataFrame, key: str) -> DataFrame:
     return pairs.groupBy("block").agg(F.collect_list(F.struct(F.col(key).alias("key"), "id")).alias("_r")).select("block", F.col("_r.key").alias("keys"), F.col("_r.id").alias("numbers"))
 
 
-def frequent_phrases(found: DataFrame, least: int) -> DataFrame:
-    """block, r: of each block, the phrases that are frequent in all blocks together (head, last, id, a; own: it is the block that
-    gives the phrase its number). A phrase has a row a block, and lengths of lists are added up over those."""
+def frequent_phrases(found: DataFrame, length: int, least: int) -> DataFrame:
+    """block, r: of each block, the phrases that are frequent in all blocks together (head, last, id, and a in one block only).
+
+    A phrase has a row a block, and lengths of lists are added up over those. Pairs of words need no id.
+    """
     same = Window.partitionBy("head", "last")
-    often = found.withColumn("own", _number()).withColumns({"a": F.sum("n").over(same), "id": F.min("own").over(same)}).filter(F.col("a") >= least)
-    return often.groupBy("block").agg(F.collect_list(F.struct("head", "last", "id", "a", (F.col("own") == F.col("id")).alias("own"))).alias("r"))
+    own, number = (F.col("block"), []) if length == 1 else (_first(), ["id"])
+    often = found.withColumn("own", own).withColumns({"a": F.sum("n").over(same), "id": F.min("own").over(same)}).filter(F.col("a") >= least)
+    return often.groupBy("block").agg(F.collect_list(F.struct("head", "last", *number, F.when(F.col("own") == F.col("id"), F.col("a")).alias("a"))).alias("r"))
 
 
 def frequent_word_lists(blocks: DataFrame, reply: DataFrame) -> DataFrame:
@@ -238,7 +246,8 @@ def frequent_lists(lists: DataFrame, reply: DataFrame, length: int) -> DataFrame
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             starts, keys = _joined(row, length)
-            heads, lasts, numbers = (row[c].values.to_numpy() for c in ("heads", "lasts", "numbers"))
+            heads, lasts = row["heads"].values.to_numpy(), row["lasts"].values.to_numpy()
+            numbers = heads << 31 | lasts if length == 1 else row["numbers"].values.to_numpy()
             ids, words = _numbers(row, length)
             by_id, by_word = np.argsort(ids), np.argsort(words)
             wanted = by_id[np.searchsorted(ids, heads, sorter=by_id)] << 31 | by_word[np.searchsorted(words, lasts, sorter=by_word)]
@@ -257,7 +266,8 @@ def frequent_lists(lists: DataFrame, reply: DataFrame, length: int) -> DataFrame
             ]
             yield pa.RecordBatch.from_arrays(columns, ["block", "ids", "sizes", "places", "word_ids", "word_sizes", "word_places"])
 
-    told = reply.select("block", *[F.col(f"r.{c}").alias(to) for c, to in (("head", "heads"), ("last", "lasts"), ("id", "numbers"))])
+    names = {"head": "heads", "last": "lasts"} | ({} if length == 1 else {"id": "numbers"})
+    told = reply.select("block", *[F.col(f"r.{c}").alias(to) for c, to in names.items()])
     return lists.join(told, "block").mapInArrow(run, LISTS + ", word_ids array<bigint>, word_sizes array<int>, word_places binary")
 
 
@@ -277,10 +287,12 @@ def frequencies(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, blo
     spark = docs.sparkSession
     blocks, blocks_path = written_once(word_lists(docs, block_words), "word-lists")
     totals = blocks.select(F.explode(F.arrays_zip("names", "counts")).alias("x")).groupBy(F.col("x.names").alias("lang")).agg(F.sum("x.counts").alias("n"))
-    totals = stored(totals, "totals")
+    totals = written_once(totals, "totals")[0]
     listed = blocks.select("block", F.posexplode(F.arrays_zip("langs", "words", "sizes")).alias("i", "x")).select("block", "i", F.col("x.langs").alias("lang"), F.col("x.words").alias("word"), F.col("x.sizes").alias("n"))
     words = numbered(listed.groupBy("lang", "word").agg(F.sum("n").cast("long").alias("a")).filter(F.col("a") >= least), "words").select("id", "lang", "word", "a")
     rows, size = words.agg(F.count(F.lit(1)), F.sum(F.octet_length("word") + F.octet_length("lang"))).first()
+    if rows > LOW:
+        raise OverflowError("pairs of words have 62 bits; raise the least frequency")
     small = rows <= BROADCAST_ROWS and (size or 0) <= 16 * BROADCAST_ROWS
     named = words.select("lang", "word", "id")
     reply = _replied(listed.select("block", "i", "lang", "word").join(F.broadcast(named) if small else named, ["lang", "word"]), "i")
@@ -290,11 +302,12 @@ def frequencies(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, blo
     for length in range(1, longest):
         found = extended(lists, length)
         if length + 1 == longest:
-            last = found.groupBy("head", "last").agg(F.sum("n").alias("a"), F.min(_number()).alias("id")).filter(F.col("a") >= least)
-            levels.append(stored(last.select("id", "head", "last", "a"), "phrases"))
+            last = found.groupBy("head", "last").agg(F.sum("n").alias("a"), F.min(_first() if length > 1 else _pair()).alias("id")).filter(F.col("a") >= least)
+            levels.append(written_once(last.select("id", "head", "last", "a"), "phrases")[0])
         else:
-            reply, reply_path = written_once(frequent_phrases(found, least), "reply")
-            levels.append(stored(reply.select(F.explode(F.filter("r", lambda x: x["own"])).alias("x")).select("x.id", "x.head", "x.last", "x.a"), "phrases"))
+            reply, reply_path = written_once(frequent_phrases(found, length, least), "reply")
+            own = reply.select(F.explode(F.filter("r", lambda x: x["a"].isNotNull())).alias("x")).select("x.*")
+            levels.append(stored((own.withColumn("id", _pair()) if length == 1 else own).select("id", "head", "last", "a"), "phrases"))
             old, (lists, path) = path, written_once(frequent_lists(lists, reply, length), "lists")
             delete(spark, old)
             delete(spark, reply_path)
@@ -316,7 +329,7 @@ def _candidates(words: DataFrame, levels: list[DataFrame]) -> list[DataFrame]:
         .withColumn("ta", F.col("la"))
         .withColumn("best", _lowest(F.col("a"), [(F.col("fa"), F.col("la"))]))
     )
-    out = [stored(two, "candidates")]
+    out = [written_once(two, "candidates")[0]]
     for length, level in enumerate(levels[1:], 3):
         before = out[-1]
         head = before.select(F.col("id").alias("head"), "lang", "fa", F.col("words").alias("_w"), F.col("tail").alias("_inner"), F.col("a").alias("ha"), F.col("ha").alias("hha"))
@@ -325,7 +338,7 @@ def _candidates(words: DataFrame, levels: list[DataFrame]) -> list[DataFrame]:
         if length == 4:
             cuts.insert(1, (F.col("hha"), F.col("tta")))
         joined = level.join(head, "head").join(tail, ["_inner", "last"]).withColumn("words", F.concat("_w", F.array("last")))
-        out.append(stored(joined.withColumn("best", _lowest(F.col("a"), cuts)).select(*before.columns), "candidates"))
+        out.append(written_once(joined.withColumn("best", _lowest(F.col("a"), cuts)).select(*before.columns), "candidates")[0])
     return out
 
 
