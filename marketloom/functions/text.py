@@ -10,8 +10,13 @@ REDACTED = "[redacted]"
 MESSENGERS = ("whatsapp", "viber", "telegram", "signal", "messenger", "instagram", "skype")
 HOSTS = ("wa.me/", "whatsapp.com/", "t.me/", "telegram.me/", "m.me/", "viber.com/", "viber://", "instagram.com/", "facebook.com/messages/")
 MAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
-#: A number that starts with + or 0 and has eight digits or more, or groups of three, three and three or four.
-PHONE = r"(?:\+|\b0)[0-9](?:[ ()./-]{0,2}[0-9]){6,13}|\b[0-9]{2,3}[ ./-][0-9]{3}[ ./-][0-9]{3,4}\b"
+# First digits of mobile numbers, with or without the country's code.
+MOBILE = "(?:4[3-9]|2[89]|3[89])"
+#: A number that starts with + or 0 and has eight digits or more; a mobile number of eight to ten digits, parted or not, with the
+#: country's code or without; groups of three, three and four. Marks between groups are not the points of an amount.
+PHONE = (
+    r"(?:\+|\b0)[0-9](?:[ ()./-]{0,2}[0-9]){6,13}|\b(?:383[ ./-]?)?" + MOBILE + r"[ /-]?[0-9](?:[ /-]?[0-9]){5,7}\b|\b[0-9]{3}[ /-][0-9]{3}[ /-][0-9]{4}\b"
+)
 
 
 def _contact(word: Column) -> Column:
@@ -54,6 +59,25 @@ def redacted_provenance(provenance: Column, snippet: int = 120, value: int = 200
     return F.transform_values(provenance, lambda _, e: e.withField("snippet", redacted(e["snippet"], snippet)).withField("value", redacted(e["value"], value)))
 
 
+#: Keys of an agent that hold a name, in order.
+AGENT_NAMES = ("fullName", "name", "agencyName")
+
+
+def public_agent(agent: Column) -> Column:
+    """What may be shown of an agent (a variant): fullName, the first name it has. Null if it has none or is no object."""
+    names = [F.nullif(F.try_variant_get(agent, f"$.{k}", "string"), F.lit("")) for k in AGENT_NAMES]
+    return F.when(F.coalesce(*names).isNotNull(), F.struct(F.coalesce(*names).alias("fullName")))
+
+
+def without_contacts(extra: Column) -> Column:
+    """An object of further fields (JSON) with its agent cut down to what may be shown; {} for null, blank and no object."""
+    fields = F.from_json(extra, "map<string,variant>")
+    kept = F.map_filter(fields, lambda k, _: k != "agent")
+    shown = F.to_json(public_agent(fields["agent"]))
+    agent = F.create_map(F.lit("agent"), F.when(shown.isNull(), F.parse_json(F.lit("null"))).otherwise(F.try_parse_json(shown)))
+    return F.coalesce(F.to_json(F.when(F.map_contains_key(fields, "agent"), F.map_concat(kept, agent)).otherwise(fields)), F.lit("{}"))
+
+
 def collapsed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[ \t\n\r]+", " "))
 
@@ -100,13 +124,22 @@ AREA_RULES = [
 
 
 def price(text: Column) -> Column:
-    return number(F.regexp_replace(first_match(text, PRICE_RULES)["value"], r"[ .,]+$", ""))
+    """The total price that a text states; prices a square metre are no totals."""
+    return number(F.regexp_replace(first_match(F.regexp_replace(text, RATE, ""), PRICE_RULES)["value"], r"[ .,]+$", ""))
 
 
 def area(text: Column) -> Column:
     return F.regexp_replace(first_match(text, AREA_RULES)["value"], ",", ".").try_cast("double")
 
 
+#: A price a square metre as a text states it.
+RATE = r"(?i)([0-9]+(?:[.,][0-9]+)*)[ ]*(?:€|eur|euro)[ ]*(?:/|per)[ ]*m(?:2|²)"
+
+
+def rate(text: Column) -> Column:
+    return number(F.regexp_replace(F.nullif(F.regexp_extract(text, RATE, 1), F.lit("")), r"[ .,]+$", ""))
+
+
 # Markers of property types, the first that occurs deciding.
 MARKERS = (
     ("COMMERCIAL", ("lokal", "zyre", "dyqan")),

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.functions import text
+from marketloom.functions import parsing, text
 from marketloom.operators import quality
 from marketloom.sources import raw as sources
+from marketloom.sources.tables import kept
 
 # Certainty of a location match, and weights of the score's parts.
 MATCH = {"exact": 1.0, "alias": 0.92, "fuzzy": 0.75, "street_fallback": 0.65, "complex_fallback": 0.60, "missing": 0.0}
@@ -32,20 +35,45 @@ def parsed(raw: DataFrame, layouts: dict[str, str]) -> DataFrame:
     return raw.withColumn("error", error).withColumns(fields)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def normalized(rows: DataFrame) -> DataFrame:
-    """Prices by type with the description as a fall-back, area, price a square metre, property type, cleaned description."""
+    """Price and area by the cascades of functions.parsing, with the rule that decided (price_rule, area_rule, sale_rule).
+
+    Area: the stated one within its bounds, else what the description or the title tells. Price: the stated one of the listing's
+    kind (else the general one) unless it is a placeholder, else the described total, else a described price a square metre
+    times the area. A sale too low for its area is repaired. Then price a square metre, property type, bedrooms, clean description.
+    """
     kind = F.col("listing_type_raw")
-    either = F.coalesce("price_raw", text.price(F.col("description_raw")))
-    sale, rent = F.when(kind == "sale", F.coalesce("sale_price_raw", either)), F.when(kind == "rent", F.coalesce("rent_price_raw", either))
-    area = F.coalesce("area_sqm_raw", text.area(F.col("description_raw")), text.area(F.col("title_raw")))
-    rows = rows.withColumns({"listing_type": kind, "sale_price": sale, "rent_price": rent, "area_sqm": area, "bedrooms": bedrooms(F.col("bedrooms_raw"), area, F.coalesce(sale, rent))})
+    facts = F.struct(
+        kind.alias("kind"), F.coalesce(F.when(kind == "sale", F.col("sale_price_raw")).when(kind == "rent", F.col("rent_price_raw")), "price_raw").alias("own"), F.col("area_sqm_raw").alias("stated_area"),
+        F.coalesce(text.area(F.col("description_raw")), text.area(F.col("title_raw"))).alias("told_area"), text.price(F.col("description_raw")).alias("told"), text.rate(F.col("description_raw")).alias("rate"),
+    )
+
+    def priced(f: Column, area: Column) -> Column:
+        total = parsing.total_of_rate(f["rate"], area["value"])
+        price = F.coalesce(parsing.resolved_price(f["own"], f["told"]), parsing.choice(("rate", total.isNotNull(), total)))
+        sale = lambda p: F.when(f["kind"] == "sale", parsing.repaired_sale(p["value"], area["value"], f["told"]))
+        return bound(price, lambda p: F.struct(area.alias("area"), p.alias("price"), sale(p).alias("sale")))
+
+    rows = rows.withColumn("_d", bound(facts, lambda f: bound(parsing.resolved_area(f["stated_area"], f["told_area"]), lambda area: priced(f, area))))
+    rows = rows.withColumns(
+        {
+            "listing_type": kind, "sale_price": F.col("_d.sale.value"), "rent_price": F.when(kind == "rent", F.col("_d.price.value")), "area_sqm": F.col("_d.area.value"),
+            "price_rule": F.when(kind.isNotNull(), F.col("_d.price.rule")), "area_rule": F.col("_d.area.rule"), "sale_rule": F.col("_d.sale.rule"),
+        }
+    ).drop("_d")
+    price = F.coalesce("sale_price", "rent_price")
     return rows.withColumns(
         {
-            "price_per_sqm": F.coalesce("sale_price", "rent_price") / F.nullif(F.col("area_sqm"), F.lit(0.0)),
+            "bedrooms": bedrooms(F.col("bedrooms_raw"), F.col("area_sqm"), price), "price_per_sqm": price / F.nullif(F.col("area_sqm"), F.lit(0.0)),
             "property_type": F.coalesce(F.upper("property_type_raw"), text.property_type(F.col("title_raw"), F.col("description_raw"))),
             "description": text.redacted(text.without_tags(F.col("description_raw"))),
         }
-    )
+    )
 
 
 def bedrooms(count: Column, area: Column, price: Column, most: int = 10) -> Column:
@@ -79,8 +107,9 @@ def metrics(rows: DataFrame) -> DataFrame:
 
 
 def run(raw: DataFrame, layouts: dict[str, str]) -> DataFrame:
-    """All stages over unparsed raw rows, as one plan."""
-    return validated(normalized(parsed(raw, layouts)))
+    """All stages over unparsed raw rows. Parsed and normalized rows are tables of their own, so that a stage can be looked into
+    and that later filters do not repeat the fields' extraction."""
+    return validated(kept(normalized(kept(parsed(raw, layouts), "parsed")), "normalized"))
 
 
 def quarantine(rows: DataFrame) -> DataFrame:

@@ -28,13 +28,22 @@ def query(name: str, sql: str, listing_tables: bool = True):
 
 
 def _raw(spark, sf_dir):
-    """Payloads of the flat layout: prices in the bounds' range, one in eleven no JSON, one source unknown."""
+    """Payloads of the flat layout: prices in the bounds' range, one in eleven no JSON, one source unknown.
+
+    What a listing states hangs on its size: with five lines all is stated; with four the price stands in the description only;
+    with three the price is a placeholder and the description has the real one; with two the description has a price a square
+    metre; with one the area stands in the description, and sales are stated in hundreds.
+    """
     rows = listings(spark, sf_dir)
     price = F.floor(F.col("listing_price") / F.when(F.col("listing_type") == "sale", 4).otherwise(200)).cast("long")
+    area, beds = F.col("area_sqm").cast("long"), F.col("bedrooms")
+    words = lambda *x: F.concat_ws(" ", *[c if not isinstance(c, str) else F.lit(c) for c in x])
+    stated = F.when(beds == 3, 1).when(beds == 1, F.when(F.col("listing_type") == "sale", F.floor(price / 100)).otherwise(price)).when(beds.isin(0, 5), price)
+    described = F.when(beds.isin(3, 4), words("Cmimi:", price, "euro")).when(beds == 2, words("Ofrohet per", F.floor(price / area), "euro/m2")).when(beds == 1, words("Siperfaqja", area, "m2"))
     payload = F.to_json(
         F.struct(
-            F.col("neighborhood").alias("name"), F.col("listing_type").alias("business_type"), price.alias("price"), F.col("area_sqm").cast("long").alias("gross_area"),
-            F.concat(F.col("bedrooms").cast("string"), F.lit(" rooms")).alias("bed_room"), F.lit("apartment").alias("type"),
+            F.col("neighborhood").alias("name"), F.col("listing_type").alias("business_type"), stated.cast("long").alias("price"), F.when(beds != 1, area).alias("gross_area"),
+            F.concat(F.col("bedrooms").cast("string"), F.lit(" rooms")).alias("bed_room"), F.lit("apartment").alias("type"), described.alias("description"),
         )
     )
     broken = F.when(F.col("normalized_id") % 11 == 0, F.lit("{broken")).otherwise(payload)
@@ -44,14 +53,21 @@ def _raw(spark, sf_dir):
 
 LAYOUTS = {"1-URGENT": "flat", "2-HIGH": "flat", "3-MEDIUM": "flat", "4-NOT SPECIFIED": "flat"}
 _ETL = """
-, raw AS (SELECT *, CASE WHEN source_website = '5-LOW' THEN 'unknown_source' WHEN normalized_id % 11 = 0 THEN 'parse_error' END AS error,
-  CASE WHEN listing_type = 'sale' THEN floor(listing_price / 4) END AS sale, CASE WHEN listing_type = 'rent' THEN floor(listing_price / 200) END AS rent,
-  CAST(area_sqm AS BIGINT)::DOUBLE AS area FROM listings),
+, a AS (SELECT *, CASE WHEN source_website = '5-LOW' THEN 'unknown_source' WHEN normalized_id % 11 = 0 THEN 'parse_error' END AS error,
+  floor(listing_price / CASE WHEN listing_type = 'sale' THEN 4 ELSE 200 END) AS p, CAST(area_sqm AS BIGINT)::DOUBLE AS field FROM listings),
+r AS (SELECT *, CASE WHEN bedrooms = 1 THEN field WHEN field BETWEEN 10 AND 500 THEN field END AS area, CASE bedrooms WHEN 1 THEN CASE WHEN listing_type = 'sale' THEN floor(p / 100) ELSE p END WHEN 3 THEN 1 WHEN 5 THEN p WHEN 0 THEN p END AS stated,
+  CASE WHEN bedrooms IN (3, 4) THEN p END AS told FROM a),
+c AS (SELECT *, CASE WHEN stated IS NULL AND told IS NOT NULL THEN told WHEN stated <= 10 AND told > stated THEN told WHEN stated IS NOT NULL THEN stated WHEN bedrooms = 2 AND area >= 10 AND floor(p / field) > 0 THEN floor(p / field) * area END AS price,
+  CASE WHEN stated IS NULL AND told IS NOT NULL THEN 'description' WHEN stated <= 10 AND told > stated THEN 'placeholder' WHEN stated IS NOT NULL THEN 'stated' WHEN bedrooms = 2 AND area >= 10 AND floor(p / field) > 0 THEN 'rate' END AS rule FROM r),
+raw AS (SELECT *, CASE WHEN listing_type = 'sale' THEN CASE WHEN area > 0 AND price / area < 200 AND NOT coalesce(told > price AND told / area >= 200, false) AND price BETWEEN 500 AND 9999 AND price * 100 BETWEEN 10000 AND 5000000 AND price * 100 / area >= 200 THEN price * 100
+    WHEN area > 0 AND price / area < 200 AND told > price AND told / area >= 200 THEN told ELSE price END END AS sale,
+  CASE WHEN listing_type = 'rent' THEN price END AS rent FROM c),
 v AS (SELECT *, CASE WHEN error IS NOT NULL THEN [error] ELSE list_filter([
   CASE WHEN sale < 3000 OR rent < 50 THEN 'price_too_low' WHEN sale > 10000000 OR rent > 8000 THEN 'price_too_high' END,
   CASE WHEN area < 15 THEN 'area_too_small' WHEN area > 1000 THEN 'area_too_large' END,
   CASE WHEN sale / area < 500 OR rent / area < 3 THEN 'price_per_sqm_too_low' WHEN sale / area > 15000 OR rent / area > 15 THEN 'price_per_sqm_too_high' END,
-  CASE WHEN sale < 20000 AND sale / area < 400 THEN 'likely_rent_as_sale' END], lambda x: x IS NOT NULL) END AS codes FROM raw)
+  CASE WHEN sale < 20000 AND sale / area < 400 THEN 'likely_rent_as_sale' END,
+  CASE WHEN (listing_type = 'sale' AND sale IS NULL) OR (listing_type = 'rent' AND rent IS NULL) THEN 'missing_price' END], lambda x: x IS NOT NULL) END AS codes FROM raw)
 """
 
 
@@ -70,11 +86,22 @@ def etl_quarantine(spark, sf_dir):
 
 
 @query("etl_normalized", _ETL + """
-SELECT normalized_id AS raw_id, listing_type, sale AS sale_price, rent AS rent_price, area AS area_sqm, round(coalesce(sale, rent) / nullif(area, 0), 7) AS price_per_sqm FROM v WHERE len(codes) = 0
+SELECT normalized_id AS raw_id, listing_type, sale AS sale_price, rent AS rent_price, area AS area_sqm, round(coalesce(sale, rent) / nullif(area, 0), 7) AS price_per_sqm,
+  CASE WHEN listing_type IS NOT NULL THEN rule END AS price_rule FROM v WHERE len(codes) = 0
 """)
 def etl_normalized(spark, sf_dir):
     rows = etl.run(_raw(spark, sf_dir), LAYOUTS).filter("is_valid")
-    return rows.select("raw_id", "listing_type", "sale_price", "rent_price", "area_sqm", F.round("price_per_sqm", 7).alias("price_per_sqm"))
+    return rows.select("raw_id", "listing_type", "sale_price", "rent_price", "area_sqm", F.round("price_per_sqm", 7).alias("price_per_sqm"), "price_rule")
+
+
+@query("etl_rules", _ETL + """
+SELECT listing_type, CASE WHEN listing_type IS NOT NULL THEN rule END AS price_rule, CASE WHEN bedrooms = 1 THEN CASE WHEN area IS NOT NULL THEN 'description' END WHEN area IS NOT NULL THEN 'stated' END AS area_rule,
+  CASE WHEN listing_type = 'sale' AND price IS NOT NULL THEN CASE WHEN sale = price THEN 'as_is' WHEN sale = told THEN 'description' ELSE 'shorthand' END END AS sale_rule, count(*) AS n FROM v WHERE error IS NULL GROUP BY 1, 2, 3, 4
+""")
+def etl_rules(spark, sf_dir):
+    """How often each rule of the cascades decided."""
+    rows = etl.run(_raw(spark, sf_dir), LAYOUTS).filter("error IS NULL")
+    return rows.groupBy("listing_type", "price_rule", "area_rule", "sale_rule").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("raw_append_new", """

@@ -1,5 +1,6 @@
 """Records, places, comparisons and fuzzy names on small frames, against plain Python."""
 
+import json
 import itertools
 import random
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketloom.functions import extract, parsing, text
-from marketloom.operators import audits, gazetteer, history, locations, models, stats
+from marketloom.operators import etl, audits, gazetteer, history, locations, models, stats
 from marketloom.plans import stages
 
 
@@ -162,3 +163,43 @@ def test_stored_tables_can_be_discarded(spark):
     out = tables.kept(spark.range(5), "five")
     path = out.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
     assert out.count() == 5 and os.path.isdir(path) and tables.discard(spark) == 1 and not os.path.exists(path)
+
+
+CONTACTS = {
+    "44123456": "[redacted]", "38344123456": "[redacted]", "+383 44 123 456": "[redacted]", "044-123-456": "[redacted]", "tel 49 123 456.": "tel [redacted].", "045/123/456,": "[redacted],", "00383 45 123 456": "[redacted]",
+    "555-123-4567": "[redacted]", "120.000.000": "120.000.000", "cmimi 120.000 euro": "cmimi 120.000 euro", "45.000 euro": "45.000 euro", "85000": "85000", "2026-10-05": "2026-10-05", "80 m2, 3 dhoma": "80 m2, 3 dhoma", "id 991234567890123": "id 991234567890123",
+}
+
+
+@pytest.mark.parametrize("t,out", CONTACTS.items())
+def test_numbers_to_call_and_other_numbers(spark, t, out):
+    assert value(spark, text.redacted(F.lit(t))) == out
+
+
+@pytest.mark.parametrize(
+    "extra,out",
+    [
+        ('{"agent":{"fullName":"A B","phone":"044"},"rooms":3}', {"rooms": 3, "agent": {"fullName": "A B"}}), ('{"agent":{"name":"N","email":"x"},"n":{"a":[1,2.5]}}', {"n": {"a": [1, 2.5]}, "agent": {"fullName": "N"}}),
+        ('{"agent":{"fullName":"","agencyName":"G"}}', {"agent": {"fullName": "G"}}), ('{"agent":{"phone":"044"}}', {"agent": None}), ('{"agent":null,"a":1}', {"agent": None, "a": 1}), ('{"agent":"044 123 456"}', {"agent": None}), ('{"a":"x"}', {"a": "x"}),
+        ("{}", {}), ("nope", {}), (None, {}),
+    ],
+)
+def test_agents_without_their_contacts(spark, extra, out):
+    assert json.loads(value(spark, text.without_contacts(F.lit(extra).cast("string")))) == out
+
+
+def test_cascades_of_prices_and_areas_in_the_etl(spark):
+    offers = [
+        ({"business_type": "sale", "price": 90_000, "gross_area": 80}, (90_000, None, 80, "stated", "stated", "as_is")),
+        ({"business_type": "sale", "price": 1, "gross_area": 80, "description": "cmimi: 95.000 euro"}, (95_000, None, 80, "placeholder", "stated", "as_is")),
+        ({"business_type": "sale", "gross_area": 5, "description": "siperfaqja 70 m2, 1.200 euro/m2"}, (84_000, None, 70, "rate", "rejected", "as_is")),
+        ({"business_type": "sale", "price": 950, "gross_area": 80}, (95_000, None, 80, "stated", "stated", "shorthand")),
+        ({"business_type": "sale", "price": 950, "gross_area": 80, "description": "cmimi 96000 euro"}, (96_000, None, 80, "stated", "stated", "description")),
+        ({"business_type": "rent", "price": 350, "gross_area": 60}, (None, 350, 60, "stated", "stated", None)),
+        ({"business_type": "rent", "description": "350 euro"}, (None, 350, None, "description", None, None)), ({"business_type": "rent"}, (None, None, None, None, None, None)), ({"price": 5}, (None, None, None, None, None, None)),
+    ]
+    rows = spark.createDataFrame([(i, "a", json.dumps(o)) for i, (o, _) in enumerate(offers)], "raw_id long, source_website string, payload string")
+    got = {r.raw_id: r for r in etl.run(rows, {"a": "flat"}).collect()}
+    for i, (_, want) in enumerate(offers):
+        r = got[i]
+        assert (r.sale_price, r.rent_price, r.area_sqm, r.price_rule, r.area_rule, r.sale_rule) == want, offers[i]
