@@ -103,3 +103,42 @@ def discovered(pages: DataFrame, bucket: int = 10) -> DataFrame:
     first = pages.groupBy("listing_id").agg(F.min("page").alias("page")).groupBy("page").agg(F.count(F.lit(1)).alias("new_ids"))
     per = pages.groupBy("page").agg(F.count(F.lit(1)).alias("hits")).join(first, "page", "left").withColumn("bucket", F.floor((F.col("page") - 1) / bucket).cast("long"))
     return per.groupBy("bucket").agg(F.count(F.lit(1)).alias("pages"), F.sum("hits").alias("hits"), F.coalesce(F.sum("new_ids"), F.lit(0)).alias("new_ids"))
+
+
+# A crawl's targets, and the share of the expected ids that is enough.
+PAGES_TARGET, IDS_TARGET, MOST_REPEATED_PCT, ENOUGH = 100, 2_000, 15.0, 0.9
+#: Means of ids of the last and first pages that differ by more than this are a trend.
+TREND = 0.05
+
+
+def id_stability(pages: DataFrame, bucket: int = 10) -> DataFrame:
+    """One row: whether ids of index pages (page, listing_id, url) can be keys, and whether they rise or fall along the pages.
+
+    An id is stable if it is a number, its address ends in it and it has one address. The trend compares the mean id of the
+    first and last ten pages. No pages: no ids, and not suitable.
+    """
+    number = F.when(F.col("listing_id").rlike("^[0-9]{1,18}$"), F.col("listing_id")).try_cast("long")
+    ended = F.endswith(F.rtrim("url", F.lit("/")), F.concat(F.lit("/"), F.col("listing_id")))
+    ids = pages.groupBy("listing_id").agg(F.count_distinct("url").alias("urls"), F.bool_and(ended).alias("ended")).withColumn("n", number)
+    one = ids.agg(
+        F.count(F.lit(1)).alias("id_count"), F.coalesce(F.bool_and(F.col("n").isNotNull()), F.lit(True)).alias("all_numeric"), F.coalesce(F.bool_and("ended"), F.lit(True)).alias("id_in_url"),
+        F.coalesce(F.bool_and(F.col("urls") == 1), F.lit(True)).alias("one_url_per_id"), F.min("n").alias("id_min"), F.max("n").alias("id_max"),
+        F.array_sort(F.collect_set(F.when(F.col("n").isNotNull(), F.length("listing_id")))).alias("digit_lengths"),
+    )
+    at = F.floor((F.col("page") - 1) / bucket)
+    means = pages.withColumn("n", number).filter("n IS NOT NULL").groupBy(at.alias("b")).agg(F.round(F.avg("n"), 1).alias("m"))
+    ends = means.agg(F.min_by("m", "b").alias("first"), F.max_by("m", "b").alias("last"))
+    trend = F.when(F.col("last") > F.col("first") * (1 + TREND), "increasing").when(F.col("last") < F.col("first") * (1 - TREND), "decreasing").otherwise("flat")
+    out = one.join(F.broadcast(ends), F.lit(True))  # a row each
+    good = (F.col("id_count") > 0) & F.col("all_numeric") & F.col("id_in_url") & F.col("one_url_per_id")
+    return out.select(*one.columns, good.alias("suitable_as_key"), F.coalesce(F.when(F.col("id_max") > F.col("id_min"), trend), F.lit("flat")).alias("trend"))
+
+
+def discovery_report(pages: DataFrame, pages_target: int = PAGES_TARGET, ids_target: int = IDS_TARGET, most_repeated_pct: float = MOST_REPEATED_PCT) -> DataFrame:
+    """One row: what a crawl of index pages (page, listing_id) found against its targets, whether it passed, and notes why not."""
+    counts = pages.agg(F.count_distinct("page").alias("pages"), F.count_distinct("listing_id").alias("ids"), F.count("listing_id").alias("hits"))
+    repeated = F.coalesce(F.try_divide((F.col("hits") - F.col("ids")) * 100.0, F.col("hits")), F.lit(0.0))
+    few, thin, again = F.col("pages") < pages_target, F.col("ids") < int(ids_target * ENOUGH), F.col("repeated_pct") > most_repeated_pct
+    short = F.try_divide(F.col("ids") * pages_target, F.col("pages")) < ids_target
+    notes = F.array_compact(F.array(F.when(few, "few_pages"), F.when(thin, "few_ids"), F.when(again, "repeated_ids"), F.when(short, "target_out_of_reach")))
+    return counts.withColumn("repeated_pct", repeated).withColumns({"passed": ~(few | thin | again), "notes": notes})
