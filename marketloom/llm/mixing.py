@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import broadcast_if_small, documents, stored, unit_hash, word_count
+from marketloom.llm.common import broadcast_if_small, documents, stored, text_of, unit_hash, word_count
 
 SEED = "mix-1"
 WEIGHTS = (1, 2, 3)
@@ -42,19 +42,21 @@ def with_copies(docs: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WE
     """The documents with columns size, source_size, target and copies.
 
     copies is floor(rate), plus one when the hash of seed and doc_id, as a number in [0, 1), is below the fraction.
-    Null text: size 0. Null source: a source of its own. Null doc_id: hashed as 'null'. Equal ids draw alike.
-    A source without words has target 0 and gets no copies. An empty table gives an empty result.
+    Null text: size 0. Null source: a source of its own. Null doc_id: the text is hashed in its place, so that documents without
+    ids draw for themselves. Equal ids, and repeated rows, draw alike. Texts of any length are counted whole. A source without
+    words has target 0 and gets no copies. An empty table gives an empty result. Columns of those names are replaced.
     """
     sized = docs.withColumn("size", word_count(F.col("text")))
     targets = broadcast_if_small(stored(source_targets(sized.select("source", "size"), weights, cap).withColumnRenamed("source", "_source"), "targets"))
     joined = sized.join(targets, F.col("source").eqNullSafe(F.col("_source")), "left")
     whole = F.floor("rate")
-    extra = (unit_hash(seed, F.col("doc_id")) < F.col("rate") - whole).cast("long")
+    own = F.when(F.col("doc_id").isNull(), F.concat(F.lit("null"), F.md5(text_of("text")))).otherwise(F.col("doc_id").cast("string"))
+    extra = (unit_hash(seed, own) < F.col("rate") - whole).cast("long")
     return joined.withColumn("copies", whole + extra).drop("_source", "rate")
 
 
 def mix(docs: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """The mixed documents, each row repeated as often as it is taken, with the columns of docs."""
+    """The mixed documents, each row repeated as often as it is taken, with the columns of docs. Odd rows: see with_copies."""
     packed = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("_row"))
     taken = with_copies(packed, seed, weights, cap).filter("copies > 0")
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
@@ -67,7 +69,8 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    CASE WHEN doc_id IS NULL THEN 'null' || md5(coalesce(text, '')) ELSE CAST(doc_id AS VARCHAR) END AS own FROM documents
 ), sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
 ), weighed AS (
@@ -85,7 +88,7 @@ WITH sized AS (
 ), rated AS (
   SELECT doc_id, size, source_size, target,
     CASE WHEN source_size > 0 THEN target / source_size::DOUBLE ELSE 0.0 END AS rate,
-    CAST(CAST('0x' || md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null'))[1:13] AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u
+    CAST(CAST('0x' || md5('mix-1:' || own)[1:13] AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u
   FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source
 )
 SELECT doc_id, size, source_size, target,

@@ -94,7 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
     """
     order = F.xxhash64("doc_id")
     marked = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("label"))
-    chosen = marked.orderBy(order, "doc_id").limit(rows)
+    chosen = marked.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(order, "doc_id").limit(rows)
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(order, "doc_id", F.xxhash64("text")).limit(rows)
     return train([(r.text or "", int(r.label)) for r in found.select("text", "label").collect()])
 
