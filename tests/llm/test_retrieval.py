@@ -269,3 +269,26 @@ def test_radix_order_and_sums():
         want[i, d] += v
     got = ranked_search.accumulated(items, docs, x, 70)
     assert {(i, d): s for i, d, s in zip(*(c.tolist() for c in got), strict=True)} == want and (np.diff(got[0]) >= 0).all()
+
+
+# Small things of earlier operators.
+
+
+def test_documents_without_ids_are_mixed_to_their_targets(spark):
+    from marketloom.llm import mixing
+
+    rows = [(None, f"w{i} " * 10, "ab"[i % 2]) for i in range(4_000)]
+    got = mixing.with_copies(spark.createDataFrame(rows, "doc_id long, text string, source string")).groupBy("source").agg({"target": "max", "size": "sum"}).collect()
+    taken = {r.source: r.n for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).groupBy("source").count().withColumnRenamed("count", "n").collect()}
+    for r in got:
+        assert abs(10 * taken[r.source] / r["max(target)"] - 1) < 0.05
+
+
+def test_labels_without_documents_leave_the_sample_to_others(spark):
+    from marketloom.llm import quality_classifier
+
+    docs = spark.createDataFrame([(i, ("good calm prose " if i % 2 else "$$$ buy now ") * 20) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(i, 1) for i in range(1_000, 4_000)], "doc_id long, quality int")
+    model = quality_classifier.fit(docs, labels, rows=60)
+    scores = {r.doc_id: r.score for r in quality_classifier.scored(docs, model).collect()}
+    assert min(s for d, s in scores.items() if d % 2) > max(s for d, s in scores.items() if not d % 2)
