@@ -141,7 +141,7 @@ def selected_comparables(rows: DataFrame, area: float, bedrooms: int | None, lea
     counts = rows.groupBy("neighborhood_id").agg(*[F.count_if(c).alias(f"_n_{t}") for t, c in tiers], *[F.count_if(c & same).alias(f"_s_{t}") for t, c in tiers])
     first = lambda value: F.coalesce(*[F.when(F.col(f"_n_{t}") >= least, value(t)) for t, _ in tiers])
     chosen = counts.select("neighborhood_id", F.coalesce(first(F.lit), F.lit("fallback")).alias("tier"), F.coalesce(first(lambda t: F.col(f"_s_{t}") >= least), F.lit(False)).alias("stratified"))
-    joined = rows.join(F.broadcast(chosen), "neighborhood_id")
+    joined = rows.join(chosen, "neighborhood_id")
     inside = F.coalesce(*[F.when(F.col("tier") == t, c) for t, c in tiers], F.lit(True))
     return joined.filter(inside & (~F.col("stratified") | same))
 

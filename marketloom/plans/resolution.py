@@ -223,7 +223,7 @@ def holdout_by_confidence(spark, sf_dir):
     """Errors by the confidence of the sample that predicts, which is one less than the group."""
     rows = _left_out(spark, sf_dir)
     sizes = in_band(corpus_of(spark, sf_dir).filter("listing_type = 'sale'"), 500.0, 15000.0).groupBy("neighborhood_id").agg((F.count(F.lit(1)) - 1).alias("others"))
-    rows = rows.join(F.broadcast(sizes), "neighborhood_id").withColumn("confidence", buckets.confidence(F.col("others")))
+    rows = rows.join(sizes, "neighborhood_id").withColumn("confidence", buckets.confidence(F.col("others")))
     return models.errors(rows, ["confidence"], F.col("m"), F.col("psm"))
 
 

@@ -183,7 +183,7 @@ def lifecycle_transition(spark, sf_dir):
     runs = listings(spark, sf_dir).select("source_website", F.trunc("listing_date", "month").alias("run"), "source_listing_id").distinct()
     back = F.row_number().over(Window.partitionBy("source_website").orderBy(F.col("run").desc()))
     months = runs.select("source_website", "run").distinct().withColumn("back", back)
-    misses = runs.join(F.broadcast(months), ["source_website", "run"]).groupBy("source_website", "source_listing_id").agg((F.min("back") - 1).alias("misses"))
+    misses = runs.join(months, ["source_website", "run"]).groupBy("source_website", "source_listing_id").agg((F.min("back") - 1).alias("misses"))
     return misses.groupBy("source_website", history.status_after(F.col("misses"), F.lit(2)).alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
