@@ -28,13 +28,30 @@ def headroom_points(pct: Column) -> Column:
     return F.when(pct >= 25, 88.0).when(pct >= 12, 100.0).when(pct >= 5, 92.0).otherwise(F.greatest(F.lit(35.0), 70 + pct * 4))
 
 
-def budget_match(rows: DataFrame, kind: str, budget: float) -> DataFrame:
-    """Neighborhoods whose median price fits the budget, with tier and score. The tolerance applies to the price compared only."""
+#: What the area fit counts where no size is wanted.
+ANY_AREA = 72.0
+
+
+def area_fit(median_area: Column, target: float) -> Column:
+    """0 to 100: how near the median area is to the wanted one, within 18 per cent of it or 12 square metres."""
+    return F.round(F.greatest(F.lit(0.0), 100.0 - F.abs(median_area - target) / max(12.0, target * 0.18) * 100.0), 1)
+
+
+def budget_match(rows: DataFrame, kind: str, budget: float, area: tuple[float | None, float | None] | None = None) -> DataFrame:
+    """Neighborhoods whose median price fits the budget, with tier and score. The tolerance applies to the price compared only.
+
+    With a wanted area (least and largest, either may be missing) only listings of that size count, and the fit of their median
+    area to the middle of the band counts instead of a constant.
+    """
     rent, sale = F.col("listing_type") == "rent", F.col("listing_type") == "sale"
     usable = (F.col("listing_type") == kind) & (F.col("listing_price") > 0) & F.col("area_sqm").isNotNull()
+    lo, hi = area or (None, None)
+    for bound in ([F.col("area_sqm") >= lo] if lo is not None else []) + ([F.col("area_sqm") <= hi] if hi is not None else []):
+        usable = usable & bound
     enough = (F.count_if(rent) >= LEAST_MATCHES) & (F.count_if(sale) >= LEAST_MATCHES)
     plain = [F.count_if(usable).alias("samples"), F.count_if(usable & (F.col("listing_price") <= budget)).alias("matches"), enough.alias("_enough")]
-    g = medians(rows, ["neighborhood_id"], plain, price=only("listing_price", usable), _r=only("listing_price", rent), _s=only("listing_price", sale))
+    g = medians(rows, ["neighborhood_id"], plain, price=only("listing_price", usable), _r=only("listing_price", rent), _s=only("listing_price", sale), _a=only("area_sqm", usable))
+    g = g.withColumn("_fit", F.lit(ANY_AREA) if lo is None and hi is None else area_fit(F.col("_a"), target_area(lo, hi)))
     g = g.withColumn("yield_pct", F.when(F.col("_enough"), F.round(F.col("_r") * 12 / F.col("_s") * 100, 2)))
     g = g.filter((F.col("samples") > 0) & (F.col("price") <= budget * BUDGET_TOLERANCE))
     g = g.withColumns({"afford_pct": F.round(100.0 * F.col("matches") / F.col("samples"), 1), "confidence": buckets.confidence(F.col("samples"))})
@@ -43,9 +60,9 @@ def budget_match(rows: DataFrame, kind: str, budget: float) -> DataFrame:
     stock = F.least(F.lit(100.0), F.col("matches") / 25 * 100)
     head, a, c, h = headroom_points(F.col("headroom_pct")), F.col("afford_pct"), F.col("confidence"), F.col("headroom_pct")
     if kind == "rent":
-        score = a * 0.34 + stock * 0.20 + points * 0.18 + head * 0.18 + 72.0 * 0.10
+        score = a * 0.34 + stock * 0.20 + points * 0.18 + head * 0.18 + F.col("_fit") * 0.10
     else:
-        score = a * 0.26 + stock * 0.16 + points * 0.16 + head * 0.16 + 72.0 * 0.10 + F.least(F.lit(100.0), F.coalesce("yield_pct", F.lit(0.0)) / 6.5 * 100) * 0.16
+        score = a * 0.26 + stock * 0.16 + points * 0.16 + head * 0.16 + F.col("_fit") * 0.10 + F.least(F.lit(100.0), F.coalesce("yield_pct", F.lit(0.0)) / 6.5 * 100) * 0.16
     best = (a >= 40) & (F.col("matches") >= 8) & c.isin("high", "medium") & (h >= 8)
     good = (a >= 20) & (F.col("matches") >= LEAST_MATCHES) & (h >= 3)
     fit = F.when((F.col("price") > budget * 0.94) | (h < 3), "stretch").when(best, "best").when(good, "good").otherwise("stretch")

@@ -157,6 +157,15 @@ def budget_sale(spark, sf_dir):
     return models.budget_match(corpus_of(spark, sf_dir), "sale", 150000.0)
 
 
+#: A wanted size of 80 to 120 square metres; the fit is against 100, within 18.
+_SIZED = _BUDGET.replace("area_sqm IS NOT NULL GROUP BY 1)", "area_sqm BETWEEN 80 AND 120 GROUP BY 1)", 1)
+
+
+@query("budget_match_sized", _SIZED.format(kind="sale", budget=150000, score=_SALE_SCORE.replace("72.0", "round(greatest(0.0, 100 - abs(area - 100) / 18.0 * 100), 1)")))
+def budget_sized(spark, sf_dir):
+    return models.budget_match(corpus_of(spark, sf_dir), "sale", 150000.0, (80.0, 120.0))
+
+
 _TIERS = """
 , nh AS (SELECT neighborhood_id, area_sqm, bedrooms FROM corpus WHERE listing_type = 'sale'),
 c AS (SELECT neighborhood_id, count(*) FILTER (area_sqm BETWEEN 95 AND 105) AS n5, count(*) FILTER (area_sqm BETWEEN 90 AND 110) AS n10,
