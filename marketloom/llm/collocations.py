@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketloom.llm.bytewords import ASCII_LOWER, byte_table, flat, slices, words_of
-from marketloom.llm.common import broadcast_if_small, delete, documents, numbered, stored, written_once
+from marketloom.llm.common import broadcast_if_small, delete, documents, numbered, written_once
 
 LEAST = 30
 LONGEST = 4
@@ -307,7 +307,7 @@ def frequencies(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, blo
         else:
             reply, reply_path = written_once(frequent_phrases(found, length, least), "reply")
             own = reply.select(F.explode(F.filter("r", lambda x: x["a"].isNotNull())).alias("x")).select("x.*")
-            levels.append(stored((own.withColumn("id", _pair()) if length == 1 else own).select("id", "head", "last", "a"), "phrases"))
+            levels.append(written_once((own.withColumn("id", _pair()) if length == 1 else own).select("id", "head", "last", "a"), "phrases")[0])
             old, (lists, path) = path, written_once(frequent_lists(lists, reply, length), "lists")
             delete(spark, old)
             delete(spark, reply_path)
@@ -358,7 +358,7 @@ def mined(docs: DataFrame, first: int = FIRST, least: int = LEAST, covered: int
     left = kept[0]
     for part in kept[1:]:
         left = left.unionByName(part)
-    left = stored(left, "left")
+    left, _ = written_once(left, "left")
     order = [F.desc("score"), F.desc("a")]
     shares = max(1, math.ceil(math.sqrt(left.count() / first)))
     # Ties of score and count stay in until their words are known. A share of a language is ranked before the language is.

@@ -88,7 +88,7 @@ def delete(spark: SparkSession, path: str) -> None:
 def numbered(df: DataFrame, name: str, number: str = "id") -> DataFrame:
     """A stored table with a dense number from 0 a row, in any order: a row's place in its partition, shifted by the rows of the
     partitions before it (one row each)."""
-    rows = stored(df.withColumn("_mx_place", F.monotonically_increasing_id()), name)
+    rows, _ = written_once(df.withColumn("_mx_place", F.monotonically_increasing_id()), name)
     part, place = F.shiftright("_mx_place", 33), F.col("_mx_place").bitwiseAND(F.lit((1 << 33) - 1))
     counts = rows.groupBy(part.alias("_mx_part")).agg(F.count(F.lit(1)).alias("_mx_n"))
     before = F.sum("_mx_n").over(Window.orderBy("_mx_part").rowsBetween(Window.unboundedPreceding, -1))
