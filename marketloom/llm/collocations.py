@@ -150,11 +150,17 @@ def _by_place(row: dict, sizes: str = "sizes", places: str = "places") -> tuple[
 
 
 def met(starts: np.ndarray, heads: np.ndarray, word_places: np.ndarray, words: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Merge join of phrases of `length` words with the words right behind them: starts and keys (head << 31 | word)."""
+    """Merge join of phrases of `length` words with the words right behind them: starts and keys (head << 31 | word).
+
+    Of a phrase that can be frequent all words but the first are frequent too, so a place is left out unless a list has the next one.
+    """
     if not len(word_places):
         return starts[:0], heads[:0]
     at = np.minimum(np.searchsorted(word_places, starts + length), len(word_places) - 1)
     hit = word_places[at] == starts + length
+    if length > 1:
+        hit[:-1] &= starts[1:] == starts[:-1] + 1
+        hit[-1:] = False
     return starts[hit], heads[hit] << 31 | words[at[hit]]
 
 
