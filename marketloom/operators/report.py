@@ -98,7 +98,7 @@ SHOWN = ["section", "rank", "name", "detail", "listings", "value"]
 
 def _section(rows: DataFrame, name: str, label: str, order: list[Column], k: int, detail: Column | None = None, value: Column | None = None) -> DataFrame:
     """The first k rows as a section; ranks are given to those k alone."""
-    best = rows.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
+    best = rows.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).cast("long"))
     return best.select(
         F.lit(name).alias("section"), "rank", F.col(label).alias("name"), (F.lit(None).cast("string") if detail is None else detail).alias("detail"),
         F.col("n_rows").alias("listings"), (F.lit(None).cast("double") if value is None else value).alias("value"),
