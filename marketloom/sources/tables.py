@@ -36,6 +36,12 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def registered(path: str) -> str:
+    """A folder of a query's own, to be deleted by discard() too."""
+    _STORED.append(path)
+    return path
+
+
 def discard(spark: SparkSession) -> int:
     """Deletes the tables stored so far and returns their number. To be called when the results built on them have been written."""
     paths = [_STORED.pop() for _ in range(len(_STORED))]
