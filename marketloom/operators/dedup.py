@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions import buckets, similarity
 from marketloom.operators.graph import components
+from marketloom.sources.tables import kept
 
 AREA_STEP, PRICE_STEP = 5, 50
 
@@ -32,27 +35,75 @@ def pair_score(a: str, b: str) -> Column:
     return F.round(similarity.weighted(scores), 2)
 
 
+#: What pairs and their scores hang on: rows that agree in all of it are one class.
+CLASS = ["listing_type", "neighborhood_id", "_area", "_price", "bedrooms", "source_website", "listing_price", "area_sqm"]
+#: Pairs of rows that a task writes, about.
+TASK_PAIRS = 1_000_000
+
+
+def classes(df: DataFrame, area_step: int = AREA_STEP, price_step: int = PRICE_STEP, by: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of blocks as classes of rows that are alike in all that pairs hang on (and in `by`): their smallest id, which is
+    the class's name (class), and their number (members). Ids are unique; rows without an id or a source are in no pair."""
+    rows = blocked(df, area_step, price_step).filter("normalized_id IS NOT NULL AND source_website IS NOT NULL")
+    return rows.groupBy(*CLASS, *by).agg(F.min("normalized_id").alias("class"), F.count(F.lit(1)).alias("members"))
+
+
+def members(df: DataFrame, groups: DataFrame, area_step: int = AREA_STEP, price_step: int = PRICE_STEP) -> DataFrame:
+    """class, id of the rows in the classes."""
+    x, y = blocked(df, area_step, price_step).alias("x"), groups.alias("y")
+    condition = F.col("x.bedrooms").eqNullSafe(F.col("y.bedrooms"))
+    for c in CLASS:
+        if c != "bedrooms":
+            condition = condition & (F.col(f"x.{c}") == F.col(f"y.{c}"))
+    return x.filter("normalized_id IS NOT NULL").join(y, condition).select(F.col("y.class").alias("class"), F.col("x.normalized_id").alias("id"))
+
+
+def class_pairs(groups: DataFrame, threshold: float = similarity.THRESHOLD, *sides: str) -> DataFrame:
+    """a, b, score, pairs: each pair of classes of one block from different sources once, and of how many pairs of rows it tells.
+    The columns named in `sides` follow, as a_<name> and b_<name>. An equi-join on the block key, which AQE splits when it is skewed."""
+    x, y = groups.alias("x"), groups.alias("y")
+    condition = (F.col("x.source_website") < F.col("y.source_website")) & F.col("x.bedrooms").eqNullSafe(F.col("y.bedrooms"))
+    for c in ("listing_type", "neighborhood_id", "_area", "_price"):
+        condition = condition & (F.col(f"x.{c}") == F.col(f"y.{c}"))
+    pairs = (F.col("x.members") * F.col("y.members")).alias("pairs")
+    more = [F.col(f"{s}.{c}").alias(f"{n}_{c}") for c in sides for s, n in (("x", "a"), ("y", "b"))]
+    return x.join(y, condition).select(F.col("x.class").alias("a"), F.col("y.class").alias("b"), pair_score("x", "y").alias("score"), pairs, *more).filter(F.col("score") >= threshold)
+
+
 def cross_source_pairs(df: DataFrame, threshold: float = similarity.THRESHOLD, area_step: int = AREA_STEP, price_step: int = PRICE_STEP) -> DataFrame:
-    """a, b, score: pairs of one block from different sources. An equi-join on the block key, which AQE splits when it is skewed."""
-    keyed = blocked(df, area_step, price_step)
-    x, y = keyed.alias("x"), keyed.alias("y")
-    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("listing_type", "neighborhood_id", "_area", "_price")]
-    same.append(F.col("x.bedrooms").eqNullSafe(F.col("y.bedrooms")))
-    apart = (F.col("x.source_website") != F.col("y.source_website")) & (F.col("x.normalized_id") < F.col("y.normalized_id"))
-    condition = apart
-    for c in same:
-        condition = condition & c
-    pairs = x.join(y, condition)
-    return pairs.select(F.col("x.normalized_id").alias("a"), F.col("y.normalized_id").alias("b"), pair_score("x", "y").alias("score")).filter(F.col("score") >= threshold)
-
-
-def resolved(df: DataFrame, pairs: DataFrame, rank: Column, confidence: Column) -> DataFrame:
-    """Adds group_id, group_size, is_primary and duplicate_sources. A group is named after its least row.
+    """a, b, score: pairs of one block from different sources.
+
+    Classes are compared, and then pairs of classes become pairs of their rows, in shares of about TASK_PAIRS, so that a class of
+    many copies is no large task. The result is as large as there are pairs; where their number or links do, use class_pairs.
+    """
+    rows = kept(df, "rows")
+    groups = kept(classes(rows, area_step, price_step), "classes")
+    found = kept(class_pairs(groups, threshold).withColumn("shares", F.ceil(F.col("pairs") / TASK_PAIRS).cast("int")), "class-pairs")
+    tasks = math.ceil((found.agg(F.sum("pairs")).first()[0] or 0) / TASK_PAIRS) + 1
+    of = members(rows, groups, area_step, price_step)
+    side = lambda c: found.join(of.withColumnRenamed("class", c), c)
+    x = side("a").select("a", "b", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int").alias("share"), "score", F.col("id").alias("x"))
+    y = side("b").select("a", "b", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("id").alias("y"))
+    key = ["a", "b", "share"]
+    both = x.repartition(tasks, *key).hint("merge").join(y.repartition(tasks, *key), key)
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score")
+
+
+def linked(df: DataFrame, threshold: float = similarity.THRESHOLD, area_step: int = AREA_STEP, price_step: int = PRICE_STEP) -> DataFrame:
+    """node, component of the rows that are in any of the cross_source_pairs, without those pairs: two classes that are a pair
+    are joined with all their rows, so the components of classes are those of rows, and the smallest class name the smallest id."""
+    rows = kept(df, "rows")
+    groups = kept(classes(rows, area_step, price_step), "classes")
+    found = components(class_pairs(groups, threshold).select("a", "b"))
+    return members(rows, groups, area_step, price_step).join(found.hint("merge"), F.col("class") == F.col("node")).select(F.col("id").alias("node"), "component")
+
+
+def resolved(df: DataFrame, groups: DataFrame, rank: Column, confidence: Column) -> DataFrame:
+    """Adds group_id, group_size, is_primary and duplicate_sources; groups: linked() of the rows. A group is named after its least row.
 
     The survivor has the best source rank, then the highest confidence, then the highest id.
     """
-    groups = components(pairs.select("a", "b"))
-    joined = df.join(groups, df["normalized_id"] == groups["node"], "left").drop("node").withColumn("group_id", F.coalesce("component", "normalized_id")).drop("component")
+    joined = df.join(groups.hint("merge"), df["normalized_id"] == groups["node"], "left").drop("node").withColumn("group_id", F.coalesce("component", "normalized_id")).drop("component")
     group = Window.partitionBy("group_id")
     best = group.orderBy(rank, confidence.desc_nulls_last(), F.col("normalized_id").desc())
     return joined.withColumns(

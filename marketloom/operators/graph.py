@@ -12,15 +12,16 @@ def components(edges: DataFrame) -> DataFrame:
     """node, component (the least node reachable) for all nodes of edges (a, b).
 
     Labels sink to the least of the neighbours', and each node then takes its label's label, so that the number of
-    rounds goes with the logarithm of a chain's length. Each round's table is stored, which ends its lineage.
+    rounds goes with the logarithm of a chain's length. Each round's table is stored, which ends its lineage. Joins are
+    hinted as merge joins: stored labels are small for their rows, and a broadcast a round would fill the driver.
     """
     both = kept(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a")).distinct(), "edges")
     labels = kept(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("component")), "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("other"), "component"), "other").groupBy("node").agg(F.min("component").alias("near"))
-        lower = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("component"))
+        near = both.join(labels.select(F.col("node").alias("other"), "component").hint("merge"), "other").groupBy("node").agg(F.min("component").alias("near"))
+        lower = labels.join(near.hint("merge"), "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("component"))
         up = labels.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        after = kept(lower.join(up, "component").select("node", F.least("component", "next").alias("component"), "was"), "labels")
+        after = kept(lower.join(up.hint("merge"), "component").select("node", F.least("component", "next").alias("component"), "was"), "labels")
         labels = after.drop("was")
         if after.filter("component <> was").isEmpty():
             return labels

@@ -50,35 +50,42 @@ ranked AS (SELECT *, count(*) OVER (PARTITION BY group_id) AS group_size,
 """
 
 
-def _pairs(rows):
-    return dedup.cross_source_pairs(rows, area_step=AREA_STEP, price_step=PRICE_STEP)
+def _linked(rows):
+    return dedup.linked(rows, area_step=AREA_STEP, price_step=PRICE_STEP)
+
+
+def _candidates(spark, sf_dir):
+    """Pairs of classes of equal rows, with the number of pairs of rows that each stands for."""
+    return dedup.class_pairs(kept(dedup.classes(corpus_of(spark, sf_dir), AREA_STEP, PRICE_STEP), "classes"), 0)
 
 
 def _resolved(spark, sf_dir):
     rows = kept(corpus_of(spark, sf_dir), "corpus")
-    return dedup.resolved(rows, kept(_pairs(rows), "pairs"), F.col("source_website"), F.col("area_sqm"))
+    return dedup.resolved(rows, kept(_linked(rows), "groups"), F.col("source_website"), F.col("area_sqm"))
 
 
 @query("pair_scores", _PAIRS + "SELECT a, b, score FROM good")
 def pair_scores(spark, sf_dir):
-    return _pairs(corpus_of(spark, sf_dir))
+    return dedup.cross_source_pairs(corpus_of(spark, sf_dir), area_step=AREA_STEP, price_step=PRICE_STEP)
 
 
 @query("blocked_pairs", _PAIRS + "SELECT count(*) AS candidates, count(*) FILTER (score >= 85) AS matches, round(avg(score), 4) AS mean_score FROM pairs")
 def blocked_pairs(spark, sf_dir):
-    pairs = dedup.cross_source_pairs(corpus_of(spark, sf_dir), 0, AREA_STEP, PRICE_STEP)
-    return pairs.agg(F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("score") >= 85).alias("matches"), F.round(F.avg("score"), 4).alias("mean_score"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    mean = F.sum(F.round(F.col("score") * 100).cast("long") * F.col("pairs")) / F.sum("pairs") / 100
+    return _candidates(spark, sf_dir).agg(total(F.col("pairs")).alias("candidates"), total(F.when(F.col("score") >= 85, F.col("pairs"))).alias("matches"), F.round(mean, 4).alias("mean_score"))
 
 
 @query("threshold_sensitivity", _PAIRS + "SELECT t, count(*) FILTER (score >= t) AS pairs FROM pairs, (VALUES (70), (75), (80), (85), (90)) AS v(t) GROUP BY 1")
 def threshold_sensitivity(spark, sf_dir):
-    pairs = dedup.cross_source_pairs(corpus_of(spark, sf_dir), 0, AREA_STEP, PRICE_STEP)
-    return pairs.withColumn("t", F.explode(F.array(*map(F.lit, (70, 75, 80, 85, 90))))).groupBy("t").agg(F.count_if(F.col("score") >= F.col("t")).alias("pairs"))
+    scores = _candidates(spark, sf_dir).groupBy("score").agg(F.sum("pairs").alias("n"))
+    rows = scores.withColumn("t", F.explode(F.array(*map(F.lit, (70, 75, 80, 85, 90)))))
+    return rows.groupBy("t").agg(F.sum(F.when(F.col("score") >= F.col("t"), F.col("n")).otherwise(0)).alias("pairs"))
 
 
 @query("components", "", False)
 def components(spark, sf_dir):
-    return graph.components(_pairs(corpus_of(spark, sf_dir)).select("a", "b"))
+    return _linked(corpus_of(spark, sf_dir))
 
 
 SQL["components"] = _RECURSIVE + _REACH + "SELECT node, component FROM comps"

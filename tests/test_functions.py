@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketloom.functions import buckets, geo, rounding, similarity, text
-from marketloom.operators import corpus, graph, history, models, quality, stats
+from marketloom.operators import corpus, dedup, graph, history, models, quality, stats
 
 
 def value(spark, column):
@@ -181,3 +181,47 @@ def test_issues_of_a_listing(spark):
 def test_target_area():
     assert models.target_area(None, None, 2) == 62 and models.target_area(50, 60) == 55 and models.target_area(None, 40, 3) == 40
     assert models.target_area(None, None, None, 81.4) == 81 and models.target_area(None, None) == 70
+
+
+def pair_rows(spark, copies):
+    """Listings of two sources in copies, of which two thirds of the prices link; one source alone, and a missing count of bedrooms."""
+    kinds = [("a", 100_000.0, 80.0, 2), ("b", 101_000.0, 80.0, 2), ("c", 104_900.0, 79.0, 2), ("a", 300_000.0, 80.0, None), ("b", 300_000.0, 81.0, None), ("a", 300_000.0, 80.0, 3)]
+    rows = [(1000 * k + i, *kinds[i], "sale", 7) for k in range(copies) for i in range(len(kinds))]
+    return spark.createDataFrame(rows, "normalized_id long, source_website string, listing_price double, area_sqm double, bedrooms int, listing_type string, neighborhood_id int")
+
+
+def all_pairs(df, threshold):
+    """Every pair of rows compared on its own."""
+    rows = dedup.blocked(df, 25, 5000)
+    x, y = rows.alias("x"), rows.alias("y")
+    on = F.col("x.bedrooms").eqNullSafe(F.col("y.bedrooms")) & (F.col("x.source_website") != F.col("y.source_website")) & (F.col("x.normalized_id") < F.col("y.normalized_id"))
+    for c in ("listing_type", "neighborhood_id", "_area", "_price"):
+        on = on & (F.col(f"x.{c}") == F.col(f"y.{c}"))
+    return x.join(y, on).select(F.col("x.normalized_id").alias("a"), F.col("y.normalized_id").alias("b"), dedup.pair_score("x", "y").alias("score")).filter(F.col("score") >= threshold)
+
+
+@pytest.mark.parametrize("threshold", [0, 85])
+def test_pairs_of_classes_are_all_pairs_of_rows(spark, monkeypatch, threshold):
+    df = pair_rows(spark, 7)
+    want = sorted(map(tuple, all_pairs(df, threshold).collect()))
+    monkeypatch.setattr(dedup, "TASK_PAIRS", 5)
+    assert len(want) > 100 and sorted(map(tuple, dedup.cross_source_pairs(df, threshold, 25, 5000).collect())) == want
+    pairs = dedup.class_pairs(dedup.classes(df, 25, 5000), threshold)
+    assert pairs.agg(F.sum("pairs")).first()[0] == len(want)
+
+
+def test_copies_are_linked_without_their_pairs(spark):
+    few, many = pair_rows(spark, 2), pair_rows(spark, 60)
+    for df in (few, many):
+        want = sorted(map(tuple, graph.components(all_pairs(df, 85).select("a", "b")).collect()))
+        assert sorted(map(tuple, dedup.linked(df, 85, 25, 5000).collect())) == want
+    counts = [dedup.class_pairs(dedup.classes(df, 25, 5000)).count() for df in (few, many)]
+    assert counts[0] == counts[1] > 0
+
+
+def test_rounds_of_components_broadcast_nothing(spark, monkeypatch):
+    plans = []
+    keep = graph.kept
+    monkeypatch.setattr(graph, "kept", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df, name))
+    graph.components(spark.range(100).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))).count()
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
