@@ -225,3 +225,16 @@ def test_a_deep_document_is_taken_apart_by_levels(spark):
     deep = json.dumps({"a": [[[[{"b": 1}]]]]})
     got = published.leaves(spark.createDataFrame([(1, deep)], "id long, document string"), ["id"]).select("path", F.col("number")).collect()
     assert [tuple(r) for r in got] == [("a[0][0][0][0].b", 1.0)]
+
+
+def test_rounds_over_places_broadcast_no_table_of_places(spark, monkeypatch):
+    plans = []
+    keep = tree.kept
+    monkeypatch.setattr(tree, "kept", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df, name))
+    places = spark.createDataFrame([(f"p{i}", "street", f"Street {i % 3}", None, f"p{i // 2}" if i else None) for i in range(40)], "slug string, level string, name string, aliases array<string>, parent string")
+    names = spark.createDataFrame([(i, "street" if i % 5 else None, f"street {i % 3}", None) for i in range(60)], "id long, level string, name string, within string")
+    got = tree.scoped(names, places, tree.intervals(places))
+    # The first street of each name (p0, p1, p2) is alone at its depth; a level that is null finds nothing.
+    assert {(r.id, r.slug, r.status) for r in got.collect()} == {(i, f"p{i % 3}", "resolved") if i % 5 else (i, None, "missing") for i in range(60)}
+    assert plans and not any("BroadcastHashJoin" in p for p in plans)
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
