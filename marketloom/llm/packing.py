@@ -41,6 +41,8 @@ TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 END_ID = 0
 WINDOW = 1024
 SHARD_BYTES = 2 << 20
+#: Shards that are written and read together; more of them would be in a task's memory at once.
+GROUP_SHARDS = 4
 #: Bytes of text that are encoded together, for several shards.
 ENCODED_BYTES = 8 << 20
 #: Words whose document frequency tasks know, at most.
@@ -365,7 +367,7 @@ def frequent_words(shards: DataFrame, most: int = FREQUENT) -> tuple[dict[str, i
 
 def packed(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = None, window: int = WINDOW, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Rows of PIECES. sequence_id tells tasks apart by its upper half."""
-    shards = stored(index_shards(docs, tokenizer, ranks, end_id, shard_bytes), "packing-index")
+    shards = stored(index_shards(docs, tokenizer, ranks, end_id, shard_bytes), "packing-index", GROUP_SHARDS)
     frequencies, bound = frequent_words(shards)
     n, words = shards.agg(F.sum(F.size("names")), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()
     n, mean = n or 0, max((words or 0) / max(n or 1, 1), 1.0)

@@ -292,3 +292,34 @@ def test_labels_without_documents_leave_the_sample_to_others(spark):
     model = quality_classifier.fit(docs, labels, rows=60)
     scores = {r.doc_id: r.score for r in quality_classifier.scored(docs, model).collect()}
     assert min(s for d, s in scores.items() if d % 2) > max(s for d, s in scores.items() if not d % 2)
+
+
+def row_groups(monkeypatch, written):
+    """written_once that notes the rows of each row group by the table's name."""
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+
+    from marketloom.llm import common
+
+    def write(df, name, *how):
+        out = common.written_once(df, name, *how)
+        for f in Path(out[1].removeprefix("file://")).glob("*.parquet"):
+            about = pq.ParquetFile(f).metadata
+            written[name] += [about.row_group(i).num_rows for i in range(about.num_row_groups)]
+        return out
+
+    return write
+
+
+def alike(spark):
+    return spark.createDataFrame([(i, f"one two three four five six word{i % 7} seven eight", "en") for i in range(400)], "doc_id long, text string, lang string").coalesce(1)
+
+
+def test_shards_are_written_in_small_groups(spark, monkeypatch):
+    """A row group is in memory at once, with a reader and with a writer, and shards have megabytes."""
+    written = defaultdict(list)
+    write = row_groups(monkeypatch, written)
+    monkeypatch.setattr(packing, "stored", lambda *what: write(*what)[0])
+    assert packing.packed(alike(spark), shard_bytes=1000).count() >= 400
+    assert sum(written["packing-index"]) > 10 and max(written["packing-index"]) <= packing.GROUP_SHARDS
