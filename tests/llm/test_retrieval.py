@@ -323,3 +323,15 @@ def test_shards_are_written_in_small_groups(spark, monkeypatch):
     monkeypatch.setattr(packing, "stored", lambda *what: write(*what)[0])
     assert packing.packed(alike(spark), shard_bytes=1000).count() >= 400
     assert sum(written["packing-index"]) > 10 and max(written["packing-index"]) <= packing.GROUP_SHARDS
+
+
+def test_blocks_are_written_in_small_groups(spark, monkeypatch):
+    written = defaultdict(list)
+    monkeypatch.setattr(collocations, "written_once", row_groups(monkeypatch, written))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        assert collocations.mined(alike(spark), block_words=100).count() > 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for name in ("word-lists", "lists", "reply"):
+        assert sum(written[name]) > 10 and max(written[name]) <= collocations.GROUP_BLOCKS, name
