@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -91,9 +93,17 @@ def key(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(F.lower(text), MARKED, PLAIN), "[^a-z0-9]+", " "))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def number(token: Column) -> Column:
     """A number written with dots or commas: groups of three digits are thousands, else the last mark is the decimal one."""
-    t = F.regexp_replace(F.trim(token), "[ €]", "")
+    return bound(F.regexp_replace(F.trim(token), "[ €]", ""), _number)
+
+
+def _number(t: Column) -> Column:
     both = t.contains(",") & t.contains(".")
     comma_last = F.length(F.substring_index(t, ",", -1)) < F.length(F.substring_index(t, ".", -1))
     plain = (

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.functions import parsing, text
+from marketloom.functions.text import bound
 from marketloom.operators import quality
 from marketloom.sources import raw as sources
 from marketloom.sources.tables import kept
@@ -22,22 +21,21 @@ def parsed(raw: DataFrame, layouts: dict[str, str]) -> DataFrame:
     known = F.create_map(*[F.lit(x) for kv in layouts.items() for x in kv])[F.col("source_website")]
     broken = F.try_parse_json("payload").isNull()
     error = F.when(known.isNull(), "unknown_source").when(F.col("payload").isNull() | broken, "parse_error")
+    # Each path is read once, in a step of its own; in the fields' conditions it would be read wherever it is named.
+    paths = sorted({p for layout in layouts.values() for some in sources.PATHS[layout].values() for p in some})
+    read = {p: f"_path{i}" for i, p in enumerate(paths)}
+    raw = raw.withColumn("error", error).withColumns({c: F.get_json_object("payload", p) for p, c in read.items()})
     fields: dict[str, Column] = {}
     names = ["title", "description", "price", "sale_price", "rent_price", "area_sqm", "bedrooms", "neighborhood", "city", "property_type", "listing_type"]
     for name in names:
         out = F.lit(None).cast("double" if name in sources.NUMBERS else "int" if name == "bedrooms" else "string")
         for layout in set(layouts.values()):
-            found = sources.parsed_payload(F.col("payload"), layout)
+            found = sources.fields_of(lambda p: F.col(read[p]), layout)
             found["listing_type"] = sources.listing_type(found)
             if name in found:
                 out = F.when(known == layout, found[name]).otherwise(out)
         fields[f"{name}_raw"] = out
-    return raw.withColumn("error", error).withColumns(fields)
-
-
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with the value computed once however often it is used."""
-    return F.get(F.transform(F.array(value), use), 0)
+    return raw.withColumns(fields).drop(*read.values())
 
 
 def normalized(rows: DataFrame) -> DataFrame:
@@ -108,8 +106,11 @@ def metrics(rows: DataFrame) -> DataFrame:
 
 def run(raw: DataFrame, layouts: dict[str, str]) -> DataFrame:
     """All stages over unparsed raw rows. Parsed and normalized rows are tables of their own, so that a stage can be looked into
-    and that later filters do not repeat the fields' extraction."""
-    return validated(kept(normalized(kept(parsed(raw, layouts), "parsed")), "normalized"))
+    and that later filters do not repeat the fields' extraction. Rows are few bytes and much work, so they are dealt by number:
+    partitions that are put together by size would leave most cores idle."""
+    spark = raw.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return validated(kept(normalized(kept(parsed(raw.repartition(tasks, "raw_id"), layouts), "parsed")), "normalized"))
 
 
 def quarantine(rows: DataFrame) -> DataFrame:

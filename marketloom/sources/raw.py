@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,9 +83,14 @@ NUMBERS = ("price", "sale_price", "rent_price", "area_sqm")
 
 def parsed_payload(payload: Column, layout: str) -> dict[str, Column]:
     """Columns of a payload by its layout; numbers that do not parse are null."""
+    return fields_of(lambda p: F.get_json_object(payload, p), layout)
+
+
+def fields_of(at: Callable[[str], Column], layout: str) -> dict[str, Column]:
+    """The same, from what stands at each path."""
     out = {}
     for field, paths in PATHS[layout].items():
-        raw = F.coalesce(*[F.nullif(F.get_json_object(payload, p), F.lit("")) for p in paths])
+        raw = F.coalesce(*[F.nullif(at(p), F.lit("")) for p in paths])
         out[field] = raw.try_cast("double") if field in NUMBERS else F.regexp_extract(raw, r"(\d+)", 1).try_cast("int") if field == "bedrooms" else raw
     return out
 

@@ -166,3 +166,12 @@ def test_lifecycle_stream(spark, tmp_path):
     df = spark.createDataFrame(rows, "source_website string, source_listing_id string, run_id int, seen boolean, healthy boolean")
     got = {r.source_listing_id: (r.status, r.misses, r.last_run) for r in collected(jobs.lifecycle(stream(spark, df, folder)), name, "update")}
     assert got == {"a": ("ACTIVE", 0, 4), "b": ("INACTIVE", 2, 4)}
+
+
+def test_parsing_is_dealt_over_all_cores(spark, monkeypatch):
+    """Raw rows of one partition (as small shuffles are put together) are parsed by many tasks, with the same result."""
+    rows = spark.createDataFrame([(i, "a", '{"price": "1.200", "gross_area": "80", "business_type": "sale"}') for i in range(200)], "raw_id long, source_website string, payload string").coalesce(1)
+    parts, keep = {}, etl.kept
+    monkeypatch.setattr(etl, "kept", lambda df, name: parts.update({name: df.rdd.getNumPartitions()}) or keep(df, name))
+    assert etl.run(rows, {"a": "flat"}).count() == 200
+    assert parts["parsed"] >= 2 * spark.sparkContext.defaultParallelism
