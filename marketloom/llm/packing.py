@@ -1,8 +1,9 @@
 """Packing by lexical retrieval: a sharded BM25 inverted index returns unused neighbours of a seed document, which fill its window.
 
 `index_shards` makes the index, a row a shard (about SHARD_BYTES of text: consecutive documents of a task): token ids of its
-documents, its distinct words with their document frequencies, and postings of words that stand in two of its documents or
-more (no other word can find a neighbour). Document frequencies and the mean length are sums over all documents. `packed` walks
+documents, and postings of words that stand in two of its documents or more (no other word can find a neighbour). Texts are cut
+into parts, and ids and words are found once for each distinct part of ENCODED_BYTES. Distinct words with their document frequencies are counted
+over as much and stand in its last shard's row. Document frequencies and the mean length are sums over all documents. `packed` walks
 the shards: the longest unused document is a seed; what is left of it after whole windows opens a window, its neighbours are
 looked up in the shard's index, best first, and go in until the window is full. The one that flows over is cut there and is the
 seed of the next window. So windows are full, and what is left of a task's last window is dealt into lengths that are powers of
@@ -21,10 +22,10 @@ import base64
 import json
 import math
 import os
-import re
 import zlib
 from collections.abc import Iterable, Iterator
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -44,15 +45,13 @@ SHARD_BYTES = 2 << 20
 #: Shards that are written and read together; more of them would be in a task's memory at once.
 GROUP_SHARDS = 4
 #: Bytes of text that are encoded together, for several shards.
-ENCODED_BYTES = 8 << 20
+ENCODED_BYTES = 16 << 20
 #: Words whose document frequency tasks know, at most.
 FREQUENT = 100_000
 #: Share of all documents beyond which a word is not looked up.
 STOP = 0.25
 K1, B = 1.2, 0.75
-#: Distinct strings that a Python worker remembers before it starts anew.
-REMEMBERED = 400_000
-#: New strings that are encoded as one text.
+#: Parts that are encoded as one text, and strings that are with the tokenizer at once.
 TOGETHER = 500
 
 BLANK = byte_table(b"\t\n\x0b\x0c\r ")
@@ -60,17 +59,17 @@ MARK = byte_table(bytes([*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x
 LETTER = byte_table(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 #: Second bytes of the letters of U+00C0 to U+00FF, whose first byte is C3.
 LATIN = byte_table(bytes(x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7)))
-# Fixed value: the usual pattern of byte-level tokenizers.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Fixed value: the usual pattern of byte-level tokenizers for parts put together. No white space stands in a row there but line
+# feeds, with a space behind them or none; the usual pattern (`\s+(?!\S)|\s+` at its end) takes each of these line feeds alone too.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"
 #: White space beyond ASCII; a text that holds any is not cut.
-OTHER_BLANKS = "[\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+OTHER_BLANKS = "\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
-#: A part of a text without white space but one space in front.
-PLAIN = re.compile(r" ?\S+")
+#: A part of a text without white space but one space or line feed in front.
+PLAIN = f"^[ \n]?[^\t-\r\x1c- {OTHER_BLANKS}]+$"
 
-SHARDS = (
-    "names array<bigint>, ends array<bigint>, ids binary, lengths array<int>, words array<string>, dfs array<int>, listed array<string>, counts array<int>, docs array<int>, tfs array<int>"
-)
+SHARDS = "names array<bigint>, ends array<bigint>, ids binary, lengths array<int>, words array<string>, dfs array<int>, pairs bigint, listed array<string>, counts array<int>, docs binary, tfs binary"
+SHARD_COLUMNS = [column.split()[0] for column in SHARDS.split(", ")]
 
 
 def cuts_everywhere(made: dict) -> bool:
@@ -87,11 +86,11 @@ def cuts_everywhere(made: dict) -> bool:
     )
 
 
-def cut_into_units(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+def cut_into_units(texts: pa.Array, whole: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """The texts in parts that are encoded on their own, and the number of parts before each text (and in all).
 
     A part ends before each run of ASCII white space, and between a letter (ASCII or Latin) and an ASCII mark: nothing that the
-    pattern takes reaches across these places.
+    pattern takes reaches across these places, and no word does. whole: which texts are a part as they are.
     """
     data, bounds = flat(texts)
     if not len(data):
@@ -101,13 +100,21 @@ def cut_into_units(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     letter[1:] |= LATIN[data[1:]] & (data[:-1] == 0xC3)
     cut = np.zeros(len(data) + 1, bool)
     cut[1:-1] = (blank[1:] & ~blank[:-1]) | (MARK[data[1:]] & letter[:-1])
+    if whole.any():
+        cut[:-1] &= ~np.repeat(whole, np.diff(bounds))
     cut[bounds] = True
     at = np.flatnonzero(cut)
     return strings_of(data, at[1:]), np.searchsorted(at, bounds)
 
 
+def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs, one run after the other."""
+    done = np.cumsum(sizes)
+    return np.arange(done[-1] if len(done) else 0) + np.repeat(starts - (done - sizes), sizes)
+
+
 def ranked(path: str):
-    """tiktoken's encoding of a file of ranks, with the pattern that the tokenizer's file implies."""
+    """tiktoken's encoding of a file of ranks, for parts put together."""
     import tiktoken
 
     with open(path, "rb") as f:
@@ -115,8 +122,29 @@ def ranked(path: str):
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+class Parts(NamedTuple):
+    """Texts as numbers of distinct parts, and how many are before each text (and in all); all parts' ids in a row and where each
+    part's begin (and the last's end); distinct words, and the same two for the numbers of the parts' words."""
+
+    numbers: np.ndarray
+    before: np.ndarray
+    ids: np.ndarray
+    id_starts: np.ndarray
+    words: pa.Array
+    held: np.ndarray
+    held_starts: np.ndarray
+
+    def all_ids(self) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and how many each has."""
+        return gathered(self.ids, self.id_starts, self.numbers, self.before)
+
+    def all_words(self) -> tuple[np.ndarray, np.ndarray]:
+        """The same for the numbers of their words."""
+        return gathered(self.held, self.held_starts, self.numbers, self.before)
+
+
 class UnitEncoder:
-    """Ids and words of texts; each distinct part is encoded once as long as it is remembered."""
+    """Ids and words of texts; those of each distinct part are found once."""
 
     def __init__(self, path: str, ranks: str | None = None):
         """path: the tokenizer's file; ranks: the same vocabulary as a file of ranks, whose library takes a third of the time for
@@ -131,81 +159,70 @@ class UnitEncoder:
         self.added = [t["content"] for t in made.get("added_tokens") or []]
         line = self.tokenizer.encode("a\nb", add_special_tokens=False).ids
         self.line = line[1] if len(line) == 3 else -1
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids, self.starts = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
 
     def encoded(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        return np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum())), sizes
-
-    def encoded_parts(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The same for parts of texts. Those without white space (but a space in front) are put together, each with a line feed
-        behind it: the pattern takes those line feeds alone. Should their number differ, each part is encoded on its own."""
-        plain = np.fromiter((PLAIN.fullmatch(x) is not None for x in strings), bool, len(strings))
-        joined = [strings[i] for i in np.flatnonzero(plain)]
-        texts = ["".join(x + "\n" for x in joined[lo : lo + TOGETHER]) for lo in range(0, len(joined), TOGETHER)]
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for lo in range(0, len(strings), TOGETHER):
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(strings[lo : lo + TOGETHER], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
+            ids.append(np.fromiter(chain.from_iterable(got), np.uint32, int(sizes[-1].sum())))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def encoded_parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for parts of texts. Those without white space (but in front) are put together, each with a line feed behind it:
+        the pattern takes line feeds alone there. Should their number differ, each part is encoded on its own."""
+        plain = pc.match_substring_regex(parts, PLAIN)
+        for token in self.added:
+            plain = pc.and_not(plain, pc.match_substring(parts, token))
+        joined = parts.filter(plain)
+        lines = pc.binary_join_element_wise(joined, pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string()))
+        texts = [flat(lines.slice(lo, TOGETHER)).data.tobytes().decode() for lo in range(0, len(lines), TOGETHER)]
         if self.ranked:
             ids = np.concatenate([self.ranked.encode_to_numpy(x, disallowed_special=()) for x in texts]).astype(np.uint32) if texts else np.zeros(0, np.uint32)
         else:
             ids, _ = self.encoded(texts)
-        line = ids == self.line
-        ends = np.flatnonzero(line)
-        if len(ends) != len(joined):
-            return self.encoded(strings)
-        own, own_sizes = self.encoded([strings[i] for i in np.flatnonzero(~plain)])
-        sizes = np.zeros(len(strings), np.int64)
+        feeds = np.flatnonzero(ids == self.line)
+        behind = np.cumsum(pc.starts_with(joined, "\n").to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        if len(feeds) != (behind[-1] if len(behind) else 0):
+            return self.encoded(parts.to_pylist())
+        ends = feeds[behind - 1]
+        plain = plain.to_numpy(zero_copy_only=False)
+        own, own_sizes = self.encoded(parts.filter(pa.array(~plain)).to_pylist())
+        sizes = np.zeros(len(parts), np.int64)
         sizes[plain], sizes[~plain] = np.diff(ends, prepend=-1) - 1, own_sizes
         out, of_plain = np.zeros(int(sizes.sum()), np.uint32), np.repeat(plain, sizes)
-        out[of_plain], out[~of_plain] = ids[~line], own
+        out[of_plain], out[~of_plain] = np.delete(ids, ends), own
         return out, sizes
 
-    def places(self, strings: list[str]) -> np.ndarray:
-        """Where in self.starts the ids of each string are noted."""
-        if len(self.known) > REMEMBERED:
-            self.forget()
-        known, first = self.known, len(self.known)
-        at = np.fromiter((known.get(x, -1) for x in strings), np.int64, len(strings))
-        new = np.flatnonzero(at < 0)
-        if len(new):
-            named = [strings[i] for i in new]
-            ids, sizes = self.encoded_parts(named) if self.line >= 0 else self.encoded(named)
-            at[new] = np.arange(first, first + len(new))
-            known.update(zip(named, range(first, first + len(new)), strict=True))
-            used, total = int(self.starts[first]), first + len(new)
-            self.ids = np.resize(self.ids, max(len(self.ids), 2 * (used + len(ids)))) if used + len(ids) > len(self.ids) else self.ids
-            self.starts = np.resize(self.starts, 2 * (total + 1)) if total + 1 > len(self.starts) else self.starts
-            self.ids[used : used + len(ids)] = ids
-            self.starts[first + 1 : total + 1] = used + np.cumsum(sizes)
-        return at
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, and how many each has."""
+    def parts(self, texts: pa.Array) -> Parts:
         texts = pc.fill_null(texts, "").cast(pa.large_string())
         whole = np.ones(len(texts), bool)
         if self.by_unit:
-            whole = pc.match_substring_regex(texts, OTHER_BLANKS).to_numpy(zero_copy_only=False)
+            whole = pc.match_substring_regex(texts, f"[{OTHER_BLANKS}]")
             for token in self.added:  # an added token with marks and letters inside must not be cut
-                whole = whole | pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
-        whole = whole.astype(bool)
-        parts, before = cut_into_units(pc.if_else(pa.array(whole), "", texts) if whole.any() else texts)
-        distinct = parts.dictionary_encode()
-        noted = self.places(distinct.dictionary.to_pylist())
-        starts, sizes = self.starts[noted], self.starts[noted + 1] - self.starts[noted]
-        which = distinct.indices.to_numpy()
-        done = np.zeros(len(which) + 1, np.int64)
-        np.cumsum(sizes[which], out=done[1:])
-        ids = self.ids[np.arange(done[-1]) + np.repeat(starts[which] - done[:-1], sizes[which])]
-        lengths = np.diff(done[before])
-        if whole.any():
-            own, own_sizes = self.encoded(texts.filter(pa.array(whole)).to_pylist())
-            at = np.flatnonzero(whole)
-            ids = np.insert(ids, np.repeat(done[before[at]], own_sizes), own)
-            lengths[at] = own_sizes
-        return ids, lengths
+                whole = pc.or_(whole, pc.match_substring(texts, token))
+            whole = whole.to_numpy(zero_copy_only=False)
+        parts, before = cut_into_units(texts, whole)
+        parts = parts.dictionary_encode()
+        distinct = parts.dictionary
+        ids, sizes = self.encoded_parts(distinct) if self.by_unit and self.line >= 0 else self.encoded(distinct.to_pylist())
+        found = words_of(flat(distinct, ASCII_LOWER), WORD_BYTES)
+        words = found.strings.dictionary_encode()
+        return Parts(parts.indices.to_numpy(), before, ids, np.concatenate(([0], np.cumsum(sizes))), words.dictionary, words.indices.to_numpy(), found.before)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and how many each has."""
+        return self.parts(texts).all_ids()
+
+
+def gathered(values: np.ndarray, starts: np.ndarray, numbers: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of values with these numbers one after the other, and how many values each text has."""
+    if not len(numbers):
+        return values[:0], np.zeros(len(before) - 1, np.int64)
+    runs = pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts * values.itemsize), pa.py_buffer(values)])
+    _, offsets, data = runs.take(pa.array(numbers)).buffers()
+    bounds = np.frombuffer(offsets, np.int64)[before] // values.itemsize
+    return np.frombuffer(data, values.dtype, bounds[-1]), np.diff(bounds)
 
 
 _ENCODERS: dict[tuple, UnitEncoder] = {}
@@ -233,33 +250,48 @@ def with_ends(ids: np.ndarray, lengths: np.ndarray, end_id: int) -> tuple[np.nda
     return out, ends
 
 
-def shard_row(names: pa.Array, texts: pa.Array, ids: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
-    found = words_of(flat(texts, ASCII_LOWER), WORD_BYTES)
-    distinct, per_doc = found.strings.dictionary_encode(), np.diff(found.before)
-    n = len(names)
-    keys = np.sort(distinct.indices.to_numpy().astype(np.int64) * n + np.repeat(np.arange(n), per_doc)) if len(distinct) else np.zeros(0, np.int64)
+def narrow(values: np.ndarray) -> bytes:
+    """Numbers of 0 or more in as few bytes each as the largest needs: one, two or four."""
+    top = int(values.max()) if len(values) else 0
+    return values.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4").tobytes()
+
+
+def wide(raw: bytes, count: int) -> np.ndarray:
+    """What narrow() made of so many numbers."""
+    return np.frombuffer(raw, f"<u{len(raw) // count}" if count else "<u1")
+
+
+def shard_row(names: pa.Array, ids: np.ndarray, ends: np.ndarray, held: np.ndarray, per_doc: np.ndarray, words: pa.Array) -> tuple[dict[str, pa.Array], np.ndarray, np.ndarray]:
+    """A shard's columns but words and dfs, and the numbers of its distinct words with their document frequencies, most frequent
+    first. held: the words of its documents by number in words; per_doc: how many each document has."""
+    n, place = len(names), np.arange(len(held), dtype=np.int32)
+    seen = np.zeros(len(words), np.int32)
+    seen[held[::-1]] = place[::-1]
+    distinct = held[seen[held] == place]  # as they come in the shard
+    seen[distinct] = place[: len(distinct)]
+    keys = np.sort(seen[held].astype(np.int64) * n + np.repeat(np.arange(n), per_doc))
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    words, docs = np.divmod(keys[first], n)
+    word, docs = np.divmod(keys[first], max(n, 1))
     tfs = np.diff(first, append=len(keys))
-    dfs = np.bincount(words, minlength=len(distinct.dictionary)) if len(words) else np.zeros(0, np.int64)
+    dfs = np.bincount(word, minlength=len(distinct))
     order = np.argsort(-dfs, kind="stable")  # words with postings first
-    rank = np.empty_like(order)
-    rank[order] = np.arange(len(order))
     listed = int((dfs >= 2).sum())
-    keep = np.flatnonzero(rank[words] < listed) if len(words) else np.zeros(0, np.int64)
-    by_word = keep[np.argsort(rank[words[keep]], kind="stable")]
-    columns = [
-        _list(names.cast(pa.int64())), _list(ends), pa.array([ids.astype("<u4" if len(ids) and ids.max() >> 16 else "<u2").tobytes()], pa.binary()), _list(per_doc.astype(np.int32)),
-        _list(distinct.dictionary.take(pa.array(order)).cast(pa.string())), _list(dfs[order].astype(np.int32)),
-        _list(distinct.dictionary.take(pa.array(order[:listed])).cast(pa.string())), _list(dfs[order[:listed]].astype(np.int32)), _list(docs[by_word].astype(np.int32)), _list(tfs[by_word].astype(np.int32)),
-    ]
-    return pa.RecordBatch.from_arrays(columns, ["names", "ends", "ids", "lengths", "words", "dfs", "listed", "counts", "docs", "tfs"])
+    starts = np.cumsum(dfs) - dfs
+    by_word = spans(starts[order[:listed]], dfs[order[:listed]])
+    distinct, dfs = distinct[order], dfs[order]
+    columns = {
+        "names": _list(names.cast(pa.int64())), "ends": _list(ends), "ids": pa.array([narrow(ids)], pa.binary()), "lengths": _list(per_doc.astype(np.int32)), "pairs": pa.array([len(first)], pa.int64()),
+        "listed": _list(words.take(pa.array(distinct[:listed])).cast(pa.string())), "counts": _list(dfs[:listed].astype(np.int32)),
+        "docs": pa.array([narrow(docs[by_word])], pa.binary()), "tfs": pa.array([narrow(tfs[by_word])], pa.binary()),
+    }
+    return columns, distinct, dfs
 
 
 def index_shards(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = None, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Rows of SHARDS. names: the doc_ids; ends: where each document's ids end; lengths: its words; words and dfs: the shard's
-    distinct words, most frequent first, and how many of its documents hold each; listed, counts, docs and tfs: those of two
-    documents or more, and their postings, one list after the other."""
+    """Rows of SHARDS. names: the doc_ids; ends: where each document's ids end; lengths: its words; pairs: distinct words of all its
+    documents; listed, counts, docs and tfs: its words of two documents or more, most frequent first, how many documents hold
+    each, and their postings, one list after the other (ids, docs, tfs: see narrow). words and dfs: distinct words and how many
+    documents hold each, of this shard and those before it whose words are empty; most frequent first."""
     if not tokenizer:
         tokenizer, ranks = tokenizer_path(TOKENIZER), tokenizer_path(RANKS)
 
@@ -267,12 +299,21 @@ def index_shards(docs: DataFrame, tokenizer: str | None = None, ranks: str | Non
         encoder = encoder_for(tokenizer, ranks)
         for batch in batches:
             for part in slices(batch, size=max(ENCODED_BYTES, shard_bytes)):
-                ids, ends = with_ends(*encoder.encode(part.column("text")), end_id)
-                doc = 0
+                parts = encoder.parts(part.column("text"))
+                ids, ends = with_ends(*parts.all_ids(), end_id)
+                held, per_doc = parts.all_words()
+                word_ends, dfs, doc = np.cumsum(per_doc), np.zeros(len(parts.words), np.int32), 0
                 for shard in slices(part, size=shard_bytes):
-                    first, last = (ends[doc - 1] if doc else 0), ends[doc + shard.num_rows - 1]
-                    yield shard_row(shard.column("doc_id"), shard.column("text"), ids[first:last], ends[doc : doc + shard.num_rows] - first)
-                    doc += shard.num_rows
+                    last = doc + shard.num_rows
+                    first_id, first_word = (ends[doc - 1], word_ends[doc - 1]) if doc else (0, 0)
+                    row, distinct, some = shard_row(shard.column("doc_id"), ids[first_id : ends[last - 1]], ends[doc:last] - first_id, held[first_word : word_ends[last - 1]], per_doc[doc:last], parts.words)
+                    dfs[distinct] += some.astype(np.int32)
+                    doc, counted = last, np.zeros(0, np.int64)
+                    if doc == part.num_rows:
+                        counted = distinct if last == shard.num_rows else np.flatnonzero(dfs)
+                        counted = counted[np.argsort(-dfs[counted], kind="stable")]
+                    row |= {"words": _list(parts.words.take(pa.array(counted)).cast(pa.string())), "dfs": _list(dfs[counted])}
+                    yield pa.RecordBatch.from_arrays([row[name] for name in SHARD_COLUMNS], SHARD_COLUMNS)
                 pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SHARDS)
@@ -282,7 +323,8 @@ class Index:
     """BM25 over one shard."""
 
     def __init__(self, row: dict, weights: np.ndarray, mean: float):
-        counts, self.docs, tfs = (row[c].values.to_numpy() for c in ("counts", "docs", "tfs"))
+        counts = row["counts"].values.to_numpy()
+        self.docs, tfs = (wide(row[c].as_py(), int(counts.sum())) for c in ("docs", "tfs"))
         self.n, lengths = len(row["names"].values), row["lengths"].values.to_numpy()
         weight = np.repeat(weights[: len(counts)], counts)
         looked_up = weight > 0
@@ -297,9 +339,7 @@ class Index:
     def neighbours(self, doc: int, used: np.ndarray) -> np.ndarray:
         """Scores of all documents of the shard for the words of a document; 0 for those that are used."""
         words = self.words[self.word_ends[doc - 1] if doc else 0 : self.word_ends[doc]]
-        starts, sizes = self.starts[words], self.ends[words] - self.starts[words]
-        done = np.cumsum(sizes)
-        at = np.arange(done[-1] if len(done) else 0) + np.repeat(starts - (done - sizes), sizes)
+        at = spans(self.starts[words], self.ends[words] - self.starts[words])
         scores = np.bincount(self.docs[at], weights=self.impacts[at], minlength=self.n)
         scores[used] = 0
         return scores
@@ -359,8 +399,8 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 def frequent_words(shards: DataFrame, most: int = FREQUENT) -> tuple[dict[str, int], int]:
     """Document frequencies of the words in at least `bound` documents, and that bound. The frequencies of all words add up to
     the number of distinct (document, word) pairs, so no more than `most` words can reach a `most`-th of it."""
-    counts = shards.select(F.explode(F.arrays_zip("words", "dfs")).alias("x")).groupBy(F.col("x.words").alias("word")).agg(F.sum("x.dfs").alias("df"))
-    pairs = shards.agg(F.sum(F.aggregate("dfs", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    counts = shards.select("dfs", F.posexplode("words").alias("place", "word")).groupBy("word").agg(F.sum(F.col("dfs")[F.col("place")]).alias("df"))
+    pairs = shards.agg(F.sum("pairs")).first()[0] or 0
     bound = pairs // most + 1
     return {r.word: r.df for r in counts.filter(F.col("df") >= bound).collect()}, bound
 
@@ -386,9 +426,8 @@ def packed(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = No
                 row = {name: batch.column(name)[i] for name in batch.schema.names}
                 listed = row["listed"].values
                 index = Index(row, weights[pc.fill_null(pc.index_in(listed, value_set=known), len(known)).to_numpy(zero_copy_only=False)], mean)
-                names, ends, raw = row["names"].values.to_pylist(), row["ends"].values.to_numpy(), row["ids"].as_py()
-                ids = np.frombuffer(raw, "<u2" if len(raw) == 2 * ends[-1] else "<u4")
-                fill(out, index, names, ids, ends)
+                names, ends = row["names"].values.to_pylist(), row["ends"].values.to_numpy()
+                fill(out, index, names, wide(row["ids"].as_py(), int(ends[-1])), ends)
                 yield out.taken()
         out.finish()
         yield out.taken()

@@ -209,6 +209,40 @@ def test_known_words_are_bounded_by_frequency(spark):
     assert bound == 16 and some == {"common": 50}
 
 
+def test_words_of_many_shards_are_counted_together(spark):
+    """Words in several shards of what is encoded together are one row for the count over all shards, not one a shard."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["Red", "red", "blue,", "fox", "x-y"]) for _ in range(6)) + f" own{d}" for d in range(60)]
+    docs = [Counter(re.findall(r"[a-z0-9]+", t.lower())) for t in texts]
+    shards = packing.index_shards(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), shard_bytes=300).collect()
+    assert len(shards) > 5 and [len(s.words) for s in shards[:-1]] == [0] * (len(shards) - 1)
+    assert dict(zip(shards[-1].words, shards[-1].dfs, strict=True)) == Counter(w for d in docs for w in d)
+    for s in shards:
+        own = [docs[name] for name in s.names]
+        dfs = Counter(w for d in own for w in d)
+        assert s.pairs == sum(dfs.values()) and s.lengths == [sum(d.values()) for d in own]
+        assert dict(zip(s.listed, s.counts, strict=True)) == {w: n for w, n in dfs.items() if n > 1}
+        word = np.repeat(s.listed, s.counts)
+        postings = zip(word, packing.wide(s.docs, len(word)).tolist(), packing.wide(s.tfs, len(word)).tolist(), strict=True)
+        assert sorted(postings) == sorted((w, i, n) for i, d in enumerate(own) for w, n in d.items() if dfs[w] > 1)
+
+
+def test_parts_with_a_line_feed_in_front_are_put_together(encoder, monkeypatch):
+    alone, parts = [], ["\nfoo", "\n'sé", " bar", "baz", "\n漢字9"]
+    encoded = encoder.encoded
+    monkeypatch.setattr(encoder, "encoded", lambda strings: alone.extend(strings) or encoded(strings))
+    ids, sizes = encoder.encoded_parts(pa.array(parts, pa.large_string()))
+    assert not alone
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [encode(encoder, p) for p in parts]
+
+
+@pytest.mark.parametrize("top", [0, 255, 256, 65535, 65536])
+def test_numbers_are_kept_in_as_few_bytes_as_they_need(top):
+    raw = packing.narrow(np.array([0, top]))
+    assert len(raw) == 2 * (1 if top < 256 else 2 if top < 65536 else 4)
+    assert packing.wide(raw, 2).tolist() == [0, top] and packing.wide(packing.narrow(np.zeros(0, np.int64)), 0).tolist() == []
+
+
 # Ranked search.
 
 
