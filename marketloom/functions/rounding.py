@@ -25,5 +25,12 @@ def percent(x: Column, digits: int = 0) -> Column:
     return F.bround(x, digits)
 
 
+def hundredths(x: Column) -> Column:
+    """round(x, 2) of a number from 0 to 100. Decimals are made only next to a tie, where floating point could err; elsewhere
+    the nearest whole number of hundredths is the same, and much faster."""
+    y = x * 100
+    return F.when(F.abs(y - F.floor(y) - 0.5) < 1e-6, F.round(x, 2)).otherwise(F.floor(y + 0.5) / 100)
+
+
 def truncated(x: Column) -> Column:
     return x.cast("long")

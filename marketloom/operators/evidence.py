@@ -86,16 +86,19 @@ def accuracy(rows: DataFrame, fields: list[str]) -> DataFrame:
     return out.withColumn("rate", F.round(F.col("correct") / F.col("n"), 4))
 
 
-def pair_benchmark(pairs: DataFrame, threshold: float, weight: Column | None = None) -> DataFrame:
-    """tp, fp, fn, tn, precision and recall of the pair score over labelled pairs (structs x and y, is_duplicate), each of which
-    stands for `weight` pairs."""
-    scored = pairs.select(F.col("is_duplicate"), (dedup.pair_score("x", "y") >= threshold).alias("hit"), (F.lit(1) if weight is None else weight).cast("long").alias("w"))
+def benchmark(scored: DataFrame) -> DataFrame:
+    """tp, fp, fn, tn, precision and recall of labelled pairs: is_duplicate, hit (found by the score), w (how many pairs a row stands for)."""
     n = lambda d, h: F.coalesce(F.sum(F.when((F.col("is_duplicate") == d) & (F.col("hit") == h), F.col("w"))), F.lit(0))
     tp, fp, fn = n(True, True), n(False, True), n(True, False)
     ratio = lambda a, b: F.round(F.try_divide(a, F.nullif(a + b, F.lit(0))), 4)
     return scored.agg(tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), n(False, False).alias("tn"), ratio(tp, fp).alias("precision"), ratio(tp, fn).alias("recall"))
 
 
+def pair_benchmark(pairs: DataFrame, threshold: float, weight: Column | None = None) -> DataFrame:
+    """The benchmark of the pair score over labelled pairs (structs x and y, is_duplicate), each of which stands for `weight` pairs."""
+    return benchmark(pairs.select(F.col("is_duplicate"), (dedup.pair_score("x", "y") >= threshold).alias("hit"), (F.lit(1) if weight is None else weight).cast("long").alias("w")))
+
+
 def readiness(report: dict, most_rent: float = 15.0, most_sale: float = 30.0, least_rows: int = 20) -> list[str]:
     """What keeps a valuation report from release; an empty list lets it through."""
     out = []

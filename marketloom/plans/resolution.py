@@ -55,12 +55,13 @@ def _linked(rows):
 
 
 def _candidates(spark, sf_dir):
-    """Pairs of classes of equal rows, with the number of pairs of rows that each stands for."""
-    return dedup.class_pairs(kept(dedup.classes(corpus_of(spark, sf_dir), AREA_STEP, PRICE_STEP), "classes"), 0)
+    """score, pairs: how many pairs of rows of one block have each score."""
+    pairs = dedup.class_pairs(kept(dedup.classes(corpus_of(spark, sf_dir), AREA_STEP, PRICE_STEP), "classes"), 0)
+    return pairs.groupBy("score").agg(F.sum("pairs").alias("pairs"))
 
 
 def _resolved(spark, sf_dir):
-    rows = kept(corpus_of(spark, sf_dir), "corpus")
+    rows = kept(corpus_of(spark, sf_dir).select("normalized_id", "source_website", "listing_type", "listing_price", "area_sqm", "bedrooms", "neighborhood_id", "neighborhood"), "corpus")
     return dedup.resolved(rows, kept(_linked(rows), "groups"), F.col("source_website"), F.col("area_sqm"))
 
 
@@ -78,9 +79,8 @@ def blocked_pairs(spark, sf_dir):
 
 @query("threshold_sensitivity", _PAIRS + "SELECT t, count(*) FILTER (score >= t) AS pairs FROM pairs, (VALUES (70), (75), (80), (85), (90)) AS v(t) GROUP BY 1")
 def threshold_sensitivity(spark, sf_dir):
-    scores = _candidates(spark, sf_dir).groupBy("score").agg(F.sum("pairs").alias("n"))
-    rows = scores.withColumn("t", F.explode(F.array(*map(F.lit, (70, 75, 80, 85, 90)))))
-    return rows.groupBy("t").agg(F.sum(F.when(F.col("score") >= F.col("t"), F.col("n")).otherwise(0)).alias("pairs"))
+    rows = _candidates(spark, sf_dir).withColumn("t", F.explode(F.array(*map(F.lit, (70, 75, 80, 85, 90)))))
+    return rows.groupBy("t").agg(F.sum(F.when(F.col("score") >= F.col("t"), F.col("pairs")).otherwise(0)).alias("pairs"))
 
 
 @query("components", "", False)

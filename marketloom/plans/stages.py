@@ -220,12 +220,9 @@ SELECT tp, fp, fn, tn, round(tp / nullif(tp + fp, 0), 4) AS precision, round(tp
 """)
 def dedup_benchmark(spark, sf_dir):
     # A pair's label hangs on the parity of its rows' numbers, so rows that agree in it too are one class.
-    fields = ["listing_price", "area_sqm", "bedrooms", "neighborhood_id"]
     rows = corpus_of(spark, sf_dir).withColumn("odd", F.pmod("source_listing_id", F.lit(2)))
-    pairs = dedup.class_pairs(kept(dedup.classes(rows, 25, 5000, ("odd",)), "classes"), 0, "odd", *fields)
-    side = lambda n, to: F.struct(*[F.col(f"{n}_{c}").alias(c) for c in fields]).alias(to)
-    labelled = pairs.select(side("a", "x"), side("b", "y"), (F.col("a_odd") == F.col("b_odd")).alias("is_duplicate"), "pairs")
-    return evidence.pair_benchmark(labelled, 85, F.col("pairs"))
+    pairs = dedup.class_pairs(kept(dedup.classes(rows, 25, 5000, ("odd",)), "classes"), 0, "odd")
+    return evidence.benchmark(pairs.select((F.col("a_odd") == F.col("b_odd")).alias("is_duplicate"), (F.col("score") >= 85).alias("hit"), F.col("pairs").alias("w")))
 
 
 @query("golden_accuracy", """

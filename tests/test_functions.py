@@ -225,3 +225,62 @@ def test_rounds_of_components_broadcast_nothing(spark, monkeypatch):
     monkeypatch.setattr(graph, "kept", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df, name))
     graph.components(spark.range(100).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))).count()
     assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def odd_rows(spark, n, seed):
+    """Listings in few blocks whose prices and areas differ by little or by much, with zeros, negative ones and missing bedrooms."""
+    rng = np.random.default_rng(seed)
+    price = np.where(rng.random(n) < 0.5, rng.choice([20, 900, 1000, 2500, 4990, 5100, 7000, 9990, 60_000, 300_000], n) * rng.choice([1, 0.97, 0.94, 0.95, 1.01], n), rng.uniform(-2000, 12_000, n).round(2))
+    area = np.where(rng.random(n) < 0.6, rng.choice([0, 1, 2, 3, 5, 8, 12, -3, -8, 14, 20, 30, 37], n), rng.uniform(0, 40, n).round(2))
+    rows = [(int(i), "abc"[int(s)], float(p), float(a), None if b == 0 else int(b), "sale", 7) for i, s, p, a, b in zip(rng.permutation(n), rng.integers(0, 3, n), price, area, rng.integers(0, 2, n))]
+    return spark.createDataFrame(rows, "normalized_id long, source_website string, listing_price double, area_sqm double, bedrooms int, listing_type string, neighborhood_id int")
+
+
+@pytest.mark.parametrize("n, threshold", [(60, 85), (400, 55), (400, 85), (400, 95), (400, 100)])
+def test_units_link_what_pairs_of_rows_link(spark, n, threshold):
+    df = odd_rows(spark, n, n + threshold)
+    pairs = all_pairs(df, threshold).cache()
+    want = sorted(map(tuple, graph.components(pairs.select("a", "b")).collect()))
+    assert len(want) > 5 and sorted(map(tuple, dedup.linked(df, threshold, 25, 5000).collect())) == want
+    assert sorted(map(tuple, dedup.cross_source_pairs(df, threshold, 25, 5000).collect())) == sorted(map(tuple, pairs.collect()))
+    scores = dedup.class_pairs(dedup.classes(df, 25, 5000), threshold).groupBy("score").agg(F.sum("pairs").alias("n"))
+    assert sorted(map(tuple, scores.collect())) == sorted(map(tuple, pairs.groupBy("score").count().collect()))
+
+
+def near_rows(spark, n):
+    """One block of n listings of two sources, all with prices of their own, and all like one another."""
+    rows = [(i, "ab"[i % 2], 300_000.0 + i, 140.0 + i % 10, 5, "sale", 7) for i in range(n)]
+    return spark.createDataFrame(rows, "normalized_id long, source_website string, listing_price double, area_sqm double, bedrooms int, listing_type string, neighborhood_id int")
+
+
+def test_links_grow_no_faster_than_rows(spark, monkeypatch):
+    links = []
+    monkeypatch.setattr(dedup, "components", lambda edges: links.append(edges.count()) or graph.components(edges))
+    assert {r.component for r in dedup.linked(near_rows(spark, 400), 85, 25, 5000).collect()} == {0}
+    assert sum(links) < 400
+
+
+def test_prices_within_their_tolerance_are_one_class(spark):
+    groups = dedup.classes(near_rows(spark, 400), 25, 5000)
+    assert groups.count() == 10 and dedup.class_pairs(groups, 0).agg(F.sum("pairs")).first()[0] == 200 * 200
+
+
+@pytest.mark.parametrize("threshold", [0, 85])
+def test_a_pairs_score_is_not_written_into_its_filter(spark, threshold):
+    """A filter on the score used to be pushed into its steps, as an expression of thousands of terms."""
+    found = dedup.class_pairs(dedup.classes(near_rows(spark, 10), 25, 5000), threshold).groupBy("score").agg(F.sum("pairs"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("abs(") <= 6
+
+
+def test_a_large_block_is_dealt_into_shares(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "TASK_PAIRS", 400)
+    rows = dedup.candidates(near_rows(spark, 200), 25, 5000)
+    found = dedup.facing(rows, "normalized_id", *dedup.BLOCK)
+    sizes = [r[0] for r in found.groupBy("x._i", "x._j").count().select("count").collect()]
+    assert sum(sizes) == 100 * 100 and len(sizes) > 50 and max(sizes) <= 600
+
+
+def test_hundredths_are_round(spark):
+    x = np.concatenate([np.arange(0, 100, 0.005), np.random.default_rng(1).uniform(0, 100, 20_000)])
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    assert df.filter(rounding.hundredths(F.col("x")) != F.round("x", 2)).count() == 0
